@@ -25,7 +25,7 @@ WITH raw AS (
 ), ms AS (
   SELECT entity_kind, entity_id, TRY_CAST(round(a * 1000) AS BIGINT) AS s, TRY_CAST(round(b * 1000) AS BIGINT) AS e FROM raw
   WHERE entity_id IS NOT NULL AND abs(a) <= 9.2e15 AND abs(b) <= 9.2e15
-), ok AS (SELECT * FROM ms WHERE s >= 0 AND e > s
+), ok AS (SELECT DISTINCT * FROM ms WHERE s >= 0 AND e > s
 ), reach AS (
   SELECT *, max(e) OVER (PARTITION BY entity_kind, entity_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ok
 ), isle AS (
