@@ -14,20 +14,21 @@ from pyspark.sql import functions as F
 BITS = 20
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, weight: str, out: str) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: str, weight: str, out: str, ties: list[str] = []) -> DataFrame:
     """Adds ``out``, the sum of ``weight`` over the rows of the same ``keys`` with the same or a smaller ``order``.
 
-    ``order`` is a bigint and not negative; each (keys, order) occurs once. Rows with a null order are dropped.
+    ``order`` is a bigint and not negative; rows with a null order are dropped. Rows of the same keys and order are
+    taken one after the other, by ``ties``.
     """
-    df = df.where(F.col(order).isNotNull()).withColumn("_b", F.shiftright(order, BITS))
-    sums = df.groupBy(*keys, "_b").agg(F.sum(weight).alias("_w")).withColumn("_bb", F.shiftright("_b", BITS))
+    df = df.where(F.col(order).isNotNull()).withColumn("_rt_b", F.shiftright(order, BITS))
+    sums = df.groupBy(*keys, "_rt_b").agg(F.sum(weight).alias("_rt_w")).withColumn("_rt_bb", F.shiftright("_rt_b", BITS))
     before = (W.unboundedPreceding, -1)
-    upper = sums.groupBy(*keys, "_bb").agg(F.sum("_w").alias("_u"))
-    upper = upper.select(*keys, "_bb", F.coalesce(F.sum("_u").over(_win(keys, "_bb", before)), F.lit(0)).alias("_o2"))
-    lower = F.coalesce(F.sum("_w").over(_win([*keys, "_bb"], "_b", before)), F.lit(0))
-    offsets = sums.withColumn("_o1", lower).join(upper, [*keys, "_bb"]).select(*keys, "_b", (F.col("_o1") + F.col("_o2")).alias("_o"))
-    inside = F.sum(weight).over(_win([*keys, "_b"], order, (W.unboundedPreceding, 0)))
-    return df.withColumn(out, inside).join(offsets, [*keys, "_b"]).withColumn(out, F.col(out) + F.col("_o")).drop("_b", "_o")
+    upper = sums.groupBy(*keys, "_rt_bb").agg(F.sum("_rt_w").alias("_rt_u"))
+    upper = upper.select(*keys, "_rt_bb", F.coalesce(F.sum("_rt_u").over(_win(keys, "_rt_bb", before)), F.lit(0)).alias("_rt_2"))
+    lower = F.coalesce(F.sum("_rt_w").over(_win([*keys, "_rt_bb"], "_rt_b", before)), F.lit(0))
+    offsets = sums.withColumn("_rt_1", lower).join(upper, [*keys, "_rt_bb"]).select(*keys, "_rt_b", (F.col("_rt_1") + F.col("_rt_2")).alias("_rt_o"))
+    inside = F.sum(weight).over(W.partitionBy(*keys, "_rt_b").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0))
+    return df.withColumn(out, inside).join(offsets, [*keys, "_rt_b"]).withColumn(out, F.col(out) + F.col("_rt_o")).drop("_rt_b", "_rt_o")
 
 
 def _win(keys: list[str], order: str, frame: tuple[int, int]):
