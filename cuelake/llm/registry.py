@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["splitting", "topn"]
+MODULES = ["splitting", "topn", "bpe", "packing"]
 
 
 def queries() -> dict:
