@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["splitting", "topn", "bpe", "packing", "quality", "components"]
+MODULES = ["splitting", "topn", "bpe", "packing", "quality", "components", "overlaps"]
 
 
 def queries() -> dict:
