@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["spans", "retrieval"]
+MODULES = ["spans", "retrieval", "moments", "evaluation", "calibration"]
 
 
 def queries() -> dict:

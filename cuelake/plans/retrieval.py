@@ -6,23 +6,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.operators import fusion, search, vectors
+from cuelake.plans.common import Registry
 from cuelake.operators.text import SQL_TOKENS, sql_bm25, tokens
 from cuelake.sources import views
 from cuelake.sources.tables import load
-from cuelake.sources.views import with_views
-
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, names: str = "", sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = with_views(names, sql)
-        return f
-
-    return keep
 
+query = Registry()
+QUERIES, SQL = query.queries, query.sql
 
 SPOKEN = f"""docs AS (SELECT video_id, segment_id, {SQL_TOKENS.format('text')} AS tokens FROM seg),
 asked AS (SELECT video_id, query_id, {SQL_TOKENS.format('query_text')} AS tokens FROM qry),
