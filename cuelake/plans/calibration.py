@@ -205,10 +205,10 @@ def candidate_features(spark, d):
 LF = f"""WITH {RES}, e AS (SELECT *, exp(score - max(score) OVER w) AS ex, max(score) OVER w AS mx, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS r FROM res WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)), p AS (SELECT *, ex / sum(ex) OVER (PARTITION BY query_id) AS p FROM e)"""
 
 
-@query("m02_list_features", VIEWS, LF + " SELECT query_id, count(*) AS n, round(max(score), 6) AS best, round(max(score) - coalesce(max(score) FILTER (r = 2), max(score)), 6) AS margin, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round((0e0 - sum(p * ln(p))) / greatest(ln(count(*)), 1), 6) AS entropy, round(avg(CAST(score < mx / 2 AS INT)), 6) AS tail FROM p GROUP BY 1")
+@query("m02_list_features", VIEWS, LF + " SELECT query_id, count(*) AS n, round(max(score), 6) AS best, round(max(score) - coalesce(max(score) FILTER (r = 2), max(score)), 6) AS margin, round(avg(score), 9) AS mean, round(stddev_pop(score), 6) AS std, round((0e0 - sum(p * ln(p))) / greatest(ln(count(*)), 1), 6) AS entropy, round(avg(CAST(score < mx / 2 AS INT)), 6) AS tail FROM p GROUP BY 1")
 def list_features(spark, d):
     x = ft.list_features(results(spark, d).where("rank <= 20"), [KEY], "score")
-    return x.select(KEY, "n", *(F.round(c, 6).alias(c) for c in ("best", "margin", "mean", "std", "entropy", "tail")))
+    return x.select(KEY, "n", F.round("mean", 9).alias("mean"), *(F.round(c, 6).alias(c) for c in ("best", "margin", "std", "entropy", "tail")))
 
 
 @query("m03_inference", VIEWS, CF + " SELECT query_id, rank, round(1 / (1 + exp(-greatest(least(-1e0 + (score - 0.2e0) / 0.5e0 * 1.5e0 + (1e0 / rank - 0.1e0) / 0.3e0 * 0.7e0, 40), -40))), 9) AS p FROM f")
