@@ -71,29 +71,39 @@ def variants(lanes: DataFrame, keys: list[str], k: int) -> DataFrame:
     return g.withColumn("rank", r.cast("bigint")).where(F.col("rank") <= k)
 
 
+def depth(lane: str, keys: list[str]) -> Column:
+    """Position of a bucket among the distinct buckets of a lane, from 1; null if the lane lacks it."""
+    c = F.col(f"{lane}_rank")
+    return F.when(c.isNotNull(), F.dense_rank().over(W.partitionBy(*keys, c.isNull()).orderBy(c)))
+
+
+def _within(n: int) -> Column:
+    return F.coalesce(F.col("_v") <= n, F.lit(False)) | F.coalesce(F.col("_s") <= n, F.lit(False))
+
+
+def _ordered(fused: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    r = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return fused.withColumn("rank", r.cast("bigint")).where(F.col("rank") <= k).drop("_v", "_s")
+
+
 def quota(fused: DataFrame, keys: list[str], q: int, k: int) -> DataFrame:
-    """Reserves the first q of each lane, in fused order, and fills up with the rest: k rows with ``rank``."""
-    must = F.coalesce(F.col("visual_rank") <= q, F.lit(False)) | F.coalesce(F.col("speech_rank") <= q, F.lit(False))
-    first = F.row_number().over(W.partitionBy(*keys).orderBy(F.when(must, 0).otherwise(1), "fused_rank"))
-    kept = fused.withColumn("_r", first).where(F.col("_r") <= k).drop("_r")
-    return kept.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("fused_rank")).cast("bigint"))
+    """The first q buckets of each lane, in fused order, then the rest in fused order: k rows with ``rank``."""
+    d = fused.withColumns({"_v": depth("visual", keys), "_s": depth("speech", keys)})
+    return _ordered(d, keys, [~_within(q), "fused_rank"], k)
 
 
 def interleaved(fused: DataFrame, keys: list[str], start: str, k: int) -> DataFrame:
-    """Takes turns between the lanes from ``start`` on; a bucket comes at its first turn."""
+    """Takes turns between the lanes' buckets from ``start`` on; a bucket comes at its first turn."""
     second = "speech" if start == "visual" else "visual"
-    turn = lambda lane, o: (F.dense_rank().over(W.partitionBy(*keys, F.col(f"{lane}_rank").isNull()).orderBy(F.col(f"{lane}_rank"))) * 2 + o, f"{lane}_rank")
-    turns = [F.when(F.col(c).isNotNull(), t) for t, c in (turn(start, 0), turn(second, 1))]
-    r = F.row_number().over(W.partitionBy(*keys).orderBy("_turn", "ts", "thumbnail"))
-    return fused.withColumn("_turn", F.least(*turns)).withColumn("rank", r.cast("bigint")).where(F.col("rank") <= k).drop("_turn")
-
-
-def preserved(fused: DataFrame, keys: list[str], depth: int, k: int) -> DataFrame:
-    """Buckets within ``depth`` of either lane come first, by their better rank; then the rest in fused order."""
-    best = F.least("visual_rank", "speech_rank")
-    safe = best <= depth
-    r = F.row_number().over(W.partitionBy(*keys).orderBy(~safe, F.when(safe, best), "fused_rank", "ts", "thumbnail"))
-    return fused.withColumn("rank", r.cast("bigint")).where(F.col("rank") <= k)
+    turn = F.least(depth(start, keys) * 2, depth(second, keys) * 2 + 1)
+    return _ordered(fused.withColumn("_v", turn), keys, ["_v"], k)
+
+
+def preserved(fused: DataFrame, keys: list[str], protected: int, k: int) -> DataFrame:
+    """The first ``protected`` buckets of each lane come first, by their better raw rank; then the rest in fused order."""
+    d = fused.withColumns({"_v": depth("visual", keys), "_s": depth("speech", keys)})
+    safe = _within(protected)
+    return _ordered(d, keys, [~safe, F.when(safe, F.least("visual_rank", "speech_rank")), "fused_rank", "ts", "thumbnail"], k)
 
 
 def blended(df: DataFrame, keys: list[str], score: str, extra: str, weight: float, minmax: bool, ties: list[str]) -> DataFrame:

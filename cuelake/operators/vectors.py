@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -79,13 +80,13 @@ def top_k(items: DataFrame, queries: DataFrame, key: str, query: str, vector: st
 
 
 def encode(df: DataFrame, text: str, model: Callable[[list[str]], np.ndarray], out: str = "embedding") -> DataFrame:
-    """Adds the unit vectors that ``model`` gives for a batch of texts; null for null. The boundary for neural encoders."""
+    """Adds the vectors that ``model`` gives for a batch of texts; null for null. The boundary for neural encoders."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts):
         known = texts.notna()
         made = iter(model(list(texts[known]))) if known.any() else iter(())
-        return texts.map(lambda t: None).astype(object).where(~known, [next(made).tolist() if k else None for k in known])
+        return pd.Series([np.asarray(next(made), np.float64).tolist() if k else None for k in known], dtype=object)
 
     return df.withColumn(out, run(text))
 

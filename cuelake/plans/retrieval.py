@@ -228,20 +228,20 @@ def variants(spark, d):
     return fusion.variants(search.lanes(spark, d), ["query_id"], 5).select("query_id", "variant", "thumbnail", "rank")
 
 
-@query("f05_quota", LANE_VIEWS, with_lanes(""", q AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN coalesce(visual_rank <= 1, false) OR coalesce(speech_rank <= 1, false) THEN 0 ELSE 1 END, fused_rank) AS r FROM fused)
-SELECT query_id, thumbnail, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS rank FROM q WHERE r <= 5"""))
+DEPTH = """, dp AS (SELECT *, CASE WHEN visual_rank IS NOT NULL THEN dense_rank() OVER (PARTITION BY query_id, visual_rank IS NULL ORDER BY visual_rank) END AS vd, CASE WHEN speech_rank IS NOT NULL THEN dense_rank() OVER (PARTITION BY query_id, speech_rank IS NULL ORDER BY speech_rank) END AS sd FROM fused)"""
+
+
+@query("f05_quota", LANE_VIEWS, with_lanes(DEPTH + """ SELECT query_id, thumbnail, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN coalesce(vd <= 1, false) OR coalesce(sd <= 1, false) THEN 0 ELSE 1 END, fused_rank) AS rank FROM dp) x WHERE rank <= 5"""))
 def quota(spark, d):
     return fusion.quota(fusion.fuse(search.lanes(spark, d), ["query_id"]), ["query_id"], 1, 5).select("query_id", "thumbnail", "rank")
 
 
-@query("f06_interleave", LANE_VIEWS, with_lanes(""", t AS (SELECT query_id, thumbnail, ts, CASE WHEN visual_rank IS NOT NULL THEN 2 * dense_rank() OVER (PARTITION BY query_id, visual_rank IS NULL ORDER BY visual_rank) END AS a,
-  CASE WHEN speech_rank IS NOT NULL THEN 2 * dense_rank() OVER (PARTITION BY query_id, speech_rank IS NULL ORDER BY speech_rank) + 1 END AS b FROM fused)
-SELECT query_id, thumbnail, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY least(a, b), ts, thumbnail) AS rank FROM t) x WHERE rank <= 5"""))
+@query("f06_interleave", LANE_VIEWS, with_lanes(DEPTH + " SELECT query_id, thumbnail, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY least(2 * vd, 2 * sd + 1)) AS rank FROM dp) x WHERE rank <= 5"))
 def interleave(spark, d):
     return fusion.interleaved(fusion.fuse(search.lanes(spark, d), ["query_id"]), ["query_id"], "visual", 5).select("query_id", "thumbnail", "rank")
 
 
-@query("f07_preserve", LANE_VIEWS, with_lanes(""", p AS (SELECT *, coalesce(least(visual_rank, speech_rank) <= 2, false) AS safe FROM fused)
+@query("f07_preserve", LANE_VIEWS, with_lanes(DEPTH + """, p AS (SELECT *, coalesce(vd <= 2, false) OR coalesce(sd <= 2, false) AS safe FROM dp)
 SELECT query_id, thumbnail, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT safe, CASE WHEN safe THEN least(visual_rank, speech_rank) END, fused_rank, ts, thumbnail) AS rank FROM p) x WHERE rank <= 5"""))
 def preserve(spark, d):
     return fusion.preserved(fusion.fuse(search.lanes(spark, d), ["query_id"]), ["query_id"], 2, 5).select("query_id", "thumbnail", "rank")
