@@ -55,7 +55,7 @@ def best_threshold(df: DataFrame, x: str, positive: str, alarms: float) -> DataF
     return ok.orderBy("false_abstention", "false_alarm", F.desc("value")).limit(1).withColumnRenamed("value", "threshold")
 
 
-def newton_logistic(df: DataFrame, features: list[str], label: str, l2: float = 1.0, steps: int = 25, balanced: bool = False) -> dict:
+def newton_logistic(df: DataFrame, features: list[str], label: str, l2: float = 1.0, steps: int = 100, balanced: bool = False) -> dict:
     """An L2 logistic model by Newton steps: each step is one aggregation of its normal equations over all rows.
 
     The driver gets d*(d+1)/2 + d sums a step, d the number of features and one, however many rows there are. Features
@@ -81,24 +81,33 @@ def newton_logistic(df: DataFrame, features: list[str], label: str, l2: float =
         sums = df.agg(*(F.sum(weight * (F.col("_y") - q) * c).alias(f"g{i}") for i, c in enumerate(x)), *(F.sum(h * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d + 1) for j in range(i, d + 1))).first()
         grad = np.array([sums[f"g{i}"] for i in range(d + 1)]) - penalty @ beta
         hess = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] for j in range(d + 1)] for i in range(d + 1)]) + penalty
-        move = np.linalg.solve(hess, grad)
+        move = np.linalg.solve(hess + 1e-9 * np.eye(d + 1), grad)
         beta = beta + move
-        if np.abs(move).max() < 1e-9:
+        if np.abs(move).max() < 1e-10:
             break
     return model | {"weights": beta[1:].tolist(), "bias": float(beta[0])}
 
 
-def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 2000, rate: float = 0.1, l2: float = 0.01, decay: float = 0.0) -> dict:
-    """A softmax model by full-batch descent over a bounded, labelled sample; the step shrinks by ``decay``."""
-    mean, scale = x.mean(0), x.std(0)
-    scale[scale == 0] = 1
+def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 2000, rate: float = 0.08, l2: float = 0.01, balanced: bool = True, standard: bool = True, decay: bool = False) -> dict:
+    """A softmax model by full-batch descent over a bounded, labelled sample whose first feature is the bias.
+
+    All but the bias are standardised (``standard``) and penalised by l2/n; classes weigh alike (``balanced``); the step
+    shrinks with the root of its number (``decay``).
+    """
+    n, d = x.shape
+    mean, scale = (x.mean(0), x.std(0)) if standard else (np.zeros(d), np.ones(d))
+    mean[0], scale[0] = 0.0, 1.0
+    scale[scale < 1e-12] = 1.0
     z, t = (x - mean) / scale, np.eye(classes)[y]
-    w = np.zeros((x.shape[1], classes))
+    sample = n / (classes * np.maximum(np.bincount(y, minlength=classes), 1)[y]) if balanced else np.ones(n)
+    w = np.zeros((d, classes))
     for i in range(steps):
         s = z @ w
         p = np.exp(s - s.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        w -= rate / (1 + decay * i) * (z.T @ (p - t) / len(x) + l2 * w)
+        grad = z.T @ ((p - t) * sample[:, None]) / n
+        grad[1:] += l2 * w[1:] / n
+        w -= rate / (np.sqrt(i + 1) if decay else 1) * grad
     return {"mean": mean.tolist(), "scale": scale.tolist(), "weights": w.tolist()}
 
 

@@ -41,12 +41,14 @@ def fuse(lanes: DataFrame, keys: list[str], constant: int = RRF) -> DataFrame:
 def contributions(lanes: DataFrame, keys: list[str]) -> DataFrame:
     """Long form of a fusion: a row a bucket and lane, with what each way of counting gives its rank.
 
-    ``rrf`` 1/(60+r); ``normalized`` the same stretched from the last rank to the first; ``percentile`` (n-r+1)/n.
+    ``rrf`` 1/(60+r); ``normalized60`` and ``normalized10`` 1/(c+r) stretched so that the first rank gives 1 and the one
+    past the last gives 0; ``percentile`` (n-r+1)/n.
     """
     n = F.max("rank").over(W.partitionBy(*keys, "lane"))
     b = buckets(lanes.withColumn("_n", n), [*keys, "_n"]).withColumnRenamed("_n", "n")
-    raw, lo, hi = 1 / (RRF + F.col("rank")), 1 / (RRF + F.col("n") + 1), F.lit(1 / (RRF + 1))
-    return b.withColumns({"rrf": raw, "normalized": (raw - lo) / (hi - lo), "percentile": (F.col("n") - F.col("rank") + 1) / F.col("n")})
+    raw = lambda c: 1 / (c + F.col("rank"))
+    stretched = lambda c: (raw(c) - 1 / (c + F.col("n") + 1)) / (F.lit(1 / (c + 1)) - 1 / (c + F.col("n") + 1))
+    return b.withColumns({"rrf": raw(RRF), "normalized60": stretched(60), "normalized10": stretched(10), "percentile": (F.col("n") - F.col("rank") + 1) / F.col("n")})
 
 
 def capped(total: Column, greatest: Column, lanes: Column, cap: float | None) -> Column:
@@ -55,20 +57,21 @@ def capped(total: Column, greatest: Column, lanes: Column, cap: float | None) ->
 
 
 #: Variants of fusion: name, way of counting, cap for agreeing lanes.
-VARIANTS = [("rrf60", "rrf", None), ("normalized", "normalized", None), ("percentile", "percentile", None), ("cap125", "rrf", 1.25), ("cap150", "rrf", 1.5), ("cap175", "rrf", 1.75), ("percentile_cap150", "percentile", 1.5)]
+VARIANTS = [("baseline_rrf60", "rrf", None), ("cap_1_75", "rrf", 1.75), ("cap_1_50", "rrf", 1.5), ("cap_1_25", "rrf", 1.25), ("normalized_rrf60", "normalized60", None), ("normalized_rrf10", "normalized10", None), ("normalized_percentile", "percentile", None)]
 
 
 def variants(lanes: DataFrame, keys: list[str], k: int) -> DataFrame:
     """``(*keys, variant, thumbnail, score, rank)``: the k best buckets under every variant, in one plan."""
     c = contributions(lanes, keys)
     g = c.groupBy(*keys, "thumbnail").agg(
-        *(f(m).alias(f"{n}_{m}") for m in ("rrf", "normalized", "percentile") for n, f in (("sum", F.sum), ("max", F.max))), F.count("*").alias("lanes"),
+        *(f(m).alias(f"{n}_{m}") for m in ("rrf", "normalized60", "normalized10", "percentile") for n, f in (("sum", F.sum), ("max", F.max))), F.count("*").alias("lanes"),
         F.coalesce(F.max(F.when(F.col("lane") == "speech", F.col("ts"))), F.max("ts")).alias("ts"),
+        F.max(F.when(F.col("lane") == "visual", F.col("rank"))).alias("vr"), F.max("rank").alias("any"),
     )
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), capped(F.col(f"sum_{m}"), F.col(f"max_{m}"), F.col("lanes"), cap).alias("score")) for n, m, cap in VARIANTS)))
-    g = g.select(*keys, "thumbnail", "ts", each.alias("x")).select(*keys, "x.variant", "thumbnail", "ts", "x.score")
-    r = F.row_number().over(W.partitionBy(*keys, "variant").orderBy(F.desc(F.round("score", 12)), "ts", "thumbnail"))
-    return g.withColumn("rank", r.cast("bigint")).where(F.col("rank") <= k)
+    g = g.select(*keys, "thumbnail", "ts", "vr", "any", each.alias("x")).select(*keys, "x.variant", "thumbnail", "ts", "vr", "any", "x.score")
+    r = F.row_number().over(W.partitionBy(*keys, "variant").orderBy(F.desc(F.round("score", 12)), "ts", F.col("vr").isNull(), F.coalesce("vr", "any")))
+    return g.withColumn("rank", r.cast("bigint")).where(F.col("rank") <= k).drop("vr", "any")
 
 
 def depth(lane: str, keys: list[str]) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.operators import calibrate as cb
+from cuelake.operators import fusion, search
 from cuelake.operators import features as ft
-from cuelake.operators import metrics
+from cuelake.operators.text import SQL_TOKENS, sql_bm25, tokens
 from cuelake.plans.common import Registry
-from cuelake.plans.evaluation import CAL, CLASS, KEY, LABELLED, POS, RES, VIEWS, calibrated, labelled, results
+from cuelake.plans.evaluation import CAL, KEY, LABELLED, POS, RES, VIEWS, calibrated, labelled, results
+from cuelake.plans.retrieval import LANE_VIEWS, with_lanes
 from cuelake.sources import views
-from cuelake.sources.tables import load
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -193,22 +194,49 @@ def accepted_results(spark, d):
     return r.where((F.col("evidence")["visual"] > 0.3) | F.map_contains_key("evidence", "speech")).select(KEY, "rank")
 
 
-CF = f"""WITH {RES}, f AS (SELECT query_id, rank, score, avg(score) OVER w AS m, stddev_pop(score) OVER w AS sd, min(score) OVER w AS lo, max(score) OVER w AS hi, lag(score) OVER o AS bef, lead(score) OVER o AS nxt FROM res WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id), o AS (PARTITION BY query_id ORDER BY rank))"""
+CF = f"""WITH {RES}, en AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS en, CAST(embedding AS DOUBLE[]) AS v, count(*) OVER () AS c FROM embeddings), r20 AS (SELECT r.*, p.candidate_id FROM res r JOIN pool p USING (query_id, video_id, rank) WHERE r.rank <= 20),
+f AS (SELECT query_id, video_id, rank, ts, score, v, avg(score) OVER w AS m, stddev_pop(score) OVER w AS sd, min(score) OVER w AS lo, max(score) OVER w AS hi, max(score) FILTER (rank = 2) OVER w AS sec, count(*) OVER w AS n, lag(score) OVER o AS bef, lead(score) OVER o AS nxt FROM r20 JOIN en ON en.en = candidate_id % en.c WINDOW w AS (PARTITION BY query_id), o AS (PARTITION BY query_id ORDER BY rank))"""
+CV = """, tm AS (SELECT a.query_id, a.rank, count(b.rank) FILTER (abs(a.ts - b.ts) <= 10.05e0) / CAST(greatest(count(b.rank), 1) AS DOUBLE) AS support, coalesce(min(abs(a.ts - b.ts)), 0) AS nearest FROM f a LEFT JOIN f b ON a.query_id = b.query_id AND a.rank <> b.rank GROUP BY ALL),
+pr AS (SELECT a.query_id, a.rank, sum(list_dot_product(a.v, b.v)) AS total, sum(list_dot_product(a.v, b.v)) FILTER (b.rank = 1) AS first FROM f a JOIN f b ON a.query_id = b.query_id GROUP BY ALL),
+cn AS (SELECT query_id, sqrt(sum(total)) AS len FROM pr GROUP BY 1)"""
+KEYED = [KEY, "video_id"]
 
 
-@query("m01_candidate_features", VIEWS, CF + " SELECT query_id, rank, round(CASE WHEN sd > 0 THEN (score - m) / sd ELSE 0 END, 6) AS z, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END, 6) AS minmax, round(1e0 / rank, 6) AS inverse_rank, round(1e0 / log2(rank + 1), 6) AS inverse_log_rank, round(hi - score, 6) AS gap_best, round(coalesce(bef - score, 0), 6) AS gap_before, round(coalesce(score - nxt, 0), 6) AS gap_next FROM f")
-def candidate_features(spark, d):
-    x = ft.candidate_features(results(spark, d).where("rank <= 20"), [KEY], "score", "rank")
-    return x.select(KEY, "rank", *(F.round(c, 6).alias(c) for c in ("z", "minmax", "inverse_rank", "inverse_log_rank", "gap_best", "gap_before", "gap_next")))
+def twenty(spark, d):
+    """The 20 best candidates of each query in its own video, with vectors that stand for their frames."""
+    from cuelake.plans.questions import embedded
+
+    p = views.pool(spark, d, 20).join(views.queries(spark, d).select(KEY, "video_id"), KEYED)
+    return embedded(p, spark, d, F.col("candidate_id"))
 
 
-LF = f"""WITH {RES}, e AS (SELECT *, exp(score - max(score) OVER w) AS ex, max(score) OVER w AS mx, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS r FROM res WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)), p AS (SELECT *, ex / sum(ex) OVER (PARTITION BY query_id) AS p FROM e)"""
+_CSQL = {
+    "score_z": "(score - m) / greatest(sd, 1e-12)", "score_minmax": "(score - lo) / greatest(hi - lo, 1e-12)", "reciprocal_rank": "1e0 / rank", "log_rank": "1e0 / log2(rank + 1)", "gap_from_top": "hi - score",
+    "gap_from_previous": "coalesce(bef - score, 0)", "gap_to_next": "coalesce(score - nxt, 0)", "top_two_gap": "coalesce(hi - sec, 0)", "list_mean": "m", "list_std": "sd", "list_range": "hi - lo",
+    "temporal_support_10s": "support", "nearest_time_gap": "nearest", "top_frame_cosine": "first", "list_centroid_cosine": "total / greatest(len, 1e-12)",
+}
+TIGHT = {"list_mean", "mean"}
 
 
-@query("m02_list_features", VIEWS, LF + " SELECT query_id, count(*) AS n, round(max(score), 6) AS best, round(max(score) - coalesce(max(score) FILTER (r = 2), max(score)), 6) AS margin, round(avg(score), 9) AS mean, round(stddev_pop(score), 6) AS std, round((0e0 - sum(p * ln(p))) / greatest(ln(count(*)), 1), 6) AS entropy, round(avg(CAST(score < mx / 2 AS INT)), 6) AS tail FROM p GROUP BY 1")
+def rounded(columns):
+    """Rounded for comparison; adding 0 makes a negative zero a zero."""
+    return [(F.round(c, 9 if c in TIGHT else 6) + F.lit(0.0)).alias(c) for c in columns]
+
+
+@query("m01_candidate_features", VIEWS, CF + CV + " SELECT query_id, rank, " + ", ".join(f"round({e}, {9 if c in TIGHT else 6}) + 0e0 AS {c}" for c, e in _CSQL.items()) + " FROM f JOIN tm USING (query_id, rank) JOIN pr USING (query_id, rank) JOIN cn USING (query_id) WHERE sd > 1e-6 OR n = 1")
+def candidate_features(spark, d):
+    x = ft.candidate_features(twenty(spark, d), [KEY], "score", "rank", "ts", "embedding")
+    n = F.count("*").over(W.partitionBy(KEY))
+    return x.withColumn("n", n).where((F.col("list_std") > 1e-6) | (F.col("n") == 1)).select(KEY, "rank", *rounded(ft.CANDIDATE))
+
+
+@query("m02_list_features", VIEWS, CF + CV + """, p AS (SELECT *, exp(score - hi) / sum(exp(score - hi)) OVER (PARTITION BY query_id) AS p FROM f)
+SELECT query_id, round(max(score), 6) AS best_score, round(coalesce(max(hi - sec), 0), 6) AS top_two_gap, round(max(score) - min(score) FILTER (rank <= 5), 6) AS top_five_gap, round(max(m), 9) AS mean, round(max(sd), 6) AS std, round(max(hi - lo), 6) AS range, round((0e0 - sum(p * ln(p + 1e-15))) / greatest(ln(count(*)), 1), 6) AS entropy,
+round(max(support) FILTER (rank = 1), 6) AS temporal_support_10s, round(max(total / greatest(len, 1e-12)) FILTER (rank = 1), 6) AS top_frame_centroid_cosine, round(avg(CAST(score >= m + sd AS INT)), 6) AS positive_tail_fraction, round(ln(1 + count(*)), 6) AS candidate_count_log
+FROM p JOIN tm USING (query_id, rank) JOIN pr USING (query_id, rank) JOIN cn USING (query_id) WHERE n > 2 GROUP BY query_id""")
 def list_features(spark, d):
-    x = ft.list_features(results(spark, d).where("rank <= 20"), [KEY], "score")
-    return x.select(KEY, "n", F.round("mean", 9).alias("mean"), *(F.round(c, 6).alias(c) for c in ("best", "margin", "std", "entropy", "tail")))
+    x = twenty(spark, d).withColumn("n", F.count("*").over(W.partitionBy(KEY))).where("n > 2")
+    return ft.list_features(x, [KEY], "score", "rank", "ts", "embedding").select(KEY, *rounded(ft.LIST))
 
 
 @query("m03_inference", VIEWS, CF + " SELECT query_id, rank, round(1 / (1 + exp(-greatest(least(-1e0 + (score - 0.2e0) / 0.5e0 * 1.5e0 + (1e0 / rank - 0.1e0) / 0.3e0 * 0.7e0, 40), -40))), 9) AS p FROM f")
@@ -228,45 +256,67 @@ def learned_rerank(spark, d):
 SUP = f", s AS (SELECT a.query_id, a.rank, count(b.rank) FILTER (abs(a.ts - b.ts) <= 10.05e0) / CAST(greatest(count(b.rank), 1) AS DOUBLE) AS support FROM res a LEFT JOIN res b ON a.query_id = b.query_id AND a.rank <> b.rank AND b.rank <= 20 WHERE a.rank <= 20 GROUP BY ALL)"
 
 
-@query("f12_temporal_rerank", VIEWS, CF + SUP + " SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN sd > 0 THEN (score - m) / sd ELSE 0 END + 0.5e0 * support, 9) DESC, rank) AS new_rank FROM f JOIN s USING (query_id, rank)")
+@query("f12_temporal_rerank", VIEWS, CF + SUP + " SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY round((score - m) / greatest(sd, 1e-12) + 0.5e0 * support, 6) DESC, rank) AS new_rank FROM f JOIN s USING (query_id, rank)")
 def temporal_rerank(spark, d):
     """z of the score plus the share of the list's other candidates near in time."""
-    x = ft.candidate_features(results(spark, d).where("rank <= 20"), [KEY], "score", "rank")
-    w = W.partitionBy(KEY)
-    near = F.size(F.filter(F.collect_list("ts").over(w), lambda t: F.abs(t - F.col("ts")) <= 10.05)) - 1
-    x = x.withColumn("support", near / F.greatest(F.count("*").over(w) - 1, F.lit(1)))
-    r = F.row_number().over(w.orderBy(F.desc(F.round(F.col("z") + 0.5 * F.col("support"), 9)), "rank"))
+    x = ft.candidate_features(results(spark, d).where("rank <= 20"), [KEY], "score", "rank", "ts")
+    r = F.row_number().over(W.partitionBy(KEY).orderBy(F.desc(F.round(F.col("score_z") + 0.5 * F.col("temporal_support_10s"), 6)), "rank"))
     return x.select(KEY, "rank", r.cast("bigint").alias("new_rank"))
 
 
-@query("m04_light_features", VIEWS, CF + " SELECT query_id, rank, round(score, 6) AS score, round(1e0 / rank, 6) AS inverse_rank, round(hi - score, 6) AS gap_best, round(m, 9) AS mean FROM f WHERE rank <= 5")
+@query("m04_light_features", VIEWS, CF + " SELECT query_id, rank, round(score, 6) AS score, round(1e0 / rank, 6) AS reciprocal_rank, round(hi - score, 6) AS gap_from_top, round(coalesce(hi - sec, 0), 6) AS top_two_gap, round(m, 9) AS list_mean, round(sd, 6) AS list_std, round(hi - lo, 6) AS list_range FROM f")
 def light_features(spark, d):
-    x = ft.candidate_features(results(spark, d).where("rank <= 20"), [KEY], "score", "rank").withColumn("mean", F.avg("score").over(W.partitionBy(KEY)))
-    return x.where("rank <= 5").select(KEY, "rank", *(F.round(c, 6).alias(c) for c in ("score", "inverse_rank", "gap_best")), F.round("mean", 9).alias("mean"))
+    x = ft.candidate_features(results(spark, d).where("rank <= 20"), [KEY], "score", "rank")
+    return x.select(KEY, "rank", *rounded(["score", "reciprocal_rank", "gap_from_top", "top_two_gap", "list_mean", "list_std", "list_range"]))
 
 
-@query("m05_robust_z", VIEWS, f"WITH {RES}, q AS (SELECT query_id, median(score) AS m, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS iqr FROM res WHERE rank <= 20 GROUP BY 1) SELECT query_id, rank, round((score - m) / greatest(iqr, 1e-9), 4) AS robust_z FROM res JOIN q USING (query_id) WHERE rank <= 20 AND iqr > 1e-6")
+@query("m05_robust_z", VIEWS, f"""WITH {RES}, q AS (SELECT query_id, median(score) AS m, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS iqr FROM res WHERE rank <= 20 GROUP BY 1), x AS (SELECT *, max(score) OVER (PARTITION BY query_id) - score AS top, coalesce(score - lead(score) OVER (PARTITION BY query_id ORDER BY rank), 0) AS nxt FROM res WHERE rank <= 20)
+SELECT query_id, rank, round(score, 6) AS raw_score, round(1e0 / rank, 6) AS reciprocal_rank, round(top, 6) AS margin_to_top, round(nxt, 6) AS margin_to_next, round((score - m) / greatest(iqr, 1e-9), 7) AS robust_z, round(ln(1 + len(regexp_extract_all(lower(replace(query_text, 'İ', 'i' || chr(775))), '[\\p{{L}}\\p{{N}}_]+'))), 6) AS log_query_tokens FROM x JOIN q USING (query_id) JOIN qry USING (query_id) WHERE iqr > 1e-6""")
 def robust_z(spark, d):
+    """The six features that scores are calibrated on; lists without spread are left out of the comparison."""
     x = results(spark, d).where("rank <= 20")
     spread = x.groupBy(KEY).agg((F.percentile("score", 0.75) - F.percentile("score", 0.25)).alias("i")).where("i > 1e-6")
-    return ft.robust_z(x, [KEY], "score").join(spread, KEY, "left_semi").select(KEY, "rank", F.round("robust_z", 4).alias("robust_z"))
+    n = F.size(F.regexp_extract_all(F.lower("query_text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    q = views.queries(spark, d).select(KEY, F.round(F.log1p(n.cast("double")), 6).alias("log_query_tokens"))
+    y = ft.candidate_features(ft.robust_z(x, [KEY], "score"), [KEY], "score", "rank").join(spread, KEY, "left_semi").join(q, KEY)
+    r6 = lambda c, a: F.round(c, 6).alias(a)
+    return y.select(KEY, "rank", r6("score", "raw_score"), r6("reciprocal_rank", "reciprocal_rank"), r6("gap_from_top", "margin_to_top"), r6("gap_to_next", "margin_to_next"), F.round("robust_z", 7).alias("robust_z"), "log_query_tokens")
 
 
-@query("m06_agreement", VIEWS, FEATS + " SELECT query_id, round(coalesce(best, 0), 6) AS visual, coalesce(best > 0.3e0 AND margin > 0.01e0, false) AS agrees, round(least(best, margin), 6) AS weaker FROM f")
+@query("m06_agreement", LANE_VIEWS, with_lanes(" SELECT query_id, thumbnail, bool_or(lane = 'visual') AS visual_present, bool_or(lane = 'speech') AS speech_present, count(*) = 2 AS cross_modal_present, CASE WHEN count(*) = 2 THEN round(max(ts) - min(ts), 6) END AS temporal_distance_seconds FROM buckets GROUP BY ALL"))
 def agreement(spark, d):
-    """Whether two kinds of evidence agree; missing ones count as 0 and don't."""
-    b, m = F.col("best"), F.col("margin")
-    return feats(spark, d).select(KEY, F.round(F.coalesce(b, F.lit(0.0)), 6).alias("visual"), F.coalesce((b > 0.3) & (m > 0.01), F.lit(False)).alias("agrees"), F.round(F.least(b, m), 6).alias("weaker"))
+    """Whether the lanes agree on a bucket, and how far apart in time their rows lie if both have it."""
+    b = fusion.buckets(search.lanes(spark, d), [KEY])
+    both = F.count("*") == 2
+    return b.groupBy(KEY, "thumbnail").agg(F.bool_or(F.col("lane") == "visual").alias("visual_present"), F.bool_or(F.col("lane") == "speech").alias("speech_present"), both.alias("cross_modal_present"), F.when(both, F.round(F.max("ts") - F.min("ts"), 6)).alias("temporal_distance_seconds"))
 
 
-@query("m07_visual_evidence", VIEWS, LF.replace("exp(score - max(score) OVER w)", "exp((score - max(score) OVER w) / 0.02e0)") + ", t AS (SELECT query_id, ts AS top_ts FROM p WHERE rank = 1) SELECT query_id, round(max(p), 6) AS top_share, count(*) FILTER (abs(ts - top_ts) <= 10) - 1 AS near FROM p JOIN t USING (query_id) GROUP BY 1")
+@query("m07_visual_evidence", VIEWS, f"""WITH RECURSIVE {RES}, t AS (SELECT * FROM res WHERE rank <= 10), a AS (SELECT query_id, list(score ORDER BY rank)[1:5] AS a, list(ts ORDER BY rank) AS t FROM t GROUP BY 1),
+e AS (SELECT *, list_transform(a, lambda x: exp((x - list_max(a)) / 0.02e0)) AS e FROM a), p AS (SELECT *, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e),
+g AS (SELECT query_id, 1 AS i, [t[1]] AS kept FROM a UNION ALL SELECT g.query_id, g.i + 1, CASE WHEN len(list_filter(kept, lambda y: abs(y - a.t[g.i + 1]) < 15)) > 0 THEN kept ELSE list_append(kept, a.t[g.i + 1]) END FROM g JOIN a USING (query_id) WHERE g.i < len(a.t)), k AS (SELECT query_id, max(len(kept)) AS kept FROM g GROUP BY 1)
+SELECT query_id, round(a[1], 6) AS top1, round(a[1] - a[least(2, len(a))], 6) AS margin_1_2, round(a[1] - a[len(a)], 6) AS margin_1_5, round(list_avg(a), 9) AS mean_5, round(list_stddev_pop(a), 6) AS std_5, round(1 - (0e0 - list_sum(list_transform(p, lambda x: x * ln(x + 1e-12)))) / ln(greatest(2, len(a))), 6) AS entropy_strength,
+round(len(list_filter(t, lambda x: abs(x - t[1]) <= 10)) / CAST(len(t) AS DOUBLE), 6) AS temporal_support, round(kept / CAST(len(t) AS DOUBLE), 6) AS separated_support FROM p JOIN k USING (query_id)""")
 def visual_evidence(spark, d):
-    """The best candidate's softmax share at temperature 0.02, and how many others lie within 10 s of it."""
-    w = W.partitionBy(KEY)
-    x = results(spark, d).where("rank <= 20")
-    e = F.exp((F.col("score") - F.max("score").over(w)) / 0.02)
-    x = x.withColumns({"p": e / F.sum(e).over(w), "top": F.max(F.when(F.col("rank") == 1, F.col("ts"))).over(w)})
-    return x.groupBy(KEY).agg(F.round(F.max("p"), 6).alias("top_share"), (F.count(F.when(F.abs(F.col("ts") - F.col("top")) <= 10, 1)) - 1).alias("near"))
+    x = ft.visual_evidence(results(spark, d), [KEY], "score", "rank", "ts")
+    return x.select(KEY, *(F.round(c, 9 if c == "mean_5" else 6).alias(c) for c in x.columns if c != KEY))
+
+
+@query("m08_speech_evidence", "seg qry", f"""WITH docs AS (SELECT video_id, segment_id, {SQL_TOKENS.format('text')} AS tokens FROM seg), asked AS (SELECT video_id, query_id, {SQL_TOKENS.format('query_text')} AS tokens FROM qry), {sql_bm25('docs', 'asked', 'video_id', 'segment_id', 'query_id')},
+r AS (SELECT *, round(score, 9) AS sc, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, segment_id) AS rank FROM bm25 WHERE round(score, 9) > 0), per AS (SELECT query_id, max(sc) AS top1, max(sc) - coalesce(max(sc) FILTER (rank = 2), 0) AS margin, ln(1 + count(*)) AS matching, max(sc) / sum(sc) AS conc FROM r GROUP BY 1),
+t AS (SELECT video_id, query_id, unnest(list_distinct(tokens)) AS term FROM asked), kn AS (SELECT DISTINCT video_id, unnest(tokens) AS term FROM docs), cov AS (SELECT t.query_id, count(kn.term) AS covered, count(*) AS n, count(*) FILTER (len(t.term) >= 6) AS long, count(kn.term) FILTER (len(t.term) >= 6) AS long_hit FROM t LEFT JOIN kn ON kn.video_id = t.video_id AND kn.term = t.term GROUP BY 1),
+ot AS (SELECT video_id, query_id, list(term ORDER BY pos) AS ts FROM (SELECT video_id, query_id, term, min(pos) AS pos FROM (SELECT video_id, query_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM asked) x GROUP BY ALL) y GROUP BY ALL),
+ap AS (SELECT video_id, query_id, unnest(list_transform(generate_series(1, len(ts) - 1), lambda i: ts[i] || ' ' || ts[i + 1])) AS pair FROM ot), dp AS (SELECT DISTINCT video_id, unnest(list_transform(generate_series(1, len(tokens) - 1), lambda i: tokens[i] || ' ' || tokens[i + 1])) AS pair FROM docs), ph AS (SELECT DISTINCT query_id FROM ap JOIN dp USING (video_id, pair)),
+b AS (SELECT r.query_id, len(list_intersect(list_distinct(a.tokens), d.tokens)) AS top_hit FROM r JOIN docs d USING (video_id, segment_id) JOIN asked a USING (query_id) WHERE rank = 1)
+SELECT q.query_id, round(coalesce(top1, 0), 6) AS top1, round(coalesce(margin, 0), 6) AS margin_1_2, round(coalesce(covered, 0) / CAST(greatest(coalesce(n, 0), 1) AS DOUBLE), 6) AS query_coverage, round(coalesce(top_hit, 0) / CAST(greatest(coalesce(n, 0), 1) AS DOUBLE), 6) AS top_segment_coverage, round(coalesce(matching, 0), 6) AS matching_segments, round(coalesce(conc, 0), 6) AS evidence_concentration,
+CAST(ph.query_id IS NOT NULL AS DOUBLE) AS phrase_overlap, round(CASE WHEN long > 0 THEN long_hit / CAST(long AS DOUBLE) ELSE coalesce(covered, 0) / CAST(greatest(coalesce(n, 0), 1) AS DOUBLE) END, 6) AS technical_coverage FROM qry q LEFT JOIN per USING (query_id) LEFT JOIN cov USING (query_id) LEFT JOIN b USING (query_id) LEFT JOIN ph USING (query_id)""")
+def speech_evidence(spark, d):
+    from cuelake.plans.questions import lexical
+
+    s = views.segments(spark, d)
+    docs = s.select("video_id", "segment_id", tokens(F.col("text")).alias("tokens"))
+    asked = views.queries(spark, d).select("video_id", KEY, tokens(F.col("query_text")).alias("tokens"))
+    x = ft.speech_evidence(lexical(spark, d, s, "segment_id"), asked, docs, "video_id", KEY, "segment_id")
+    return x.select(KEY, *(F.round(c, 6).alias(c) for c in x.columns if c != KEY))
 
 
 @query("m10_training_matrix", VIEWS + " vid", LABELLED + " SELECT l.query_id, l.rank, l.score, l.y FROM lab l JOIN qry q USING (query_id) JOIN (SELECT DISTINCT video_id, split FROM vid) v ON v.video_id = q.video_id WHERE v.split = 'calibration'")

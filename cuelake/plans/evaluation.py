@@ -195,12 +195,17 @@ def no_match(spark, d):
     return calibrated(spark, d).groupBy("query_type").agg(F.count("*").alias("n"), F.round(F.avg(F.when(~pos, yes.cast("int"))), 6).alias("false_alarm"), F.round(F.avg(F.when(pos, 1 - yes.cast("int"))), 6).alias("false_abstention"), F.round(metrics.ratio(n(yes & pos), n(yes)), 6).alias("accepted_precision"))
 
 
-@query("a16_decisions", VIEWS, CAL + " SELECT query_type, round(count(*) FILTER (accepted) / CAST(greatest(count(*), 1) AS DOUBLE), 6) AS accept_rate, round(count(*) FILTER (NOT accepted AND NOT positive) / CAST(greatest(count(*) FILTER (NOT positive), 1) AS DOUBLE), 6) AS rejection, round(count(*) FILTER (accepted AND positive) / CAST(greatest(count(*) FILTER (positive), 1) AS DOUBLE), 6) AS coverage FROM cal GROUP BY 1")
+_RATE = lambda a, b: f"round({a} / CAST(greatest({b}, 1) AS DOUBLE), 6)"
+_N = lambda c: f"count(*) FILTER ({c})"
+
+
+@query("a16_decisions", VIEWS, CAL + f" SELECT query_type, {_N('positive')} AS positives, {_N('NOT positive')} AS negatives, {_RATE(_N('accepted AND positive'), _N('positive'))} AS accepted_positive_rate, {_RATE(_N('accepted AND NOT positive'), _N('NOT positive'))} AS false_accept_rate, {_RATE(_N('accepted AND positive'), _N('accepted'))} AS accept_precision, {_RATE(_N('accepted'), 'count(*)')} AS coverage FROM cal GROUP BY 1")
 def decisions(spark, d):
+    """Rates of decisions; a rate of nothing is 0. Abstention and rejection rates are 1 less these."""
     yes, pos = F.col("accepted"), F.col("positive")
     n = lambda c: F.count(F.when(c, 1))
     r = lambda a, b, name: F.round(a / F.greatest(b, F.lit(1)), 6).alias(name)
-    return calibrated(spark, d).groupBy("query_type").agg(r(n(yes), F.count("*"), "accept_rate"), r(n(~yes & ~pos), n(~pos), "rejection"), r(n(yes & pos), n(pos), "coverage"))
+    return calibrated(spark, d).groupBy("query_type").agg(n(pos).alias("positives"), n(~pos).alias("negatives"), r(n(yes & pos), n(pos), "accepted_positive_rate"), r(n(yes & ~pos), n(~pos), "false_accept_rate"), r(n(yes & pos), n(yes), "accept_precision"), r(n(yes), F.count("*"), "coverage"))
 
 
 @query("a17_oracle_recall", VIEWS, FIRST + ", x AS (SELECT *, unnest([1, 3, 5, 20, 50]) AS depth FROM fr) SELECT CAST(depth AS INT) AS depth, round(avg(CASE WHEN first_rank <= depth THEN 1e0 ELSE 0 END), 6) AS recall FROM x GROUP BY 1")

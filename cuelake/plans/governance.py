@@ -17,7 +17,7 @@ query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 #: Addresses made of the pages of the videos, in the forms that the rules tell apart.
-FORMS = ["{}", "HTTP://WWW.Media.Example./a_b/{n}.MP4?x=1#top", "https://youtu.be/{n}", "https://www.youtube.com/watch?v={n}&t=3", "https://youtube.com/shorts/{n}/x", "ftp://media.example/{n}", "https://user:pw@media.example/{n}", "http://192.168.0.{n}/v.mp4", "http://localhost:8080/{n}", "https://web.archive.org/web/2020/https://media.example/A_b%20c/{n}"]
+FORMS = ["{}", "HTTP://WWW.Media.Example./a_b/{n}.MP4?x=1#top", "https://youtu.be/{n}", "https://www.youtube.com/watch?v={n}&t=3", "https://youtube.com/shorts/{n}/x", "ftp://media.example/{n}", "https://user:pw@media.example/{n}", "http://192.168.0.7/{n}.mp4", "http://localhost:8080/{n}", "https://web.archive.org/web/2020/https://media.example/A_b%20c/{n}"]
 
 
 def urls(spark, d):

@@ -188,18 +188,26 @@ def exactly_once(spark, d):
     return c.unionByName(q).groupBy("query_id").agg(F.count("*").alias("n")).where("n <> 2")
 
 
-PAIRS = f"""WITH {TEN}, pr AS (SELECT a.query_id, a.candidate_id AS a, b.candidate_id AS b, abs(a.ts - b.ts) AS gap FROM ten a JOIN ten b ON a.query_id = b.query_id AND a.candidate_id < b.candidate_id AND abs(a.ts - b.ts) <= 10e0)"""
+PAIRS = f"""WITH {TEN}, pr AS (SELECT a.query_id, a.candidate_id AS a, b.candidate_id AS b, abs(a.ts - b.ts) AS gap FROM ten a JOIN ten b ON a.query_id = b.query_id AND a.candidate_id < b.candidate_id AND abs(a.ts - b.ts) <= 10.05e0)"""
+#: Seconds by which sampled times may be off.
+OFF = 0.05
 
 
 @query("j19_pairs_within", "qry cand pool", PAIRS + " SELECT query_id, a, b, round(gap, 6) AS gap FROM pr")
 def pairs_within(spark, d):
-    return tl.neighbours_within(ten(spark, d), ["query_id"], "ts", "candidate_id", 10.0).withColumn("gap", F.round("gap", 6))
+    return tl.neighbours_within(ten(spark, d), ["query_id"], "ts", "candidate_id", 10 + OFF).withColumn("gap", F.round("gap", 6))
 
 
-@query("t16_redundancy", "qry cand pool", PAIRS + " SELECT query_id, count(*) FILTER (gap <= 1) AS within_1, count(*) FILTER (gap <= 2) AS within_2, count(*) FILTER (gap <= 5) AS within_5, count(*) AS within_10 FROM pr GROUP BY 1")
+@query("t16_redundancy", "qry cand pool", PAIRS + ", c AS (SELECT query_id, count(*) AS n FROM ten GROUP BY 1), u AS (SELECT query_id, a AS x, gap FROM pr UNION ALL SELECT query_id, b, gap FROM pr), k AS (SELECT query_id, count(DISTINCT x) FILTER (gap <= 5.05) AS crowded_5 FROM u GROUP BY 1) SELECT c.query_id, " + ", ".join(f"coalesce(p.w{r}, 0) AS within_{r}" for r in (1, 2, 5, 10)) + ", coalesce(crowded_5, 0) AS crowded_5, round(coalesce(w10, 0) / CAST(greatest(n * (n - 1) // 2, 1) AS DOUBLE), 6) AS pair_rate FROM c LEFT JOIN (SELECT query_id, " + ", ".join(f"count(*) FILTER (gap <= {r} + 0.05) AS w{r}" for r in (1, 2, 5, 10)) + " FROM pr GROUP BY 1) p USING (query_id) LEFT JOIN k USING (query_id)")
 def redundancy(spark, d):
-    p = tl.neighbours_within(ten(spark, d), ["query_id"], "ts", "candidate_id", 10.0)
-    return p.groupBy("query_id").agg(*(F.count(F.when(F.col("gap") <= g, 1)).alias(f"within_{g}") for g in (1, 2, 5, 10)))
+    """Pairs of a list within 1, 2, 5 and 10 s, candidates that have one within 5 s, and the share of pairs within 10 s."""
+    t = ten(spark, d)
+    p = tl.neighbours_within(t, ["query_id"], "ts", "candidate_id", 10 + OFF)
+    w = p.groupBy("query_id").agg(*(F.count(F.when(F.col("gap") <= g + OFF, 1)).alias(f"within_{g}") for g in (1, 2, 5, 10)))
+    k = p.where(F.col("gap") <= 5 + OFF).select("query_id", F.explode(F.array("a", "b")).alias("x")).groupBy("query_id").agg(F.countDistinct("x").alias("crowded_5"))
+    j = t.groupBy("query_id").agg(F.count("*").alias("n")).join(w, "query_id", "left").join(k, "query_id", "left").na.fill(0)
+    pairs = F.greatest(F.floor(F.col("n") * (F.col("n") - 1) / 2), F.lit(1))
+    return j.select("query_id", *(f"within_{g}" for g in (1, 2, 5, 10)), "crowded_5", F.round(F.col("within_10") / pairs, 6).alias("pair_rate"))
 
 
 @query("t01_sliding_windows", "vid", """WITH m AS (SELECT video_id, max(duration_s) AS d FROM vid WHERE duration_s > 0 GROUP BY 1), w AS (SELECT video_id, d, unnest(generate_series(0, CAST(ceil(d / 4e0) AS BIGINT) - 1)) AS n FROM m)
@@ -235,10 +243,10 @@ def temporal_nms(spark, d):
 
 
 @query("t15_regions", "qry cand pool", T_REC + """, o AS (SELECT query_id, ts, row_number() OVER (PARTITION BY query_id ORDER BY ts, candidate_id) AS i FROM ten),
-f AS (SELECT query_id, i, ts AS a, 1 AS n FROM o WHERE i = 1 UNION ALL SELECT f.query_id, f.i + 1, CASE WHEN o.ts - f.a > 10.05e0 THEN o.ts ELSE f.a END, f.n + CASE WHEN o.ts - f.a > 10.05e0 THEN 1 ELSE 0 END FROM f JOIN o ON o.query_id = f.query_id AND o.i = f.i + 1)
+f AS (SELECT query_id, i, ts AS a, 1 AS n FROM o WHERE i = 1 UNION ALL SELECT f.query_id, f.i + 1, CASE WHEN o.ts - f.a > 5.05e0 THEN o.ts ELSE f.a END, f.n + CASE WHEN o.ts - f.a > 5.05e0 THEN 1 ELSE 0 END FROM f JOIN o ON o.query_id = f.query_id AND o.i = f.i + 1)
 SELECT query_id, max(n) AS regions FROM f GROUP BY 1""")
 def region_counts(spark, d):
-    return by_list(ten(spark, d)).select("query_id", tl.regions(F.col("times"), 10.05).cast("int").alias("regions"))
+    return by_list(ten(spark, d)).select("query_id", tl.regions(F.col("times"), 5.05).cast("int").alias("regions"))
 
 
 @query("t14_represented", "qry vid cand pool", f"WITH {TEN}, dur AS (SELECT video_id, max(duration_s) AS duration FROM vid GROUP BY 1) SELECT query_id, rank, greatest(ts - 2.5e0, 0) AS s, least(ts + 2.5e0, duration) AS e FROM ten JOIN dur USING (video_id)")
@@ -247,13 +255,19 @@ def represented(spark, d):
     return ten(spark, d).join(dur, "video_id").select("query_id", "rank", F.greatest(F.col("ts") - 2.5, F.lit(0.0)).alias("s"), F.least(F.col("ts") + 2.5, "duration").alias("e"))
 
 
-@query("t17_diversity_summary", "qry cand pool", f"""WITH {TEN}, g AS (SELECT query_id, ts - lag(ts) OVER (PARTITION BY query_id ORDER BY ts, candidate_id) AS gap, rank, ts FROM ten)
-SELECT query_id, count(*) AS n, round(max(ts) - min(ts), 6) AS spread, round(median(gap), 6) AS median_gap, round(count(gap) FILTER (gap <= 5) / CAST(greatest(count(gap), 1) AS DOUBLE), 6) AS crowding FROM g GROUP BY 1""")
+@query("t17_diversity_summary", "qry cand pool", T_REC + """, f5 AS (SELECT * FROM ten WHERE rank <= 5), o AS (SELECT query_id, ts, row_number() OVER (PARTITION BY query_id ORDER BY ts, candidate_id) AS i FROM f5),
+f AS (SELECT query_id, i, ts AS a, 1 AS n FROM o WHERE i = 1 UNION ALL SELECT f.query_id, f.i + 1, CASE WHEN o.ts - f.a > 5.05e0 THEN o.ts ELSE f.a END, f.n + CASE WHEN o.ts - f.a > 5.05e0 THEN 1 ELSE 0 END FROM f JOIN o ON o.query_id = f.query_id AND o.i = f.i + 1),
+r AS (SELECT query_id, max(n) AS regions FROM f GROUP BY 1), g AS (SELECT query_id, coalesce(min(gap), 0) AS least FROM (SELECT query_id, ts - lag(ts) OVER (PARTITION BY query_id ORDER BY i) AS gap FROM o) x GROUP BY 1),
+c AS (SELECT a.query_id, avg(CAST(EXISTS (SELECT 1 FROM f5 b WHERE b.query_id = a.query_id AND b.rank <> a.rank AND abs(b.ts - a.ts) <= 5.05e0) AS INT)) AS crowded FROM f5 a GROUP BY 1)
+SELECT count(*) AS n, round(avg(regions), 6) AS mean_regions, round(median(least), 6) AS median_least_gap, round(avg(crowded), 6) AS mean_crowding FROM r JOIN g USING (query_id) JOIN c USING (query_id)""")
 def diversity_summary(spark, d):
-    w = W.partitionBy("query_id").orderBy("ts", "candidate_id")
-    g = ten(spark, d).withColumn("gap", F.col("ts") - F.lag("ts").over(w))
-    share = F.count(F.when(F.col("gap") <= 5, 1)) / F.greatest(F.count("gap"), F.lit(1))
-    return g.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("ts") - F.min("ts"), 6).alias("spread"), F.round(F.median("gap"), 6).alias("median_gap"), F.round(share, 6).alias("crowding"))
+    """How spread out the five best candidates are: regions, least gaps, and the share that has another within 5 s."""
+    l = by_list(ten(spark, d, 5), keys=["query_id"])
+    t = F.col("times")
+    gaps = F.when(F.size(t) > 1, F.zip_with(F.slice(t, 2, 5), F.slice(t, F.lit(1), F.size(t) - 1), lambda a, b: a - b))
+    crowded = F.size(F.filter(t, lambda x: F.size(F.filter(t, lambda y: F.abs(x - y) <= 5 + OFF)) > 1)) / F.size(t)
+    x = l.select(tl.regions(t, 5 + OFF).alias("r"), F.coalesce(F.array_min(gaps), F.lit(0.0)).alias("g"), crowded.alias("c"))
+    return x.agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean_regions"), F.round(F.median("g"), 6).alias("median_least_gap"), F.round(F.avg("c"), 6).alias("mean_crowding"))
 
 
 EMB = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id, label, 1 - list_dot_product(v, lag(v) OVER w) AS back, 1 - list_dot_product(v, lead(v) OVER w) AS ahead FROM e WINDOW w AS (PARTITION BY label ORDER BY vec_id))"

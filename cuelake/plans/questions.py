@@ -17,6 +17,7 @@ from cuelake.plans.common import Registry
 from cuelake.plans.moments import TEN, ten
 from cuelake.sources import views
 from cuelake.sources.tables import load
+from cuelake.storage import materialize
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -124,22 +125,27 @@ def chunk_evidence(spark, d):
 
 
 def memory(spark, d):
+    """Sections of all videos, built once: retrieval looks at them from three sides."""
+    return materialize(_memory(spark, d), "sections")
+
+
+def _memory(spark, d):
     return ev.sections(embedded(views.units(spark, d, "fine"), spark, d, unit_number()))
 
 
 @query("t19_sections")
 def sections(spark, d):
-    return memory(spark, d).select("video_id", "section_id", "start_seconds", "end_seconds", F.size("fine_ids").cast("bigint").alias("units"))
+    return _memory(spark, d).select("video_id", "section_id", "start_seconds", "end_seconds", F.size("fine_ids").cast("bigint").alias("units"))
 
 
 @query("t20_summaries")
 def summaries(spark, d):
-    return memory(spark, d).select("video_id", "section_id", "summary", "summary_ids")
+    return _memory(spark, d).select("video_id", "section_id", "summary", "summary_ids")
 
 
 @query("t21_section_topics")
 def section_topics(spark, d):
-    return topic_terms(memory(spark, d), ["video_id", "section_id"], "text")
+    return topic_terms(_memory(spark, d), ["video_id", "section_id"], "text")
 
 
 @query("r15_memory_retrieval")
@@ -152,14 +158,14 @@ def memory_retrieval(spark, d):
     sv = embedded(s.select("video_id", F.col("section_id").alias("unit_id")), spark, d, unit_number())
     q = embedded(asked(spark, d), spark, d, digits("query_id"))
     top = vectors.top_k(sv, q, "unit_id", "query_id", "embedding", 3, ["video_id"]).select(*KEY, F.col("unit_id").alias("section_id"))
-    fine = embedded(views.units(spark, d, "fine"), spark, d, unit_number())
+    fine = views.units(spark, d, "fine")
     allowed = top.join(s.select("video_id", "section_id", F.explode("fine_ids").alias("unit_id")), ["video_id", "section_id"]).select(*KEY, "unit_id")
-    cand = allowed.join(fine, ["video_id", "unit_id"])
+    cand = materialize(allowed.join(fine, ["video_id", "unit_id"]), "candidates")
     docs = cand.select("query_id", "unit_id", tokens(F.col("text")).alias("tokens"))
     a = asked(spark, d).select("query_id", F.col("query_id").alias("q"), tokens(F.col("query_text")).alias("tokens"))
     lex = bm25(docs, a, ["query_id"], "unit_id", "q").withColumn("score", F.round("score", 9)).where("score > 0")
     lex = lex.withColumn("lr", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "unit_id"))).where("lr <= 12").select("query_id", "unit_id", "lr")
-    j = cand.join(q.select("query_id", F.col("embedding").alias("qv")), "query_id").join(lex, ["query_id", "unit_id"], "left")
+    j = embedded(cand, spark, d, unit_number()).join(q.select("query_id", F.col("embedding").alias("qv")), "query_id").join(lex, ["query_id", "unit_id"], "left")
     j = j.withColumn("score", vectors.dot(F.col("embedding"), F.col("qv")) + F.coalesce(0.10 / F.col("lr"), F.lit(0.0)))
     r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "start_seconds", "unit_id"))
     return ev.packages(j.withColumn("rank", r).where("rank <= 12"), ["query_id"], "unit_id", dedup=False)
@@ -177,7 +183,7 @@ def screen_merge(spark, d):
 
 @query("r16_screen_search")
 def screen_search(spark, d):
-    x = lexical(spark, d, ev.merged_screens(screens(spark, d)), "evidence_id")
+    x = lexical(spark, d, materialize(ev.merged_screens(screens(spark, d)), "screens"), "evidence_id")
     return x.where("rank <= 5").select("query_id", "evidence_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -380,16 +386,6 @@ def screen_rollup(spark, d):
     return m.groupBy("video_id").agg(F.count("*").alias("spans"), F.sum(F.size("frame_ids")).alias("frames"), F.round(1 - F.count("*") / F.sum(F.size("frame_ids")), 6).alias("repeated"))
 
 
-@query("m08_speech_evidence", "seg qry", f"""WITH docs AS (SELECT video_id, segment_id, {SQL_TOKENS.format('text')} AS tokens FROM seg), asked AS (SELECT video_id, query_id, {SQL_TOKENS.format('query_text')} AS tokens FROM qry), {sql_bm25('docs', 'asked', 'video_id', 'segment_id', 'query_id')},
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, segment_id) AS rank FROM bm25 WHERE round(score, 9) > 0)
-SELECT r.query_id, round(max(score), 6) AS top1, round(max(score) - coalesce(max(score) FILTER (rank = 2), 0), 6) AS margin, round(ln(1 + count(*)), 6) AS matching, round(max(score) / sum(score), 6) AS concentration FROM r GROUP BY 1""")
-def speech_evidence(spark, d):
-    """Best score, its lead, how many segments match and how much of the score is the best one's."""
-    x = lexical(spark, d, views.segments(spark, d), "segment_id")
-    second = F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0))
-    return x.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("top1"), F.round(F.max("score") - second, 6).alias("margin"), F.round(F.log1p(F.count("*").cast("double")), 6).alias("matching"), F.round(F.max("score") / F.sum("score"), 6).alias("concentration"))
-
-
 BOX = """WITH RECURSIVE det AS (SELECT video_id || '/' || CAST(CAST(floor(ts / 60) AS BIGINT) AS VARCHAR) AS frame_id, 'class' || CAST(candidate_id % 3 AS VARCHAR) AS class, score, CAST(candidate_id * 7 % 50 AS DOUBLE) AS x1, CAST(candidate_id * 13 % 40 AS DOUBLE) AS y1 FROM pool WHERE rank <= 20),
 o AS (SELECT *, row_number() OVER (PARTITION BY frame_id, class ORDER BY score DESC, x1, y1) AS i FROM det),
 k AS (SELECT frame_id, class, i, [{'x': x1, 'y': y1}] AS kept FROM o WHERE i = 1 UNION ALL SELECT k.frame_id, k.class, o.i, CASE WHEN len(list_filter(k.kept, lambda b: greatest(30 - abs(b.x - o.x1), 0) * greatest(25 - abs(b.y - o.y1), 0) / (1500 - greatest(30 - abs(b.x - o.x1), 0) * greatest(25 - abs(b.y - o.y1), 0)) > 0.45)) > 0 THEN k.kept ELSE list_append(k.kept, {'x': o.x1, 'y': o.y1}) END
@@ -423,6 +419,6 @@ def softmax_router(spark, d):
     x, y = np.array([r.x for r in rows]).reshape(len(rows), -1), np.array([ROUTES.index(r.modality_requirement) for r in rows])
     if not len(rows):
         return f.select(F.col("modality_requirement").alias("truth"), F.lit("hybrid").alias("said"), F.lit(0).cast("bigint").alias("n"))
-    m = softmax_fit(x, y, 3, 300)
+    m = softmax_fit(x, y, 3)
     logits = [linear([F.col("x")[i] for i in range(x.shape[1])], m["mean"], m["scale"], [w[k] for w in m["weights"]]) for k in range(3)]
     return f.withColumn("said", softmax(logits, ROUTES)[1]).groupBy(F.col("modality_requirement").alias("truth"), "said").agg(F.count("*").alias("n"))

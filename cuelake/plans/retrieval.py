@@ -201,14 +201,14 @@ def trace(spark, d):
     return b.select("query_id", "thumbnail", "lane", "rank", "skipped", F.round(1 / (60 + F.col("rank")), 9).alias("contribution"), "fused_rank", (F.col("fused_rank") - F.col("rank")).alias("displacement"))
 
 
-CONTRIB = """, c AS (SELECT b.query_id, b.thumbnail, b.lane, b.ts, b.rank, n.n, 1e0 / (60 + rank) AS rrf, (1e0 / (60 + rank) - 1e0 / (61 + n)) / (1e0 / 61 - 1e0 / (61 + n)) AS normalized, (n - rank + 1) / CAST(n AS DOUBLE) AS percentile
+CONTRIB = """, c AS (SELECT b.query_id, b.thumbnail, b.lane, b.ts, b.rank, n.n, 1e0 / (60 + rank) AS rrf, (1e0 / (60 + rank) - 1e0 / (61 + n)) / (1e0 / 61 - 1e0 / (61 + n)) AS normalized60, (1e0 / (10 + rank) - 1e0 / (11 + n)) / (1e0 / 11 - 1e0 / (11 + n)) AS normalized10, (n - rank + 1) / CAST(n AS DOUBLE) AS percentile
   FROM buckets b JOIN (SELECT query_id, lane, max(rank) AS n FROM lanes GROUP BY ALL) n USING (query_id, lane))"""
 
 
-@query("f02_contributions", LANE_VIEWS, with_lanes(CONTRIB + " SELECT query_id, thumbnail, lane, round(rrf, 9) AS rrf, round(normalized, 9) AS normalized, round(percentile, 9) AS percentile FROM c"))
+@query("f02_contributions", LANE_VIEWS, with_lanes(CONTRIB + " SELECT query_id, thumbnail, lane, round(rrf, 9) AS rrf, round(normalized60, 9) AS normalized60, round(normalized10, 9) AS normalized10, round(percentile, 9) AS percentile FROM c"))
 def contributions(spark, d):
     c = fusion.contributions(search.lanes(spark, d), ["query_id"])
-    return c.select("query_id", "thumbnail", "lane", *(F.round(x, 9).alias(x) for x in ("rrf", "normalized", "percentile")))
+    return c.select("query_id", "thumbnail", "lane", *(F.round(x, 9).alias(x) for x in ("rrf", "normalized60", "normalized10", "percentile")))
 
 
 @query("f03_cap", LANE_VIEWS, with_lanes(CONTRIB + " SELECT query_id, thumbnail, round(CASE WHEN count(*) > 1 THEN least(sum(rrf), 1.5e0 * max(rrf)) ELSE sum(rrf) END, 9) AS score FROM c GROUP BY ALL"))
@@ -218,12 +218,12 @@ def cap(spark, d):
 
 
 _V = " UNION ALL ".join(
-    f"SELECT query_id, '{n}' AS variant, thumbnail, coalesce(max(ts) FILTER (lane = 'speech'), max(ts)) AS ts, " + (f"CASE WHEN count(*) > 1 THEN least(sum({m}), {c}e0 * max({m})) ELSE sum({m}) END" if c else f"sum({m})") + " AS score FROM c GROUP BY query_id, thumbnail"
+    f"SELECT query_id, '{n}' AS variant, thumbnail, coalesce(max(ts) FILTER (lane = 'speech'), max(ts)) AS ts, max(rank) FILTER (lane = 'visual') AS vr, max(rank) AS any_rank, " + (f"CASE WHEN count(*) > 1 THEN least(sum({m}), {c}e0 * max({m})) ELSE sum({m}) END" if c else f"sum({m})") + " AS score FROM c GROUP BY query_id, thumbnail"
     for n, m, c in fusion.VARIANTS
 )
 
 
-@query("f04_variants", LANE_VIEWS, with_lanes(CONTRIB + f", v AS ({_V}) SELECT query_id, variant, thumbnail, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY round(score, 12) DESC, ts, thumbnail) AS rank FROM v) x WHERE rank <= 5"))
+@query("f04_variants", LANE_VIEWS, with_lanes(CONTRIB + f", v AS ({_V}) SELECT query_id, variant, thumbnail, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY round(score, 12) DESC, ts, vr IS NULL, coalesce(vr, any_rank)) AS rank FROM v) x WHERE rank <= 5"))
 def variants(spark, d):
     return fusion.variants(search.lanes(spark, d), ["query_id"], 5).select("query_id", "variant", "thumbnail", "rank")
 

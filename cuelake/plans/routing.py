@@ -35,11 +35,11 @@ def cnt(lex):
 FEATURES = ["1e0", "CAST(regexp_matches(q, '[''\"]\\S.+?[''\"]') AS INT)", "ln(1 + len(t))", "CAST(coalesce(t[1], '') = 'when' AS INT)", "CAST(coalesce(t[1], '') = 'where' AS INT)", "CAST(coalesce(t[1], '') = 'find' AS INT)",
             *(cnt(x) for x in ("speech", "visual", "color", "spatial", "action", "abstract", "object")), "CAST(list_contains(t, 'while') AS INT)", "CAST(list_contains(t, 'screen') AND list_has_any(t, ['on', 'shown']) AS INT)",
             f"CAST(list_has_any(t, ['narrator', 'lecturer', 'presenter', 'speaker']) AND {cnt('speech')} > 0 AS INT)", "CAST(contains(q, '?') AS INT)", f"CAST({cnt('speech')} > 0 AND {cnt('visual')} > 0 AS INT)"]
-FEATS = f"WITH {QS}, w AS (SELECT *, regexp_extract_all(lower(q), '[a-z0-9]+(?:''[a-z]+)?') AS t FROM qs), x AS (SELECT query_id, form, q, t, " + ", ".join(f"CAST({e} AS DOUBLE) AS f{i}" for i, e in enumerate(FEATURES)) + " FROM w)"
+FEATS = f"WITH {QS}, w AS (SELECT *, regexp_extract_all(lower(replace(q, 'İ', 'i' || chr(775))), '[a-z0-9]+(?:''[a-z]+)?') AS t FROM qs), x AS (SELECT query_id, form, q, t, " + ", ".join(f"CAST({e} AS DOUBLE) AS f{i}" for i, e in enumerate(FEATURES)) + " FROM w)"
 LOGITS = ", l AS (SELECT query_id, form, " + ", ".join("(" + " + ".join(f"(f{i} - {m!r}) / {s!r} * ({w[k]!r})" for i, (m, s, w) in enumerate(zip(rt.MEAN, rt.SCALE, rt.WEIGHTS))) + f") AS z{k}" for k in range(3)) + " FROM x)"
 
 
-@query("q01_words", "qry", f"WITH {QS} SELECT query_id, form, regexp_extract_all(lower(q), '[a-z0-9]+(?:''[a-z]+)?') AS words FROM qs")
+@query("q01_words", "qry", f"WITH {QS} SELECT query_id, form, regexp_extract_all(lower(replace(q, 'İ', 'i' || chr(775))), '[a-z0-9]+(?:''[a-z]+)?') AS words FROM qs")
 def words(spark, d):
     return questions(spark, d).select("query_id", "form", rt.words(F.col("q")).alias("words"))
 
@@ -76,21 +76,21 @@ def target(spark, d):
     return views.queries(spark, d).select("query_id", F.try_element_at(m, F.col("modality_requirement")).alias("target"))
 
 
-COUNT = "regexp_extract(lower(q), '\\b(?:what|which|name|list|give|identify)\\s+(\\d+|one|two|three|four|five|six|seven|eight)\\b', 1)"
-TERM = "CASE " + " ".join(f"WHEN regexp_matches(lower(q), '\\b{w}\\b') THEN '{w}'" for w in rt.TEMPORAL) + " END"
+COUNT = "regexp_extract(lower(replace(q, 'İ', 'i' || chr(775))), '\\b(?:what|which|name|list|give|identify)\\s+(\\d+|one|two|three|four|five|six|seven|eight)\\b', 1)"
+TERM = "CASE " + " ".join(f"WHEN regexp_matches(lower(replace(q, 'İ', 'i' || chr(775))), '\\b{w}\\b') THEN '{w}'" for w in rt.TEMPORAL) + " END"
 CONS = f"""WITH {QS}, a AS (SELECT *, {COUNT} AS cw, {TERM} AS term FROM qs),
 c AS (SELECT *, CASE WHEN regexp_full_match(cw, '\\d+') THEN CAST(cw AS INT) ELSE CASE cw {' '.join(f"WHEN '{w}' THEN {n}" for w, n in rt.NUMBER.items())} END END AS n, CASE WHEN term IN ('before', 'previously', 'prior to') THEN 'BEFORE' WHEN term IS NOT NULL THEN 'AFTER' END AS rel FROM a)"""
 
 
-@query("q09_constraints", "qry", CONS + r""" SELECT query_id, form, n AS requested_count, rel AS temporal_relation, CASE term """ + " ".join(f"WHEN '{w}' THEN nullif(trim(regexp_extract(lower(q), '\\b{w}\\b\\s+(.+?)(?:\\?|$)', 1), ' .'), '')" for w in rt.TEMPORAL) + r""" END AS temporal_anchor,
-list_filter([CASE WHEN regexp_matches(lower(q), '\b(?:why|cause|causes|reason|reasons)\b') THEN 'cause_or_reason' END, CASE WHEN regexp_matches(lower(q), '\b(?:compare|comparison|difference|differ)\b') THEN 'comparison' END,
-CASE WHEN regexp_matches(lower(q), '\b(?:define|definition|what (?:is|are|does))\b') THEN 'definition_or_fact' END, CASE WHEN n IS NOT NULL OR regexp_matches(lower(q), '\b(?:list|approaches|reasons|steps)\b') THEN 'list' END, CASE WHEN rel IS NOT NULL THEN 'temporal' END], lambda x: x IS NOT NULL) AS relations FROM c""")
+@query("q09_constraints", "qry", CONS + r""" SELECT query_id, form, n AS requested_count, rel AS temporal_relation, CASE term """ + " ".join(f"WHEN '{w}' THEN nullif(trim(regexp_extract(lower(replace(q, 'İ', 'i' || chr(775))), '\\b{w}\\b\\s+(.+?)(?:\\?|$)', 1), ' .'), '')" for w in rt.TEMPORAL) + r""" END AS temporal_anchor,
+list_filter([CASE WHEN regexp_matches(lower(replace(q, 'İ', 'i' || chr(775))), '\b(?:why|cause|causes|reason|reasons)\b') THEN 'cause_or_reason' END, CASE WHEN regexp_matches(lower(replace(q, 'İ', 'i' || chr(775))), '\b(?:compare|comparison|difference|differ)\b') THEN 'comparison' END,
+CASE WHEN regexp_matches(lower(replace(q, 'İ', 'i' || chr(775))), '\b(?:define|definition|what (?:is|are|does))\b') THEN 'definition_or_fact' END, CASE WHEN n IS NOT NULL OR regexp_matches(lower(replace(q, 'İ', 'i' || chr(775))), '\b(?:list|approaches|reasons|steps)\b') THEN 'list' END, CASE WHEN rel IS NOT NULL THEN 'temporal' END], lambda x: x IS NOT NULL) AS relations FROM c""")
 def constraints(spark, d):
     q = F.col("q")
     return questions(spark, d).select("query_id", "form", rt.requested_count(q).alias("requested_count"), rt.temporal_relation(q).alias("temporal_relation"), rt.temporal_anchor(q).alias("temporal_anchor"), rt.relation_types(q).alias("relations"))
 
 
-@query("q08_scope", "qry", CONS + r", s AS (SELECT *, trim(regexp_replace(lower(q), '\s+', ' ', 'g')) AS low FROM c) SELECT query_id, form, CASE WHEN n IS NOT NULL OR regexp_matches(low, '\b(?:list|enumerate)\b') THEN 'EXPLICIT_LIST_COUNT' WHEN rel IS NOT NULL AND regexp_matches(low, '^(?:what|which|who|where|when)\b') THEN 'TEMPORAL_ORDERING' " + " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{n}'" for n, p in rt.SCOPES) + " ELSE 'SUPPORTED_CORE' END AS scope FROM s")
+@query("q08_scope", "qry", CONS + r", s AS (SELECT *, trim(regexp_replace(lower(replace(q, 'İ', 'i' || chr(775))), '\s+', ' ', 'g')) AS low FROM c) SELECT query_id, form, CASE WHEN n IS NOT NULL OR regexp_matches(low, '\b(?:list|enumerate)\b') THEN 'EXPLICIT_LIST_COUNT' WHEN rel IS NOT NULL AND regexp_matches(low, '^(?:what|which|who|where|when)\b') THEN 'TEMPORAL_ORDERING' " + " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{n}'" for n, p in rt.SCOPES) + " ELSE 'SUPPORTED_CORE' END AS scope FROM s")
 def scope(spark, d):
     return questions(spark, d).select("query_id", "form", rt.scope(F.col("q")).alias("scope"))
 
@@ -128,7 +128,7 @@ def turkish_stems(spark, d):
     return w.select("query_id", F.transform(kept, rt.turkish_stem).alias("stems"))
 
 
-GRAMS = "g AS (SELECT query_id, list_distinct(flatten(list_transform([3, 4, 5], lambda n: CASE WHEN len(s) >= n THEN list_transform(generate_series(1, len(s) - n + 1), lambda i: s[i:i + n - 1]) ELSE [] END))) AS gs FROM (SELECT query_id, ' ' || array_to_string(regexp_extract_all(lower(query_text), '[a-z0-9]+'), ' ') || ' ' AS s FROM qry) x)"
+GRAMS = "g AS (SELECT query_id, list_distinct(flatten(list_transform([3, 4, 5], lambda n: CASE WHEN len(s) >= n THEN list_transform(generate_series(1, len(s) - n + 1), lambda i: s[i:i + n - 1]) ELSE [] END))) AS gs FROM (SELECT query_id, ' ' || array_to_string(regexp_extract_all(lower(replace(query_text, 'İ', 'i' || chr(775))), '[a-z0-9]+'), ' ') || ' ' AS s FROM qry) x)"
 
 
 def char_grams(q):
@@ -144,7 +144,7 @@ def ngram_vocabulary(spark, d):
     return g.groupBy("gram").agg(F.count("*").alias("df")).where("df >= 2").orderBy(F.desc("df"), "gram").limit(768)
 
 
-TF = """ts AS (SELECT query_id, list_distinct(list_concat(ws, list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]))) AS terms FROM (SELECT query_id, regexp_extract_all(lower(query_text), '[a-z0-9]+(?:''[a-z]+)?') AS ws FROM qry) x),
+TF = """ts AS (SELECT query_id, list_distinct(list_concat(ws, list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]))) AS terms FROM (SELECT query_id, regexp_extract_all(lower(replace(query_text, 'İ', 'i' || chr(775))), '[a-z0-9]+(?:''[a-z]+)?') AS ws FROM qry) x),
 tt AS (SELECT query_id, unnest(terms) AS term FROM ts), n AS (SELECT count(*) AS n FROM ts), df AS (SELECT term, count(*) AS df FROM tt GROUP BY 1 HAVING count(*) >= 2 ORDER BY df DESC, term LIMIT 512),
 iw AS (SELECT term, ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM df, n), tv AS (SELECT query_id, term, idf / sqrt(sum(idf * idf) OVER (PARTITION BY query_id)) AS value FROM tt JOIN iw USING (term))"""
 
@@ -170,7 +170,7 @@ def tfidf_predict(spark, d):
     return s.select("query_id", F.when(r("a") >= r(F.greatest("b", F.lit(0.0))), "visual").when(r("b") >= 0, "speech").otherwise("hybrid").alias("route"))
 
 
-ALIAS = "a AS (SELECT query_id, list_filter([" + ", ".join(f"'{a}'" for a, _ in rt.ALIASES) + "], lambda x: contains(' ' || trim(regexp_replace(regexp_replace(lower(query_text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || ' ', ' ' || x || ' ')) AS named FROM qry)"
+ALIAS = "a AS (SELECT query_id, list_filter([" + ", ".join(f"'{a}'" for a, _ in rt.ALIASES) + "], lambda x: contains(' ' || trim(regexp_replace(regexp_replace(lower(replace(query_text, 'İ', 'i' || chr(775))), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || ' ', ' ' || x || ' ')) AS named FROM qry)"
 TAKEN = "t AS (SELECT query_id, list_filter(named, lambda x, i: len(list_filter(named[1:i - 1], lambda y: contains(x, y) OR contains(y, x))) = 0) AS aliases FROM a)"
 
 
@@ -179,7 +179,7 @@ def object_aliases(spark, d):
     return views.queries(spark, d).select("query_id", rt.object_aliases(F.col("query_text")).alias("aliases"))
 
 
-@query("q15_tags", "qry", "SELECT query_id, CASE WHEN len(tags) = 0 THEN ['direct_intent'] ELSE tags END AS tags FROM (SELECT query_id, list_filter([CASE WHEN ends_with(query_text, '?') THEN 'natural_question' END, CASE WHEN len(regexp_extract_all(lower(query_text), '[a-z0-9]+')) >= 14 THEN 'long_query' END, CASE WHEN modality_requirement = 'hybrid' THEN 'mixed_modality' END], lambda x: x IS NOT NULL) AS tags FROM qry) x")
+@query("q15_tags", "qry", "SELECT query_id, CASE WHEN len(tags) = 0 THEN ['direct_intent'] ELSE tags END AS tags FROM (SELECT query_id, list_filter([CASE WHEN ends_with(query_text, '?') THEN 'natural_question' END, CASE WHEN len(regexp_extract_all(lower(replace(query_text, 'İ', 'i' || chr(775))), '[a-z0-9]+')) >= 14 THEN 'long_query' END, CASE WHEN modality_requirement = 'hybrid' THEN 'mixed_modality' END], lambda x: x IS NOT NULL) AS tags FROM qry) x")
 def tags(spark, d):
     t = F.array_compact(F.array(F.when(F.col("query_text").endswith("?"), "natural_question"), F.when(F.size(F.regexp_extract_all(F.lower("query_text"), F.lit("[a-z0-9]+"), F.lit(0))) >= 14, "long_query"), F.when(F.col("modality_requirement") == "hybrid", "mixed_modality")))
     return views.queries(spark, d).select("query_id", F.when(F.size(t) == 0, F.array(F.lit("direct_intent"))).otherwise(t).alias("tags"))

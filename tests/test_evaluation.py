@@ -69,15 +69,25 @@ def test_newton_equals_numpy(spark):
 
 
 def test_softmax_and_features(spark):
-    m = cb.softmax_fit(np.array([[1.0, 0], [0, 1.0], [1, 0.1], [0.1, 1]]), np.array([0, 1, 0, 1]), 2, 500)
+    m = cb.softmax_fit(np.array([[1, 1.0, 0], [1, 0, 1.0], [1, 1, 0.1], [1, 0.1, 1]]), np.array([0, 1, 0, 1]), 2, 500)
     df = spark.createDataFrame([(1.0, 0.0), (0.0, 1.0)], "a double, b double")
-    logits = [ft.linear([F.col("a"), F.col("b")], m["mean"], m["scale"], [w[k] for w in m["weights"]]) for k in (0, 1)]
+    logits = [ft.linear([F.lit(1.0), F.col("a"), F.col("b")], m["mean"], m["scale"], [w[k] for w in m["weights"]]) for k in (0, 1)]
     assert [r.c for r in df.select(ft.softmax(logits, ["x", "y"])[1].alias("c")).collect()] == ["x", "y"]
-    one = spark.createDataFrame([("q", 1, 0.5)], "q string, rank int, s double")
-    r = ft.candidate_features(one, ["q"], "s", "rank").first()
-    assert (r.z, r.minmax, r.gap_best, r.gap_before, r.gap_next) == (0.0, 1.0, 0.0, 0.0, 0.0)
-    lf = ft.list_features(one, ["q"], "s").first()
-    assert (lf.n, lf.margin, lf.entropy) == (1, 0.0, 0.0)
+    rows = [("q", 1, 0.9, 10.0, [1.0, 0.0]), ("q", 2, 0.5, 15.0, [0.0, 1.0]), ("q", 3, 0.4, 90.0, [0.6, 0.8]), ("one", 1, 0.5, 3.0, [1.0, 0.0])]
+    lists = spark.createDataFrame(rows, "q string, rank int, s double, ts double, v array<double>")
+    got = {(r.q, r["rank"]): r for r in ft.candidate_features(lists, ["q"], "s", "rank", "ts", "v").collect()}
+    a, one = got["q", 2], got["one", 1]
+    mean, sd = 0.6, np.std([0.9, 0.5, 0.4])
+    mid = np.array([1.6, 1.8]) / 3
+    want = [(0.5 - mean) / sd, 0.2, 0.5, 1 / np.log2(3), 0.4, 0.4, 0.1, 0.4, mean, sd, 0.5, 0.5, 5.0, 0.0, mid[1] / np.linalg.norm(mid)]
+    assert np.allclose([a[c] for c in ft.CANDIDATE], want)
+    assert [one[c] for c in ("score_z", "score_minmax", "gap_from_previous", "gap_to_next", "top_two_gap", "temporal_support_10s", "nearest_time_gap")] == [0.0] * 7
+    lf = {r.q: r for r in ft.list_features(lists, ["q"], "s", "rank", "ts", "v").collect()}
+    p = np.exp([0, -0.4, -0.5]) / np.exp([0, -0.4, -0.5]).sum()
+    assert np.allclose([lf["q"][c] for c in ft.LIST], [0.9, 0.4, 0.5, mean, sd, 0.5, -(p * np.log(p)).sum() / np.log(3), 0.5, mid[0] / np.linalg.norm(mid), 1 / 3, np.log(4)], atol=1e-6)
+    ve = {r.q: r for r in ft.visual_evidence(lists, ["q"], "s", "rank", "ts").collect()}
+    assert np.allclose([ve["q"][c] for c in ("top1", "margin_1_2", "margin_1_5", "temporal_support", "separated_support")], [0.9, 0.4, 0.5, 2 / 3, 2 / 3])
+    assert (ve["one"].margin_1_2, ve["one"].std_5, ve["one"].separated_support) == (0.0, 0.0, 1.0)
 
 
 def test_regressions(spark):

@@ -116,6 +116,6 @@ def test_selection_variants(spark):
     assert {r.thumbnail for r in quota(fused, ["query_id"], 1, 2).collect()} == {r.thumbnail for r in preserved(fused, ["query_id"], 1, 2).collect()}
     v = variants(spark.createDataFrame(LANES, SCHEMA), ["query_id"], 4).collect()
     assert {r.variant for r in v} == {n for n, _, _ in VARIANTS}
-    assert [r.thumbnail for r in sorted((r for r in v if r.variant == "rrf60"), key=lambda r: r["rank"])] == ["b", "a", "c", "d"]
+    assert [r.thumbnail for r in sorted((r for r in v if r.variant == "baseline_rrf60"), key=lambda r: r["rank"])] == ["b", "a", "c", "d"]
     x = spark.createDataFrame([("q", 1, 0.1), ("q", 2, 0.9), ("q", 3, None), ("q", 4, 0.9)], "query_id string, rank bigint, s double")
     assert [r["rank"] for r in rescored(x, ["query_id"], "s", "rank", "new").orderBy("new").collect()] == [2, 4, 1, 3]
