@@ -90,5 +90,17 @@ SELECT DISTINCT item_kind, video_id, item_id, CASE WHEN regexp_matches(text, '[^
 FROM (SELECT 'segment' AS item_kind, video_id, CAST(segment_id AS VARCHAR) AS item_id, text FROM segments
       UNION ALL SELECT 'unit', video_id, unit_id, text FROM transcript_units) x
 WHERE length(text) > 900
+""",
+    "p2_pieces": f"""
+WITH t AS (
+  SELECT DISTINCT ON (item_kind, video_id, item_id) item_kind, video_id, item_id, regexp_extract_all(text, '{core_pattern().replace("'", "''")}') AS cores
+  FROM (SELECT 'segment' AS item_kind, video_id, CAST(segment_id AS VARCHAR) AS item_id, text FROM segments UNION ALL SELECT 'unit', video_id, unit_id, text FROM transcript_units) x
+  WHERE length(text) > {LIMIT}
+), p AS (SELECT *, unnest(generate_series(1, len(cores))) AS n FROM t
+), c AS (SELECT *, cores[n] AS core, CASE WHEN n > 1 THEN cores[n - 1] ELSE '' END AS prev FROM p
+), b AS (SELECT *, CASE WHEN n > 1 THEN right(prev, least({OVERLAP}, {LIMIT} - length(core))) ELSE '' END AS tail FROM c
+), w AS (SELECT *, regexp_extract(tail, '(?s)^[^ \\t\\n\\r]*[ \\t\\n\\r]+(.+)$', 1) AS word FROM b
+), l AS (SELECT *, CASE WHEN length(tail) = length(prev) OR length(word) = 0 THEN tail ELSE word END AS lead FROM w)
+SELECT item_kind, video_id, item_id, CAST(n AS INT) AS piece_no, CAST(length(lead) AS INT) AS overlap, lead || core AS piece FROM l
 """,
 }
