@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cuelake.storage import materialize
+
 BITS = 20
 
 
@@ -33,3 +35,21 @@ def running_total(df: DataFrame, keys: list[str], order: str, weight: str, out:
 
 def _win(keys: list[str], order: str, frame: tuple[int, int]):
     return W.partitionBy(*keys).orderBy(order).rowsBetween(*frame)
+
+
+def ordered_total(df: DataFrame, keys: list[str], order: str, totals: dict[str, str], descending: bool = False) -> DataFrame:
+    """Adds running totals ``{name: weight}`` for an order key of any type; each (keys, order) occurs once.
+
+    The table is sorted by ranges over all tasks; a task totals its range only, and the sums of the ranges before it,
+    one row a task and group, are added. The sorted table is written first, so that every reader sees the same ranges.
+    Rows with a null order are dropped.
+    """
+    by = F.desc(order) if descending else F.asc(order)
+    parts = df.where(F.col(order).isNotNull()).repartitionByRange(*keys, by).withColumn("_rt_p", F.spark_partition_id())
+    parts = materialize(parts, "ranges")
+    sums = parts.groupBy(*keys, "_rt_p").agg(*(F.sum(w).alias(f"_rt_{n}") for n, w in totals.items()))
+    before = lambda n: F.coalesce(F.sum(f"_rt_{n}").over(_win(keys, "_rt_p", (W.unboundedPreceding, -1))), F.lit(0))
+    offsets = sums.select(*keys, "_rt_p", *(before(n).alias(f"_rt_{n}") for n in totals))
+    inside = W.partitionBy(*keys, "_rt_p").orderBy(by).rowsBetween(W.unboundedPreceding, 0)
+    out = parts.withColumns({n: F.sum(w).over(inside) for n, w in totals.items()}).join(offsets, [*keys, "_rt_p"])
+    return out.withColumns({n: F.col(n) + F.col(f"_rt_{n}") for n in totals}).drop("_rt_p", *(f"_rt_{n}" for n in totals))

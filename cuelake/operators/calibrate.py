@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cuelake.operators.blocks import ordered_total
+
 
 def above_negatives(df: DataFrame, keys: list[str], score: str, negative: Column) -> DataFrame:
     """``(*keys, cutoff)``: the greatest score of a negative. What passes lies strictly above it."""
@@ -20,17 +21,19 @@ def bounded_alarms(best: DataFrame, score: str, share: float, none: float = floa
     order, ``none`` if there is no such query. Only the counts of distinct scores are ordered.
     """
     c = best.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("m"))
-    down = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, -1)
-    c = c.withColumns({"above": F.coalesce(F.sum("m").over(down), F.lit(0)), "n": F.sum("m").over(W.partitionBy())})
+    c = ordered_total(c, [], score, {"upto": "m"}, descending=True).crossJoin(F.broadcast(c.agg(F.sum("m").alias("n"))))
     allowed = F.floor(F.lit(share) * F.col("n"))
-    return c.agg(F.coalesce(F.max(F.when(F.col("above") + F.col("m") > allowed, F.col(score))), F.lit(none)).alias("cutoff"))
+    return c.agg(F.coalesce(F.max(F.when(F.col("upto") > allowed, F.col(score))), F.lit(none)).alias("cutoff"))
 
 
 def midpoints(df: DataFrame, x: str) -> DataFrame:
-    """``(threshold)``: midpoints between neighbouring distinct values, and one step beyond either end."""
-    v = df.where(F.col(x).isNotNull()).select(x).distinct()
-    nxt = F.lead(x).over(W.orderBy(x))
-    mid = v.select(((F.col(x) + nxt) / 2).alias("threshold")).where(F.col("threshold").isNotNull())
+    """``(threshold)``: midpoints between neighbouring distinct values, and one step beyond either end.
+
+    Neighbours are found by rank: ranks are totals over ranges, and value i meets value i+1 by equality.
+    """
+    v = df.where(F.col(x).isNotNull()).select(x).distinct().withColumn("n", F.lit(1))
+    r = ordered_total(v, [], x, {"r": "n"})
+    mid = r.join(r.select((F.col("r") - 1).alias("r"), F.col(x).alias("next")), "r").select(((F.col(x) + F.col("next")) / 2).alias("threshold"))
     ends = v.agg((F.min(x) - 1e-9).alias("a"), (F.max(x) + 1e-9).alias("b")).where("a IS NOT NULL").select(F.explode(F.array("a", "b")).alias("threshold"))
     return mid.unionByName(ends)
 
@@ -41,9 +44,10 @@ def threshold_rates(df: DataFrame, x: str, positive: str) -> DataFrame:
     One ordered pass over the counts of distinct values instead of one pass for each threshold.
     """
     c = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("value")).agg(F.sum(F.col(positive).cast("bigint")).alias("p"), F.count("*").alias("m"))
-    down, every = W.orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
-    neg = F.col("m") - F.col("p")
-    return c.select("value", F.sum("p").over(down).alias("accepted_positive"), F.sum(neg).over(down).alias("accepted_negative"), F.sum("p").over(every).alias("positives"), F.sum(neg).over(every).alias("negatives"))
+    c = c.withColumn("q", F.col("m") - F.col("p"))
+    every = c.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
+    t = ordered_total(c, [], "value", {"accepted_positive": "p", "accepted_negative": "q"}, descending=True)
+    return t.crossJoin(F.broadcast(every)).select("value", "accepted_positive", "accepted_negative", "positives", "negatives")
 
 
 def best_threshold(df: DataFrame, x: str, positive: str, alarms: float) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cuelake.operators.blocks import ordered_total
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b; null where b is 0 or null."""
@@ -73,20 +75,21 @@ def nearest_rank(x: str, p: float) -> Column:
 
 
 def floor_index(df: DataFrame, keys: list[str], x: str, p: float, out: str) -> DataFrame:
-    """The value at index int(n*p), counted from 0, of each group: by rank, without gathering the group."""
-    w = W.partitionBy(*keys)
-    d = df.where(F.col(x).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(x)) - 1).withColumn("_n", F.count("*").over(w))
-    return d.where(F.col("_r") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1)).select(*keys, F.col(x).alias(out))
+    """The value at index int(n*p), counted from 0, of each group: by totals of distinct values, without gathering it."""
+    c = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_m"))
+    n = c.groupBy(*keys).agg(F.sum("_m").alias("_n"))
+    t = ordered_total(c, keys, x, {"_upto": "_m"}).join(n, keys)
+    at = F.least(F.floor(F.col("_n") * p), F.col("_n") - 1)
+    return t.where((F.col("_upto") > at) & (F.col("_upto") - F.col("_m") <= at)).select(*keys, F.col(x).alias(out))
 
 
 def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """``(*keys, positives, negatives, auc)`` by the rank-sum formula; ties count one half. Null without both classes.
 
-    Equal scores are counted together first, so what is ordered are distinct scores.
+    Equal scores are counted together first, and distinct ones are ordered by ranges over all tasks.
     """
     c = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("m"))
-    w = W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    c = c.withColumn("below", F.coalesce(F.sum(F.col("m") - F.col("p")).over(w), F.lit(0)))
+    c = ordered_total(c.withColumn("neg", F.col("m") - F.col("p")), keys, score, {"upto": "neg"}).withColumn("below", F.col("upto") - F.col("neg"))
     pos, neg = F.sum("p"), F.sum(F.col("m") - F.col("p"))
     wins = F.sum(F.col("p") * (F.col("below") + (F.col("m") - F.col("p")) / 2))
     return c.groupBy(*keys).agg(pos.alias("positives"), neg.alias("negatives"), F.try_divide(wins, (pos * neg).cast("double")).alias("auc"))

@@ -194,7 +194,7 @@ def accepted_results(spark, d):
     return r.where((F.col("evidence")["visual"] > 0.3) | F.map_contains_key("evidence", "speech")).select(KEY, "rank")
 
 
-CF = f"""WITH {RES}, en AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS en, CAST(embedding AS DOUBLE[]) AS v, count(*) OVER () AS c FROM embeddings), r20 AS (SELECT r.*, p.candidate_id FROM res r JOIN pool p USING (query_id, video_id, rank) WHERE r.rank <= 20),
+CF = f"""WITH {RES}, en AS (SELECT vec_id AS en, CAST(embedding AS DOUBLE[]) AS v, count(*) OVER () AS c FROM embeddings), r20 AS (SELECT r.*, p.candidate_id FROM res r JOIN pool p USING (query_id, video_id, rank) WHERE r.rank <= 20),
 f AS (SELECT query_id, video_id, rank, ts, score, v, avg(score) OVER w AS m, stddev_pop(score) OVER w AS sd, min(score) OVER w AS lo, max(score) OVER w AS hi, max(score) FILTER (rank = 2) OVER w AS sec, count(*) OVER w AS n, lag(score) OVER o AS bef, lead(score) OVER o AS nxt FROM r20 JOIN en ON en.en = candidate_id % en.c WINDOW w AS (PARTITION BY query_id), o AS (PARTITION BY query_id ORDER BY rank))"""
 CV = """, tm AS (SELECT a.query_id, a.rank, count(b.rank) FILTER (abs(a.ts - b.ts) <= 10.05e0) / CAST(greatest(count(b.rank), 1) AS DOUBLE) AS support, coalesce(min(abs(a.ts - b.ts)), 0) AS nearest FROM f a LEFT JOIN f b ON a.query_id = b.query_id AND a.rank <> b.rank GROUP BY ALL),
 pr AS (SELECT a.query_id, a.rank, sum(list_dot_product(a.v, b.v)) AS total, sum(list_dot_product(a.v, b.v)) FILTER (b.rank = 1) AS first FROM f a JOIN f b ON a.query_id = b.query_id GROUP BY ALL),

@@ -25,8 +25,8 @@ KEY = ["video_id", "query_id"]
 
 
 def embedded(df: DataFrame, spark, d, number) -> DataFrame:
-    """Adds the embedding whose rank by id is ``number`` modulo their count."""
-    e = load(spark, d, "embeddings").withColumn("_n", (F.row_number().over(W.orderBy("vec_id")) - 1).cast("bigint")).select("_n", "embedding")
+    """Adds the embedding whose id is ``number`` modulo their count; ids run from 0."""
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("_n"), "embedding")
     n = e.count()
     return df.withColumn("_n", F.pmod(number, F.lit(n))).join(e, "_n").drop("_n")
 
@@ -43,7 +43,7 @@ def asked(spark, d):
     return views.queries(spark, d).select("video_id", "query_id", "query_text")
 
 
-ENUM = "en AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS n, CAST(embedding AS DOUBLE[]) AS v, count(*) OVER () AS c FROM embeddings)"
+ENUM = "en AS (SELECT vec_id AS n, CAST(embedding AS DOUBLE[]) AS v, count(*) OVER () AS c FROM embeddings)"
 UV = "{0}v AS (SELECT u.video_id, u.unit_id, v FROM {0} u JOIN en ON en.n = (CAST(regexp_extract(u.unit_id, '(\\d+)', 1) AS BIGINT) * 37 + CAST(right(u.video_id, 9) AS BIGINT)) % en.c)"
 QV = "qv AS (SELECT q.video_id, q.query_id, v FROM qry q JOIN en ON en.n = CAST(right(q.query_id, 9) AS BIGINT) % en.c)"
 HITS = "{0}h AS (SELECT video_id, query_id, unit_id, score, rank FROM (SELECT q.video_id, q.query_id, u.unit_id, round(list_dot_product(q.v, u.v), 9) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_dot_product(q.v, u.v), 9) DESC, u.unit_id) AS rank FROM qv q JOIN {0}v u USING (video_id)) x WHERE rank <= {1})"
