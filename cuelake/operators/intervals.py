@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.operators.blocks import running_total
+from cuelake.operators.blocks import BITS, running_total
 from cuelake.storage import materialize
 
 #: Seconds beyond which a bound cannot be held as whole milliseconds in a bigint.
@@ -28,6 +28,22 @@ def counting(df: DataFrame, keys: list[str], start: Column, end: Column) -> Data
     return iv.where((F.col("s") >= 0) & (F.col("e") > F.col("s")))
 
 
+def block_periods(iv: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, s, e)``: the periods of the intervals of each entity and block of 2**BITS ms of starts.
+
+    Starts occur once, so a block holds at most 2**BITS intervals, and as a rule a few hundred. Its starts and its ends
+    are sorted independently as arrays; where start i+1 lies past end i, one period ends and the next begins.
+    """
+    g = iv.groupBy(*keys, F.shiftright("s", BITS).alias("_b")).agg(F.array_sort(F.collect_list("s")).alias("_s"), F.array_sort(F.collect_list("e")).alias("_e"))
+    n = F.size("_s")
+    none = F.array().cast("array<int>")
+    cut = F.filter(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(none), lambda i: F.get("_s", i + 1) > F.get("_e", i))
+    g = g.withColumn("_c", cut)
+    s = F.concat(F.slice("_s", 1, 1), F.transform("_c", lambda i: F.get("_s", i + 1)))
+    e = F.concat(F.transform("_c", lambda i: F.get("_e", i)), F.slice("_e", -1, 1))
+    return g.select(*keys, F.explode_outer(F.arrays_zip(s.alias("s"), e.alias("e"))).alias("p")).select(*keys, "p.s", "p.e")
+
+
 def spans(iv: DataFrame, keys: list[str]) -> DataFrame:
     """Periods and gaps of each entity: ``(*keys, span_kind, start_ms, end_ms)`` from ``(*keys, s, e)``.
 
@@ -36,9 +52,10 @@ def spans(iv: DataFrame, keys: list[str]) -> DataFrame:
     Intervals that meet in a point form one period. Nothing comes out of an empty table; repeated rows change nothing.
 
     No group is ever sorted in one task: of the intervals with one start only the longest is kept while still on the
-    map side, and ranks are running totals over blocks of time (see blocks.py).
+    map side, those that start within one block of time become that block's periods, and ranks of what is left are
+    running totals over blocks (see blocks.py).
     """
-    iv = materialize(iv.groupBy(*keys, "s").agg(F.max("e").alias("e")), "intervals")
+    iv = materialize(block_periods(iv.groupBy(*keys, "s").agg(F.max("e").alias("e")), keys), "intervals")
     starts = running_total(iv.select(*keys, "s", F.lit(1).alias("n")), keys, "s", "n", "rank")
     ends = running_total(iv.groupBy(*keys, "e").agg(F.count("*").alias("n")), keys, "e", "n", "done")
     a = starts.select(*keys, (F.col("rank") - 1).alias("done"), "s")

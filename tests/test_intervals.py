@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cuelake.operators import blocks
+from cuelake.operators import blocks, intervals
 from cuelake.operators.intervals import counting, spans
 
 
@@ -34,6 +34,7 @@ def test_spans_equal_brute_force(spark):
 
 def test_blocks_smaller_than_groups(spark, monkeypatch):
     monkeypatch.setattr(blocks, "BITS", 3)
+    monkeypatch.setattr(intervals, "BITS", 3)
     rng = random.Random(5)
     rows = [("hot", s, s + rng.randint(1, 9)) for s in (rng.randint(0, 4000) for _ in range(300))]
     assert run(spark, rows) == brute(rows)
