@@ -239,6 +239,17 @@ CLASS = "CASE WHEN NOT b AND a THEN 'RECOVERY' WHEN b AND NOT a THEN 'REGRESSION
 CMP = RANKS + f", cls AS (SELECT *, {CLASS} AS change FROM (SELECT *, coalesce(before <= 5, false) AS b, coalesce(after <= 5, false) AS a FROM cmp) x)"
 
 
+@query("j20_oracle_path", FVIEWS, with_lanes(""", m AS (SELECT query_id, lane AS mode, thumbnail FROM lanes WHERE rank = 1 UNION ALL SELECT query_id, 'hybrid', thumbnail FROM fused WHERE fused_rank = 1)
+SELECT m.query_id, m.mode, m.thumbnail FROM m JOIN qry q ON q.query_id = m.query_id AND q.modality_requirement = m.mode"""))
+def oracle_path(spark, d):
+    """The first result of the way of searching that each query requires."""
+    lanes = search.lanes(spark, d)
+    one = lanes.where("rank = 1").select(KEY, F.col("lane").alias("mode"), "thumbnail")
+    both = fusion.fuse(lanes, [KEY]).where("fused_rank = 1").select(KEY, F.lit("hybrid").alias("mode"), "thumbnail")
+    q = views.queries(spark, d).select(KEY, F.col("modality_requirement").alias("mode"))
+    return one.unionByName(both).join(q, [KEY, "mode"])
+
+
 @query("a20_paired_change", FVIEWS, with_lanes(CMP + " SELECT change, count(*) AS n FROM cls GROUP BY 1"))
 def paired_change(spark, d):
     return compared(spark, d).groupBy(metrics.change_class(F.col("before"), F.col("after"), 5).alias("change")).agg(F.count("*").alias("n"))

@@ -422,3 +422,35 @@ def softmax_router(spark, d):
     m = softmax_fit(x, y, 3)
     logits = [linear([F.col("x")[i] for i in range(x.shape[1])], m["mean"], m["scale"], [w[k] for w in m["weights"]]) for k in range(3)]
     return f.withColumn("said", softmax(logits, ROUTES)[1]).groupBy(F.col("modality_requirement").alias("truth"), "said").agg(F.count("*").alias("n"))
+
+
+@query("c12_tfidf_classifier")
+def tfidf_classifier(spark, d):
+    """A classifier over the 128 most frequent terms, fitted with a shrinking step on at most 5,000 labelled queries in order of their hash.
+
+    Applied to every query by a join on terms, so rows stay sparse.
+    """
+    import numpy as np
+
+    from cuelake.operators.calibrate import softmax_fit
+    from cuelake.operators.routing import ROUTES
+    from cuelake.operators.text import tf_idf
+    from cuelake.plans.routing import word_terms
+
+    v = materialize(tf_idf(word_terms(spark, d), "query_id", 128), "tfidf")
+    labels = views.queries(spark, d).where(F.col("modality_requirement").isin(*ROUTES)).select("query_id", "modality_requirement")
+    sample = labels.orderBy(F.xxhash64("query_id"), "query_id").limit(5000)
+    rows = sample.join(v.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "value"))).alias("x")), "query_id").collect()
+    terms = sorted({t for r in rows for t in r.x})
+    at = {t: i + 1 for i, t in enumerate(terms)}
+    x, y = np.zeros((len(rows), len(terms) + 1)), np.array([ROUTES.index(r.modality_requirement) for r in rows], int)
+    x[:, 0] = 1
+    for i, r in enumerate(rows):
+        for t, value in r.x.items():
+            x[i, at[t]] = value
+    w = softmax_fit(x, y, 3, 450, 0.8, 0.05, balanced=False, standard=False, decay=True)["weights"] if rows else [[0.0] * 3]
+    model = spark.createDataFrame([(t, [float(a) for a in w[at[t]]]) for t in terms], "term string, w array<double>")
+    score = v.join(F.broadcast(model), "term").groupBy("query_id").agg(*(F.sum(F.col("value") * F.col("w")[k]).alias(f"z{k}") for k in range(3)))
+    z = [F.round(F.coalesce(F.col(f"z{k}"), F.lit(0.0)) + float(w[0][k]), 9) for k in range(3)]
+    said = F.when(z[0] >= F.greatest(z[1], z[2]), ROUTES[0]).when(z[1] >= z[2], ROUTES[1]).otherwise(ROUTES[2])
+    return labels.join(score, "query_id", "left").groupBy(F.col("modality_requirement").alias("truth"), said.alias("said")).agg(F.count("*").alias("n"))
