@@ -127,6 +127,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def spread(df: DataFrame, tasks: int = 1) -> DataFrame:
+    """``df`` in at least ``tasks`` partitions a core, for work in Python on texts: a few large files would keep most idle.
+
+    A table that already comes in as many splits is left as it is, without a shuffle.
+    """
+    want = tasks * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def _map(df: DataFrame, text: str, out: str, kind: T.DataType, make, path: str) -> DataFrame:
     rest = [c for c in df.columns if c not in (text, out)]
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(out, kind, False)])
@@ -137,7 +146,7 @@ def _map(df: DataFrame, text: str, out: str, kind: T.DataType, make, path: str)
             made = make(enc, b.column(b.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), made], [*rest, out])
 
-    return df.select(*rest, text).mapInArrow(run, schema)
+    return spread(df.select(*rest, text)).mapInArrow(run, schema)
 
 
 def _ids(enc: Encoder, texts: pa.Array) -> pa.Array:
@@ -158,7 +167,7 @@ def encode(df: DataFrame, text: str, out: str = "ids", path: str | None = None)
     """Replaces the string column ``text`` by ``out``, its token ids; empty and null texts give an empty list.
 
     ``path`` names the vocabulary file, ranks of byte strings in base64. Whole texts are encoded, of any length; no row
-    is left out or added and rows are not moved. A column that is already called ``out`` is replaced.
+    is left out or added; their order isn't kept. A column that is already called ``out`` is replaced.
     """
     return _map(df, text, out, T.ArrayType(T.IntegerType(), False), _ids, path or f"{TOKENIZERS}/{VOCABULARY}")
 

@@ -52,9 +52,9 @@ def test_two_libraries_agree(spark):
 
 def test_nulls_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, " ")], "k int, text string").withColumn("ids", F.lit("old"))
-    got = [tuple(r) for r in bpe.encode(df, "text").collect()]
+    got = sorted((tuple(r) for r in bpe.encode(df, "text").collect()), key=lambda r: r[0] or 9)
     assert got == [(1, []), (2, []), (3, ENC.encode("a b")), (3, ENC.encode("a b")), (None, ENC.encode(" "))]
-    assert [r.n_tokens for r in bpe.count_tokens(df.select("k", "text"), "text").collect()] == [0, 0, 2, 2, 1]
+    assert sorted(r.n_tokens for r in bpe.count_tokens(df.select("k", "text"), "text").collect()) == [0, 0, 1, 2, 2]
     assert bpe.encode(df.limit(0), "text").count() == 0
 
 
