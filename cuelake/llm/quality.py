@@ -21,8 +21,6 @@ COMMON, COMMON_SHARE = 40, 0.1
 LIST_TEXTS = 20
 #: A language of fewer texts is ranked among the texts of no known language; if those are fewer, each counts as an outlier.
 RANKED_TEXTS = 100
-#: Outlier score below which a text is ordinary in all its statistics and taken for prose unread.
-ORDINARY = 0.7
 #: Ranked tables of up to so many rows are broadcast, larger ones joined by shuffle with salted keys.
 BROADCAST_ROWS, SALTS = 300_000, 16
 STATS = ["word_count", "mean_word_length", "symbol_share", "end_share", "common_share"]
@@ -156,13 +154,12 @@ def outlier_scores(feats: DataFrame, key: str, stats: list[str] = STATS) -> Data
 def text_quality(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """One row for each row of ``df``: ``key``, the statistics, ``outlier_score`` and ``text_kind``.
 
-    ``text_kind`` is prose, list, table or junk; null, as all statistics, for null, empty and blank texts. A text that
-    is ordinary in all statistics (score below ORDINARY) is prose; what an outlier is, its lines tell (shape.py).
+    ``text_kind`` is prose, list, table or junk; null, as all statistics, for null, empty and blank texts. The lines of
+    every text tell its kind (shape.py), whatever its score: copies that are many enough are ordinary in their language.
     ``key`` must be unique; repeated texts are ranked as often as they occur.
     """
     scored = outlier_scores(materialize(features(df, key, text, lang), "features"), key)
-    kind = F.when(F.col("shape_kind").isNull(), None).when(F.col("outlier_score") < ORDINARY, "prose").otherwise(F.col("shape_kind"))
-    return scored.select(key, *((F.col(s) / UNITS[s]).alias(s) if UNITS[s] > 1 else s for s in STATS), "outlier_score", kind.alias("text_kind"))
+    return scored.select(key, *((F.col(s) / UNITS[s]).alias(s) if UNITS[s] > 1 else s for s in STATS), "outlier_score", F.col("shape_kind").alias("text_kind"))
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,11 @@ def test_whole_operator_on_edge_cases(spark):
     assert {got[k].text_kind for k in range(130)} == {"prose"}
     assert text_quality(df.limit(0), "doc_id", "text", "lang").count() == 0
     assert set(STATS) < set(got[1].asDict())
+
+
+@pytest.mark.parametrize("text,kind", [("- one\n- two\n- three", "list"), ("a\tb\t1\nc\td\t2\ne\tf\t3", "table"), ("buy now " * 80, "junk")])
+def test_copies_that_are_ordinary_keep_their_kind(spark, text, kind):
+    data = [(i, text if i < 90 else f"This is the number {i} of the two. It is not the last.", "en") for i in range(150)]
+    got = {r.doc_id: r for r in text_quality(spark.createDataFrame(data, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang").collect()}
+    assert got[0].outlier_score < 0.7
+    assert {got[k].text_kind for k in range(90)} == {kind} and {got[k].text_kind for k in range(90, 150)} == {"prose"}
