@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import regex
 
 #: A line's mark: bullet, number, time, count or evidence mark, each followed by white space.
@@ -18,6 +21,8 @@ TAG = regex.compile(r"<[^<>]{0,200}>")
 VALUE = regex.compile(r"[-+±]?[\d.,:/]*\d[\d.,:/]*\s?[%€$£‰]?|-|–|—|n/?a|\?|∅", regex.I)
 FIELDS = [regex.compile(p) for p in (r"\t", r"\s*\|\s*", r"\s*;\s*", r"\s{2,}", r"\s*,\s*")]
 PARTING = regex.compile(r"[^\p{L}\p{M}\p{N}\s.'’\"%()\[\]]|(?<=\s)[-–—](?=\s)")
+#: How many classes words are dealt out to where periods are sought.
+CLASSES = 4
 CONTROL = regex.compile(r"[\p{Cf}\p{Cc}--[\n\r\t]]", regex.V1)
 
 
@@ -45,28 +50,44 @@ def rows(lines: list[str]) -> set[int]:
     return best
 
 
-def repeats(words: list[str]) -> float:
-    """Share of words that equal the one a period before, at the best of a few periods that the middle word suggests."""
+def repeats(words: list[str], least: float = 0.8) -> float:
+    """The greatest share of words that equal the one a period before, over all periods up to a third of them; 0 if it isn't above ``least``.
+
+    Words are dealt out to a few classes of about one size. Equal words are of one class, so the matches of classes, counted
+    for all periods at once by Fourier transforms, bound those of words from above; only periods whose bound lies above
+    what was found are counted word by word.
+    """
     n = len(words)
     if n < 6:
         return 0.0
-    mid, best = n // 2, 0.0
-    gaps, at = [], mid
-    for i in range(mid + 1, n):
-        if words[i] == words[mid]:
-            gaps.append(i - mid)
-            if len(gaps) == 4:
-                break
-    for p in gaps:
-        if 3 * p <= n:
-            best = max(best, sum(a == b for a, b in zip(words, words[p:])) / (n - p))
-    return best
+    counts = Counter(words)
+    if len(counts) >= n - least * (n - n // 3):  # each match is a word that stands before: too few can match
+        return 0.0
+    classes, load = {}, [0] * CLASSES
+    for w, c in counts.most_common():
+        classes[w] = k = load.index(min(load))
+        load[k] += c
+    at = np.fromiter((classes[w] for w in words), np.int8, n)
+    size = 1 << (2 * n - 1).bit_length()
+    power = sum(np.abs(np.fft.rfft(at == k, size)) ** 2 for k in range(CLASSES))
+    periods = np.arange(1, n // 3 + 1)
+    bound = np.rint(np.fft.irfft(power, size)[1 : n // 3 + 1]) / (n - periods)
+    ids = {w: i for i, w in enumerate(counts)}
+    own, best = np.fromiter((ids[w] for w in words), np.int32, n), least
+    for i in np.argsort(-bound, kind="stable"):
+        if bound[i] <= best:
+            break
+        p = int(periods[i])
+        best = max(best, float(np.count_nonzero(own[p:] == own[:-p])) / (n - p))
+    return best if best > least else 0.0
 
 
 def items_of(line: str) -> int:
     """How many items a line without sentences holds that marks part, 0 if it isn't such a line."""
-    found = PARTING.findall(line)
-    for mark in {m for m in found if found.count(m) >= 3} if len(found) < 10_000 else set(found[:100]):
+    words = len(line.split())
+    for mark, n in Counter(PARTING.findall(line)).items():
+        if n < 3 or words - n > 4.5 * (n + 1):  # n marks make n + 1 parts at most and take n words at most
+            continue
         parts = [x for x in line.split(mark) if x.strip()]
         if len(parts) >= 4 and sum(len(x.split()) for x in parts) <= 4.5 * len(parts) and max(len(x.split()) for x in parts) <= 8:
             return len(parts)

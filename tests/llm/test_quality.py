@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm import quality
 from cuelake.llm.quality import STATS, common_words, language, measure, outlier_scores, sharer, text_quality
-from cuelake.llm.shape import kind_of, repeats, rows, shape
+from cuelake.llm.shape import items_of, kind_of, repeats, rows, shape
 
 
 def brute(rows, stats):
@@ -104,3 +104,30 @@ def test_copies_that_are_ordinary_keep_their_kind(spark, text, kind):
     got = {r.doc_id: r for r in text_quality(spark.createDataFrame(data, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang").collect()}
     assert got[0].outlier_score < 0.7
     assert {got[k].text_kind for k in range(90)} == {kind} and {got[k].text_kind for k in range(90, 150)} == {"prose"}
+
+
+def test_repeats_equals_brute_force():
+    rng = random.Random(5)
+    for i in range(300):
+        passage = rng.choices("the a of we to it box map old new".split()[: rng.randint(1, 10)], k=rng.randint(1, 40))
+        words = passage * rng.randint(1, 12) + passage[: rng.randint(0, len(passage))]
+        words = [rng.choice("xyz") if rng.random() < (i % 4) / 20 else w for w in words]
+        n = len(words)
+        want = max((sum(a == b for a, b in zip(words, words[p:])) / (n - p) for p in range(1, n // 3 + 1)), default=0.0)
+        assert repeats(words) == pytest.approx(want if want > 0.8 and n >= 6 else 0.0)
+
+
+def test_a_frequent_middle_word_hides_no_repetition():
+    passage = "the man of the house and the dog of the yard saw the cat by the door while the rain fell on the roof of the barn".split()
+    passage = passage[1:] + passage[:1]
+    for turn in range(len(passage)):
+        words = (passage[turn:] + passage[:turn]) * 20
+        assert repeats(words) == 1.0
+        assert kind_of(shape(" ".join(words), sharer({"en": ["the", "of", "and", "by", "on"]}))) == "junk"
+
+
+def test_marks_behind_many_others_part_a_list():
+    assert items_of("=" * 101 + "&" * 9_900 + " red lamp # blue lamp # old map # new map # grey box") > 3
+    line = "/".join(["~ ^"] * 200) + " red lamp one two three four five six seven" * 60
+    assert items_of(line) == 0
+    assert items_of("".join("$^~&"[i % 4] for i in range(100)) + " red" + "; one two" * 10_000) > 10_000
