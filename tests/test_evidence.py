@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -125,3 +126,19 @@ def test_answer_contract(spark, change, verdict):
     schema = "answerable boolean, answer string, evidence_ids array<string>, claims array<struct<text:string,evidence_ids:array<string>>>, gaps array<string>, requested_count int, temporal boolean, known_ids array<string>"
     r = ev.resolved_answer(spark.createDataFrame([tuple(row.values())], schema)).first()
     assert r.verdict == verdict and list(r.citations) == (["E1"] if verdict == "answer" else [])
+
+
+def test_best_window_searches_all_units_of_a_video(spark):
+    from cuelake.plans.questions import best_window
+    from cuelake.sources import views
+
+    d, lines = "/root/testdata/sf0.001", re.compile(r"(?<=[.!?]) ")
+    units = {}
+    for r in views.units(spark, d, "context").orderBy("unit_id").collect():
+        units.setdefault(r.video_id, []).append(lines.split(r.text))
+    want = {}
+    for q in views.queries(spark, d).collect():
+        if q.video_id in units:
+            text, like = max((ev.best_window(q.query_text, u) for u in units[q.video_id]), key=lambda w: w[1])
+            want[q.query_id] = (text, round(like, 6))
+    assert {r.query_id: (r.window, r.likeness) for r in best_window(spark, d).collect()} == want
