@@ -352,12 +352,24 @@ def structured_summary(spark, d):
 @query("a29_edit_accuracy", "seg", """WITH p AS (SELECT video_id, text, lag(text) OVER (PARTITION BY video_id ORDER BY start_s, segment_id) AS prev FROM seg WHERE len(text) <= 400)
 SELECT video_id, round(greatest(0, 1 - sum(levenshtein(prev, text)) / CAST(greatest(1, sum(len(prev))) AS DOUBLE)), 6) AS accuracy FROM p WHERE prev IS NOT NULL AND regexp_full_match(prev || text, '[ -~]*') GROUP BY 1""")
 def edit_accuracy(spark, d):
-    """Character accuracy of each short segment as a reading of the one before, summed by video."""
+    """Character accuracy of each short segment as a reading of the one before, summed by video.
+
+    Only segments of up to 400 characters and pairs in ASCII, which the SQL can compare; a29_edit_accuracy_whole has all.
+    """
     w = W.partitionBy("video_id").orderBy("start_s", "segment_id")
     p = views.segments(spark, d).where(F.length("text") <= 400).withColumn("prev", F.lag("text").over(w)).where("prev IS NOT NULL").where(F.concat("prev", "text").rlike(r"^[ -~]*$"))
     return p.groupBy("video_id").agg(F.round(F.greatest(F.lit(0.0), 1 - F.sum(F.levenshtein("prev", "text")) / F.greatest(F.lit(1), F.sum(F.length("prev")))), 6).alias("accuracy"))
 
 
+@query("a29_edit_accuracy_whole")
+def edit_accuracy_whole(spark, d):
+    """As a29_edit_accuracy, over all segments and whole texts in any letters; without SQL, as DuckDB's levenshtein counts bytes."""
+    w = W.partitionBy("video_id").orderBy("start_s", "segment_id")
+    p = views.segments(spark, d).withColumn("prev", F.lag("text").over(w)).where("prev IS NOT NULL")
+    p = p.repartition(4 * spark.sparkContext.defaultParallelism, "video_id", "segment_id")
+    return p.groupBy("video_id").agg(F.round(F.greatest(F.lit(0.0), 1 - F.sum(F.levenshtein("prev", "text")) / F.greatest(F.lit(1), F.sum(F.length("prev")))), 6).alias("accuracy"))
+
+
 @query("a29_best_window")
 def best_window(spark, d):
     """The run of lines of any context unit of its video that is most like a query's first words; of equals, the first unit's.

@@ -142,3 +142,27 @@ def test_best_window_searches_all_units_of_a_video(spark):
             text, like = max((ev.best_window(q.query_text, u) for u in units[q.video_id]), key=lambda w: w[1])
             want[q.query_id] = (text, round(like, 6))
     assert {r.query_id: (r.window, r.likeness) for r in best_window(spark, d).collect()} == want
+
+
+def test_edit_accuracy_of_whole_texts(spark, monkeypatch):
+    from cuelake.plans import questions
+
+    rng, data = random.Random(2), []
+    for v in "ab":
+        for i in range(6):
+            data.append((v, f"s{i}", float(i), float(i + 1), "".join(rng.choices("ağ ß日x", k=rng.choice([0, 5, 700])))))
+    monkeypatch.setattr(questions.views, "segments", lambda s, d: s.createDataFrame(data, "video_id string, segment_id string, start_s double, end_s double, text string"))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for v in "ab":
+        t = [r[4] for r in data if r[0] == v]
+        want[v] = round(max(0.0, 1 - sum(map(distance, t, t[1:])) / max(1, sum(map(len, t[:-1])))), 6)
+    assert {r.video_id: r.accuracy for r in questions.edit_accuracy_whole(spark, "").collect()} == want
