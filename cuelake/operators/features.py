@@ -28,7 +28,7 @@ def candidate_features(df: DataFrame, keys: list[str], score: str, rank: str, ts
     sd, lo, hi, mean = F.stddev_pop(score).over(w), F.min(score).over(w), F.max(score).over(w), F.avg(score).over(w)
     second = F.max(F.when(r == 2, s)).over(w)
     out = {
-        "score_z": (s - mean) / F.greatest(sd, F.lit(1e-12)), "score_minmax": (s - lo) / F.greatest(hi - lo, F.lit(1e-12)),
+        "score_z": F.when(hi == lo, 0.0).otherwise((s - mean) / F.greatest(sd, F.lit(1e-12))), "score_minmax": (s - lo) / F.greatest(hi - lo, F.lit(1e-12)),
         "reciprocal_rank": 1 / r, "log_rank": 1 / F.log2(r + 1), "gap_from_top": hi - s, "gap_from_previous": F.coalesce(F.lag(score).over(o) - s, F.lit(0.0)),
         "gap_to_next": F.coalesce(s - F.lead(score).over(o), F.lit(0.0)), "top_two_gap": F.coalesce(hi - second, F.lit(0.0)), "list_mean": mean, "list_std": sd, "list_range": hi - lo,
     }

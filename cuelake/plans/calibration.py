@@ -225,20 +225,35 @@ def rounded(columns):
 
 @query("m01_candidate_features", VIEWS, CF + CV + " SELECT query_id, rank, " + ", ".join(f"round({e}, {9 if c in TIGHT else 6}) + 0e0 AS {c}" for c, e in _CSQL.items()) + " FROM f JOIN tm USING (query_id, rank) JOIN pr USING (query_id, rank) JOIN cn USING (query_id) WHERE sd > 1e-6 OR n = 1")
 def candidate_features(spark, d):
+    """Lists of one, and those with spread, which the SQL can compare; m01_candidate_features_whole has all."""
     x = ft.candidate_features(twenty(spark, d), [KEY], "score", "rank", "ts", "embedding")
     n = F.count("*").over(W.partitionBy(KEY))
     return x.withColumn("n", n).where((F.col("list_std") > 1e-6) | (F.col("n") == 1)).select(KEY, "rank", *rounded(ft.CANDIDATE))
 
 
+@query("m01_candidate_features_whole")
+def candidate_features_whole(spark, d):
+    """The features of all candidates, those of lists without spread too."""
+    x = ft.candidate_features(twenty(spark, d), [KEY], "score", "rank", "ts", "embedding")
+    return x.select(KEY, "rank", *rounded(ft.CANDIDATE))
+
+
 @query("m02_list_features", VIEWS, CF + CV + """, p AS (SELECT *, exp(score - hi) / sum(exp(score - hi)) OVER (PARTITION BY query_id) AS p FROM f)
 SELECT query_id, round(max(score), 6) AS best_score, round(coalesce(max(hi - sec), 0), 6) AS top_two_gap, round(max(score) - min(score) FILTER (rank <= 5), 6) AS top_five_gap, round(max(m), 9) AS mean, round(max(sd), 6) AS std, round(max(hi - lo), 6) AS range, round((0e0 - sum(p * ln(p + 1e-15))) / greatest(ln(count(*)), 1), 6) AS entropy,
 round(max(support) FILTER (rank = 1), 6) AS temporal_support_10s, round(max(total / greatest(len, 1e-12)) FILTER (rank = 1), 6) AS top_frame_centroid_cosine, round(avg(CAST(score >= m + sd AS INT)), 6) AS positive_tail_fraction, round(ln(1 + count(*)), 6) AS candidate_count_log
 FROM p JOIN tm USING (query_id, rank) JOIN pr USING (query_id, rank) JOIN cn USING (query_id) WHERE n > 2 GROUP BY query_id""")
 def list_features(spark, d):
+    """Lists of three and more candidates, which the SQL can compare; m02_list_features_whole has all."""
     x = twenty(spark, d).withColumn("n", F.count("*").over(W.partitionBy(KEY))).where("n > 2")
     return ft.list_features(x, [KEY], "score", "rank", "ts", "embedding").select(KEY, *rounded(ft.LIST))
 
 
+@query("m02_list_features_whole")
+def list_features_whole(spark, d):
+    """The features of all lists, those of one and two candidates too."""
+    return ft.list_features(twenty(spark, d), [KEY], "score", "rank", "ts", "embedding").select(KEY, *rounded(ft.LIST))
+
+
 @query("m03_inference", VIEWS, CF + " SELECT query_id, rank, round(1 / (1 + exp(-greatest(least(-1e0 + (score - 0.2e0) / 0.5e0 * 1.5e0 + (1e0 / rank - 0.1e0) / 0.3e0 * 0.7e0, 40), -40))), 9) AS p FROM f")
 def inference(spark, d):
     p = ft.logistic([F.col("score"), 1 / F.col("rank")], [0.2, 0.1], [0.5, 0.3], [1.5, 0.7], -1.0)
@@ -273,12 +288,19 @@ def light_features(spark, d):
 @query("m05_robust_z", VIEWS, f"""WITH {RES}, q AS (SELECT query_id, median(score) AS m, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS iqr FROM res WHERE rank <= 20 GROUP BY 1), x AS (SELECT *, max(score) OVER (PARTITION BY query_id) - score AS top, coalesce(score - lead(score) OVER (PARTITION BY query_id ORDER BY rank), 0) AS nxt FROM res WHERE rank <= 20)
 SELECT query_id, rank, round(score, 6) AS raw_score, round(1e0 / rank, 6) AS reciprocal_rank, round(top, 6) AS margin_to_top, round(nxt, 6) AS margin_to_next, round((score - m) / greatest(iqr, 1e-9), 7) AS robust_z, round(ln(1 + len(regexp_extract_all(lower(replace(query_text, 'İ', 'i' || chr(775))), '[\\p{{L}}\\p{{N}}_]+'))), 6) AS log_query_tokens FROM x JOIN q USING (query_id) JOIN qry USING (query_id) WHERE iqr > 1e-6""")
 def robust_z(spark, d):
-    """The six features that scores are calibrated on; lists without spread are left out of the comparison."""
+    """The six features that scores are calibrated on; lists without spread are left out of the comparison: m05_robust_z_whole has all."""
     x = results(spark, d).where("rank <= 20")
     spread = x.groupBy(KEY).agg((F.percentile("score", 0.75) - F.percentile("score", 0.25)).alias("i")).where("i > 1e-6")
+    return robust_z_whole(spark, d).join(spread, KEY, "left_semi")
+
+
+@query("m05_robust_z_whole")
+def robust_z_whole(spark, d):
+    """The six features of all lists; a quartile range below 1e-9 counts as that."""
+    x = results(spark, d).where("rank <= 20")
     n = F.size(F.regexp_extract_all(F.lower("query_text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     q = views.queries(spark, d).select(KEY, F.round(F.log1p(n.cast("double")), 6).alias("log_query_tokens"))
-    y = ft.candidate_features(ft.robust_z(x, [KEY], "score"), [KEY], "score", "rank").join(spread, KEY, "left_semi").join(q, KEY)
+    y = ft.candidate_features(ft.robust_z(x, [KEY], "score"), [KEY], "score", "rank").join(q, KEY)
     r6 = lambda c, a: F.round(c, 6).alias(a)
     return y.select(KEY, "rank", r6("score", "raw_score"), r6("reciprocal_rank", "reciprocal_rank"), r6("gap_from_top", "margin_to_top"), r6("gap_to_next", "margin_to_next"), F.round("robust_z", 7).alias("robust_z"), "log_query_tokens")
 

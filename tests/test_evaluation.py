@@ -95,3 +95,29 @@ def test_regressions(spark):
     b = spark.createDataFrame([("x", 0.49, 2.0)], "k string, recall double, far double")
     got = {(r.k, r.metric) for r in cb.regressions(a, b, "k", {"recall": 1, "far": -1}, 0.02).collect()}
     assert got == {("x", "far"), ("y", "recall"), ("y", "far")}
+
+
+def test_features_of_lists_without_spread(spark, monkeypatch):
+    from cuelake.plans import calibration as c
+
+    lists = {"one": [0.3], "two": [0.5, 0.1], "same": [0.1, 0.1, 0.1], "flat": [0.9, 0.2, 0.2, 0.2, 0.2, 0.1], "wide": [0.9, 0.6, 0.1]}
+    data = [(q, "v", i + 1, 10.0 * i, s, [1.0, 0.0]) for q, x in lists.items() for i, s in enumerate(x)]
+    rows = spark.createDataFrame(data, "query_id string, video_id string, rank int, ts double, score double, embedding array<double>")
+    monkeypatch.setattr(c, "twenty", lambda s, d: rows)
+    monkeypatch.setattr(c, "results", lambda s, d: rows)
+    monkeypatch.setattr(c.views, "queries", lambda s, d: s.createDataFrame([(q, "a b") for q in lists], "query_id string, query_text string"))
+    got = {(r.query_id, r["rank"]): r for r in c.candidate_features_whole(spark, "").collect()}
+    per = {r.query_id: r for r in c.list_features_whole(spark, "").collect()}
+    robust = {(r.query_id, r["rank"]): r for r in c.robust_z_whole(spark, "").collect()}
+    assert set(got) == set(robust) == {(q, i + 1) for q, x in lists.items() for i in range(len(x))} and set(per) == set(lists)
+    for q, x in lists.items():
+        spread, quart = max(x) - min(x), np.percentile(x, 75) - np.percentile(x, 25)
+        p = np.exp(np.array(x) - max(x)) / np.exp(np.array(x) - max(x)).sum()
+        assert abs(per[q].entropy + (p * np.log(p + 1e-15)).sum() / max(np.log(len(x)), 1)) < 1e-5
+        assert abs(per[q].range - spread) < 1e-6 and abs(per[q].std - np.std(x)) < 1e-6 and per[q].best_score == max(x)
+        for i, s in enumerate(x):
+            r = got[q, i + 1]
+            assert abs(r.score_z - ((s - np.mean(x)) / np.std(x) if spread else 0)) < 1e-5
+            assert abs(r.score_minmax - ((s - min(x)) / spread if spread else 0)) < 1e-5
+            want = (s - np.median(x)) / max(quart, 1e-9)
+            assert abs(robust[q, i + 1].robust_z - want) <= 1e-6 * max(1, abs(want))
