@@ -115,6 +115,98 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 2000, r
     return {"mean": mean.tolist(), "scale": scale.tolist(), "weights": w.tolist()}
 
 
+def softmax_fit_sparse(row: np.ndarray, col: np.ndarray, value: np.ndarray, d: int, y: np.ndarray, classes: int, steps: int, rate: float, l2: float) -> np.ndarray:
+    """``softmax_fit`` without balance and standard and with decay, over the entries of a sparse matrix; weights of d features by classes.
+
+    Entries are sorted by row, and each row has one: that of the bias, column 0.
+    """
+    n, w, t = len(y), np.zeros((d, classes)), np.eye(classes)[y]
+    starts = np.searchsorted(row, np.arange(n))
+    for i in range(steps):
+        s = np.stack([np.add.reduceat(value * w[:, k][col], starts) for k in range(classes)], 1)
+        p = np.exp(s - s.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        miss = p - t
+        grad = np.stack([np.bincount(col, value * miss[:, k][row], d) for k in range(classes)], 1) / n
+        grad[1:] += l2 * w[1:] / n
+        w -= rate / np.sqrt(i + 1) * grad
+    return w
+
+
+def rule_search(points: list[tuple[float, float, int, int]], names: tuple[str, str], alarms: float) -> tuple | None:
+    """``(feature, threshold, feature_2, threshold_2, pfa, far)``, the best rule of one feature or two at any midpoints.
+
+    ``points`` are ``(x, y, positives, negatives)``; a rule accepts what lies at or above its thresholds. Of the rules with
+    a false-alarm rate of at most ``alarms``, the one that loses fewest positives; then fewer alarms, one feature before
+    two, the first name, the higher thresholds. Exhaustive: for each threshold of x, in descending order, the rows at or
+    above it stand in Fenwick trees over y, where the best threshold of y is a descent. A null lies above no threshold.
+    """
+    pos, neg = sum(p[2] for p in points), sum(p[3] for p in points)
+    most = max((k for k in range(max(0, int(alarms * neg) - 1), int(alarms * neg) + 2) if k / max(neg, 1) <= alarms), default=0)
+    some = [[p for p in points if p[i] is not None] for i in (0, 1)]
+    if not some[0] or not some[1]:
+        return None
+    values = [sorted({p[i] for p in some[i]}, reverse=True) for i in (0, 1)]
+
+    def threshold(i: int, k: int) -> float:
+        """Of feature ``i``, the one that the ``k`` greatest distinct values pass."""
+        v = values[i]
+        return v[0] + 1e-9 if k == 0 else v[-1] - 1e-9 if k == len(v) else (v[k - 1] + v[k]) / 2
+
+    best: list[tuple] = []
+
+    def offer(p: int, m: int, two: int, name: str, *rule) -> None:
+        if m <= most and (not best or (-p, m, two, name) < best[0][:4]):
+            best[:] = [(-p, m, two, name, *rule)]
+
+    for i in (0, 1):
+        at: dict[float, list[int]] = {}
+        for x in some[i]:
+            c = at.setdefault(x[i], [0, 0])
+            c[0], c[1] = c[0] + x[2], c[1] + x[3]
+        p = m = 0
+        offer(0, 0, 0, names[i], threshold(i, 0), None, None)
+        for k, v in enumerate(values[i], 1):
+            p, m = p + at[v][0], m + at[v][1]
+            offer(p, m, 0, names[i], threshold(i, k), None, None)
+    size = len(values[1])
+    place, trees, top = {v: k for k, v in enumerate(values[1], 1)}, ([0] * (size + 1), [0] * (size + 1)), 1 << size.bit_length()
+
+    def furthest(tree: list[int], limit: int) -> int:
+        """The greatest k whose first k places hold at most ``limit``."""
+        k, step = 0, top
+        while step:
+            if k + step <= size and tree[k + step] <= limit:
+                k += step
+                limit -= tree[k]
+            step >>= 1
+        return k
+
+    def upto(tree: list[int], k: int) -> int:
+        s = 0
+        while k:
+            s += tree[k]
+            k &= k - 1
+        return s
+
+    rows: dict[float, list[tuple]] = {}
+    for p in points:
+        if p[0] is not None and p[1] is not None:
+            rows.setdefault(p[0], []).append(p)
+    for i, v in enumerate(values[0], 1):
+        for _, y, *n in rows.get(v, ()):
+            for tree, c in zip(trees, n):
+                k = place[y]
+                while c and k <= size:
+                    tree[k] += c
+                    k += k & -k
+        p = upto(trees[0], furthest(trees[1], most))
+        k = furthest(trees[0], p - 1) + 1 if p else 0
+        offer(p, upto(trees[1], k), 1, names[0], threshold(0, i), names[1], threshold(1, k))
+    p, m, _, name, a, second, b = best[0]
+    return name, a, second, b, 1 + p / max(pos, 1), m / max(neg, 1)
+
+
 def regressions(base: DataFrame, new: DataFrame, key: str, metrics: dict[str, int], tolerance: float) -> DataFrame:
     """``(key, metric, base, new)`` where a figure got worse by more than ``tolerance``.
 

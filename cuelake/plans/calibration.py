@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -84,10 +85,29 @@ def rule_errors(spark, d):
 
 @query("c05_rule_search", VIEWS, FEATS + RULES + " SELECT a, b, round(pfa, 6) AS pfa, round(far, 6) AS far FROM e WHERE far <= 0.5e0 ORDER BY pfa, far, a DESC, b DESC LIMIT 1")
 def rule_search(spark, d):
+    """The best rule of a fixed grid of thresholds, which the SQL can compare; c05_rule_search_whole is exhaustive."""
     e = rule_errors(spark, d).where("far <= 0.5").orderBy("pfa", "far", F.desc("a"), F.desc("b")).limit(1)
     return e.select("a", "b", F.round("pfa", 6).alias("pfa"), F.round("far", 6).alias("far"))
 
 
+@query("c05_rule_search_whole")
+def rule_search_whole(spark, d):
+    """The best rule of best, margin or both over all midpoints of their values, with at most half false alarms.
+
+    Rows are counted by distinct pair of values first; one task then searches the pairs in n log n steps.
+    """
+    g = feats(spark, d).groupBy("margin", "best").agg(F.sum(F.col("positive").cast("bigint")).alias("p"), F.sum((~F.col("positive")).cast("bigint")).alias("n"))
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        found = cb.rule_search([(x, y, p or 0, n or 0) for x, y, p, n in rows], ("best", "margin"), 0.5) if rows else None
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(found, (pa.string(), pa.float64()) * 2 + (pa.float64(),) * 2)], ["feature", "threshold", "feature_2", "threshold_2", "pfa", "far"])
+
+    out = g.select("best", "margin", "p", "n").repartition(1).mapInArrow(run, "feature string, threshold double, feature_2 string, threshold_2 double, pfa double, far double")
+    return out.withColumns({c: F.round(c, 6) for c in ("pfa", "far")})
+
+
 @query("c06_apply_rule", VIEWS, FEATS + " SELECT query_id, best >= 0.3e0 AND margin >= 0.01e0 AS accepted FROM f")
 def apply_rule(spark, d):
     return feats(spark, d).select(KEY, ((F.col("best") >= 0.3) & (F.col("margin") >= 0.01)).alias("accepted"))

@@ -121,3 +121,28 @@ def test_features_of_lists_without_spread(spark, monkeypatch):
             assert abs(r.score_minmax - ((s - min(x)) / spread if spread else 0)) < 1e-5
             want = (s - np.median(x)) / max(quart, 1e-9)
             assert abs(robust[q, i + 1].robust_z - want) <= 1e-6 * max(1, abs(want))
+
+
+def test_rule_search_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(1, 25))
+        points = [(float(x), float(y), int(p), int(m)) for x, y, p, m in zip(rng.integers(-4, 5, n) / 7, rng.integers(0, 6, n) / 90, rng.integers(0, 3, n), rng.integers(0, 3, n))]
+        pos, neg = max(1, sum(p[2] for p in points)), max(1, sum(p[3] for p in points))
+        cuts = [[v[0] - 1e-9, *((a + b) / 2 for a, b in zip(v, v[1:])), v[-1] + 1e-9] for v in (sorted({p[i] for p in points}) for i in (0, 1))]
+        rules = [("best", a, None, None) for a in cuts[0]] + [("margin", b, None, None) for b in cuts[1]] + [("best", a, "margin", b) for a in cuts[0] for b in cuts[1]]
+        least = None
+        for f, a, g, b in rules:
+            got = [p for p in points if p[f == "margin"] >= a and (g is None or p[1] >= b)]
+            e = (1 - sum(p[2] for p in got) / pos, sum(p[3] for p in got) / neg, g is not None, f, -a, -(b or 0))
+            if e[1] <= 0.5 and (least is None or e[:2] < least[:2] and abs(e[0] - least[0]) + abs(e[1] - least[1]) > 1e-12 or np.allclose(e[:2], least[:2], atol=1e-12) and e[2:] < least[2:]):
+                least, rule = e, (f, a, g, b)
+        f, a, g, b, pfa, far = cb.rule_search(points, ("best", "margin"), 0.5)
+        assert (f, a, g, b) == rule and abs(pfa - least[0]) < 1e-9 and abs(far - least[1]) < 1e-9
+
+
+def test_exhaustive_rules_beat_the_grid(spark):
+    from cuelake.plans import calibration as c
+
+    grid, rule = c.rule_search(spark, "/root/testdata/sf0.01").first(), c.rule_search_whole(spark, "/root/testdata/sf0.01").first()
+    assert rule.far <= 0.5 and rule.pfa < grid.pfa
