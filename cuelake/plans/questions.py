@@ -443,30 +443,33 @@ def softmax_router(spark, d):
 
 @query("c12_tfidf_classifier")
 def tfidf_classifier(spark, d):
-    """A classifier over the 128 most frequent terms, fitted with a shrinking step on at most 5,000 labelled queries in order of their hash.
+    """A classifier over 5,000 terms of words and 8,000 of characters, fitted with a shrinking step on at most 5,000 labelled queries in order of their hash.
 
-    Applied to every query by a join on terms, so rows stay sparse.
+    Applied to every query by a join on terms; rows stay sparse there and in the fit.
     """
     import numpy as np
 
-    from cuelake.operators.calibrate import softmax_fit
+    from cuelake.operators.calibrate import softmax_fit_sparse
     from cuelake.operators.routing import ROUTES
     from cuelake.operators.text import tf_idf
-    from cuelake.plans.routing import word_terms
+    from cuelake.plans.routing import CHAR_TERMS, WORD_TERMS, char_terms, word_terms
 
-    v = materialize(tf_idf(word_terms(spark, d), "query_id", 128), "tfidf")
+    mark = lambda kind, v: v.withColumn("term", F.concat(F.lit(kind), "term"))
+    v = mark("w:", tf_idf(word_terms(spark, d), "query_id", WORD_TERMS)).unionByName(mark("c:", tf_idf(char_terms(spark, d), "query_id", CHAR_TERMS)))
+    v = materialize(v, "tfidf")
     labels = views.queries(spark, d).where(F.col("modality_requirement").isin(*ROUTES)).select("query_id", "modality_requirement")
     sample = labels.orderBy(F.xxhash64("query_id"), "query_id").limit(5000)
-    rows = sample.join(v.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "value"))).alias("x")), "query_id").collect()
-    terms = sorted({t for r in rows for t in r.x})
-    at = {t: i + 1 for i, t in enumerate(terms)}
-    x, y = np.zeros((len(rows), len(terms) + 1)), np.array([ROUTES.index(r.modality_requirement) for r in rows], int)
-    x[:, 0] = 1
-    for i, r in enumerate(rows):
-        for t, value in r.x.items():
-            x[i, at[t]] = value
-    w = softmax_fit(x, y, 3, 450, 0.8, 0.05, balanced=False, standard=False, decay=True)["weights"] if rows else [[0.0] * 3]
-    model = spark.createDataFrame([(t, [float(a) for a in w[at[t]]]) for t in terms], "term string, w array<double>")
+    rows = sample.join(v.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "value"))).alias("x")), "query_id")
+    table = rows.select("modality_requirement", "x.term", "x.value").toArrow()
+    y = np.array([ROUTES.index(r) for r in table["modality_requirement"].to_pylist()], int)
+    coded = table["term"].combine_chunks().flatten().dictionary_encode()
+    terms, sizes = coded.dictionary.to_pylist(), table["term"].combine_chunks().value_lengths().to_numpy()
+    n = len(y)
+    row, col, value = np.repeat(np.arange(n), sizes), coded.indices.to_numpy() + 1, table["value"].combine_chunks().flatten().to_numpy()
+    at = np.cumsum(np.concatenate([[0], sizes[:-1]])).astype(int) if n else []
+    row, col, value = np.insert(row, at, np.arange(n)), np.insert(col, at, 0), np.insert(value, at, 1.0)
+    w = softmax_fit_sparse(row, col, value, len(terms) + 1, y, 3, 450, 0.8, 0.05) if n else np.zeros((1, 3))
+    model = spark.createDataFrame([(t, x) for t, x in zip(terms, w[1:].tolist())], "term string, w array<double>")
     score = v.join(F.broadcast(model), "term").groupBy("query_id").agg(*(F.sum(F.col("value") * F.col("w")[k]).alias(f"z{k}") for k in range(3)))
     z = [F.round(F.coalesce(F.col(f"z{k}"), F.lit(0.0)) + float(w[0][k]), 9) for k in range(3)]
     said = F.when(z[0] >= F.greatest(z[1], z[2]), ROUTES[0]).when(z[1] >= z[2], ROUTES[1]).otherwise(ROUTES[2])

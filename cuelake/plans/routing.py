@@ -132,7 +132,11 @@ GRAMS = "g AS (SELECT query_id, list_distinct(flatten(list_transform([3, 4, 5],
 
 
 def char_grams(q):
-    s = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(q), F.lit("[a-z0-9]+"), F.lit(0)), " "), F.lit(" "))
+    return grams(F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(q), F.lit("[a-z0-9]+"), F.lit(0)), " "), F.lit(" ")))
+
+
+def grams(s):
+    """The distinct runs of 3 to 5 characters."""
     n = lambda k: F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(n(3), n(4), n(5)))
 
@@ -155,15 +159,42 @@ def word_terms(spark, d):
     return views.queries(spark, d).select("query_id", F.concat(ws, pairs).alias("terms"))
 
 
+def char_terms(spark, d):
+    return views.queries(spark, d).select("query_id", grams(F.concat(F.lit(" "), F.array_join(rt.words(F.col("query_text")), " "), F.lit(" "))).alias("terms"))
+
+
+#: Sizes of the vocabularies of words and pairs, and of runs of characters.
+WORD_TERMS, CHAR_TERMS = 5000, 8000
+
+
+@query("c11_tf_idf_whole")
+def tfidf_whole(spark, d):
+    return tf_idf(word_terms(spark, d), "query_id", WORD_TERMS).withColumn("value", F.round("value", 6))
+
+
+@query("q07_tfidf_predict_whole")
+def tfidf_predict_whole(spark, d):
+    """As q07_tfidf_predict, over the whole vocabulary of words."""
+    return predicted(spark, d, WORD_TERMS)
+
+
 @query("c11_tf_idf", "qry", f"WITH {TF} SELECT query_id, term, round(value, 6) AS value FROM tv")
 def tfidf(spark, d):
+    """The 512 most frequent terms, as in the SQL; c11_tf_idf_whole has 5,000."""
     return tf_idf(word_terms(spark, d), "query_id", 512).withColumn("value", F.round("value", 6))
 
 
 @query("q07_tfidf_predict", "qry", f"WITH {TF}, wt AS (SELECT term, (len(term) % 7 - 3) / 3e0 AS a, (ascii(term) % 5 - 2) / 2e0 AS b FROM iw), s AS (SELECT query_id, sum(value * a) AS a, sum(value * b) AS b FROM tv JOIN wt USING (term) GROUP BY 1) SELECT query_id, CASE WHEN round(a, 9) >= round(greatest(b, 0), 9) THEN 'visual' WHEN round(b, 9) >= 0 THEN 'speech' ELSE 'hybrid' END AS route FROM s")
 def tfidf_predict(spark, d):
-    """A sparse linear model applied by a join on terms; its weights here come from the terms' letters."""
-    v = tf_idf(word_terms(spark, d), "query_id", 512)
+    """A sparse linear model applied by a join on terms; its weights here come from the terms' letters.
+
+    Over the 512 most frequent terms, as in the SQL; q07_tfidf_predict_whole has 5,000.
+    """
+    return predicted(spark, d, 512)
+
+
+def predicted(spark, d, vocabulary):
+    v = tf_idf(word_terms(spark, d), "query_id", vocabulary)
     a, b = (F.length("term") % 7 - 3) / 3.0, (F.ascii("term") % 5 - 2) / 2.0
     s = v.groupBy("query_id").agg(F.sum(F.col("value") * a).alias("a"), F.sum(F.col("value") * b).alias("b"))
     r = lambda c: F.round(c, 9)

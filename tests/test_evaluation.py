@@ -146,3 +146,25 @@ def test_exhaustive_rules_beat_the_grid(spark):
 
     grid, rule = c.rule_search(spark, "/root/testdata/sf0.01").first(), c.rule_search_whole(spark, "/root/testdata/sf0.01").first()
     assert rule.far <= 0.5 and rule.pfa < grid.pfa
+
+
+def test_sparse_fit_equals_dense_fit():
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random((40, 12)) < 0.3, rng.random((40, 12)), 0.0)
+    x[:, 0], y = 1, rng.integers(0, 3, 40)
+    row, col = np.nonzero(x)
+    got = cb.softmax_fit_sparse(row, col, x[row, col], 12, y, 3, 450, 0.8, 0.05)
+    assert np.allclose(got, cb.softmax_fit(x, y, 3, 450, 0.8, 0.05, balanced=False, standard=False, decay=True)["weights"], atol=1e-9)
+
+
+def test_vocabularies_hold_words_and_characters(spark, monkeypatch):
+    from cuelake.plans import questions, routing
+
+    d, sizes = "/root/testdata/sf0.01", []
+    terms = {r.term for r in routing.tfidf_whole(spark, d).select("term").distinct().collect()}
+    df = routing.word_terms(spark, d).select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").count().where("count >= 2").count()
+    assert len(terms) == min(5000, df) > 512
+    assert routing.tfidf_predict_whole(spark, d).count() >= routing.tfidf_predict(spark, d).count()
+    fit = cb.softmax_fit_sparse
+    monkeypatch.setattr(cb, "softmax_fit_sparse", lambda *a: sizes.append(a[3]) or fit(*a[:6], 5, *a[7:]))
+    assert questions.tfidf_classifier(spark, d).count() and sizes[0] > 5000
