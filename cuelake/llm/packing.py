@@ -126,8 +126,8 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that had to be cut: those with a second piece."""
-    return packed(spark, sf_dir).where("piece_no = 1").select("doc_id")
+    """Documents that had to be cut: those with a second piece, read from the packed rows, which are written whole."""
+    return materialize(packed(spark, sf_dir), "packed").where("piece_no = 1").select("doc_id")
 
 
 def fill(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,15 @@ def test_pack(spark):
     assert all(len({r.piece_no for r in got if r.k == k}) == -(-n // 100) for k, n in back.items())
     assert len(per) - -(-sum(back.values()) // 100) <= 1
     assert pack(df.select("k", "n").limit(0), "k", "n", 100).count() == 0
+
+
+def test_found_packs_all_documents(spark, monkeypatch):
+    from cuelake.llm import packing
+
+    written, keep = {}, packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, name, **o: written.setdefault(name, keep(df, name, **o)))
+    got = {r.doc_id for r in packing.found(spark, "/root/testdata/sf0.001").collect()}
+    rows = written["packed"]
+    assert "container_id" in rows.columns and rows.where("container_id IS NULL").count() == 0
+    assert {r.doc_id for r in rows.where("piece_no = 1").collect()} == got
+    assert rows.select("doc_id").distinct().count() == written["tokens"].where("n_tokens > 0").count()
