@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelake.operators.features import linear, softmax
 
@@ -81,6 +84,7 @@ def resolved(mode: Column, q_route: Column, enabled: bool) -> Column:
     return F.when(mode != "auto", mode).when(F.lit(not enabled), "hybrid").otherwise(q_route)
 
 
+#: Number words that a question may ask for, and words of order in time.
 NUMBER = dict(zip("one two three four five six seven eight".split(), range(1, 9)))
 TEMPORAL = ["prior to", "before", "after", "following", "then", "next", "previously", "later"]
 
@@ -164,23 +168,124 @@ def class_groups(aliases: Column) -> Column:
 
 #: Turkish case endings, the longer ones first.
 TURKISH_SUFFIXES = "lerinden larından lerden lardan inde ında unda ünde den dan ten tan nin nın nun nün yi yı yu yü i ı u ü".split()
+#: Roots of Turkish words that ask for speech and for pictures, things that are seen, words that join both
+#: kinds of request, and roots that only carry a request.
+SPEECH_ROOTS = ["anlat", "açıkla", "bahset", "konuş", "söyle", "duy", "dedi", "ifade"]
+VISUAL_ROOTS = ["gör", "göster", "ekran", "slayt", "çizim", "şema", "fotoğraf", "görüntü", "sayfa", "buton", "panel", "kutu", "arka", "ön", "yan"]
+VISUAL_OBJECTS = ["adam", "kadın", "kişi", "insan", "telefon", "pencere", "logo", "dünya", "el", "kask", "mağara", "araç", "taş", "tren", "takvim"]
+CONNECTORS = ["anlatırken", "bahsederken", "konuşurken", "söylerken", "gösterirken", "ekrandayken"]
+STOP_ROOTS = ["an", "anlat", "açıkla", "bahset", "bölüm", "bul", "göster", "gör", "kısım", "konuş", "nerede", "söyle", "yer"]
+#: Words for a part of a video, which say nothing of what is in it.
+PART_WORDS = ["kısım", "bölüm", "yer"]
+#: Turkish words and the English ones that images are described by.
+TURKISH_ENGLISH = {
+    "açık": "open", "adam": "man", "akım": "current", "arka": "background", "başlık": "title", "beyaz": "white", "buz": "ice", "buton": "button",
+    "çalışma": "work", "çeviri": "translation", "dijital": "digital", "dil": "language", "dünya": "world", "ekran": "screen", "fotoğraf": "photo",
+    "görüntü": "image", "harita": "map", "insan": "person", "iki": "two", "işlemci": "processor", "kadın": "woman", "kanun": "law", "kategori": "category",
+    "kırmızı": "red", "kutu": "box", "lisans": "license", "madde": "article", "mavi": "blue", "mühendislik": "engineering", "pencere": "window",
+    "programlama": "programming", "sarı": "yellow", "sayfa": "page", "siyah": "black", "slayt": "slide", "soyutlama": "abstraction", "şema": "diagram",
+    "takvim": "calendar", "telefon": "phone", "tren": "train", "yükle": "upload", "yükleme": "upload",
+}
+_WORD_CHARS = r"\p{L}\p{N}_"
+#: Names in capitals, letters that aren't capitals, and single capitals.
+_PIECES = rf"(?<![{_WORD_CHARS}])[A-Z][A-Z0-9+#.]+(?![{_WORD_CHARS}])|[^A-Z]+|[A-Z]"
+
+
+@F.pandas_udf(T.StringType())
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+
+def composed(text: Column) -> Column:
+    """Composed Unicode form. Texts without a character from U+0300 on have it already and don't go through Python."""
+    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
 
 
 def turkish_lower(text: Column) -> Column:
-    """Small letters by Turkish rules for I and İ; apostrophes alike, white space single. Acronyms must be small already."""
-    t = F.translate(F.translate(text, "’‘", "''"), "Iİ", "ıi")
-    return F.btrim(F.regexp_replace(F.lower(t), r"\s+", " "))
+    """Small letters by Turkish rules for I and İ, but for names in capitals; composed form, apostrophes alike, white space single."""
+    pieces = F.regexp_extract_all(F.translate(composed(text), "’‘", "''"), F.lit(_PIECES), F.lit(0))
+    low = F.transform(pieces, lambda p: F.when(p.rlike(r"^[A-Z][A-Z0-9+#.]+$"), F.lower(p)).otherwise(F.lower(F.translate(p, "Iİ", "ıi"))))
+    return F.btrim(F.regexp_replace(F.array_join(low, ""), r"(?U)\s+", " "))
 
 
 def turkish_words(text: Column) -> Column:
-    return F.regexp_extract_all(turkish_lower(text), F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)?"), F.lit(0))
+    return words_of(turkish_lower(text))
+
+
+def words_of(low: Column) -> Column:
+    return F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)?"), F.lit(0))
+
+
+def base_token(token: Column) -> Column:
+    return F.split_part(token, F.lit("'"), F.lit(1))
 
 
 def turkish_stem(token: Column) -> Column:
     """The part before an apostrophe without the first listed ending that leaves four letters."""
-    base = F.split_part(token, F.lit("'"), F.lit(1))
+    base = base_token(token)
     return _chain([((F.length(base) >= len(s) + 4) & base.endswith(s), F.left(base, F.length(base) - len(s))) for s in TURKISH_SUFFIXES], base)
 
 
+def _rooted(token: Column, roots: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (base_token(token).startswith(r) for r in roots))
+
+
 def root_count(tokens: Column, roots: list[str]) -> Column:
-    return F.size(F.filter(tokens, lambda t: reduce(lambda a, b: a | b, (t.startswith(r) for r in roots))))
+    return F.size(F.filter(tokens, lambda t: _rooted(t, roots)))
+
+
+def turkish_counts(text: Column, low: Column) -> dict[str, Column]:
+    """What Turkish routing looks at, of a text and its ``turkish_lower`` form: numbers of roots, connectors and plain technical words."""
+    t = words_of(low)
+    raw = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
+    return {
+        "tokens": F.size(t), "speech": root_count(t, SPEECH_ROOTS), "visual": root_count(t, VISUAL_ROOTS), "objects": root_count(t, VISUAL_OBJECTS),
+        "connectors": reduce(lambda a, b: a + b, (F.contains(low, F.lit(c)).cast("int") for c in CONNECTORS)),
+        "technical": F.size(F.filter(raw, lambda w: w.rlike(r"^[a-zA-Z0-9+#.]+(?:'[A-Za-z]+)?$"))),
+    }
+
+
+def turkish_features(text: Column, low: Column) -> list[Column]:
+    """The 14 features of a Turkish request, as doubles."""
+    n, t = turkish_counts(text, low), words_of(low)
+    first = base_token(F.coalesce(F.get(t, F.lit(0)), F.lit("")))
+    seen = n["visual"] + n["objects"] > 0
+    part = F.exists(t, lambda w: base_token(w).isin(PART_WORDS)) & (n["speech"] == 0) & ~seen
+    out = [
+        F.lit(1), F.log1p(n["tokens"].cast("double")), n["speech"], n["visual"], n["objects"], n["connectors"], (n["speech"] > 0) & seen, (n["speech"] > 0) & (n["connectors"] > 0),
+        F.contains(text, F.lit("?")), first.startswith("bul"), first.startswith("göster"), F.contains(low, F.lit("'")), n["technical"], part,
+    ]
+    return [c.cast("double") for c in out]
+
+
+def turkish_route(counts: dict[str, Column]) -> tuple[Column, Column]:
+    """Route by rule, and its reasons: speech with a connector needs both, speech or things seen alone one search."""
+    says = counts["speech"] > 0
+    seen = counts["visual"] + counts["objects"] > 0
+    both = says & (counts["connectors"] > 0)
+    r = lambda *x: F.array(*map(F.lit, x))
+    route = F.when(both, "HYBRID").when(says, "SPEECH").when(seen, "VISUAL").otherwise("HYBRID")
+    return route, F.when(both, r("turkish_speech_intent", "visual_context")).when(says, r("turkish_speech_intent")).when(seen, r("turkish_visual_intent")).otherwise(r("ambiguous"))
+
+
+def turkish_tokens(low: Column) -> Column:
+    """Stemmed words of a ``turkish_lower`` text without those that only carry a request: the tokens of Turkish search."""
+    return F.transform(F.filter(words_of(low), lambda t: ~_rooted(t, STOP_ROOTS)), turkish_stem)
+
+
+def _english(token: Column) -> Column:
+    base = base_token(token)
+    table = F.create_map(*(F.lit(x) for kv in TURKISH_ENGLISH.items() for x in kv))
+    starts = [(base.startswith(k), v) for k, v in TURKISH_ENGLISH.items() if len(k) >= 4]
+    return F.coalesce(F.try_element_at(table, base), _chain(starts, None), F.when(base.rlike(r"^[a-z0-9+#.]+$"), base))
+
+
+def adapted_visual(low: Column) -> Column:
+    """A ``turkish_lower`` request in English words for image search: listed and plain technical words; the request itself if none is left."""
+    kept = F.filter(words_of(low), lambda t: ~_rooted(t, STOP_ROOTS))
+    return F.coalesce(F.nullif(F.array_join(F.array_compact(F.transform(kept, _english)), " "), F.lit("")), low)
+
+
+def adapted_speech(low: Column, language: Column) -> Column:
+    """For English transcripts the English words, else the tokens of Turkish search."""
+    return F.when(language.eqNullSafe(F.lit("en")), adapted_visual(low)).otherwise(F.array_join(turkish_tokens(low), " "))

@@ -10,11 +10,13 @@ from pyspark.sql import types as T
 
 from cuelake.operators import evidence as ev
 from cuelake.operators import timeline as tl
+from cuelake.operators import routing as rt
 from cuelake.operators import vectors
 from cuelake.operators.routing import requested_count, temporal_relation
 from cuelake.operators.text import SQL_TOKENS, bm25, sql_bm25, stems, tokens, topic_terms
 from cuelake.plans.common import Registry
 from cuelake.plans.moments import TEN, ten
+from cuelake.plans.routing import TRTOKENS
 from cuelake.sources import views
 from cuelake.sources.tables import load
 from cuelake.storage import materialize
@@ -213,12 +215,12 @@ def semantic_speech(spark, d):
     return tl.nearest(h, views.frames(spark, d), "video_id", "start_seconds", "ts", ["thumbnail"]).select("query_id", "rank", "unit_id", "thumbnail")
 
 
-@query("r18_turkish_bm25", "seg qry", f"WITH docs AS (SELECT video_id, segment_id, list_transform({SQL_TOKENS.format('text')}, lambda t: left(t, 5)) AS tokens FROM seg), asked AS (SELECT video_id, query_id, list_transform({SQL_TOKENS.format('query_text')}, lambda t: left(t, 5)) AS tokens FROM qry), {sql_bm25('docs', 'asked', 'video_id', 'segment_id', 'query_id')} SELECT query_id, segment_id, round(score, 6) AS score FROM bm25")
-def pluggable_tokens(spark, d):
-    """BM25 over any column of tokens: here over five-letter roots, which suit a language of many endings."""
-    root = lambda c: F.transform(tokens(F.col(c)), lambda t: F.left(t, F.lit(5)))
-    docs = views.segments(spark, d).select("video_id", "segment_id", root("text").alias("tokens"))
-    a = asked(spark, d).select("video_id", "query_id", root("query_text").alias("tokens"))
+@query("r18_turkish_bm25", "seg qry", f"WITH docs AS {TRTOKENS.format('seg', 'text')}, asked AS {TRTOKENS.format('qry', 'query_text')}, {sql_bm25('docs', 'asked', 'video_id', 'segment_id', 'query_id')} SELECT query_id, segment_id, round(score, 6) AS score FROM bm25")
+def turkish_bm25(spark, d):
+    """BM25 over the tokens of Turkish search."""
+    stemmed = lambda c: rt.turkish_tokens(rt.turkish_lower(F.col(c)))
+    docs = views.segments(spark, d).select("video_id", "segment_id", stemmed("text").alias("tokens"))
+    a = asked(spark, d).select("video_id", "query_id", stemmed("query_text").alias("tokens"))
     return bm25(docs, a, ["video_id"], "segment_id", "query_id").select("query_id", "segment_id", F.round("score", 6).alias("score"))
 
 

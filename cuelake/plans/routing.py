@@ -9,6 +9,7 @@ from cuelake.operators import routing as rt
 from cuelake.operators.text import tf_idf
 from cuelake.plans.common import Registry
 from cuelake.sources import views
+from cuelake.sources.tables import load
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -95,37 +96,67 @@ def scope(spark, d):
     return questions(spark, d).select("query_id", "form", rt.scope(F.col("q")).alias("scope"))
 
 
-#: Roots of Turkish words that ask for speech, for pictures, and that only carry the request.
-SPEECH_ROOTS, VISUAL_ROOTS, STOP_ROOTS = ["anlat", "söyl", "konuş", "açıkla", "bahset"], ["göster", "görün", "ekran", "renk", "kırmızı", "mavi", "yeşil", "beyaz"], ["bul", "ara", "şu", "an", "nerede"]
-TRW = "w AS (SELECT query_id, regexp_extract_all(trim(regexp_replace(lower(translate(translate(query_text, '’‘', ''''''), 'Iİ', 'ıi')), '\\s+', ' ', 'g')), '[\\p{L}\\p{N}]+(?:''[\\p{L}\\p{N}]+)?') AS ws FROM qry)"
+#: SQL of Turkish words: pieces of word characters, +, # and points; those all in capitals are names.
+TRL = """(SELECT *, trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(replace(replace(nfc_normalize({1}), '’', ''''), '‘', ''''), '[\\p{{L}}\\p{{N}}_+#.]+|[^\\p{{L}}\\p{{N}}_+#.]+'),
+  lambda p: CASE WHEN regexp_matches(p, '^[+#.]*[A-Z][A-Z0-9+#.]+$') THEN lower(p) ELSE lower(translate(p, 'Iİ', 'ıi')) END), ''), '[\\s\\x0b\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS low FROM {0})"""
+TRW = "w AS (SELECT *, regexp_extract_all(low, '[\\p{L}\\p{N}]+(?:''[\\p{L}\\p{N}]+)?') AS ws FROM " + TRL.format("qry", "query_text") + " tl)"
+
+
+def rooted(roots):
+    return " OR ".join(f"starts_with(split_part(t, '''', 1), {r!r})" for r in roots)
 
 
 def starts(roots):
-    return f"len(list_filter(ws, lambda t: {' OR '.join(f'starts_with(t, {r!r})' for r in roots)}))"
+    return f"len(list_filter(ws, lambda t: {rooted(roots)}))"
+
+
+TECH = "len(list_filter(string_split_regex(query_text, '[\\s\\x0b\\x{85}\\p{Z}]+'), lambda r: regexp_full_match(r, '[a-zA-Z0-9+#.]+(?:''[A-Za-z]+)?')))"
+TRC = f"c AS (SELECT query_id, query_text, low, ws, {starts(rt.SPEECH_ROOTS)} AS s, {starts(rt.VISUAL_ROOTS)} AS v, {starts(rt.VISUAL_OBJECTS)} AS o, {' + '.join(f'CAST(contains(low, {c!r}) AS INT)' for c in rt.CONNECTORS)} AS c, coalesce(split_part(ws[1], '''', 1), '') AS f1, {TECH} AS tech FROM w)"
+TRFEATS = ["1", "ln(1 + len(ws))", "s", "v", "o", "c", "CAST(s > 0 AND v + o > 0 AS INT)", "CAST(s > 0 AND c > 0 AS INT)", "CAST(contains(query_text, '?') AS INT)", "CAST(starts_with(f1, 'bul') AS INT)", "CAST(starts_with(f1, 'göster') AS INT)", "CAST(contains(low, '''') AS INT)", "tech",
+           f"CAST(s = 0 AND v + o = 0 AND len(list_filter(ws, lambda t: split_part(t, '''', 1) IN ({', '.join(map(repr, rt.PART_WORDS))}))) > 0 AS INT)"]
+
 
+def turkish(spark, d):
+    return views.queries(spark, d).select("query_id", "video_id", "query_text", rt.turkish_lower(F.col("query_text")).alias("low"))
 
-@query("q10_turkish_words", "qry", f"WITH {TRW} SELECT query_id, ws AS words FROM w")
+
+@query("q10_turkish_words", "qry", f"WITH {TRW} SELECT query_id, low, ws AS words FROM w")
 def turkish_words(spark, d):
-    return views.queries(spark, d).select("query_id", rt.turkish_words(F.col("query_text")).alias("words"))
+    return turkish(spark, d).select("query_id", "low", rt.words_of(F.col("low")).alias("words"))
+
+
+@query("q11_turkish_features", "qry", f"WITH {TRW}, {TRC} SELECT query_id, [" + ", ".join(f"round(CAST({e} AS DOUBLE), 6)" for e in TRFEATS) + "] AS features FROM c")
+def turkish_features(spark, d):
+    f = rt.turkish_features(F.col("query_text"), F.col("low"))
+    return turkish(spark, d).select("query_id", F.array(*(F.round(c, 6) for c in f)).alias("features"))
 
 
-@query("q11_turkish_route", "qry", f"WITH {TRW}, c AS (SELECT query_id, {starts(SPEECH_ROOTS)} AS s, {starts(VISUAL_ROOTS)} AS v FROM w) SELECT query_id, CAST(s AS INT) AS speech, CAST(v AS INT) AS visual, CASE WHEN s > 0 AND v > 0 THEN 'HYBRID' WHEN s > 0 THEN 'SPEECH' WHEN v > 0 THEN 'VISUAL' ELSE 'HYBRID' END AS route FROM c")
+@query("q11_turkish_route", "qry", f"WITH {TRW}, {TRC} SELECT query_id, CASE WHEN s > 0 AND c > 0 THEN 'HYBRID' WHEN s > 0 THEN 'SPEECH' WHEN v + o > 0 THEN 'VISUAL' ELSE 'HYBRID' END AS route, CASE WHEN s > 0 AND c > 0 THEN ['turkish_speech_intent', 'visual_context'] WHEN s > 0 THEN ['turkish_speech_intent'] WHEN v + o > 0 THEN ['turkish_visual_intent'] ELSE ['ambiguous'] END AS reasons FROM c")
 def turkish_route(spark, d):
-    w = views.queries(spark, d).select("query_id", rt.turkish_words(F.col("query_text")).alias("ws"))
-    c = w.select("query_id", rt.root_count(F.col("ws"), SPEECH_ROOTS).alias("speech"), rt.root_count(F.col("ws"), VISUAL_ROOTS).alias("visual"))
-    s, v = F.col("speech") > 0, F.col("visual") > 0
-    return c.withColumn("route", F.when(s & v, "HYBRID").when(s, "SPEECH").when(v, "VISUAL").otherwise("HYBRID"))
+    t = turkish(spark, d)
+    r, why = rt.turkish_route(rt.turkish_counts(F.col("query_text"), F.col("low")))
+    return t.select("query_id", r.alias("route"), why.alias("reasons"))
 
 
 STEM = "CASE " + " ".join(f"WHEN len(b) >= {len(x) + 4} AND ends_with(b, '{x}') THEN left(b, len(b) - {len(x)})" for x in rt.TURKISH_SUFFIXES) + " ELSE b END"
+BASES = f"list_transform(list_filter(ws, lambda t: NOT ({rooted(rt.STOP_ROOTS)})), lambda t: split_part(t, '''', 1))"
+ENGLISH = "CASE " + " ".join(f"WHEN b = {k!r} THEN {v!r}" for k, v in rt.TURKISH_ENGLISH.items()) + " " + " ".join(f"WHEN starts_with(b, {k!r}) THEN {v!r}" for k, v in rt.TURKISH_ENGLISH.items() if len(k) >= 4) + " WHEN regexp_full_match(b, '[a-z0-9+#.]+') THEN b END"
+VISUAL = f"coalesce(nullif(array_to_string(list_filter(list_transform({BASES}, lambda b: {ENGLISH}), lambda x: x IS NOT NULL), ' '), ''), low)"
+TRTOKENS = "(SELECT *, list_transform(" + BASES + ", lambda b: " + STEM + ") AS tokens FROM (SELECT *, regexp_extract_all(low, '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)?') AS ws FROM " + TRL + " tl) tw)"
 
 
-@query("q12_turkish_stems", "qry", f"WITH {TRW} SELECT query_id, list_transform(list_transform(list_filter(ws, lambda t: NOT ({' OR '.join(f'starts_with(t, {r!r})' for r in STOP_ROOTS)})), lambda t: split_part(t, '''', 1)), lambda b: {STEM}) AS stems FROM w")
+@query("q12_turkish_stems", "qry", f"WITH {TRW} SELECT query_id, list_transform({BASES}, lambda b: {STEM}) AS stems FROM w")
 def turkish_stems(spark, d):
     """Words without the ones that carry the request, stemmed: the tokens of Turkish search."""
-    w = views.queries(spark, d).select("query_id", rt.turkish_words(F.col("query_text")).alias("ws"))
-    kept = F.filter("ws", lambda t: ~F.array(*(t.startswith(r) for r in STOP_ROOTS)).getItem(0) & ~F.exists(F.array(*(t.startswith(r) for r in STOP_ROOTS)), lambda x: x))
-    return w.select("query_id", F.transform(kept, rt.turkish_stem).alias("stems"))
+    return turkish(spark, d).select("query_id", rt.turkish_tokens(F.col("low")).alias("stems"))
+
+
+@query("q12_turkish_adapted", "qry", f"WITH {TRW}, l AS (SELECT DISTINCT video_id FROM documents WHERE video_id IS NOT NULL AND lower(split_part(replace(lang, '_', '-'), '-', 1)) = 'en') SELECT query_id, {VISUAL} AS visual, CASE WHEN video_id IN (SELECT video_id FROM l) THEN {VISUAL} ELSE array_to_string(list_transform({BASES}, lambda b: {STEM}), ' ') END AS speech FROM w")
+def turkish_adapted(spark, d):
+    """Requests as image search and as transcript search take them; a video with an English document has an English transcript."""
+    en = load(spark, d, "documents").where(F.lower(F.split_part(F.replace("lang", F.lit("_"), F.lit("-")), F.lit("-"), F.lit(1))) == "en").select("video_id", F.lit("en").alias("language"))
+    q = turkish(spark, d).join(en.where(F.col("video_id").isNotNull()).distinct(), "video_id", "left")
+    return q.select("query_id", rt.adapted_visual(F.col("low")).alias("visual"), rt.adapted_speech(F.col("low"), F.col("language")).alias("speech"))
 
 
 GRAMS = "g AS (SELECT query_id, list_distinct(flatten(list_transform([3, 4, 5], lambda n: CASE WHEN len(s) >= n THEN list_transform(generate_series(1, len(s) - n + 1), lambda i: s[i:i + n - 1]) ELSE [] END))) AS gs FROM (SELECT query_id, ' ' || array_to_string(regexp_extract_all(lower(replace(query_text, 'İ', 'i' || chr(775))), '[a-z0-9]+'), ' ') || ' ' AS s FROM qry) x)"

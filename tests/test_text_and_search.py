@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
+from cuelake.operators import routing as rt
 from cuelake.operators.fusion import VARIANTS, fuse, interleaved, preserved, quota, rescored, variants
 from cuelake.operators.text import STOP, bm25, jaccard, stems, tf_idf, tokens, topic_terms
 from cuelake.operators.vectors import adjacent_change, encode, mean_vector, normalized, scenes, top_k, valid
@@ -119,3 +121,34 @@ def test_selection_variants(spark):
     assert [r.thumbnail for r in sorted((r for r in v if r.variant == "baseline_rrf60"), key=lambda r: r["rank"])] == ["b", "a", "c", "d"]
     x = spark.createDataFrame([("q", 1, 0.1), ("q", 2, 0.9), ("q", 3, None), ("q", 4, 0.9)], "query_id string, rank bigint, s double")
     assert [r["rank"] for r in rescored(x, ["query_id"], "s", "rank", "new").orderBy("new").collect()] == [2, 4, 1, 3]
+
+
+def turkish(spark, text, language=None):
+    low = rt.turkish_lower(F.col("t"))
+    r, why = rt.turkish_route(rt.turkish_counts(F.col("t"), low))
+    df = spark.createDataFrame([(text, language)], "t string, l string")
+    return df.select(low.alias("low"), rt.turkish_words(F.col("t")).alias("words"), r.alias("route"), why.alias("why"), rt.adapted_visual(low).alias("visual"), rt.adapted_speech(low, F.col("l")).alias("speech"), F.array(*rt.turkish_features(F.col("t"), low)).alias("f")).first()
+
+
+def test_turkish_requests(spark):
+    assert turkish(spark, unicodedata.normalize("NFD", "İSTANBUL IŞIK")).low == "istanbul ışık"
+    mixed = turkish(spark, "Python'dan ve API'yi anlattığı yer")
+    assert mixed.words[:2] == ["python'dan", "ve"] and mixed.visual == "python ve api"
+    assert turkish(spark, "veritabanını açıkladığı kısmı bul").route == "SPEECH"
+    assert turkish(spark, "ekranda ayarlar menüsünün açık olduğu bölüm").route == "VISUAL"
+    both = turkish(spark, "dashboard'u gösterirken API'yi anlattığı yer")
+    assert both.route == "HYBRID" and both.why == ["turkish_speech_intent", "visual_context"]
+    assert turkish(spark, "model kısmı").why == ["ambiguous"]
+    assert turkish(spark, "Python'dan bahsettiği yeri bul", "en").speech == turkish(spark, "Python'dan bahsettiği yeri bul", "tr").speech == "python"
+    assert "screen" in turkish(spark, "ekrandaki mavi kutuyu göster").visual
+    assert turkish(spark, "Where does she explain the API?").low == "where does she explain the api?"
+    # a name in capitals keeps its i, a single capital doesn't; digits and marks may follow, letters may not
+    assert turkish(spark, "HTTP/II I APIs C++ .NETI").low == "http/ii ı apıs c++ .neti"
+
+
+def test_turkish_features(spark):
+    f = turkish(spark, "Bul: ekran'da adamı anlatırken API?").f
+    assert f == [1.0, math.log(6), 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0, 1.0, 1.0, 0.0]
+    assert turkish(spark, "hangi bölüm").f[13] == 1.0
+    empty = turkish(spark, "")
+    assert empty.words == [] and empty.visual == "" and empty.route == "HYBRID" and turkish(spark, None).low is None
