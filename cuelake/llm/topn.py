@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelake.sources.tables import load
-from cuelake.storage import shared_path
+from cuelake.storage import materialize, shared_path
 
-#: Uncompressed bytes of a row group of the clustered copy: small, so that statistics are fine and much can be skipped.
-ROW_GROUP_BYTES = 2 << 20
+#: Rows of a row group of the clustered copy, at most: few enough that a hot group has many to skip.
+ROW_GROUP_ROWS = 16_384
+#: Row groups that a task reads, about.
+READS_A_TASK = 16
 
 
 def cluster(df: DataFrame, groups: list[str], score: str, ties: list[str], key: str, recluster: bool = False) -> str:
@@ -25,13 +28,14 @@ def cluster(df: DataFrame, groups: list[str], score: str, ties: list[str], key:
 
     Each task sorts its own split by group and descending score; a table delivered group by group, as search results
     are, is then clustered as a whole without a shuffle, and a hot group lies in as many files as it came in. Tables in
-    random order are first dealt out by group and a salt (``recluster``).
+    random order are first dealt out by group and a salt (``recluster``). The copy can be read for any n.
     """
-    df = df.select(F.xxhash64(*groups).alias("_h"), *groups, key, score, *ties)
+    df = df.select(*groups, key, score, *ties)
     if recluster:
         df = df.repartition(*groups, F.pmod(F.xxhash64(key), F.lit(16)))
     path = shared_path(df.sparkSession, "clustered")
-    df.sortWithinPartitions("_h", F.desc(score), *ties, key).write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", 64 << 10).parquet(path)
+    df = df.sortWithinPartitions(F.xxhash64(*groups), *groups, F.desc(score), *ties, key)
+    df.write.option("parquet.block.row.count.limit", ROW_GROUP_ROWS).option("parquet.page.size", 64 << 10).parquet(path)
     return path
 
 
@@ -44,69 +48,102 @@ def _open(path: str) -> pq.ParquetFile:
     return pq.ParquetFile(fs.open_input_file(inner))
 
 
-def _best(table: pa.Table, groups: list[str], score: str, key: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the n best distinct keys of each group, their group codes, and the codes in row order.
+def _same(column: pq.ColumnChunkMetaData, rows: int) -> tuple[bool, object]:
+    """Whether a column chunk's statistics show one value only, and that value; null is a value."""
+    s = column.statistics
+    if s is None or not s.has_null_count:
+        return False, None
+    if s.null_count == rows:
+        return True, None
+    return s.null_count == 0 and s.has_min_max and s.min == s.max, s.max if s.has_min_max else None
 
-    Rows come sorted by ``_h``, descending score, ties and key, so repeated rows are neighbours. Groups that share a
-    hash are told apart by their columns.
+
+def row_groups(spark: SparkSession, path: str, groups: list[str], score: str, types: T.StructType) -> DataFrame:
+    """``(path, row_group, most, single, *groups)`` from the footers of clustered files.
+
+    ``most`` is a row group's maximum score; ``groups`` are the values of its only group if it is ``single``, else null.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for p in b.column(0).to_pylist():
+                meta = _open(p).metadata
+                for r in range(meta.num_row_groups):
+                    g = meta.row_group(r)
+                    at = {g.column(i).path_in_schema: g.column(i) for i in range(g.num_columns)}
+                    one = [_same(at[c], g.num_rows) for c in groups]
+                    single, s = all(x for x, _ in one), at[score].statistics
+                    rows.append((p, r, float(s.max) if s and s.has_min_max else float("inf"), single, *(v if single else None for _, v in one)))
+            kinds = [pa.string(), pa.int32(), pa.float64(), pa.bool_(), *arrow]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["path", "row_group", "most", "single", *groups])
+
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("row_group", T.IntegerType()), T.StructField("most", T.DoubleType()), T.StructField("single", T.BooleanType()), *types])
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow = [to_arrow_type(f.dataType) for f in types]
+    return materialize(files.mapInArrow(run, schema), "footers")
+
+
+def best_rows(table: pa.Table, groups: list[str], score: str, key: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows of the n best distinct keys of each group, and their ranks from 0.
+
+    Rows come clustered by group, then by descending score, ties and key, so repeated rows are neighbours.
     """
-    h = table["_h"].to_numpy()
-    code = np.zeros(len(h), np.int64)
+    rows = table.num_rows
+    first = np.zeros(rows, bool)
+    first[:1] = True
     for g in groups:
-        d = pc.dictionary_encode(table[g], null_encoding="encode").combine_chunks()
-        d = d.chunk(0) if isinstance(d, pa.ChunkedArray) else d
-        code = code * max(1, len(d.dictionary)) + d.indices.to_numpy(zero_copy_only=False)
-    order = np.arange(len(h))
-    change = (h[1:] != h[:-1]) | (code[1:] != code[:-1])
-    if change.sum() + 1 > len(np.unique(h)):
-        order = np.lexsort((order, code, h))
-    h, code = h[order], code[order]
-    ids, s = table[key].to_numpy()[order], table[score].to_numpy()[order]
-    first = np.r_[True, (h[1:] != h[:-1]) | (code[1:] != code[:-1])]
-    fresh = first | np.r_[True, (ids[1:] != ids[:-1]) | (s[1:] != s[:-1])]
+        d = pc.dictionary_encode(table[g].combine_chunks(), null_encoding="encode")
+        code = (d.chunk(0) if isinstance(d, pa.ChunkedArray) else d).indices.to_numpy(zero_copy_only=False)
+        first[1:] |= code[1:] != code[:-1]
+    fresh = first.copy()
+    for c in (key, score):
+        x = pc.dictionary_encode(table[c].combine_chunks())
+        x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).indices.to_numpy(zero_copy_only=False)
+        fresh[1:] |= x[1:] != x[:-1]
     seen = np.cumsum(fresh)
     rank = seen - seen[first][np.cumsum(first) - 1]
-    top = fresh & (rank < n)
-    return order[top], h[top], rank[top]
+    top = np.flatnonzero(fresh & (rank < n))
+    return top, rank[top]
 
 
-def read_top(path: str, groups: list[str], score: str, ties: list[str], key: str, n: int, log: list | None = None) -> Iterator[pa.Table]:
-    """The n best of each group and row group of one clustered file, read in descending maximum score.
+def read_best(reads: DataFrame, groups: list[str], score: str, ties: list[str], key: str, n: int, schema: T.StructType) -> DataFrame:
+    """The n best rows of each group in each of the row groups ``(path, row_group)``, with ``_rank`` from 0 in theirs."""
+    columns = [*groups, key, score, *ties]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: dict[str, list[int]] = defaultdict(list)
+        for b in batches:
+            for p, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                wanted[p].append(r)
+        for p, rs in wanted.items():
+            f = _open(p)
+            for r in rs:
+                t = f.read_row_group(r, columns).select(columns)
+                top, rank = best_rows(t, groups, score, key, n)
+                yield from t.take(pa.array(top)).append_column("_rank", pa.array(rank, pa.int32())).to_batches()
+
+    return reads.select("path", "row_group").mapInArrow(run, T.StructType([*schema, T.StructField("_rank", T.IntegerType())]))
 
-    A row group is skipped if its maximum lies strictly below the current n-th score of every group in it. Which groups
-    those are, its statistics tell if it has just one, else its hash column, the only one then read.
+
+def needed(footers: DataFrame, groups: list[str], score: str, ties: list[str], key: str, n: int, schema: T.StructType) -> DataFrame:
+    """The row groups that can hold one of the n best of a group.
+
+    Of each group that fills row groups, the one of the highest maximum is read first, whichever file it lies in; its
+    n-th score is a bound that all files share. Row groups of that group whose maximum lies strictly below are skipped;
+    equal scores are read, as ties decide among them. Row groups of several groups hold the ends of these groups and
+    are read.
     """
-    f = _open(path)
-    at = {f.metadata.row_group(0).column(i).path_in_schema: i for i in range(f.metadata.num_columns)} if f.metadata.num_row_groups else {}
-    stats = []
-    for r in range(f.metadata.num_row_groups):
-        h, s = (f.metadata.row_group(r).column(at[c]).statistics for c in ("_h", score))
-        stats.append((s.max if s and s.has_min_max else float("inf"), r, (h.min, h.max) if h and h.has_min_max else None))
-    nth: dict[int, float] = {}
-    edge: dict[int, dict] = {}
-    for most, r, ends in sorted(stats, key=lambda x: (-x[0], x[1])):
-        if ends and all(most < nth.get(h, -np.inf) for h in ends):
-            inside = ends if ends[0] == ends[1] else f.read_row_group(r, ["_h"])["_h"].unique().to_pylist()
-            if all(most < nth.get(h, -np.inf) for h in inside):
-                if log is not None:
-                    log.append(("skipped", r))
-                continue
-        if log is not None:
-            log.append(("read", r))
-        table = f.read_row_group(r, ["_h", *groups, key, score, *ties])
-        rows, h, rank = _best(table, groups, score, key, n)
-        top = table.take(pa.array(rows))
-        # only the first and the last group can go on in another row group; a hash that two groups share gets no bound
-        for g in {int(h[0]), int(h[-1])}:
-            mine = np.flatnonzero(h == g)
-            if len(set(zip(*(top[c].take(pa.array(mine)).to_pylist() for c in groups)))) > 1:
-                continue
-            have = edge.setdefault(g, {})
-            have.update(zip(top[key].take(pa.array(mine)).to_pylist(), top[score].take(pa.array(mine)).to_pylist()))
-            best = sorted(have.values(), reverse=True)[:n]
-            if len(best) == n:
-                nth[g] = best[-1]
-        yield top.drop_columns(["_h"])
+    single = footers.where("single")
+    lead = single.groupBy(*groups).agg(F.max(F.struct("most", "path", "row_group")).alias("x"), F.count("*").alias("c")).where("c > 1")
+    bounds = read_best(lead.select("x.path", "x.row_group"), groups, score, ties, key, n, schema).where(F.col("_rank") == n - 1)
+    bounds = bounds.groupBy(*groups).agg(F.max(score).alias("_nth")).withColumnsRenamed({g: f"_b_{g}" for g in groups})
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_b_{g}"))
+    return footers.join(bounds, F.col("single") & same, "left").where(F.col("_nth").isNull() | (F.col("most") >= F.col("_nth"))).select("path", "row_group", "most")
 
 
 def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], key: str, n: int, recluster: bool = False) -> DataFrame:
@@ -117,32 +154,40 @@ def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], key: st
     beside those named are not carried along. A task hands on at most n rows of a group and row group, so no group,
     however hot, is gathered in one place.
     """
-    num = [c for c in (score, *ties)]
+    near, _, _ = _plan(df, groups, score, ties, key, n, recluster)
+    w = W.partitionBy(*groups).orderBy(F.desc(score), *ties, key)
+    return near.drop("_rank").withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= n).dropDuplicates([*groups, "rank"])
+
+
+def _plan(df: DataFrame, groups: list[str], score: str, ties: list[str], key: str, n: int, recluster: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The best rows by row group, all row groups, and those that are read."""
     clean = df.where(F.col(key).isNotNull())
-    for c in num:
+    for c in (score, *ties):
         clean = clean.where(F.abs(c) < float("inf"))
-    spark = df.sparkSession
-    path = cluster(clean, groups, score, ties, key, recluster)
     schema = clean.select(*groups, key, score, *ties).schema
+    path = cluster(clean, groups, score, ties, key, recluster)
+    footers = row_groups(df.sparkSession, path, groups, score, T.StructType([schema[g] for g in groups]))
+    reads = materialize(needed(footers, groups, score, ties, key, n, schema), "reads")
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-reads.count() // READS_A_TASK))
+    dealt = reads.repartition(tasks, "path", "row_group").sortWithinPartitions("path", F.desc("most"))
+    return read_best(dealt, groups, score, ties, key, n, schema), footers, reads
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p in b["path"]:
-                for t in read_top(p, groups, score, ties, key, n):
-                    yield t.to_pandas()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
-    near = files.mapInPandas(run, schema)
-    w = W.partitionBy(*groups).orderBy(F.desc(score), *ties, key)
-    return near.withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= n).dropDuplicates([*groups, "rank"])
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple:
+    return load(spark, sf_dir, "coarse_candidates"), ["query_id", "video_id"], "score", ["timestamp_s"], "candidate_id", 5
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = load(spark, sf_dir, "coarse_candidates")
-    return top_n(df, ["query_id", "video_id"], "score", ["timestamp_s"], "candidate_id", 5).select("query_id", "video_id", "candidate_id")
+    return top_n(*_candidates(spark, sf_dir)).select("query_id", "video_id", "candidate_id")
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many row groups the clustered copy has and how many of them p5_found reads."""
+    _, footers, read = _plan(*_candidates(spark, sf_dir), False)
+    return footers.agg(F.count("*").alias("row_groups")).crossJoin(F.broadcast(read.agg(F.count("*").alias("read"))))
 
 
-QUERIES = {"p5_found": found}
+QUERIES = {"p5_found": found, "p5_reads": reads}
 SQL = {
     "p5_found": """
 SELECT query_id, video_id, candidate_id FROM (

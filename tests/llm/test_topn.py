@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from cuelake.llm import topn
-from cuelake.llm.topn import cluster, read_top, top_n
+from cuelake.llm.topn import _plan, top_n
 
 NAN, INF = float("nan"), float("inf")
 
@@ -50,19 +50,25 @@ def test_shared_hashes_are_told_apart(spark, monkeypatch):
     assert run(path_df, 3) == brute(data, 3)
 
 
-def test_hot_row_groups_are_skipped(spark, monkeypatch):
-    monkeypatch.setattr(topn, "ROW_GROUP_BYTES", 4 << 10)
-    df = spark.range(60_000).selectExpr("'hot' q", "'u' v", "id", "double(id % 97) t", "double(pmod(hash(id), 100000)) s").coalesce(1)
-    path = cluster(df, ["q", "v"], "s", ["t"], "id")
-    (file,) = (r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").collect())
-    log = []
-    got = [t for t in read_top(file, ["q", "v"], "s", ["t"], "id", 5, log)]
-    assert sum(k == "read" for k, _ in log) == 1 and sum(k == "skipped" for k, _ in log) >= 3
-    best = sorted(((-r.s, r.t, r.id) for r in df.collect()))[:5]
-    assert [t["id"].to_pylist() for t in got] == [[i for _, _, i in best]]
+def test_hot_row_groups_are_skipped_across_files(spark, monkeypatch):
+    monkeypatch.setattr(topn, "ROW_GROUP_ROWS", 1000)
+    hot = spark.range(0, 60_000, 1, 4).selectExpr("'hot' q", "cast(null as string) v", "id", "double(id % 97) t", "double(pmod(hash(id), 100000)) s")
+    few = spark.range(0, 50, 1, 4).selectExpr("concat('g', id % 9) q", "'u' v", "id + 100000 id", "1.0D t", "double(id % 3) s")
+    df = hot.unionByName(few).coalesce(4)
+    near, footers, reads = _plan(df, ["q", "v"], "s", ["t"], "id", 5, False)
+    assert footers.where("single and q = 'hot'").count() >= 40
+    assert reads.count() <= footers.where("not single").count() + footers.where("single and q != 'hot'").count() + 8
+    data = [tuple(r) for r in df.collect()]
+    assert run(df, 5) == brute(data, 5) and near.count() < 500
 
 
 def test_ties_at_the_bound_are_read(spark, monkeypatch):
-    monkeypatch.setattr(topn, "ROW_GROUP_BYTES", 4 << 10)
+    monkeypatch.setattr(topn, "ROW_GROUP_ROWS", 1000)
     df = spark.range(30_000).selectExpr("'hot' q", "'u' v", "id", "double(30000 - id) t", "1.0D s").coalesce(1)
     assert run(df, 3) == {("hot", "u", 29999 - k, k + 1) for k in range(3)}
+    assert _plan(df, ["q", "v"], "s", ["t"], "id", 3, False)[2].count() == 30
+
+
+def test_group_columns_of_other_types(spark):
+    df = spark.createDataFrame([(1, 2**53 + 1, 7, 1.0, 0.5), (None, 2**53 + 1, 8, 1.0, 0.5), (1, 2**53, 9, 1.0, 0.4), (1, None, 10, 1.0, 0.4)], "q int, v bigint, id bigint, t double, s double")
+    assert run(df, 1) == {(1, 2**53 + 1, 7, 1), (None, 2**53 + 1, 8, 1), (1, 2**53, 9, 1), (1, None, 10, 1)}
