@@ -158,8 +158,20 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(sets, "video_id", load(spark, sf_dir, "split_targets"))
 
 
-QUERIES = {"p4_found": found, "p4_assigned": assigned}
+def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must not be, ``(fault, id)``: a tie value or set in two splits, a video without a split or with two."""
+    v = _ties(spark, sf_dir)
+    a = materialize(assign(materialize(tied(v, "video_id", ["g", "f"]), "sets"), "video_id", load(spark, sf_dir, "split_targets")), "assigned")
+    out = v.select("video_id").distinct().join(a.groupBy("video_id").count().where("count = 1"), "video_id", "left_anti").select(F.lit("not one split").alias("fault"), F.col("video_id").alias("id"))
+    for name, x in (("set", a.select(F.col("set_id").alias("id"), "assigned")), *((t, v.join(a, "video_id").where(F.col(t).isNotNull()).select(F.col(t).alias("id"), "assigned")) for t in ("g", "f"))):
+        two = x.groupBy("id").agg(F.min("assigned").alias("lo"), F.max("assigned").alias("hi")).where("lo != hi")
+        out = out.unionByName(two.select(F.lit(f"{name} in two splits").alias("fault"), "id"))
+    return out
+
+
+QUERIES = {"p4_found": found, "p4_assigned": assigned, "p4_faults": faults}
 SQL = {
+    "p4_faults": "SELECT '' AS fault, '' AS id WHERE false",
     "p4_found": """
 WITH RECURSIVE v AS (
   SELECT DISTINCT video_id, lower(regexp_replace(split, '[\\s_-]', '', 'g')) AS split, lower(trim(source_sha256)) AS f,

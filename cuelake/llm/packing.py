@@ -126,8 +126,9 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that had to be cut: those with a second piece, read from the packed rows, which are written whole."""
-    return materialize(packed(spark, sf_dir), "packed").where("piece_no = 1").select("doc_id")
+    """Documents that had to be cut: those that lie in more than one container. Each piece but the last fills its own."""
+    each = packed(spark, sf_dir).groupBy("doc_id").agg(F.min("container_id").alias("lo"), F.max("container_id").alias("hi"))
+    return each.where("lo < hi").select("doc_id")
 
 
 def fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,5 +138,15 @@ def fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(n.alias("containers"), F.ceil(used / CAPACITY).cast("bigint").alias("least"), (1 - used / (n * CAPACITY)).alias("unused_share"), F.max("used").alias("fullest"))
 
 
-QUERIES = {"p7_found": found, "p7_pack": packed, "p7_fill": fill}
-SQL: dict[str, str] = {}
+def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must not be, ``(fault, id)``: containers too full, and documents that lost tokens, have a piece twice or were cut without need."""
+    tokens = token_counts(spark, sf_dir)
+    p = materialize(pack(tokens, "doc_id", "n_tokens"), "packed")
+    full = p.groupBy(F.col("container_id").alias("id")).agg(F.sum("size").alias("s")).where(F.col("s") > CAPACITY).select(F.lit("too full").alias("fault"), "id")
+    each = p.groupBy("doc_id").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.countDistinct("piece_no").alias("d"))
+    whole = tokens.join(each, "doc_id", "left").where((F.coalesce("s", F.lit(0)) != F.col("n_tokens")) | (F.col("n") != F.col("d")) | (F.col("n") > F.ceil(F.col("n_tokens") / CAPACITY)))
+    return full.unionByName(whole.select(F.lit("not whole").alias("fault"), F.col("doc_id").alias("id")))
+
+
+QUERIES = {"p7_found": found, "p7_pack": packed, "p7_fill": fill, "p7_faults": faults}
+SQL = {"p7_faults": "SELECT '' AS fault, CAST(0 AS BIGINT) AS id WHERE false"}
