@@ -14,6 +14,27 @@ from pyspark.sql import functions as F
 from cuelake.storage import materialize
 
 BITS = 20
+#: A key of more rows is hot; of more hot keys than HOT_KEYS the hottest are treated as such, so that they can be broadcast.
+HOT_ROWS, HOT_KEYS = 1_000_000, 10_000
+
+
+def hot_keys(df: DataFrame, on: list[str]) -> DataFrame | None:
+    """The values of ``on`` that more than HOT_ROWS rows share, HOT_KEYS at most; None if there are none."""
+    counts = df.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
+    hot = materialize(counts.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*on), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each value of ``on``, however many rows of ``left`` have one value.
+
+    Rows of ``hot`` values stay where they are: their counterparts, at most HOT_KEYS rows, are broadcast.
+    """
+    if hot is None:
+        return left.join(right, on)
+    few = right.join(F.broadcast(hot), on, "left_semi")
+    rest = left.join(F.broadcast(hot), on, "left_anti").join(right, on)
+    return rest.unionByName(left.join(F.broadcast(few), on))
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, weight: str, out: str, ties: list[str] = []) -> DataFrame:

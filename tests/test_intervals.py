@@ -47,3 +47,17 @@ def test_faulty_bounds_and_empty(spark):
     got = counting(df.withColumn("done", F.lit("clash")), ["id"], F.col("s"), F.col("e")).collect()
     assert sorted(map(tuple, got)) == [("a", 0, 1000), ("a", 1000, 2000)]
     assert spans(counting(df.limit(0), ["id"], F.col("s"), F.col("e")), ["id"]).count() == 0
+
+
+def test_skew_join(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "HOT_ROWS", 10)
+    left = spark.range(200).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 60)) k", "id")
+    right = left.select("k").distinct().where("k != 'k1'").selectExpr("k", "hash(k) v")
+    assert blocks.hot_keys(left.where("k != 'hot'"), ["k"]) is None
+    hot = blocks.hot_keys(left, ["k"])
+    assert [r.k for r in hot.collect()] == ["hot"]
+    want = sorted(map(tuple, left.join(right, ["k"]).collect()))
+    assert sorted(map(tuple, blocks.skew_join(left, right, ["k"], hot).collect())) == want
+    assert sorted(map(tuple, blocks.skew_join(left, right, ["k"], None).collect())) == want
+    monkeypatch.setattr(blocks, "HOT_ROWS", 1_000_000)
+    assert blocks.hot_keys(left, ["k"]) is None
