@@ -25,16 +25,16 @@ def hot_keys(df: DataFrame, on: list[str]) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
-    """``left`` joined with ``right``, which has one row for each value of ``on``, however many rows of ``left`` have one value.
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``left`` joined (inner or left) with ``right``, which has one row for each value of ``on`` that many rows of ``left`` may share.
 
     Rows of ``hot`` values stay where they are: their counterparts, at most HOT_KEYS rows, are broadcast.
     """
     if hot is None:
-        return left.join(right, on)
+        return left.join(right, on, how)
     few = right.join(F.broadcast(hot), on, "left_semi")
-    rest = left.join(F.broadcast(hot), on, "left_anti").join(right, on)
-    return rest.unionByName(left.join(F.broadcast(few), on))
+    rest = left.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
+    return rest.unionByName(left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how))
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, weight: str, out: str, ties: list[str] = []) -> DataFrame:

@@ -59,5 +59,7 @@ def test_skew_join(spark, monkeypatch):
     want = sorted(map(tuple, left.join(right, ["k"]).collect()))
     assert sorted(map(tuple, blocks.skew_join(left, right, ["k"], hot).collect())) == want
     assert sorted(map(tuple, blocks.skew_join(left, right, ["k"], None).collect())) == want
+    outer = sorted(map(tuple, left.join(right.where("k != 'hot'"), ["k"], "left").collect()), key=repr)
+    assert sorted(map(tuple, blocks.skew_join(left, right.where("k != 'hot'"), ["k"], hot, "left").collect()), key=repr) == outer
     monkeypatch.setattr(blocks, "HOT_ROWS", 1_000_000)
     assert blocks.hot_keys(left, ["k"]) is None
