@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuelake.operators.blocks import hot_keys, skew_join
 from cuelake.sources.tables import load
 from cuelake.storage import materialize
 
@@ -76,15 +77,16 @@ def _seed_of(near: DataFrame) -> DataFrame:
         return near.select("n", F.col("m").alias("seed"))
     least = near.groupBy("n").agg(F.min(_priority("m")).alias("best"))
     seen = materialize(least.where(_priority("n") < F.col("best")).select("n", F.col("n").alias("seed")), "seen")
-    frontier = seen
+    frontier, hot = seen, hot_keys(near, ["n"])
     while True:
-        reached = frontier.join(near, "n").select(F.col("m").alias("n"), "seed").groupBy("n").agg(F.min_by("seed", F.xxhash64("seed")).alias("seed"))
+        reached = skew_join(near, frontier, ["n"], hot).select(F.col("m").alias("n"), "seed").groupBy("n").agg(F.min_by("seed", F.xxhash64("seed")).alias("seed"))
         frontier = materialize(reached.join(seen, "n", "left_anti"), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     to = seen.select(F.col("n").alias("m"), F.col("seed").alias("b"))
-    touching = near.where("n < m").join(seen.withColumnRenamed("seed", "a"), "n").join(to, "m").where("a != b").select("a", "b").distinct()
+    touching = skew_join(near.where("n < m"), seen.withColumnRenamed("seed", "a"), ["n"], hot)
+    touching = skew_join(touching, to, ["m"], None if hot is None else hot.withColumnRenamed("n", "m")).where("a != b").select("a", "b").distinct()
     above = _seed_of(materialize(neighbours(touching), "collisions")).select(F.col("n").alias("seed"), F.col("seed").alias("top"))
     return materialize(seen.join(above, "seed", "left").select("n", F.coalesce("top", "seed").alias("seed")), "seeds")
 
@@ -94,22 +96,24 @@ def tied(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
 
     ``set_id`` is the smallest key of the set. A null tie ties nothing, a null key is dropped, repeated keys count once
     with the ties of all their rows. Each value of a tie is a node of its own beside the keys, so a value that a third
-    of all keys share costs one edge a key and no pair; values of a single key are left out of the graph.
+    of all keys share costs one edge a key and no pair; values of a single key are left out of the graph. Values, nodes
+    and sets that many rows share are joined where these rows lie (``skew_join``).
     """
     df = df.where(F.col(key).isNotNull())
     links = df.select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("a"), F.explode(F.array(*(F.concat(F.lit(f"{i}:"), F.col(t)) for i, t in enumerate(ties)))).alias("b")).where(F.col("b").isNotNull()).distinct()
     links = materialize(links, "links")
-    shared = links.groupBy("b").agg(F.count("*").alias("c")).where("c > 1").select("b")
-    links = links.join(shared, "b")
+    alone = links.groupBy("b").agg(F.count("*").alias("c"), F.min("a").alias("a")).where("c = 1").select("a", "b")
+    links = links.join(alone, ["a", "b"], "left_anti")
     # keys with one shared value hang on it; only those with several tie values together
-    of = links.groupBy("a").agg(F.min("b").alias("hub"), F.max("b").alias("last"))
+    of = materialize(links.groupBy("a").agg(F.min("b").alias("hub"), F.max("b").alias("last")), "hubs")
     hubs = links.join(of.where("hub != last"), "a").select(F.col("hub").alias("a"), "b")
     hub = components(hubs).select(F.col("n").alias("hub"), F.col("component").alias("top"))
-    sets = of.join(hub, "hub", "left").select(F.substr("a", F.lit(2)).alias("_k"), F.coalesce("top", "hub").alias("_set"))
+    sets = skew_join(of, hub, ["hub"], hot_keys(of, ["hub"]), "left").select(F.substr("a", F.lit(2)).alias("_k"), F.coalesce("top", "hub").alias("_set"))
     keys = df.select(F.col(key), F.col(key).cast("string").alias("_k")).distinct().join(sets, "_k", "left")
     keys = keys.withColumn("_set", F.coalesce("_set", F.concat(F.lit("k"), "_k")))
+    keys = materialize(keys, "keys")
     first = keys.groupBy("_set").agg(F.min(key).alias("set_id"))
-    return keys.join(first, "_set").select(key, "set_id")
+    return skew_join(keys, first, ["_set"], hot_keys(keys, ["_set"])).select(key, "set_id")
 
 
 def assign(sets: DataFrame, key: str, targets: DataFrame) -> DataFrame:
@@ -136,7 +140,7 @@ def assign(sets: DataFrame, key: str, targets: DataFrame) -> DataFrame:
     last = F.lit(share[-1].split_name) if share else F.lit(None).cast("string")
     placed = sizes.withColumn("before", inside).join(ys, ["x", "y"]).withColumn("at", at)
     placed = placed.select("set_id", (pick.otherwise(last) if pick is not None else last).alias("assigned"))
-    return sets.join(placed, "set_id").select(key, "set_id", "assigned")
+    return skew_join(sets, placed, ["set_id"], hot_keys(sets, ["set_id"])).select(key, "set_id", "assigned")
 
 
 def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from cuelake.llm.components import assign, components, file_hash, found, group_name, split_name, tied
+from cuelake.operators import blocks
 
 
 def brute(pairs):
@@ -31,6 +32,12 @@ def test_components_equal_union_find(spark):
     assert run(spark, pairs) == brute(pairs)
 
 
+def test_hot_values(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "HOT_ROWS", 20)
+    test_long_chain_and_hub(spark)
+    test_tied_and_assigned(spark)
+
+
 def test_long_chain_and_hub(spark):
     pairs = [(f"c{i:03}", f"c{i + 1:03}") for i in range(120)] + [("hub", f"leaf{i}") for i in range(500)]
     assert run(spark, pairs) == brute(pairs)
