@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,44 +11,74 @@ import regex
 #: A line's mark: bullet, number, time, count or evidence mark, each followed by white space.
 MARK = regex.compile(r"\s*(?:[-–—*•·+>]|\(?\d{1,3}[.)]|\(\d{1,3}\)|\[?\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?\]?|\d{1,4}\s?[x×]|#{1,6})\s+")
 LABEL = regex.compile(r"\p{L}[\p{L}\p{M}\d_-]*(?: \d+)?:\s+")
-END = regex.compile(r"[.!?…。？！][\"'”’»)\]]*(?:\s*\[[^\]\s]{1,12}\])?\s*$")
+ENDS, CLOSERS = frozenset(".!?…。？！"), "\"'”’»)]"
+#: Characters of an evidence mark in brackets that may follow the end of a sentence, at most.
+EVIDENCE = 12
 INNER = regex.compile(r"[.!?…。？！][\"'”’»)\]]*(?:\s*\[[^\]\s]{1,12}\])?\s+(?=[\"'“‘«¿¡(\[]*[\p{L}\d])")
 WORD = regex.compile(r"[\p{L}\p{M}\d]+(?:['’][\p{L}\p{M}]+)*")
+#: The same words in plain ASCII, where the quicker engine suffices.
+ASCII_WORD = re.compile(r"[a-zA-Z0-9]+(?:'[a-zA-Z]+)*")
 ALPHA = regex.compile(r"\p{L}")
 SOLID = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 STRANGE = regex.compile("[\x80-\xbf\ufffdÃÂðÐ]+")
 VOWEL = regex.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿıœāēīōūăěůő]|[^\x00-ɏ]", regex.I)
-TAG = regex.compile(r"<[^<>]{0,200}>")
+TAG = regex.compile(r"<[^<>]*>")
 VALUE = regex.compile(r"[-+±]?[\d.,:/]*\d[\d.,:/]*\s?[%€$£‰]?|-|–|—|n/?a|\?|∅", regex.I)
-FIELDS = [regex.compile(p) for p in (r"\t", r"\s*\|\s*", r"\s*;\s*", r"\s{2,}", r"\s*,\s*")]
+#: What parts fields: a character, or none for a gap of white space; and its pattern.
+FIELDS = [(c, regex.compile(p)) for c, p in (("\t", r"\t"), ("|", r"\s*\|\s*"), (";", r"\s*;\s*"), ("", r"\s{2,}"), (",", r"\s*,\s*"))]
+GAP = regex.compile(r"\s\s")
+#: Lines of a table beside the main one, at least.
+LEAST_RUN = 3
 PARTING = regex.compile(r"[^\p{L}\p{M}\p{N}\s.'’\"%()\[\]]|(?<=\s)[-–—](?=\s)")
 #: How many classes words are dealt out to where periods are sought.
 CLASSES = 4
+HEX = frozenset("0123456789abcdefABCDEF")
 CONTROL = regex.compile(r"[\p{Cf}\p{Cc}--[\n\r\t]]", regex.V1)
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text in small letters."""
+    low = text.lower()
+    return ASCII_WORD.findall(low) if low.isascii() else WORD.findall(low)
+
+
 def _fields(line: str, cut: regex.Pattern) -> list[str]:
     return [f for f in cut.split(line.strip().strip("|").strip()) if f]
 
 
+def _alike(parted: dict[int, list[str]]) -> set[int]:
+    """Which of some parted lines are rows of one table: of about one width, short fields, many of them values."""
+    widths = [len(f) for f in parted.values()]
+    usual = max(set(widths), key=widths.count)
+    near = {i: f for i, f in parted.items() if abs(len(f) - usual) <= 1}
+    n = sum(map(len, near.values()))
+    values = sum(bool(VALUE.fullmatch(x.strip())) for f in near.values() for x in f)
+    spoken = sum(len(x.split()) for f in near.values() for x in f)
+    return set(near) if len(near) >= 2 and values >= 0.3 * n and spoken <= 2 * n else set()
+
+
 def rows(lines: list[str]) -> set[int]:
-    """Which lines are rows: parted alike into three or more short fields, of which many are values."""
+    """Which lines are rows: parted alike into three or more short fields, of which many are values.
+
+    Lines anywhere in the text make one table, that of the parting which most lines share; besides, lines that follow
+    each other make tables of their own, as where a text holds several, each parted in its way.
+    """
     best: set[int] = set()
-    for cut in FIELDS:
-        parted = {i: f for i, line in enumerate(lines) if len(f := _fields(line, cut)) >= 3}
+    local: set[int] = set()
+    for mark, cut in FIELDS:
+        parted = {i: f for i, line in enumerate(lines) if (line.count(mark) >= 2 if mark else GAP.search(line)) and len(f := _fields(line, cut)) >= 3}
         if len(parted) < 2:
             continue
-        widths = [len(f) for f in parted.values()]
-        usual = max(set(widths), key=widths.count)
-        near = {i: f for i, f in parted.items() if abs(len(f) - usual) <= 1}
-        if not near:
-            continue
-        n = sum(map(len, near.values()))
-        values = sum(bool(VALUE.fullmatch(x.strip())) for f in near.values() for x in f)
-        spoken = sum(len(x.split()) for f in near.values() for x in f)
-        if len(near) >= 2 and values >= 0.3 * n and spoken <= 2 * n and len(near) > len(best):
-            best = set(near)
-    return best
+        found = _alike(parted)
+        best = max(best, found, key=len)
+        run: list[int] = []
+        for i in [*parted, -1]:
+            if run and (i != run[-1] + 1 or abs(len(parted[i]) - len(parted[run[0]])) > 1):
+                if len(run) >= LEAST_RUN:
+                    local |= found if len(run) == len(parted) else _alike({k: parted[k] for k in run})
+                run = []
+            run.append(i)
+    return best | local
 
 
 def repeats(words: list[str], least: float = 0.8) -> float:
@@ -95,27 +126,36 @@ def items_of(line: str) -> int:
 
 
 def ended(text: str) -> bool:
-    """Whether a text ends as a sentence does; only its last characters are looked at."""
+    """Whether a text ends as a sentence does: a mark of ENDS, closing quotes or brackets, perhaps an evidence mark."""
     t = text.rstrip()
-    return END.search(t, max(0, len(t) - 80)) is not None
+    if t.rstrip(CLOSERS)[-1:] in ENDS and t:
+        return bool(t.rstrip(CLOSERS))
+    if not t.endswith("]"):
+        return False
+    at = t.rfind("[", 0, len(t) - 1)
+    inside = t[at + 1 : -1]
+    if at < 0 or not 1 <= len(inside) <= EVIDENCE or "]" in inside or len(inside.split()) != 1 or inside != inside.strip():
+        return False
+    return t[:at].rstrip().rstrip(CLOSERS)[-1:] in ENDS and bool(t[:at].rstrip().rstrip(CLOSERS))
 
 
 def solid(text: str) -> int:
     """Letters, marks and digits."""
-    return sum(map(len, SOLID.findall(text)))
+    return sum(map(str.isalnum, text)) if text.isascii() else sum(map(len, SOLID.findall(text)))
 
 
-_spelled: dict[str, bool] = {}
+class _Spelling(dict):
+    """Of a word: 1 if it counts as spelled by letters, 1 + 2**32 if it has no vowel either; 0 for others. Kept by worker."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        counts = len(word) >= 2 and (word.isalpha() or not any(map(str.isdigit, word)))
+        self[word] = out = counts * (1 if VOWEL.search(word) else 1 | 1 << 32)
+        return out
 
 
-def spelled(word: str) -> bool:
-    """Whether a word has a vowel, or letters of another script than the Latin one."""
-    got = _spelled.get(word)
-    if got is None:
-        if len(_spelled) > 200_000:
-            _spelled.clear()
-        got = _spelled[word] = bool(VOWEL.search(word))
-    return got
+_spelling = _Spelling()
 
 
 def noisy(text: str, words: list[str]) -> bool:
@@ -128,27 +168,29 @@ def noisy(text: str, words: list[str]) -> bool:
         return True
     if not text.isascii() and sum(map(len, STRANGE.findall(text))) > 0.25 * dense:
         return True
-    if len(words) >= 8 and dense < 12 * len(tokens) and sum(len(t) <= 2 and all(c in "0123456789abcdefABCDEF" for c in t) for t in tokens) > 0.7 * len(tokens):
+    if len(words) >= 8 and dense < 12 * len(tokens) and sum([len(t) <= 2 for t in tokens]) > 0.7 * len(tokens) and sum(len(t) <= 2 and HEX.issuperset(t) for t in tokens) > 0.7 * len(tokens):
         return True
-    latin = [w for w in words if len(w) >= 2 and (w.isalpha() or not any(map(str.isdigit, w)))]
-    if len(latin) >= 5 and sum(not spelled(w) for w in latin) > 0.5 * len(latin):
+    spelled = sum(map(_spelling.__getitem__, words))
+    if (latin := spelled & 0xFFFFFFFF) >= 5 and spelled >> 32 > 0.5 * latin:
         return True
-    if max(map(len, tokens)) > 40 and sum(len(t) for t in tokens if len(t) > 40) > 0.5 * dense:
+    if dense > 40 and max(map(len, tokens)) > 40 and sum(len(t) for t in tokens if len(t) > 40) > 0.5 * dense:
         return True
-    broken = sum(len(t) > 2 and not t.isalnum() and not (len(t) > 3 and t[:-1].isalnum()) and solid(t) < 0.75 * len(t) for t in tokens)
-    return broken > 0.5 * len(tokens)
+    odd = [t for t in tokens if not t.isalnum() and not t[:-1].isalnum() and len(t) > 2 or len(t) == 3 and not t.isalnum()]
+    return len(odd) > 0.5 * len(tokens) and sum(solid(t) < 0.75 * len(t) for t in odd) > 0.5 * len(tokens)
 
 
-def shape(text: str, share_common) -> dict[str, float]:
+def shape(text: str, share_common, words: list[str] | None = None) -> dict[str, float]:
     """Characters of prose, list, table and junk in ``text``, and numbers of sentences, items and rows.
 
     ``share_common`` gives the share of common words among some words. Lines that go on in small letters where the one
-    before had no end belong to one paragraph, as in text wrapped at a width.
+    before had no end belong to one paragraph, as in text wrapped at a width. ``words`` are those of the text in small
+    letters, if they are known.
     """
-    text = CONTROL.sub("", text)
+    clean = CONTROL.sub("", text)
+    words = words_of(clean) if words is None or len(clean) != len(text) else words
+    text = clean
     lines = [x for x in regex.split(r"\r\n|[\n\r  \u0085]", text) if x.strip()]
     out = dict.fromkeys(("prose", "list", "table", "junk", "sentences", "items", "rows"), 0)
-    words = WORD.findall(text.lower())
     if not lines:
         return out
     if repeats(words) > 0.8 or (len(lines) > 5 and len(set(map(str.strip, lines))) <= 0.2 * len(lines)):
@@ -179,7 +221,7 @@ def shape(text: str, share_common) -> dict[str, float]:
             continue
         label = LABEL.match(body)
         inner = body[label.end():] if label else body
-        w = WORD.findall(inner.lower())
+        w = words if len(parts) == 1 and len(inner) == len(text) else words_of(inner)
         common = share_common(w)
         n = len(body)
         closed = ended(inner)
@@ -206,11 +248,20 @@ def shape(text: str, share_common) -> dict[str, float]:
     return out
 
 
-def kind_of(s: dict[str, float]) -> str:
-    """``prose``, ``list``, ``table`` or ``junk``: what most of a text is; one sentence ahead of items or rows is no prose."""
+def lean(s: dict[str, float]) -> tuple[str | None, float]:
+    """What a text is mostly if it isn't prose (``table``, ``list``, ``junk``), and how large a share of it isn't prose.
+
+    One sentence ahead of items or rows is no prose: the share is 1 then. A text of prose only has none of the kinds,
+    nor has one of sentences under a single heading or label.
+    """
+    rest = s["list"] + s["table"] + s["junk"]
+    if rest == 0 or rest == s["list"] and s["items"] < 2 and s["sentences"]:
+        return None, 0.0
     other = max(("table", "list", "junk"), key=lambda k: s[k])
-    if s[other] == 0:
-        return "prose"
-    if s["sentences"] <= 1 and s["items"] + s["rows"] >= 2 or s["prose"] < s["list"] + s["table"] + s["junk"]:
-        return other
-    return "prose"
+    return other, 1.0 if s["sentences"] <= 1 and s["items"] + s["rows"] >= 2 else rest / (rest + s["prose"])
+
+
+def kind_of(s: dict[str, float]) -> str:
+    """``prose``, ``list``, ``table`` or ``junk`` by lines alone: what most of a text is."""
+    other, share = lean(s)
+    return other if other and share > 0.5 else "prose"

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelake.llm import quality
-from cuelake.llm.quality import STATS, common_words, language, measure, outlier_scores, sharer, text_quality
-from cuelake.llm.shape import items_of, kind_of, repeats, rows, shape
+from cuelake.llm.quality import STATS, common_words, language, measure, outlier_scores, sharer, text_quality, weigh
+from cuelake.llm.shape import ended, items_of, kind_of, repeats, rows, shape
 
 
 def brute(rows, stats):
@@ -32,7 +32,7 @@ def test_scores_equal_brute_force(spark, monkeypatch, broadcast):
     data = [(i, rng.choice(["en", "en", "tr", "und"]), rng.randint(0, 9), rng.choice([0, 0, 0, 5]), rng.randint(0, 10**6)) for i in range(900)]
     data += [(1000 + i, "en", None, None, None) for i in range(3)]
     df = spark.createDataFrame(data, "k bigint, lang string, a bigint, b bigint, c bigint")
-    got = {r.k: r.outlier_score for r in outlier_scores(df, "k", ["a", "b", "c"]).collect()}
+    got = {r.k: r.outlier_score for r in outlier_scores(df, "k", ["a", "b", "c"])[0].collect()}
     want = brute(data, "abc")
     assert got.keys() == want.keys()
     assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
@@ -41,7 +41,7 @@ def test_scores_equal_brute_force(spark, monkeypatch, broadcast):
 def test_small_languages_are_pooled_and_never_ordinary_by_default(spark):
     data = [(i, "en" if i < 150 else f"x{i}", i % 7) for i in range(160)]
     df = spark.createDataFrame(data, "k bigint, lang string, a bigint")
-    got = {r.k: r.outlier_score for r in outlier_scores(df, "k", ["a"]).collect()}
+    got = {r.k: r.outlier_score for r in outlier_scores(df, "k", ["a"])[0].collect()}
     assert all(math.isinf(got[k]) for k in range(150, 160)) and not any(math.isinf(got[k]) for k in range(150))
 
 
@@ -59,11 +59,11 @@ def test_labelled_examples(spark):
 
 def test_measures():
     share = sharer({"en": ["the", "of", "a"], "tr": ["ve", "bir", "a"]})
-    assert measure("The end of it.\nA - list", share) == (6, 250, 118, 500, 500, "prose")
+    assert measure("The end of it.\nA - list", share) == (6, 250, 118, 500, 500, 364, 0, 0, 0, None)
     assert share(["ve", "bir", "the"]) == 2 / 3 and share([]) == 0.0
     for blank in (None, "", " \n\t"):
-        assert measure(blank, share) == (None,) * 6
-    assert measure("!!!", share)[:5] == (0, 0, 1000, 1000, 0)
+        assert measure(blank, share) == (None,) * 10
+    assert measure("!!!", share) == (0, 0, 1000, 1000, 0, 0, 0, 1000, 1000, "junk")
 
 
 @pytest.mark.parametrize("text,kind", [
@@ -131,3 +131,49 @@ def test_marks_behind_many_others_part_a_list():
     line = "/".join(["~ ^"] * 200) + " red lamp one two three four five six seven" * 60
     assert items_of(line) == 0
     assert items_of("".join("$^~&"[i % 4] for i in range(100)) + " red" + "; one two" * 10_000) > 10_000
+
+
+def test_tables_of_several_kinds_in_one_text():
+    tables = ["a\tb\t1\nc\td\t2\ne\tf\t3", "| x | 1 | 2 | 3 |\n| y | 2 | - | 4 |\n| z | 3 | 5 % | 1 |", "k;1;2\nl;2;n/a\nm;3;4"]
+    text = "\n\n".join(t + "\nThen we look at the next of them." for t in tables)
+    made = shape(text, sharer({"en": "the of and a is it we at then not".split()}))
+    assert made["rows"] == 9 and made["sentences"] == 3 and made["items"] == made["junk"] == 0
+
+
+def test_a_heading_is_no_list():
+    made = shape("# Old maps: a box\n\nWe look at the map.", sharer({"en": "the of and a is it we at then not".split()}))
+    assert made["items"] == 1 and kind_of(made) == "prose"
+
+
+@pytest.mark.parametrize("text", ["A b.", 'He said "no."', "Is it? [E12]", "It is (so.)", "Yes.] ", "Look…»"])
+def test_ends(text):
+    assert ended(text) and not ended(text.rstrip() + " x") and not ended("x [E12]") and not ended("x. [E 12]") and not ended("x. [" + "e" * 13 + "]")
+    assert not ended("") and not ended('"') and ended("a." + ")" * 500)
+
+
+def test_weights():
+    assert weigh([]) == weigh([(1.0, 2.0, True)] * 3) == (1.0, 0.0, 0.0)
+    lines, score, midway = weigh([(6.0, 9.0, True), (5.0, 7.0, True), (-6.0, 2.0, False), (-5.0, 4.0, False)])
+    assert lines > 0 and score > 0 and midway == 5.5
+
+
+def test_scores_decide_where_lines_are_in_doubt(spark, monkeypatch):
+    half = "- red lamp of old\n- blue box of old\nWe look at the map then. It is not a box."
+    data = [(i, f"This is the number {i} of the two. It is not the last.", "en") for i in range(150)] + [(200, half, "en")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    labelled = spark.createDataFrame([(f"We look at the map {i}. It is not a box.", "prose") for i in range(5)] + [(f"- one\n- two\n- {i}", "list") for i in range(5)], "text string, text_kind string")
+    got = {r.doc_id: r for r in text_quality(df, "doc_id", "text", "lang", labelled).collect()}
+    assert got[200].text_kind == "list" and got[0].text_kind == "prose" and got[200].outlier_score > got[0].outlier_score
+    alone = {r.doc_id: r.text_kind for r in text_quality(df, "doc_id", "text", "lang").collect()}
+    assert alone[200] == "prose"
+    assert text_quality(df, "doc_id", "text", "lang", labelled.limit(0)).count() == len(data)
+
+
+def test_labelled_texts_are_scored_like_equal_ones(spark):
+    rng = random.Random(4)
+    data = [(i, "en", rng.randint(0, 9), rng.randint(0, 99)) for i in range(300)]
+    df = spark.createDataFrame(data, "k bigint, lang string, a bigint, b bigint")
+    scored, examples = outlier_scores(df, "k", ["a", "b"], df.limit(20).withColumnRenamed("k", "example_id"))
+    want = {r.k: r.outlier_score for r in scored.collect()}
+    got = {r.example_id: r.outlier_score for r in examples.collect()}
+    assert len(got) == 20 and all(abs(want[k] - got[k]) < 1e-9 for k in got)
