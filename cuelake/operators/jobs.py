@@ -5,12 +5,18 @@ A DataFrame computes what a log amounts to. It takes no locks: who claims a job
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Attempts after which a failing job is given up.
 ATTEMPTS = 3
+#: Active jobs beyond which a queue refuses others.
+MAX_PENDING = 20
 STAGES = {"acquire": "fetching", "ingest": "preparing_video", "speech": "transcribing", "visual": "indexing"}
 #: Seconds that a job of each kind may run.
 DEADLINES = {"acquire": 3600, "ingest": 1800, "speech": 7200, "visual": 3600}
@@ -26,16 +32,46 @@ def backoff(now: Column, attempts: Column) -> Column:
     return now + F.pow(F.lit(2.0), attempts)
 
 
-def enqueued(requests: DataFrame, key: list[str], at: str, until: str) -> DataFrame:
-    """Adds ``accepted``: a request is refused while an accepted one of the same key is active (from ``at`` to ``until``).
+def enqueued(requests: DataFrame, queue: list[str], key: list[str], at: str, until: str, ident: str, most: int = MAX_PENDING) -> DataFrame:
+    """Adds ``verdict``: ``full`` if ``most`` jobs of the queue are active (from ``at`` to ``until``), ``active`` if one of
+    the same key is, else ``accepted``.
 
-    Folded in order of time for each key.
+    What happens to a request depends on all before it, so a queue is folded by one task in the order of ``at`` and
+    ``ident``, row by row from a sorted partition; what is kept are the active jobs, ``most`` at the most. Queues run side
+    by side. A null or not finite time, or an end before the start, makes a job that is never active.
     """
-    g = requests.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("t"), F.col(until).alias("u"), F.struct(*[c for c in requests.columns if c not in key]).alias("r")))).alias("l"))
-    start = F.struct(F.lit(None).cast(requests.schema[until].dataType).alias("busy"), F.array().cast("array<boolean>").alias("ok"))
-    step = lambda acc, x: F.when(acc.busy.isNull() | (x.t >= acc.busy), F.struct(x.u.alias("busy"), F.array_append(acc.ok, F.lit(True)).alias("ok"))).otherwise(F.struct(acc.busy.alias("busy"), F.array_append(acc.ok, F.lit(False)).alias("ok")))
-    flags = F.aggregate("l", start, step, lambda acc: acc.ok)
-    return g.select(*key, F.explode(F.arrays_zip(F.col("l"), flags.alias("ok"))).alias("x")).select(*key, "x.l.r.*", F.col("x.ok").alias("accepted"))
+    columns = requests.columns
+    by = [*queue, at, ident]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, active = None, {}
+        for b in batches:
+            cols = b.to_pydict()
+            verdicts = []
+            for q, k, t, u in zip(zip(*(cols[c] for c in queue)), zip(*(cols[c] for c in key)), cols[at], cols[until]):
+                if q != now:
+                    now, active = q, {}
+                if t is not None:
+                    active = {x: e for x, e in active.items() if e > t}
+                if len(active) >= most:
+                    verdicts.append("full")
+                elif k in active:
+                    verdicts.append("active")
+                else:
+                    verdicts.append("accepted")
+                    if t is not None and u is not None and t < u < float("inf"):
+                        active[k] = u
+            yield b.append_column("verdict", pa.array(verdicts, pa.string()))
+
+    schema = T.StructType([*requests.schema.fields, T.StructField("verdict", T.StringType())])
+    return requests.select(*columns).repartition(*queue).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def recovered(jobs: DataFrame) -> DataFrame:
+    """``(job_id, status)`` after their worker went away: jobs marked as running end with an error and are queued again
+    or, after the last attempt or if they can't be retried, failed. Others aren't touched."""
+    running = jobs.where(F.col("status") == "running")
+    return running.select("job_id", retried(F.col("status"), F.lit("Worker interrupted"), F.col("retryable"), F.col("attempts")).alias("status"))
 
 
 def claimable(jobs: DataFrame, now: Column, n: int) -> DataFrame:

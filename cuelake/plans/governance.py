@@ -113,9 +113,16 @@ def judgements(spark, d):
     return gv.violations(load(spark, d, "events"), "event_id", {"verdict": F.col("event_type").isin("view", "click", "purchase"), "latency": F.col("value") >= 1, "monotone": at1 <= at3})
 
 
-@query("v13_artifact_gate", "qry", "SELECT annotation_version, count(*) AS n, annotation_version = '2.0.0' AS compatible FROM qry GROUP BY ALL")
+GATE = "art AS (SELECT q.query_id, annotation_version AS visual_model, query_type AS revision, CASE WHEN expected_presence THEN 5e0 ELSE 1e0 END AS sampling_interval, modality_requirement AS mode, c.threshold FROM qry q LEFT JOIN (SELECT query_id, max(score) AS threshold FROM coarse_candidates WHERE NOT isnan(score) GROUP BY 1) c USING (query_id))"
+GATES = {"visual_model": "2.0.0", "revision": "SCENE", "sampling_interval": 5.0, "mode": "visual"}
+
+
+@query("v13_artifact_gate", "qry", f"WITH {GATE} SELECT query_id, rule FROM (SELECT query_id, unnest(list_filter([" + ", ".join(f"CASE WHEN {k} = {v!r} THEN NULL ELSE '{k}' END" for k, v in GATES.items()) + ", CASE WHEN isfinite(threshold) THEN NULL ELSE 'finite' END, CASE WHEN threshold BETWEEN -1 AND 1.001 THEN NULL ELSE 'range' END], lambda x: x IS NOT NULL)) AS rule FROM art) x")
 def artifact_gate(spark, d):
-    return views.queries(spark, d).groupBy("annotation_version").agg(F.count("*").alias("n")).withColumn("compatible", F.col("annotation_version") == "2.0.0")
+    """One calibration artifact for each query: its best raw score as threshold, its fields as what it was made for."""
+    c = load(spark, d, "coarse_candidates").where(~F.isnan("score")).groupBy("query_id").agg(F.max("score").alias("threshold"))
+    a = views.queries(spark, d).join(c, "query_id", "left").select("query_id", F.col("annotation_version").alias("visual_model"), F.col("query_type").alias("revision"), F.when(F.col("expected_presence"), 5.0).otherwise(1.0).alias("sampling_interval"), F.col("modality_requirement").alias("mode"), "threshold")
+    return gv.incompatible(a, "query_id", GATES, "threshold")
 
 
 @query("v14_question_checks", "qry", "SELECT query_id, len(trim(query_text)) > 0 AND len(query_text) <= 500 AS ok FROM qry")
@@ -134,29 +141,58 @@ def disjointness(spark, d):
     return gv.shared(views.videos(spark, d), "split", "calibration", "heldout", ["source_group", "source_sha256", "video_id"])
 
 
-@query("g02_manifest", "vid qry ivl", """WITH q AS (SELECT video_id, count(*) AS n FROM qry GROUP BY 1), v AS (SELECT video_id, max(duration_s) AS d, max(license_name) AS lic FROM vid GROUP BY 1), bad AS (SELECT DISTINCT q.video_id FROM qry q JOIN ivl i USING (query_id) JOIN v USING (video_id) WHERE i.e > v.d)
-SELECT video_id, rule FROM (SELECT v.video_id, unnest(list_filter([CASE WHEN coalesce(q.n, 0) >= 4 THEN NULL ELSE 'too_few_queries' END, CASE WHEN lic IS NOT NULL THEN NULL ELSE 'no_license' END, CASE WHEN d > 0 THEN NULL ELSE 'duration' END, CASE WHEN b.video_id IS NULL THEN NULL ELSE 'interval_past_end' END], lambda x: x IS NOT NULL)) AS rule FROM v LEFT JOIN q USING (video_id) LEFT JOIN bad b ON b.video_id = v.video_id) x""")
+CATEGORIES = ["STATIC_OBJECT", "SCENE", "HUMAN_ACTION", "OBJECT_INTERACTION", "TEMPORAL_EVENT", "SMALL_OBJECT_DETAIL", "MULTIPLE_SIMILAR_MOMENTS"]
+GROUPS = {"actions": (["HUMAN_ACTION", "TEMPORAL_EVENT"], 15), "interactions": (["OBJECT_INTERACTION"], 10)}
+CATEGORY = "CASE WHEN query_type = 'OBJECT' THEN 'STATIC_OBJECT' WHEN query_type = 'SCENE' THEN 'SCENE' WHEN query_type = 'ACTION_TEMPORAL' THEN CASE WHEN modality_requirement = 'temporal' THEN 'TEMPORAL_EVENT' ELSE 'HUMAN_ACTION' END WHEN query_type = 'COMPOSITIONAL' THEN 'OBJECT_INTERACTION' WHEN query_type = 'SPEECH' THEN 'SMALL_OBJECT_DETAIL' END"
+DIFFICULTY = "CASE WHEN length(query_text) < 60 THEN 'easy' WHEN length(query_text) < 90 THEN 'medium' WHEN length(query_text) < 140 THEN 'hard' END"
+MAN = f"""src AS (SELECT split AS manifest, video_id AS source_id, page_url AS key, lower(source_sha256) AS sha, duration_s, license_name FROM (SELECT DISTINCT video_id, page_url, source_sha256, duration_s, license_name, split FROM vid) x WHERE split IN ('calibration', 'heldout')),
+exc AS (SELECT DISTINCT page_url AS key, lower(source_sha256) AS sha FROM vid WHERE split = 'train'),
+ask AS (SELECT s.split AS manifest, q.query_id, q.video_id AS source_id, {CATEGORY} AS category, q.query_text AS text, {DIFFICULTY} AS difficulty, q.relevant_intervals AS intervals, q.modality_requirement IS NOT NULL AS audited FROM qry q JOIN (SELECT DISTINCT video_id, split FROM vid) s USING (video_id) WHERE s.split IN ('calibration', 'heldout')),
+sm AS (SELECT manifest, count(*) AS n, max(duration_s) AS long FROM src GROUP BY 1), qm AS (SELECT manifest, count(*) AS n FROM ask GROUP BY 1),
+al AS (SELECT coalesce(sm.manifest, qm.manifest) AS manifest, coalesce(sm.n, 0) AS s, coalesce(qm.n, 0) AS q, coalesce(long, 0) AS long FROM sm FULL JOIN qm USING (manifest)),
+cat AS (SELECT unnest({CATEGORIES!r}) AS c), cc AS (SELECT al.manifest, c, (SELECT count(*) FROM ask WHERE ask.manifest = al.manifest AND category = c) AS n FROM al, cat),
+kn AS (SELECT manifest, source_id, max(duration_s) AS d FROM src GROUP BY ALL), an AS (SELECT manifest, source_id, count(*) AS n FROM ask GROUP BY ALL)"""
+
+
+@query("g02_manifest", "vid qry", f"""WITH {MAN}
+SELECT manifest, 'few_sources' AS rule, NULL::VARCHAR AS subject FROM al WHERE s < 5 UNION ALL SELECT manifest, 'few_queries', NULL FROM al WHERE q < 60 UNION ALL SELECT manifest, 'no_long_source', NULL FROM al WHERE long < 1200
+UNION ALL SELECT manifest, 'few_actions', NULL FROM cc WHERE c IN ('HUMAN_ACTION', 'TEMPORAL_EVENT') GROUP BY manifest HAVING sum(n) < 15 UNION ALL SELECT manifest, 'few_interactions', NULL FROM cc WHERE c = 'OBJECT_INTERACTION' AND n < 10
+UNION ALL SELECT manifest, 'category_missing', c FROM cc WHERE n = 0
+UNION ALL SELECT manifest, 'duplicate_source', source_id FROM src GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT manifest, 'duplicate_media', sha FROM src WHERE sha IS NOT NULL GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT manifest, 'duplicate_query', query_id FROM ask GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT manifest, 'duplicate_address', key FROM src WHERE key IS NOT NULL GROUP BY ALL HAVING count(DISTINCT source_id) > 1
+UNION ALL SELECT DISTINCT manifest, 'leaked_address', key FROM src WHERE key IN (SELECT key FROM exc WHERE key IS NOT NULL) UNION ALL SELECT DISTINCT manifest, 'leaked_media', sha FROM src WHERE sha IN (SELECT sha FROM exc WHERE sha IS NOT NULL)
+UNION ALL SELECT manifest, 'source_incomplete', source_id FROM src WHERE NOT coalesce(len(trim(license_name)) > 0 AND duration_s > 0 AND isfinite(duration_s), false)
+UNION ALL SELECT kn.manifest, 'few_queries_of_source', kn.source_id FROM kn LEFT JOIN an USING (manifest, source_id) WHERE coalesce(n, 0) < 8 UNION ALL SELECT manifest, 'unknown_source', source_id FROM an ANTI JOIN kn USING (manifest, source_id)
+UNION ALL SELECT manifest, 'category', query_id FROM ask WHERE category IS NULL UNION ALL SELECT manifest, 'query', query_id FROM ask WHERE NOT coalesce(len(trim(text)) > 0 AND difficulty IS NOT NULL, false) UNION ALL SELECT manifest, 'audit', query_id FROM ask WHERE NOT audited
+UNION ALL SELECT manifest, 'intervals', query_id FROM ask LEFT JOIN kn USING (manifest, source_id) WHERE NOT coalesce(len(intervals) > 0 AND len(list_filter(intervals, lambda i: coalesce(len(i) = 2 AND isfinite(i[1]) AND isfinite(i[2]) AND i[1] >= 0 AND i[1] <= i[2] AND i[2] <= d, false))) = len(intervals), false)""")
 def manifest(spark, d):
-    v = views.videos(spark, d).groupBy("video_id").agg(F.max("duration_s").alias("d"), F.max("license_name").alias("lic"))
-    q = views.queries(spark, d).select("query_id", "video_id")
-    n = q.groupBy("video_id").agg(F.count("*").alias("n"))
-    late = q.join(views.intervals(spark, d), "query_id").groupBy("video_id").agg(F.max("e").alias("e"))
-    j = v.join(n, "video_id", "left").join(late, "video_id", "left")
-    return gv.violations(j, "video_id", {"too_few_queries": F.coalesce("n", F.lit(0)) >= 4, "no_license": F.col("lic").isNotNull(), "duration": F.col("d") > 0, "interval_past_end": F.coalesce(F.col("e") <= F.col("d"), F.lit(True))})
+    """The splits calibration and heldout as manifests; sources of the training split may not occur in them."""
+    v = views.videos(spark, d).select("video_id", "page_url", F.lower("source_sha256").alias("sha256"), "duration_s", F.col("license_name").alias("license"), "split").distinct()
+    mine = v.where(F.col("split").isin("calibration", "heldout"))
+    keys = F.array_compact(F.array("page_url"))
+    sources = mine.select(F.col("split").alias("manifest"), F.col("video_id").alias("source_id"), keys.alias("keys"), "sha256", "duration_s", "license")
+    q = views.queries(spark, d).join(mine.select("video_id", F.col("split").alias("manifest")).distinct(), "video_id")
+    asked = q.select("manifest", "query_id", F.col("video_id").alias("source_id"), F.expr(CATEGORY).alias("category"), F.col("query_text").alias("text"), F.expr(DIFFICULTY).alias("difficulty"), F.col("relevant_intervals").alias("intervals"), F.col("modality_requirement").isNotNull().alias("audited"))
+    return gv.manifest_faults(sources, asked, v.where("split = 'train'").select(keys.alias("keys"), "sha256"), CATEGORIES, GROUPS)
 
 
-@query("g03_freeze", "vid", "SELECT video_id, sha256(concat_ws('|', video_id, path)) AS digest FROM vid WHERE duration_s > 200 EXCEPT SELECT video_id, sha256(concat_ws('|', video_id, path)) FROM vid WHERE duration_s <= 400")
+@query("g03_freeze", "vid qry", "SELECT query_id, CASE WHEN split IS NULL THEN 'missing' ELSE 'changed' END AS state FROM qry JOIN (SELECT DISTINCT video_id, split FROM vid) s USING (video_id) WHERE split IS NULL OR sha256(query_text) <> sha256(trim(regexp_replace(query_text, '\\s+', ' ', 'g')))")
 def freeze(spark, d):
-    """Frozen digests that the present files don't have."""
-    v = views.videos(spark, d).select("video_id", F.sha2(F.concat_ws("|", "video_id", "path"), 256).alias("digest"), "duration_s")
-    return v.where("duration_s > 200").drop("duration_s").distinct().join(v.where("duration_s <= 400").drop("duration_s"), ["video_id", "digest"], "left_anti")
+    """Texts frozen as delivered against those of videos with a split, white space made single."""
+    v = views.videos(spark, d).where("split IS NOT NULL").select("video_id").distinct()
+    q = views.queries(spark, d)
+    now = q.join(v, "video_id").select("query_id", F.sha2(F.btrim(F.regexp_replace("query_text", r"\s+", " ")), 256).alias("digest"))
+    return gv.frozen_faults(q.select("query_id", F.sha2("query_text", 256).alias("digest")), now, "query_id", "digest")
 
 
-@query("g04_fingerprints", "seg", "SELECT video_id, count(*) AS rows, sha256(string_agg(sha256(CAST(segment_id AS VARCHAR) || chr(31) || CAST(CAST(round(start_s * 1000) AS BIGINT) AS VARCHAR) || chr(31) || CAST(CAST(round(end_s * 1000) AS BIGINT) AS VARCHAR) || chr(31) || trim(text)), '' ORDER BY segment_id)) AS fingerprint FROM seg GROUP BY 1")
+BLOCKS = "".join(f", h{i + 1} AS (SELECT video_id, sum(rows) AS rows, {o} AS o, sha256(string_agg(h, '' ORDER BY o, h)) AS h FROM h{i} GROUP BY video_id{g})" for i, (o, g) in enumerate([("o // 65536", ", o // 65536")] * 2 + [("0", "")]))
+
+
+@query("g04_fingerprints", "seg", f"WITH h0 AS (SELECT video_id, 1 AS rows, segment_id AS o, sha256(CAST(segment_id AS VARCHAR) || chr(31) || CAST(CAST(round(start_s * 1000) AS BIGINT) AS VARCHAR) || chr(31) || CAST(CAST(round(end_s * 1000) AS BIGINT) AS VARCHAR) || chr(31) || trim(text)) AS h FROM seg){BLOCKS} SELECT video_id, CAST(rows AS BIGINT) AS rows, h AS fingerprint FROM h3")
 def fingerprints(spark, d):
     """A transcript's fingerprint changes with any of its segments, bounds to the millisecond."""
     ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
-    return gv.fingerprint(views.segments(spark, d), ["video_id"], ["segment_id"], [F.col("segment_id"), ms("start_s"), ms("end_s"), F.trim("text")])
+    return gv.fingerprint(views.segments(spark, d), ["video_id"], "segment_id", [F.col("segment_id"), ms("start_s"), ms("end_s"), F.trim("text")])
 
 
 QT = f"t AS (SELECT query_id, split, list_distinct({SQL_TOKENS.format('query_text')}) AS ts, query_text FROM qry JOIN (SELECT DISTINCT video_id, split FROM vid) USING (video_id))"
@@ -170,14 +206,24 @@ def exact_leakage(spark, d):
     return side("train").join(side("heldout"), "text")
 
 
-@query("g06_dataset_checks", "qry vid", """WITH c AS (SELECT v.split, q.query_type, count(*) AS n FROM qry q JOIN (SELECT DISTINCT video_id, split FROM vid) v USING (video_id) GROUP BY ALL), r AS (SELECT split, max(n) - min(n) AS gap FROM c GROUP BY 1)
-SELECT split, 'unbalanced' AS rule, gap FROM r WHERE gap > 1""")
+ROUTE = "CASE modality_requirement WHEN 'temporal' THEN 'visual' ELSE modality_requirement END"
+
+
+@query("g06_dataset_checks", "qry vid", f"""WITH s AS (SELECT DISTINCT video_id AS source_id, split FROM vid), r AS (SELECT query_id, video_id AS source_id, split, query_text AS text, {ROUTE} AS route FROM qry JOIN (SELECT DISTINCT video_id, split FROM vid) v USING (video_id)),
+p AS (SELECT DISTINCT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS f FROM r WHERE split = 'heldout'), h AS (SELECT source_id, min(split) AS lo, max(split) AS hi FROM s GROUP BY 1), sp AS (SELECT unnest(['train', 'calibration', 'heldout']) AS x),
+c AS (SELECT split, count(*) FILTER (route = 'visual') AS a, count(*) FILTER (route = 'speech') AS b, count(*) FILTER (route = 'hybrid') AS c FROM r GROUP BY 1)
+SELECT 'few_sources' AS rule, NULL::VARCHAR AS subject FROM (SELECT count(DISTINCT source_id) AS n FROM s) x WHERE n < 9 UNION ALL SELECT 'few_queries', NULL FROM (SELECT count(*) AS n FROM r) x WHERE n < 300 UNION ALL SELECT 'split_without_sources', x FROM sp WHERE x NOT IN (SELECT split FROM s WHERE split IS NOT NULL)
+UNION ALL SELECT 'source_in_two_splits', source_id FROM h WHERE lo <> hi UNION ALL SELECT 'split_of_source', query_id FROM r LEFT JOIN h USING (source_id) WHERE NOT coalesce(split = lo AND lo = hi, false)
+UNION ALL SELECT 'unbalanced', split FROM c WHERE greatest(a, b, c) - least(a, b, c) > 1 OR least(a, b, c) = 0 UNION ALL SELECT 'duplicate_id', query_id FROM r GROUP BY query_id HAVING count(*) > 1 UNION ALL SELECT 'duplicate_text', text FROM r GROUP BY text HAVING count(*) > 1
+UNION ALL SELECT 'schema', query_id FROM r WHERE NOT coalesce(route IN ('visual', 'speech', 'hybrid') AND split IN ('train', 'calibration', 'heldout'), false) UNION ALL SELECT 'protected', query_id FROM r WHERE split = 'train' AND lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) IN (SELECT f FROM p)""")
 def dataset_checks(spark, d):
-    """Splits whose classes differ in number by more than one."""
+    """All queries as a dataset for routing; the requests of the heldout split may not occur in training."""
     v = views.videos(spark, d).select("video_id", "split").distinct()
-    c = views.queries(spark, d).join(v, "video_id").groupBy("split", "query_type").agg(F.count("*").alias("n"))
-    r = c.groupBy("split").agg((F.max("n") - F.min("n")).alias("gap")).where("gap > 1")
-    return r.select("split", F.lit("unbalanced").alias("rule"), "gap")
+    r = views.queries(spark, d).join(v, "video_id").select("query_id", F.col("video_id").alias("source_id"), "split", F.col("query_text").alias("text"), F.expr(ROUTE).alias("route"))
+    sources, splits, routes = v.withColumnRenamed("video_id", "source_id"), ["train", "calibration", "heldout"], ["visual", "speech", "hybrid"]
+    out = gv.dataset_faults(sources, r, r.limit(0), splits, routes)
+    leaks = gv.dataset_faults(sources, r.where("split = 'train'"), r.where("split = 'heldout'"), splits, routes)
+    return out.unionByName(leaks.where("rule = 'protected'"))
 
 
 @query("g07_remaining", "qry", "WITH done AS (SELECT query_id, CASE WHEN created_at > '2026-02-01' THEN query_text ELSE upper(query_text) END AS query_text FROM qry WHERE query_type <> 'SCENE') SELECT q.query_id, CASE WHEN d.query_id IS NULL THEN 'new' ELSE 'changed' END AS state FROM qry q LEFT JOIN done d USING (query_id) WHERE d.query_id IS NULL OR q.query_text IS DISTINCT FROM d.query_text")
@@ -221,11 +267,19 @@ def retry(spark, d):
     return jobs(spark, d).select("job_id", "status", F.round("available_at", 6).alias("available_at"))
 
 
-@query("w01_enqueue")
+QUEUE = 2
+
+
+@query("w01_enqueue", "", f"""WITH RECURSIVE {JOBS}, r AS (SELECT user_id, kind, job_id, t0, t0 + 3600 * coalesce(value, 0) AS until, row_number() OVER (PARTITION BY user_id ORDER BY t0, job_id) AS i FROM j),
+f AS (SELECT user_id, i, job_id, 'accepted' AS verdict, [{{'k': kind, 'u': until}}] AS active FROM r WHERE i = 1 UNION ALL
+SELECT user_id, i, job_id, v, CASE WHEN v = 'accepted' AND until > t0 THEN list_append(act, {{'k': kind, 'u': until}}) ELSE act END FROM (
+  SELECT *, CASE WHEN len(act) >= {QUEUE} THEN 'full' WHEN len(list_filter(act, lambda a: a.k = kind)) > 0 THEN 'active' ELSE 'accepted' END AS v FROM (
+    SELECT r.*, list_filter(f.active, lambda a: a.u > r.t0) AS act FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1) x) y)
+SELECT job_id, verdict FROM f""")
 def enqueue(spark, d):
-    """Requests accepted unless one of the same user and kind is active; each takes a minute for each unit of value."""
-    j = jobs(spark, d).select("user_id", "kind", "job_id", "at", (F.col("at") + 60 * F.coalesce("value", F.lit(0.0))).alias("until"))
-    return jb.enqueued(j, ["user_id", "kind"], "at", "until").select("job_id", "accepted")
+    """Requests to one queue for each user, two jobs long; each job takes an hour for each unit of value."""
+    j = jobs(spark, d).select("user_id", "kind", "job_id", "at", (F.col("at") + 3600 * F.coalesce("value", F.lit(0.0))).alias("until"))
+    return jb.enqueued(j, ["user_id"], ["kind"], "at", "until", "job_id", QUEUE).select("job_id", "verdict")
 
 
 @query("w02_claim", "", f"WITH {JOBS} SELECT job_id FROM j WHERE status = 'queued' AND available_at <= (SELECT max(t0) - 86400 FROM job) ORDER BY available_at, job_id LIMIT 20")
@@ -257,11 +311,13 @@ def chaining(spark, d):
     return jobs(spark, d).where("kind = 'acquire' AND status = 'ready'").select("job_id", F.lit("ingest").alias("next_kind"))
 
 
-@query("w08_recovery", "", f"WITH {JOBS} SELECT job_id, CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END AS status FROM j WHERE job_id % 5 = 0")
+@query("w08_recovery", "", f"WITH {JOBS}, n AS (SELECT max(t0) - 86400 AS now FROM job) SELECT job_id, CASE WHEN retryable AND attempts < 3 THEN 'queued' ELSE 'failed' END AS status FROM j, n WHERE t0 <= now AND now < t0 + 3600 * value")
 def recovery(spark, d):
-    """Jobs that were running when their worker went away: queued again, or failed after the last attempt."""
-    j = jobs(spark, d).where("job_id % 5 = 0")
-    return j.select("job_id", jb.retried(F.lit("running"), F.lit("interrupted"), F.lit(True), F.col("attempts")).alias("status"))
+    """Jobs that were running a day before the log's end, when their worker went away; they take an hour for each unit of value."""
+    j = jobs(spark, d)
+    now = j.agg((F.max("at") - 86400).alias("now"))
+    running = (F.col("at") <= F.col("now")) & (F.col("now") < F.col("at") + 3600 * F.col("value"))
+    return jb.recovered(j.crossJoin(F.broadcast(now)).withColumn("status", F.when(running, "running").otherwise(F.col("status"))))
 
 
 @query("w09_deadlines", "", f"WITH {JOBS} SELECT kind, count(*) FILTER (value * 60 > CASE kind WHEN 'ingest' THEN 1800 WHEN 'speech' THEN 7200 ELSE 3600 END) AS overdue, count(*) AS n FROM j GROUP BY 1")

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -43,10 +45,63 @@ def test_violations_shared_remaining(spark):
     assert {tuple(r) for r in gv.remaining(todo, done, "k").collect()} == {(2, "changed"), (3, "new")}
 
 
-def test_fingerprint_changes_with_any_field(spark):
-    rows = [("v", 1, "a"), ("v", 2, None)]
-    f = lambda rs: gv.fingerprint(spark.createDataFrame(rs, "v string, i int, t string"), ["v"], ["i"], [F.col("i"), F.col("t")]).first().fingerprint
-    assert f(rows) == f(rows[::-1]) and len({f(rows), f([("v", 1, "a"), ("v", 2, "")]), f([("v", 1, "b"), ("v", 2, None)]), f(rows[:1])}) == 4
+def test_fingerprint_changes_with_any_field(spark, monkeypatch):
+    f = lambda rs: gv.fingerprint(spark.createDataFrame(rs, "v string, i bigint, t string"), ["v"], "i", [F.col("i"), F.col("t")]).first()
+    for block in (gv.BLOCK, 2):
+        monkeypatch.setattr(gv, "BLOCK", block)
+        rows = [("v", 1, "a"), ("v", 2, None), ("v", 7, "c"), ("v", -3, "d"), ("v", 40, "e")]
+        assert f(rows) == f(rows[::-1]) and f(rows).rows == 5
+        others = [rows[:-1] + [("v", 40, "x")], rows[:-1] + [("v", 41, "e")], rows[:1] + [("v", 2, "")] + rows[2:], rows[:4], rows + rows[:1]]
+        assert len({f(rows).fingerprint, *(f(o).fingerprint for o in others)}) == 6
+
+
+def test_artifact_gate(spark):
+    nan = float("nan")
+    rows = [(1, "m", 5.0, 0.2), (2, "x", 5.0, 0.2), (3, None, 5.0, 0.2), (4, "m", 1.0, 2.0), (5, "m", 5.0, nan), (6, "m", 5.0, None), (7, "m", 5.0, float("inf"))]
+    got = gv.incompatible(spark.createDataFrame(rows, "k int, model string, step double, t double"), "k", {"model": "m", "step": 5.0}, "t")
+    assert {tuple(r) for r in got.collect()} == {(2, "model"), (3, "model"), (4, "step"), (4, "range"), (5, "finite"), (5, "range"), (6, "finite"), (6, "range"), (7, "finite"), (7, "range")}
+
+
+def test_frozen_faults(spark):
+    mk = lambda rows: spark.createDataFrame(rows, "k string, h string")
+    got = gv.frozen_faults(mk([("a", "1"), ("b", "2"), ("c", "3"), ("d", None)]), mk([("a", "1"), ("b", "x"), ("d", None), ("e", "5")]), "k", "h")
+    assert {tuple(r) for r in got.collect()} == {("b", "changed"), ("c", "missing")}
+
+
+def manifest(spark, sources=(), queries=(), excluded=()):
+    s = spark.createDataFrame(list(sources), "manifest string, source_id string, keys array<string>, sha256 string, duration_s double, license string")
+    q = spark.createDataFrame(list(queries), "manifest string, query_id string, source_id string, category string, text string, difficulty string, intervals array<array<double>>, audited boolean")
+    e = spark.createDataFrame(list(excluded), "keys array<string>, sha256 string")
+    return {(r.rule, r.subject) for r in gv.manifest_faults(s, q, e, ["A", "B"], {"a": (["A"], 3)}, gv.ManifestLimits(2, 4, 2, 100.0)).collect()}
+
+
+def test_manifest_faults(spark):
+    sources = [("m", "s1", ["u1"], "h1", 120.0, "CC0"), ("m", "s2", ["u2", "u3"], "h2", 50.0, "CC0")]
+    queries = [("m", f"q{i}", f"s{i % 2 + 1}", "AAAB"[i], "text", "easy", [[0.0, 10.0]], True) for i in range(4)]
+    assert manifest(spark, sources, queries) == set()
+    assert manifest(spark, sources, queries, [(["u3"], None), ([], "h1")]) == {("leaked_address", "u3"), ("leaked_media", "h1")}
+    assert manifest(spark, sources[:1], queries[:1]) >= {("few_sources", None), ("few_queries", None), ("few_a", None), ("category_missing", "B"), ("few_queries_of_source", "s1")}
+    bad = [("m", "s3", ["u1"], "h1", float("nan"), " "), ("m", "s1", None, None, 1.0, None)]
+    assert manifest(spark, sources + bad, queries) == {("duplicate_source", "s1"), ("duplicate_media", "h1"), ("duplicate_address", "u1"), ("source_incomplete", "s3"), ("source_incomplete", "s1"), ("few_queries_of_source", "s3")}
+    wrong = [("m", "q0", "s9", "C", " ", "easy", [[0.0, 1.0]], None), ("m", "q7", "s2", "A", "t", None, [[5.0, 60.0]], True), ("m", "q8", "s2", "A", "t", "hard", [], True), ("m", "q9", "s2", "A", "t", "hard", [[2.0, 1.0], [0.0]], True)]
+    assert manifest(spark, sources, queries + wrong) == {("duplicate_query", "q0"), ("unknown_source", "s9"), ("category", "q0"), ("query", "q0"), ("audit", "q0"), ("intervals", "q0"), ("query", "q7"), ("intervals", "q7"), ("intervals", "q8"), ("intervals", "q9")}
+    assert manifest(spark) == set()
+
+
+def test_dataset_faults(spark):
+    def run(sources, queries, protected=()):
+        s = spark.createDataFrame(list(sources), "source_id string, split string")
+        q = spark.createDataFrame(list(queries), "query_id string, source_id string, split string, text string, route string")
+        p = spark.createDataFrame([(x,) for x in protected], "text string")
+        return {tuple(r) for r in gv.dataset_faults(s, q, p, ["a", "b"], ["x", "y"], 2, 4).collect()}
+
+    sources = [("s1", "a"), ("s2", "b")]
+    queries = [(f"q{i}", f"s{i // 2 + 1}", "aabb"[i], f"text {i}", "xyxy"[i]) for i in range(4)]
+    assert run(sources, queries) == set()
+    assert run(sources, queries, [" TEXT  1"]) == {("protected", "q1")}
+    assert run(sources[:1], queries[:2]) == {("few_sources", None), ("few_queries", None), ("split_without_sources", "b")}
+    got = run([*sources, ("s2", "a")], [*queries, ("q0", "s1", "a", "text 0", "z"), ("q9", "s1", "b", None, "x"), ("q8", "s1", "b", "t", "x")])
+    assert got == {("source_in_two_splits", "s2"), ("split_of_source", "q2"), ("split_of_source", "q3"), ("split_of_source", "q9"), ("split_of_source", "q8"), ("duplicate_id", "q0"), ("duplicate_text", "text 0"), ("schema", "q0"), ("unbalanced", "b")}
 
 
 def test_question_rules(spark):
@@ -66,12 +121,32 @@ def test_job_rules(spark):
     assert [r[0] for r in df.select(jb.retried(F.lit("running"), F.col("e"), F.col("r"), F.col("a"))).collect()] == ["ready", "queued", "queued", "failed", "failed"]
     v = spark.createDataFrame([(None, None), ("ready", None), ("failed", False), ("failed", None)], "s string, r boolean")
     assert [r[0] for r in v.select(jb.retry_verdict(F.col("s"), F.col("r"))).collect()] == ["not_found", "not_failed", "not_retryable", "queued"]
-    q = spark.createDataFrame([("v", 1, 0.0, 10.0), ("v", 2, 5.0, 12.0), ("v", 3, 10.0, 20.0), ("w", 4, 1.0, 2.0)], "k string, id int, at double, until double")
-    assert {r.id: r.accepted for r in jb.enqueued(q, ["k"], "at", "until").collect()} == {1: True, 2: False, 3: True, 4: True}
     log = spark.createDataFrame([("v", "speech", "queued", 1.0, "a"), ("v", "speech", "failed", 2.0, "b"), ("v", "visual", "ready", 1.0, "c")], "video_id string, kind string, status string, created_at double, job_id string")
     assert {(r.kind, r.job_id, r.state, r.stage) for r in api.jobs_view(log).collect()} == {("speech", "b", "failed", "transcribing"), ("visual", "c", None, "indexing")}
 
 
+def test_enqueued_equals_a_queue(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), rng.choice("xyz"), i, float(rng.randint(0, 40)), rng.choice([None, float("nan"), 0.0, 5.0, 30.0])) for i in range(300)]
+    rows = [(q, k, i, t, None if d is None else t + d) for q, k, i, t, d in rows] + [("a", "x", 999, None, 3.0), (None, None, 1000, 1.0, 9.0)]
+    want = {}
+    for queue in ("a", "b", None):
+        active = []
+        for q, k, i, t, u in sorted((r for r in rows if r[0] == queue), key=lambda r: (r[3] is not None, r[3] or 0, r[2])):
+            active = [(x, e) for x, e in active if t is None or e > t]
+            want[i] = "full" if len(active) >= 2 else "active" if k in [x for x, _ in active] else "accepted"
+            if want[i] == "accepted" and t is not None and u is not None and u > t:
+                active.append((k, u))
+    df = spark.createDataFrame(rows, "q string, k string, id int, at double, until double").withColumn("extra", F.lit(1))
+    got = {r.id: r.verdict for r in jb.enqueued(df, ["q"], ["k"], "at", "until", "id", 2).collect()}
+    assert got == want and set(want.values()) == {"full", "active", "accepted"}
+
+
+def test_recovery(spark):
+    df = spark.createDataFrame([(1, "running", True, 1), (2, "running", True, 3), (3, "running", None, 0), (4, "running", False, 0), (5, "queued", True, 0)], "job_id int, status string, retryable boolean, attempts int")
+    assert {tuple(r) for r in jb.recovered(df).collect()} == {(1, "queued"), (2, "failed"), (3, "queued"), (4, "failed")}
+
+
 def test_job_stream(spark, tmp_path):
     steps = [("k", "enqueue", 0.0), ("k", "enqueue", 1.0), ("k", "claim", 2.0), ("k", "fail", 3.0), ("k", "claim", 4.0), ("k", "claim", 5.0), ("k", "done", 6.0), ("w", "claim", 1.0)]
     state = None
