@@ -115,3 +115,107 @@ def change_class(before: Column, after: Column, k: int) -> Column:
     """What a new ranking does to a query, from the first relevant rank before and after (null: none)."""
     b, a = F.coalesce(before <= k, F.lit(False)), F.coalesce(after <= k, F.lit(False))
     return F.when(~b & a, "RECOVERY").when(b & ~a, "REGRESSION").when(b & a & (before != after), "NEUTRAL").otherwise("UNCHANGED")
+
+
+def touches(t: Column, end: Column, s: Column, e: Column) -> Column:
+    """A result from ``t`` to ``end`` (a missing end is ``t``) shares a point with the span."""
+    return (t <= e) & (F.coalesce(end, t) >= s)
+
+
+def preservation(lanes: DataFrame, fused: DataFrame, intervals: DataFrame, required: DataFrame, key: str, depth: int = 5) -> DataFrame:
+    """``(key, eligible, relevant_rank, irrelevant_consensus)`` of each query of ``required``, (key, lane) rows.
+
+    Eligible: every required lane has evidence within an interval among its first ``depth``. ``relevant_rank`` is the
+    first fused rank within ``depth`` that has; a query that is eligible and has none was displaced. Irrelevant
+    consensus: displaced, and the first fused result is one that both lanes brought.
+    """
+    spans = intervals.select(key, "s", "e")
+    seen = lanes.where(F.col("rank") <= depth).join(spans, key).where(touches(F.col("ts"), F.col("end"), F.col("s"), F.col("e"))).select(key, "lane").distinct()
+    need = required.select(key, "lane").distinct().join(seen.withColumn("_seen", F.lit(True)), [key, "lane"], "left").groupBy(key).agg(F.bool_and(F.coalesce("_seen", F.lit(False))).alias("eligible"))
+    top = fused.where(F.col("fused_rank") <= depth)
+    rank = top.join(spans, key).where(touches(F.col("ts"), F.col("end"), F.col("s"), F.col("e"))).groupBy(key).agg(F.min("fused_rank").alias("relevant_rank"))
+    both = top.where("fused_rank = 1").select(key, (F.col("visual_rank").isNotNull() & F.col("speech_rank").isNotNull()).alias("_both"))
+    j = need.join(rank, key, "left").join(both, key, "left")
+    return j.select(key, "eligible", "relevant_rank", (F.col("eligible") & F.col("relevant_rank").isNull() & F.coalesce("_both", F.lit(False))).alias("irrelevant_consensus"))
+
+
+def best_evidence(lanes: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
+    """``(key, lane, rank)``: the first rank of each lane within an interval."""
+    j = lanes.join(intervals.select(key, "s", "e"), key).where(touches(F.col("ts"), F.col("end"), F.col("s"), F.col("e")))
+    return j.groupBy(key, "lane").agg(F.min("rank").alias("rank"))
+
+
+def demotions(lanes: DataFrame, fused: DataFrame, intervals: DataFrame, key: str, depth: int = 5) -> DataFrame:
+    """``(key, lane, rank, fused_rank)``: a lane's best evidence within ``depth`` that fusion put beyond it."""
+    b = best_evidence(lanes, intervals, key).where(F.col("rank") <= depth)
+    sides = F.inline(F.array(*(F.struct(F.lit(x).alias("lane"), F.col(f"{x}_rank").alias("rank")) for x in ("visual", "speech"))))
+    return b.join(fused.where(F.col("fused_rank") > depth).select(key, "fused_rank", sides), [key, "lane", "rank"]).select(key, "lane", "rank", "fused_rank")
+
+
+def recall_or_ranking(lanes: DataFrame, fused: DataFrame, intervals: DataFrame, required: DataFrame, key: str, depth: int = 5) -> DataFrame:
+    """``(key, outcome)``: whether fusion shows evidence within ``depth``, only ranks it too low, or a required lane never had it."""
+    seen = best_evidence(lanes, intervals, key).select(key, "lane", F.lit(True).alias("_seen"))
+    need = required.select(key, "lane").distinct().join(seen, [key, "lane"], "left").groupBy(key).agg(F.bool_and(F.coalesce("_seen", F.lit(False))).alias("_all"))
+    top = fused.where(F.col("fused_rank") <= depth).join(intervals.select(key, "s", "e"), key).where(touches(F.col("ts"), F.col("end"), F.col("s"), F.col("e"))).select(key).distinct().withColumn("_top", F.lit(True))
+    out = F.when(F.col("_top"), "success").when(F.col("_all"), "ranking_failure").otherwise("candidate_recall_failure")
+    return need.join(top, key, "left").select(key, out.alias("outcome"))
+
+
+#: Figures of question answering: (section, metric, rows that count, rows below the line), over the columns of scope_report.
+_SCOPE = [
+    ("scope_gate", "supported_question_recall", "supported AND allowed", "supported"), ("scope_gate", "supported_question_precision", "supported AND allowed", "allowed"),
+    ("scope_gate", "false_scope_rejection_rate", "supported AND NOT allowed", "supported"), ("scope_gate", "out_of_scope_rejection_rate", "NOT supported AND NOT allowed", "NOT supported"),
+    ("scope_gate", "unsafe_generation_rate", "NOT supported AND generated", "NOT supported"),
+    ("core_qa", "evidence_recall_at_5", "core AND evidence", "core"), ("core_qa", "answer_correctness", "core AND answered AND correct", "core"), ("core_qa", "grounded_answer_rate", "core AND answered AND grounded", "core AND answered"),
+    ("core_qa", "citation_recall", "core AND citations > 0", "core"), ("core_qa", "core_user_success_rate", "core AND answered AND correct AND grounded AND citations > 0", "core"), ("core_qa", "false_abstention_rate", "core AND NOT answered", "core"),
+    ("unanswerable", "correct_abstention_rate", "hard AND NOT answered", "hard"), ("unanswerable", "false_answer_rate", "hard AND answered", "hard"),
+]
+
+
+def scope_report(reviews: DataFrame) -> DataFrame:
+    """``(section, metric, value)`` over reviewed answers; a rate of nothing is 0.
+
+    Columns: ``supported`` (the question is in scope), ``answerable``, ``allowed`` (the gate let it through),
+    ``generated``, ``answered``, ``correct``, ``grounded``, ``evidence`` (retrieved within five), ``citations``,
+    ``valid_citations``. Unknown flags count as false. Core questions are in scope and answerable, hard ones in scope only.
+    """
+    flags = ["supported", "answerable", "allowed", "generated", "answered", "correct", "grounded", "evidence"]
+    r = reviews.select(*(F.coalesce(F.col(c), F.lit(False)).alias(c) for c in flags), F.coalesce("citations", F.lit(0)).alias("citations"), F.coalesce("valid_citations", F.lit(0)).alias("valid_citations"))
+    r = r.withColumns({"core": F.col("supported") & F.col("answerable"), "hard": F.col("supported") & ~F.col("answerable")})
+    n = lambda c: F.count(F.when(F.expr(c), 1))
+    rows = [F.struct(F.lit(s).alias("section"), F.lit(m).alias("metric"), F.coalesce(ratio(n(a), n(b)), F.lit(0.0)).alias("value")) for s, m, a, b in _SCOPE]
+    valid = F.coalesce(ratio(F.sum(F.when(F.col("core"), F.col("valid_citations"))), F.sum(F.when(F.col("core"), F.col("citations")))), F.lit(0.0))
+    return r.agg(F.array(*rows, F.struct(F.lit("core_qa").alias("section"), F.lit("citation_precision").alias("metric"), valid.alias("value"))).alias("x")).select(F.inline("x"))
+
+
+def evidence_classes(assessed: DataFrame, step: str, kind: str, seen: list[str]) -> DataFrame:
+    """``(step, class, events, share, recall)``: classes of evidence of each sampling step; ``recall`` is the share of ``seen`` classes."""
+    n = assessed.groupBy(step).agg(F.count("*").alias("_n"), share(F.col(kind).isin(seen)).alias("recall"))
+    c = assessed.groupBy(step, F.col(kind).alias("class")).agg(F.count("*").alias("events"))
+    return c.join(n, step).select(step, "class", "events", (F.col("events") / F.col("_n")).alias("share"), "recall")
+
+
+def detector_recall(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Over frames verified as ``visibility`` = visible: how many, those ``detected``, and mean confidence and box area of hits."""
+    hit = F.coalesce(F.col("detected"), F.lit(False))
+    v = rows.where("visibility = 'visible'").groupBy(*keys)
+    return v.agg(F.count("*").alias("visible"), F.count(F.when(hit, 1)).alias("detected"), share(hit).alias("recall"), F.avg(F.when(hit, F.col("confidence"))).alias("mean_confidence"), F.avg(F.when(hit, F.col("area"))).alias("mean_area"))
+
+
+def cost_rollup(usage: DataFrame, keys: list[str], input_price: float, output_price: float, hours: Column) -> DataFrame:
+    """Tokens and cost (prices are for a million tokens) of calls ``(input_tokens, output_tokens)``, for each call and hour of media."""
+    t = lambda c: F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))), F.lit(0))
+    g = usage.groupBy(*keys).agg(F.count("*").alias("calls"), t("input_tokens").alias("input_tokens"), t("output_tokens").alias("output_tokens"), hours.alias("_hours"))
+    cost = (F.col("input_tokens") * input_price + F.col("output_tokens") * output_price) / 1_000_000
+    return g.withColumn("cost", cost).select(*keys, "calls", "input_tokens", "output_tokens", "cost", ratio(F.col("cost"), F.col("calls")).alias("cost_per_call"), ratio(F.col("cost"), F.col("_hours")).alias("cost_per_hour"))
+
+
+def audit(lines: DataFrame, reviewed: DataFrame, keys: list[str], text: str, verdict: str, false: str) -> DataFrame:
+    """One row: reviewed lines, false ones, their rate, and what makes the audit void: lines not reviewed, reviews without
+    a line, and reviews of another text. The rate is null while one of these isn't 0."""
+    a = lines.select(*keys, F.col(text).alias("_a"), F.lit(True).alias("_l"))
+    b = reviewed.select(*keys, F.col(text).alias("_b"), F.col(verdict).alias("_v"), F.lit(True).alias("_r"))
+    j = a.join(b, keys, "full")
+    n = lambda c: F.count(F.when(c, 1))
+    g = j.agg(n(F.col("_r")).alias("reviewed"), n(F.col("_v") == false).alias("false_lines"), n(F.col("_r").isNull()).alias("missing"), n(F.col("_l").isNull()).alias("unknown"), n(F.col("_l") & F.col("_r") & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("changed"))
+    return g.withColumn("false_rate", F.when(F.col("missing") + F.col("unknown") + F.col("changed") == 0, ratio(F.col("false_lines"), F.col("reviewed"))))

@@ -263,13 +263,49 @@ def rescued_broken(spark, d):
     return x.groupBy("query_type").agg(n(~b & a).alias("rescued"), n(b & ~a).alias("broken"), n(a & b).alias("unchanged_hit"), n(~a & ~b).alias("unchanged_miss"), F.round(metrics.ratio(n(a & b), n(b)), 6).alias("retention"))
 
 
-@query("a19_preservation", FVIEWS, with_lanes(""", m AS (SELECT query_id, thumbnail, fused_rank, least(visual_rank, speech_rank) AS lane_rank, visual_rank IS NOT NULL AND speech_rank IS NOT NULL AS both_lanes FROM fused)
-SELECT query_id, count(*) FILTER (lane_rank <= 3 AND fused_rank <= 5) AS preserved, count(*) FILTER (lane_rank <= 3 AND fused_rank > 5) AS displaced, count(*) FILTER (both_lanes AND fused_rank <= 5) AS consensus FROM m GROUP BY 1"""))
+NEED = "nd AS (SELECT query_id, query_type, unnest(CASE modality_requirement WHEN 'visual' THEN ['visual'] WHEN 'temporal' THEN ['visual'] WHEN 'speech' THEN ['speech'] WHEN 'hybrid' THEN ['visual', 'speech'] END) AS lane FROM qry WHERE " + POS + ")"
+TOUCH = "{0}.ts <= i.e AND coalesce({0}.\"end\", {0}.ts) >= i.s"
+BESTE = "be AS (SELECT l.query_id, lane, min(rank) AS rank FROM lanes l JOIN ivl i ON i.query_id = l.query_id AND " + TOUCH.format("l") + " GROUP BY ALL)"
+
+
+def required(spark, d):
+    """The lanes that each query with an answer needs."""
+    m = F.col("modality_requirement")
+    need = F.when(m.isin("visual", "temporal"), F.array(F.lit("visual"))).when(m == "speech", F.array(F.lit("speech"))).when(m == "hybrid", F.array(F.lit("visual"), F.lit("speech")))
+    return positives(spark, d).select(KEY, "query_type", F.explode(need).alias("lane"))
+
+
+@query("a19_preservation", FVIEWS, with_lanes(f""", {NEED}, sn AS (SELECT DISTINCT l.query_id, lane FROM lanes l JOIN ivl i ON i.query_id = l.query_id AND {TOUCH.format('l')} WHERE l.rank <= 5),
+el AS (SELECT n.query_id, n.query_type, bool_and(s.lane IS NOT NULL) AS eligible FROM nd n LEFT JOIN sn s USING (query_id, lane) GROUP BY ALL),
+rk AS (SELECT f.query_id, min(fused_rank) AS r FROM fused f JOIN ivl i ON i.query_id = f.query_id AND {TOUCH.format('f')} WHERE fused_rank <= 5 GROUP BY 1),
+bt AS (SELECT query_id, visual_rank IS NOT NULL AND speech_rank IS NOT NULL AS both_lanes FROM fused WHERE fused_rank = 1)
+SELECT query_type, count(*) AS n, count(*) FILTER (eligible) AS eligible, count(*) FILTER (eligible AND r IS NULL) AS displaced, round(count(*) FILTER (eligible AND r IS NULL) / CAST(nullif(count(*) FILTER (eligible), 0) AS DOUBLE), 6) AS displacement_rate, count(*) FILTER (eligible AND r IS NULL AND coalesce(both_lanes, false)) AS irrelevant_consensus
+FROM el LEFT JOIN rk USING (query_id) LEFT JOIN bt USING (query_id) GROUP BY 1"""))
 def preservation(spark, d):
-    f = fusion.fuse(search.lanes(spark, d), [KEY]).withColumn("lane_rank", F.least("visual_rank", "speech_rank"))
+    """Queries whose required lanes have evidence among their first five, those where fusion lost it, and where both lanes agreed on something else."""
+    lanes, need = search.lanes(spark, d), required(spark, d)
+    p = metrics.preservation(lanes, fusion.fuse(lanes, [KEY]), views.intervals(spark, d), need, KEY).join(need.select(KEY, "query_type").distinct(), KEY)
     n = lambda c: F.count(F.when(c, 1))
-    top, strong = F.col("fused_rank") <= 5, F.col("lane_rank") <= 3
-    return f.groupBy(KEY).agg(n(strong & top).alias("preserved"), n(strong & ~top).alias("displaced"), n(F.col("visual_rank").isNotNull() & F.col("speech_rank").isNotNull() & top).alias("consensus"))
+    e = F.col("eligible")
+    lost = e & F.col("relevant_rank").isNull()
+    return p.groupBy("query_type").agg(F.count("*").alias("n"), n(e).alias("eligible"), n(lost).alias("displaced"), F.round(metrics.ratio(n(lost), n(e)), 6).alias("displacement_rate"), n(F.col("irrelevant_consensus")).alias("irrelevant_consensus"))
+
+
+@query("a22_demotions", FVIEWS, with_lanes(f", {BESTE} SELECT b.query_id, b.lane, b.rank, f.fused_rank FROM be b JOIN fused f ON f.query_id = b.query_id AND CASE b.lane WHEN 'visual' THEN f.visual_rank ELSE f.speech_rank END = b.rank WHERE b.rank <= 5 AND f.fused_rank > 5"))
+def demotions(spark, d):
+    """Evidence that a lane has among its first five and fusion puts beyond them."""
+    lanes = search.lanes(spark, d)
+    return metrics.demotions(lanes, fusion.fuse(lanes, [KEY]), views.intervals(spark, d), KEY)
+
+
+@query("a22_recall_or_ranking", FVIEWS, with_lanes(f""", {NEED}, {BESTE}, al AS (SELECT n.query_id, n.query_type, bool_and(b.rank IS NOT NULL) AS every FROM nd n LEFT JOIN be b USING (query_id, lane) GROUP BY ALL),
+tp AS (SELECT DISTINCT f.query_id FROM fused f JOIN ivl i ON i.query_id = f.query_id AND {TOUCH.format('f')} WHERE fused_rank <= 5)
+SELECT query_type, CASE WHEN t.query_id IS NOT NULL THEN 'success' WHEN every THEN 'ranking_failure' ELSE 'candidate_recall_failure' END AS outcome, count(*) AS n FROM al LEFT JOIN tp t USING (query_id) GROUP BY ALL"""))
+def recall_or_ranking(spark, d):
+    """Whether a miss of fusion is one of ranking or of a lane that never had the evidence."""
+    lanes, need = search.lanes(spark, d), required(spark, d)
+    r = metrics.recall_or_ranking(lanes, fusion.fuse(lanes, [KEY]), views.intervals(spark, d), need, KEY)
+    return r.join(need.select(KEY, "query_type").distinct(), KEY).groupBy("query_type", "outcome").agg(F.count("*").alias("n"))
 
 
 @query("a22_top_slots", FVIEWS, with_lanes(" SELECT fused_rank, modality, count(*) AS n FROM fused WHERE fused_rank <= 5 GROUP BY ALL"))
@@ -327,18 +363,67 @@ def package_metrics(spark, d):
     return any_of(spark, d).groupBy(KEY).agg(F.bool_or("hit").alias("any_fact"), F.bool_and("hit").alias("all_facts"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("completeness"))
 
 
-@query("a28_scope_metrics", "qry vid", "SELECT q.video_id, count(*) AS n, round(count(*) FILTER (expected_presence) / CAST(nullif(count(*), 0) AS DOUBLE), 6) AS answerable, round(count(*) FILTER (NOT expected_presence AND query_type = 'NEGATIVE') / CAST(nullif(count(*) FILTER (NOT expected_presence), 0) AS DOUBLE), 6) AS negative_share FROM qry q GROUP BY 1")
+REV = f"""{FIRST}, rv AS (SELECT x.form, q.query_id, x.form = 0 AS supported, q.{POS} AS answerable, s.scope = 'SUPPORTED_CORE' AS allowed, f.first_rank, n.n FROM sc x JOIN qry q USING (query_id) JOIN sc s ON s.query_id = x.query_id AND s.form = x.form LEFT JOIN fr f ON f.query_id = q.query_id LEFT JOIN (SELECT query_id, count(*) FILTER (rank <= 3) AS n FROM res GROUP BY 1) n ON n.query_id = q.query_id),
+r AS (SELECT coalesce(supported, false) AS supported, coalesce(answerable, false) AS answerable, allowed, allowed AS generated, allowed AND n > 0 AS answered, coalesce(first_rank <= 3, false) AS correct, coalesce(first_rank <= 10, false) AS grounded, coalesce(first_rank <= 5, false) AS evidence, CASE WHEN allowed THEN coalesce(n, 0) ELSE 0 END AS citations FROM rv),
+z AS (SELECT *, coalesce(answered, false) AS a, supported AND answerable AS core, supported AND NOT answerable AS hard, CASE WHEN grounded THEN citations ELSE 0 END AS valid FROM r)"""
+
+
+def reviews(spark, d):
+    """Every form of every query as a question: its first form is in scope, the gate decides, and the best candidates are its citations."""
+    from cuelake.operators import routing as rt
+    from cuelake.plans.routing import questions
+
+    n = results(spark, d).groupBy(KEY).agg(F.count(F.when(F.col("rank") <= 3, 1)).alias("n"))
+    q = questions(spark, d).select(KEY, "form", (rt.scope(F.col("q")) == "SUPPORTED_CORE").alias("allowed"))
+    q = q.join(views.queries(spark, d).select(KEY, F.expr(POS).alias("answerable")), KEY).join(first(spark, d).select(KEY, "first_rank"), KEY, "left").join(n, KEY, "left")
+    r, ok = F.col("first_rank"), F.col("allowed")
+    cited = F.when(ok, F.col("n")).otherwise(0)
+    return q.select((F.col("form") == 0).alias("supported"), "answerable", "allowed", ok.alias("generated"), (ok & (F.col("n") > 0)).alias("answered"), (r <= 3).alias("correct"), (r <= 10).alias("grounded"), (r <= 5).alias("evidence"), cited.alias("citations"), F.when(r <= 10, cited).otherwise(0).alias("valid_citations"))
+
+
+def _scope_sql():
+    from cuelake.operators import routing as rt
+    from cuelake.plans.routing import SCOPE_SQL
+
+    rate = lambda a, b: f"coalesce(count(*) FILTER ({a}) / CAST(nullif(count(*) FILTER ({b}), 0) AS DOUBLE), 0)"
+    rows = [(s, m, rate(a.replace("answered", "a"), b.replace("answered", "a"))) for s, m, a, b in metrics._SCOPE]
+    rows.append(("core_qa", "citation_precision", "coalesce(sum(valid) FILTER (core) / CAST(nullif(sum(citations) FILTER (core), 0) AS DOUBLE), 0)"))
+    return SCOPE_SQL.rsplit(" SELECT query_id", 1)[0] + ", sc AS (SELECT query_id" + SCOPE_SQL.rsplit(" SELECT query_id", 1)[1] + "), " + REV.removeprefix("WITH ") + " ".join(("" if i == 0 else "UNION ALL") + f" SELECT '{s}' AS section, '{m}' AS metric, round({e}, 6) AS value FROM z" for i, (s, m, e) in enumerate(rows))
+
+
+@query("a28_scope_metrics", VIEWS, _scope_sql())
 def scope_metrics(spark, d):
+    return metrics.scope_report(reviews(spark, d)).select("section", "metric", F.round("value", 6).alias("value"))
+
+
+@query("a28_video_rates", "qry ivl cand pool", FIRST + " SELECT q.video_id, count(*) FILTER (q.expected_presence) AS answerable, count(*) FILTER (q.expected_presence AND first_rank <= 5) AS success, round(count(*) FILTER (q.expected_presence AND first_rank <= 5) / CAST(nullif(count(*) FILTER (q.expected_presence), 0) AS DOUBLE), 6) AS rate FROM qry q LEFT JOIN fr USING (query_id) GROUP BY 1")
+def video_rates(spark, d):
+    """Answerable questions of each video and those that find their evidence among five."""
+    x = views.queries(spark, d).select(KEY, "video_id", "expected_presence").join(first(spark, d).select(KEY, "first_rank"), KEY, "left")
     n = lambda c: F.count(F.when(c, 1))
-    here = F.col("expected_presence")
-    return views.queries(spark, d).groupBy("video_id").agg(F.count("*").alias("n"), F.round(metrics.ratio(n(here), F.count("*")), 6).alias("answerable"), F.round(metrics.ratio(n(~here & (F.col("query_type") == "NEGATIVE")), n(~here)), 6).alias("negative_share"))
+    hit = F.col("expected_presence") & (F.col("first_rank") <= 5)
+    return x.groupBy("video_id").agg(n(F.col("expected_presence")).alias("answerable"), n(hit).alias("success"), F.round(metrics.ratio(n(hit), n(F.col("expected_presence"))), 6).alias("rate"))
 
 
-@query("a31_sampling_recall", "qry ivl", "SELECT CAST(step AS INT) AS step, count(*) AS n, round(avg(CASE WHEN ceil(s / step) * step <= e THEN 1e0 ELSE 0 END), 6) AS recall FROM (SELECT *, unnest([1, 2, 5]) AS step FROM ivl) x GROUP BY 1")
+@query("a31_sampling_recall", "qry ivl", """WITH a AS (SELECT CAST(step AS INT) AS step, CASE WHEN ceil((s + 0.5e0) / step) * step <= e - 0.5e0 THEN 'A_visible' WHEN ceil(s / step) * step <= e THEN 'C_partial' ELSE 'B_between_frames' END AS class FROM (SELECT *, unnest([1, 2, 5]) AS step FROM ivl) x),
+n AS (SELECT step, count(*) AS n, avg(CAST(class <> 'B_between_frames' AS INT)) AS recall FROM a GROUP BY 1) SELECT step, class, count(*) AS events, round(count(*) / CAST(any_value(n) AS DOUBLE), 6) AS share, round(any_value(recall), 6) AS recall FROM a JOIN n USING (step) GROUP BY ALL""")
 def sampling_recall(spark, d):
-    """Share of intervals that hold at least one sampled frame, for each sampling step."""
+    """Evidence of each interval in frames sampled every 1, 2 and 5 s: well inside it, within half a second of an end, or none."""
     x = views.intervals(spark, d).withColumn("step", F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))))
-    return x.groupBy("step").agg(F.count("*").alias("n"), F.round(metrics.share(F.ceil(F.col("s") / F.col("step")) * F.col("step") <= F.col("e")), 6).alias("recall"))
+    at = lambda c: F.ceil(c / F.col("step")) * F.col("step")
+    kind = F.when(at(F.col("s") + 0.5) <= F.col("e") - 0.5, "A_visible").when(at(F.col("s")) <= F.col("e"), "C_partial").otherwise("B_between_frames")
+    out = metrics.evidence_classes(x.withColumn("kind", kind), "step", "kind", ["A_visible", "C_partial"])
+    return out.select("step", "class", "events", F.round("share", 6).alias("share"), F.round("recall", 6).alias("recall"))
+
+
+@query("a31_detector_recall", VIEWS, f"WITH {RES}, v AS (SELECT q.query_type, r.score, r.rank FROM res r JOIN qry q USING (query_id) WHERE EXISTS (SELECT 1 FROM ivl i WHERE i.query_id = r.query_id AND r.ts BETWEEN i.s AND i.e)) SELECT query_type, count(*) AS visible, count(*) FILTER (score >= 0.2) AS detected, round(avg(CAST(score >= 0.2 AS INT)), 6) AS recall, round(avg(score) FILTER (score >= 0.2), 6) AS mean_confidence, round(avg(1e0 / rank) FILTER (score >= 0.2), 6) AS mean_area FROM v GROUP BY 1")
+def detector_recall(spark, d):
+    """Candidates as detections: those within an interval are verified as visible, a score of 0.2 detects, and a box is the smaller the later its rank."""
+    r = results(spark, d).select(KEY, "rank", "ts", "score")
+    seen = r.join(views.intervals(spark, d), KEY).where(F.col("ts").between(F.col("s"), F.col("e"))).select(KEY, "rank").distinct().withColumn("visibility", F.lit("visible"))
+    x = r.join(seen, [KEY, "rank"], "left").join(views.queries(spark, d).select(KEY, "query_type"), KEY)
+    x = x.withColumns({"detected": F.col("score") >= 0.2, "confidence": F.col("score"), "area": 1 / F.col("rank")})
+    return metrics.detector_recall(x, ["query_type"]).select("query_type", "visible", "detected", *(F.round(c, 6).alias(c) for c in ("recall", "mean_confidence", "mean_area")))
 
 
 @query("a32_resources", "vid seg", "SELECT v.video_domain, count(DISTINCT v.video_id) AS videos, round(sum(n) / (sum(d) / 60e0), 6) AS segments_per_minute FROM (SELECT video_id, max(video_domain) AS video_domain, max(duration_s) AS d FROM vid GROUP BY 1) v JOIN (SELECT video_id, count(*) AS n FROM seg GROUP BY 1) s USING (video_id) GROUP BY 1")
@@ -355,18 +440,27 @@ def historical(spark, d):
     return x.groupBy("split").agg(F.count("*").alias("n"), F.round(metrics.share(F.col("before") <= 5), 6).alias("before_rate"), F.round(metrics.share(F.col("after") <= 5), 6).alias("after_rate"))
 
 
-@query("a34_tokens", "fine", "SELECT video_id, count(*) AS units, sum(len(text)) AS characters, CAST(sum((len(text) + 3) // 4) AS BIGINT) AS tokens FROM fine GROUP BY 1")
+@query("a34_tokens", "fine vid", "WITH v AS (SELECT video_id, max(duration_s) / 3600 AS h, max(video_domain) AS video_domain FROM vid GROUP BY 1), u AS (SELECT video_id, (len(text) + 3) // 4 AS i, CASE WHEN len(text) > 200 THEN len(text) // 8 END AS o FROM fine), c AS (SELECT video_id, count(*) AS calls, sum(i) AS i, coalesce(sum(o), 0) AS o FROM u GROUP BY 1) SELECT video_id, calls, CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens, round((i * 0.75e0 + o * 4.5e0) / 1000000, 13) AS cost, round((i * 0.75e0 + o * 4.5e0) / 1000000 / calls, 13) AS cost_per_call, round((i * 0.75e0 + o * 4.5e0) / 1000000 / h, 13) AS cost_per_hour FROM c JOIN v USING (video_id)")
 def token_rollup(spark, d):
-    """Characters and estimated tokens, a quarter of the characters rounded up, of each video's units."""
+    """Units as calls: a quarter of their characters, rounded up, as tokens in, half as many out of the longer ones, at 0.75 and 4.50 a million."""
     n = F.length("text")
-    return views.units(spark, d, "fine").groupBy("video_id").agg(F.count("*").alias("units"), F.sum(n).alias("characters"), F.sum(F.floor((n + 3) / 4)).alias("tokens"))
+    u = views.units(spark, d, "fine").select("video_id", F.floor((n + 3) / 4).alias("input_tokens"), F.when(n > 200, F.floor(n / 8)).alias("output_tokens"))
+    v = views.videos(spark, d).groupBy("video_id").agg((F.max("duration_s") / 3600).alias("h"))
+    c = metrics.cost_rollup(u.join(v, "video_id"), ["video_id"], 0.75, 4.5, F.max("h"))
+    return c.select("video_id", "calls", "input_tokens", "output_tokens", *(F.round(x, 13).alias(x) for x in ("cost", "cost_per_call", "cost_per_hour")))
 
 
-@query("a35_audit_rate", "seg", "SELECT video_id, count(*) AS n, count(*) FILTER (len(trim(text)) = 0) AS empty, round(count(*) FILTER (segment_id % 7 = 0) / CAST(count(*) AS DOUBLE), 6) AS flagged_rate FROM seg GROUP BY 1")
+AUD = "au AS (SELECT DISTINCT s.video_id, s.segment_id, s.text, CASE WHEN regexp_matches(s.text, '[[:alpha:]]') THEN 'text' ELSE 'false_non_text' END AS verdict FROM segments s WHERE s.video_id IN (SELECT video_id FROM vid WHERE split = 'heldout') AND s.text IS NOT NULL AND s.video_id IS NOT NULL)"
+
+
+@query("a35_audit_rate", "seg vid", f"WITH {AUD}, li AS (SELECT video_id, segment_id, text FROM seg WHERE video_id IN (SELECT video_id FROM vid WHERE split = 'heldout')), j AS (SELECT l.text AS a, u.text AS b, verdict, l.segment_id IS NOT NULL AS l, u.segment_id IS NOT NULL AS r FROM li l FULL JOIN au u USING (video_id, segment_id)) SELECT *, CASE WHEN missing + unknown + changed = 0 THEN round(false_lines / CAST(nullif(reviewed, 0) AS DOUBLE), 6) END AS false_rate FROM (SELECT count(*) FILTER (r) AS reviewed, count(*) FILTER (verdict = 'false_non_text') AS false_lines, count(*) FILTER (NOT r) AS missing, count(*) FILTER (NOT l) AS unknown, count(*) FILTER (l AND r AND a <> b) AS changed FROM j) x")
 def audit_rate(spark, d):
-    """Rate of rows that an audit flagged; the flags come from the id."""
-    n = lambda c: F.count(F.when(c, 1))
-    return views.segments(spark, d).groupBy("video_id").agg(F.count("*").alias("n"), n(F.length(F.trim("text")) == 0).alias("empty"), F.round(n(F.col("segment_id") % 7 == 0) / F.count("*"), 6).alias("flagged_rate"))
+    """An audit of all delivered segments of the heldout videos against the valid ones: reviews of faulty rows make it void."""
+    held = views.videos(spark, d).where("split = 'heldout'").select("video_id").distinct()
+    s = load(spark, d, "segments").where(F.col("text").isNotNull() & F.col("video_id").isNotNull()).select("video_id", "segment_id", "text").distinct().join(held, "video_id", "left_semi")
+    s = s.withColumn("verdict", F.when(F.col("text").rlike(r"[A-Za-z]"), "text").otherwise("false_non_text"))
+    out = metrics.audit(views.segments(spark, d).select("video_id", "segment_id", "text").join(held, "video_id", "left_semi"), s, ["video_id", "segment_id"], "text", "verdict", "false_non_text")
+    return out.withColumn("false_rate", F.round("false_rate", 6))
 
 
 @query("s21_csv_rows", VIEWS, FIRST + " SELECT concat_ws(',', query_id, query_type, coalesce(CAST(first_rank AS VARCHAR), '')) AS line FROM fr")

@@ -91,7 +91,10 @@ def constraints(spark, d):
     return questions(spark, d).select("query_id", "form", rt.requested_count(q).alias("requested_count"), rt.temporal_relation(q).alias("temporal_relation"), rt.temporal_anchor(q).alias("temporal_anchor"), rt.relation_types(q).alias("relations"))
 
 
-@query("q08_scope", "qry", CONS + r", s AS (SELECT *, trim(regexp_replace(lower(replace(q, 'İ', 'i' || chr(775))), '\s+', ' ', 'g')) AS low FROM c) SELECT query_id, form, CASE WHEN n IS NOT NULL OR regexp_matches(low, '\b(?:list|enumerate)\b') THEN 'EXPLICIT_LIST_COUNT' WHEN rel IS NOT NULL AND regexp_matches(low, '^(?:what|which|who|where|when)\b') THEN 'TEMPORAL_ORDERING' " + " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{n}'" for n, p in rt.SCOPES) + " ELSE 'SUPPORTED_CORE' END AS scope FROM s")
+SCOPE_SQL = CONS + r", s AS (SELECT *, trim(regexp_replace(lower(replace(q, 'İ', 'i' || chr(775))), '\s+', ' ', 'g')) AS low FROM c) SELECT query_id, form, CASE WHEN n IS NOT NULL OR regexp_matches(low, '\b(?:list|enumerate)\b') THEN 'EXPLICIT_LIST_COUNT' WHEN rel IS NOT NULL AND regexp_matches(low, '^(?:what|which|who|where|when)\b') THEN 'TEMPORAL_ORDERING' " + " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{n}'" for n, p in rt.SCOPES) + " ELSE 'SUPPORTED_CORE' END AS scope FROM s"
+
+
+@query("q08_scope", "qry", SCOPE_SQL)
 def scope(spark, d):
     return questions(spark, d).select("query_id", "form", rt.scope(F.col("q")).alias("scope"))
 

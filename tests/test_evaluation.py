@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cuelake.operators import calibrate as cb
@@ -168,3 +169,41 @@ def test_vocabularies_hold_words_and_characters(spark, monkeypatch):
     fit = cb.softmax_fit_sparse
     monkeypatch.setattr(cb, "softmax_fit_sparse", lambda *a: sizes.append(a[3]) or fit(*a[:6], 5, *a[7:]))
     assert questions.tfidf_classifier(spark, d).count() and sizes[0] > 5000
+
+
+def test_preservation_and_demotions(spark):
+    lanes = spark.createDataFrame([("q", "visual", 1, "a", 5.0, None), ("q", "visual", 2, "b", 50.0, None), ("q", "speech", 1, "a", 4.0, 6.0), ("q", "speech", 3, "c", 48.0, 51.0), ("r", "visual", 9, "x", 50.0, None)], "query_id string, lane string, rank int, thumbnail string, ts double, `end` double")
+    fused = spark.createDataFrame([("q", "a", 5.0, 6.0, 1, 1, 1), ("q", "b", 50.0, None, 2, None, 6), ("q", "c", 48.0, 51.0, None, 3, 7), ("r", "x", 50.0, None, 9, None, 1)], "query_id string, thumbnail string, ts double, `end` double, visual_rank int, speech_rank int, fused_rank int")
+    spans = spark.createDataFrame([("q", 49.0, 52.0), ("r", 49.0, 52.0)], "query_id string, s double, e double")
+    need = spark.createDataFrame([("q", "visual"), ("q", "speech"), ("r", "visual"), ("s", "speech")], "query_id string, lane string")
+    p = {r.query_id: (r.eligible, r.relevant_rank, r.irrelevant_consensus) for r in metrics.preservation(lanes, fused, spans, need, "query_id").collect()}
+    assert p == {"q": (True, None, True), "r": (False, 1, False), "s": (False, None, False)}
+    assert {tuple(r) for r in metrics.demotions(lanes, fused, spans, "query_id").collect()} == {("q", "visual", 2, 6), ("q", "speech", 3, 7)}
+    assert {tuple(r) for r in metrics.recall_or_ranking(lanes, fused, spans, need, "query_id").collect()} == {("q", "ranking_failure"), ("r", "success"), ("s", "candidate_recall_failure")}
+
+
+def test_scope_report(spark):
+    t, f, n = True, False, None
+    rows = [(t, t, t, t, t, t, t, t, 2, 1), (t, t, f, f, f, f, f, f, 0, 0), (t, f, t, t, t, n, n, n, 1, 1), (f, t, t, t, t, t, t, t, 1, 1), (f, n, f, f, f, n, n, n, None, None)]
+    df = spark.createDataFrame(rows, "supported boolean, answerable boolean, allowed boolean, generated boolean, answered boolean, correct boolean, grounded boolean, evidence boolean, citations int, valid_citations int")
+    got = {r.metric: r.value for r in metrics.scope_report(df).collect()}
+    assert got["supported_question_recall"] == pytest.approx(2 / 3) and got["supported_question_precision"] == pytest.approx(2 / 3) and got["unsafe_generation_rate"] == 0.5
+    assert got["core_user_success_rate"] == 0.5 and got["citation_precision"] == 0.5 and got["false_abstention_rate"] == 0.5 and got["false_answer_rate"] == 1.0
+    assert all(r.value == 0.0 for r in metrics.scope_report(df.limit(0)).collect())
+
+
+def test_audit(spark):
+    lines = spark.createDataFrame([("v", 1, "a"), ("v", 2, "b")], "v string, i int, t string")
+    mk = lambda rows: spark.createDataFrame(rows, "v string, i int, t string, verdict string")
+    run = lambda rows: tuple(metrics.audit(lines, mk(rows), ["v", "i"], "t", "verdict", "no").first())
+    assert run([("v", 1, "a", "no"), ("v", 2, "b", "yes")]) == (2, 1, 0, 0, 0, 0.5)
+    assert run([("v", 1, "x", "no"), ("v", 3, "b", "yes")]) == (2, 1, 1, 1, 1, None)
+
+
+def test_detector_classes_and_cost(spark):
+    rows = spark.createDataFrame([("a", "visible", True, 0.5, 0.1), ("a", "visible", None, 0.9, 0.9), ("a", "hidden", True, 0.1, 0.1)], "k string, visibility string, detected boolean, confidence double, area double")
+    assert tuple(metrics.detector_recall(rows, ["k"]).first()) == ("a", 2, 1, 0.5, 0.5, 0.1)
+    seen = spark.createDataFrame([(1, "A"), (1, "B"), (2, "B")], "step int, kind string")
+    assert {tuple(r) for r in metrics.evidence_classes(seen, "step", "kind", ["A"]).collect()} == {(1, "A", 1, 0.5, 0.5), (1, "B", 1, 0.5, 0.5), (2, "B", 1, 1.0, 0.0)}
+    usage = spark.createDataFrame([("a", 1_000_000, None, 2.0), ("a", 0, 2_000_000, 2.0)], "k string, input_tokens bigint, output_tokens bigint, h double")
+    assert tuple(metrics.cost_rollup(usage, ["k"], 0.5, 2.0, F.max("h")).first()) == ("a", 2, 1_000_000, 2_000_000, 4.5, 2.25, 2.25)
