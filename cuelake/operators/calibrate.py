@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.operators.blocks import ordered_total
@@ -219,3 +220,37 @@ def regressions(base: DataFrame, new: DataFrame, key: str, metrics: dict[str, in
     sign = F.create_map(*(F.lit(v) for kv in metrics.items() for v in kv))[F.col("metric")]
     worse = F.col("new").isNull() | ((F.col("base") - F.col("new")) * sign > tolerance)
     return a.join(b, [key, "metric"], "left").where(F.col("base").isNotNull() & worse).select(key, "metric", "base", "new")
+
+
+def temporal_trials(candidates: DataFrame, intervals: DataFrame, keys: list[str], support: list[float], change: list[float]) -> DataFrame:
+    """``(*keys, support_weight, change_weight, first)``: the first relevant rank of each list for every pair of weights.
+
+    Lists ``(*keys, rank, ts, score_z, temporal_support_10s, change)``, bounded by their depth, are reordered by the
+    weighted sum; equal ones keep their order. Lists without a hit give no row.
+    """
+    weights = F.array(*(F.struct(F.lit(float(a)).alias("support_weight"), F.lit(float(b)).alias("change_weight")) for a in support for b in change))
+    x = candidates.select(*keys, "rank", "ts", "score_z", "temporal_support_10s", "change", F.inline(weights))
+    total = F.round(F.col("score_z") + F.col("support_weight") * F.col("temporal_support_10s") + F.col("change_weight") * F.col("change"), 6)
+    x = x.withColumn("pos", F.row_number().over(W.partitionBy(*keys, "support_weight", "change_weight").orderBy(F.desc(total), "rank")))
+    hit = x.join(intervals.select(*keys, "s", "e"), keys).where(F.col("ts").between(F.col("s"), F.col("e")))
+    return hit.groupBy(*keys, "support_weight", "change_weight").agg(F.min("pos").alias("first"))
+
+
+def trial_scores(first: DataFrame, trial: list[str], rank: str, depth: int, *more: Column) -> DataFrame:
+    """``(*trial, r5, r1, mrr, ...)``: numbers of lists that hit at ``depth`` and at 1, and the sum of reciprocal ranks."""
+    r = F.col(rank)
+    return first.groupBy(*trial).agg(F.count(F.when(r <= depth, 1)).alias("r5"), F.count(F.when(r == 1, 1)).alias("r1"), F.sum(F.when(r <= depth, 1 / r).otherwise(0.0)).alias("mrr"), *more)
+
+
+def best_trial(trials: DataFrame, figures: list[str], settings: list[str]) -> DataFrame:
+    """The trial of the highest figures, in their order; of equal ones that whose settings are nearest to 0."""
+    return trials.orderBy(*(F.desc(F.round(c, 9)) for c in figures), *(F.abs(c) for c in settings), *settings).limit(1)
+
+
+def accepted(mode: Column, score: Column, evidence: Column, threshold: float | None) -> Column:
+    """Whether a result passes a visual cutoff: all do in speech search or without a cutoff, a hybrid one also if its
+    ``evidence``, a map of scores by lane, has speech."""
+    if threshold is None:
+        return F.lit(True)
+    backed = F.coalesce(F.map_contains_key(evidence, "speech"), F.lit(False)) | (F.coalesce(F.try_element_at(evidence, F.lit("visual")), F.lit(float("-inf"))) >= threshold)
+    return F.when(mode == "speech", True).when(mode == "visual", F.coalesce(score >= threshold, F.lit(False))).otherwise(backed)

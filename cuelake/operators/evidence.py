@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cuelake.operators import vectors
+from cuelake.operators.timeline import regions
+
+#: Limits of chunks, units, sections, packages and summaries, in seconds and characters.
 CHUNK_S, CHUNK_CHARS = 45.0, 900
 FINE_S, FINE_CHARS = 30.0, 600
 SECTION_LEAST_S, SECTION_MOST_S, PAUSE_S, TOPIC = 35.0, 180.0, 3.0, 0.40
@@ -187,6 +191,7 @@ def diversified(candidates: DataFrame, keys: list[str], weight: float, limit: in
 
 
 _SPACE = regex.compile(r"\s+")
+#: Fixed value: a term of recognised screen text.
 _TERM = regex.compile(r"[^\W_]+(?:[-.'/:][^\W_]+)*|[-]{1,2}[a-z0-9-]+")
 
 
@@ -314,3 +319,30 @@ def expanded(base: list[dict], around: dict[str, tuple[dict | None, dict | None]
                 ids.add(n["id"])
                 added += 1
     return chosen
+
+
+def redundancy(candidates: DataFrame, keys: list[str], at: str, score: str, ident: str, vector: str, off: float, same: float = 0.98) -> DataFrame:
+    """How much a list repeats itself: one row for each list of candidates, which its depth bounds.
+
+    ``pairs_r`` within r seconds (and ``off``, by which sampled times may be off) and ``near_r``, the candidates in
+    them, for 1, 2, 5 and 10 s; sorted ``gaps``; 5 s ``regions``; ``spread`` of the scores; ``duplicates``, pairs of a
+    cosine of ``same`` or more, and their share of all pairs. Unknown times, scores or vectors take no part.
+    """
+    c = F.struct(F.col(at).cast("double").alias("t"), F.col(ident).alias("i"), vectors.normalized(F.col(vector)).alias("v"))
+    g = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(c)).alias("c"), F.max(score).alias("_hi"), F.min(score).alias("_lo"))
+    index = F.when(F.size("c") > 1, F.sequence(F.lit(0), F.size("c") - 2)).otherwise(F.array().cast("array<int>"))
+    pair = lambda a, b: F.struct(a.i.alias("a"), b.i.alias("b"), (b.t - a.t).alias("gap"), F.round(vectors.dot(a.v, b.v), 9).alias("cosine"))
+    pairs = F.flatten(F.transform(index, lambda k: F.transform(F.slice(F.col("c"), k + 2, F.size("c")), lambda b: pair(F.get(F.col("c"), k), b))))
+    g = g.withColumn("p", pairs)
+    times = F.filter(F.transform("c", lambda x: x.t), lambda t: t.isNotNull())
+    out = {}
+    for r in (1, 2, 5, 10):
+        reach = r + off
+        near = F.filter("p", lambda x: x.gap <= reach)  # noqa: B023
+        out[f"pairs_{r}"] = F.size(near).cast("bigint")
+        out[f"near_{r}"] = F.size(F.array_distinct(F.flatten(F.transform(near, lambda x: F.array(x.a, x.b))))).cast("bigint")
+    n = F.size("p")
+    dup = F.size(F.filter("p", lambda x: x.cosine >= same))
+    gaps = F.array_sort(F.when(F.size(times) > 1, F.zip_with(F.slice(times, 2, F.size(times)), F.slice(times, F.lit(1), F.size(times) - 1), lambda b, a: b - a)).otherwise(F.array().cast("array<double>")))
+    out |= {"gaps": gaps, "regions": regions(times, 5 + off), "spread": F.coalesce(F.col("_hi") - F.col("_lo"), F.lit(0.0)), "duplicates": dup.cast("bigint"), "duplicate_rate": F.when(n > 0, dup / n).otherwise(0.0)}
+    return g.select(*keys, *(v.alias(k) for k, v in out.items()))

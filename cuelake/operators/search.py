@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from cuelake.operators.fusion import fuse
 from cuelake.operators.text import bm25, tokens
-from cuelake.operators.timeline import nearest
 from cuelake.sources import views
 
 LANE = 50
@@ -29,7 +28,7 @@ def spoken(spark: SparkSession, d: str, k: int = LANE) -> DataFrame:
 
 
 def speech_lane(spark: SparkSession, d: str, k: int = LANE) -> DataFrame:
-    return nearest(spoken(spark, d, k), views.frames(spark, d), "video_id", "start_s", "ts", ["thumbnail"])
+    return views.on_frames(spoken(spark, d, k), spark, d, "start_s")
 
 
 def lanes(spark: SparkSession, d: str) -> DataFrame:

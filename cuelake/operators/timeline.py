@@ -7,23 +7,51 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def nearest(points: DataFrame, frames: DataFrame, group: str, at: str, ts: str, carried: list[str]) -> DataFrame:
+#: Seconds of media time that one task looks at together.
+BLOCK_S = 256.0
+
+
+def nearest(points: DataFrame, frames: DataFrame, group: str, at: str, ts: str, carried: list[str], block: float = BLOCK_S) -> DataFrame:
     """``points`` with the ``carried`` columns of the nearest frame of the same group; a tie goes to the earlier frame.
 
-    A two-sided as-of join without a join: frames and points are laid on one time line, and each point takes the last
-    frame up to it and the first after it. Points of a group without frames carry nulls. One sort a group; a group is
-    one medium, so its length bounds it.
+    A two-sided as-of join without comparing pairs. Times, each once however many points have it, and frames are laid on
+    one time line and cut into blocks; each time takes the last frame up to it and the first after it. A block also gets
+    the last frame of the blocks before it and the first of those behind. Points of a group without frames, and points
+    and frames without a time, carry nulls or take no part.
     """
-    frame = F.struct(F.col(ts).alias("t"), *(F.col(c) for c in carried))
-    a = frames.select(group, F.col(ts).alias("_t"), F.lit(0).alias("_side"), frame.alias("_f"), F.lit(None).cast(points.schema.simpleString()).alias("_p"))
-    b = points.select(group, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_f"].dataType).alias("_f"), F.struct(*points.columns).alias("_p"))
-    line = a.unionByName(b)
-    before = W.partitionBy(group).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy(group).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(W.unboundedPreceding, 0)
+    frame = F.struct(F.col(ts).cast("double").alias("t"), *(F.col(c) for c in carried))
+    b = lambda c: F.floor(F.col(c) / block).cast("bigint")
+    known = lambda df, c: df.where(F.abs(F.col(c)) < float("inf"))
+    f = known(frames, ts).select(group, b(ts).alias("_b"), F.col(ts).cast("double").alias("_t"), F.lit(0).alias("_side"), frame.alias("_f"))
+    p = known(points, at).select(group, b(at).alias("_b"), F.col(at).cast("double").alias("_t")).distinct().select("*", F.lit(1).alias("_side"), F.lit(None).cast(f.schema["_f"].dataType).alias("_f"))
+    line = f.unionByName(p)
+    ends = line.groupBy(group, "_b").agg(F.min_by("_f", F.when(F.col("_side") == 0, F.col("_t"))).alias("_first"), F.max_by("_f", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"), F.max("_side").alias("_asked"))
+    w = W.partitionBy(group).orderBy("_b")
+    around = F.array(F.last("_last", True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.first("_first", True).over(w.rowsBetween(1, W.unboundedFollowing)))
+    extra = ends.select(group, "_b", "_asked", around.alias("_a")).where("_asked = 1").select(group, "_b", F.explode("_a").alias("_f")).where(F.col("_f").isNotNull())
+    line = line.unionByName(extra.select(group, "_b", F.col("_f.t").alias("_t"), F.lit(0).alias("_side"), "_f"))
+    before = W.partitionBy(group, "_b").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
+    after = W.partitionBy(group, "_b").orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(W.unboundedPreceding, 0)
     line = line.withColumns({"_l": F.last("_f", True).over(before), "_r": F.last("_f", True).over(after)}).where("_side = 1")
     left = F.col("_r").isNull() | (F.col("_l").isNotNull() & (F.col("_t") - F.col("_l.t") <= F.col("_r.t") - F.col("_t")))
-    line = line.withColumn("_n", F.when(left, F.col("_l")).otherwise(F.col("_r")))
-    return line.select("_p.*", *(F.col(f"_n.{c}").alias(c) for c in carried))
+    found = line.select(group, F.col("_t").alias("_at"), F.when(left, F.col("_l")).otherwise(F.col("_r")).alias("_n"))
+    out = points.withColumn("_at", F.col(at).cast("double")).join(found, [group, "_at"], "left")
+    return out.select(*points.columns, *(F.col(f"_n.{c}").alias(c) for c in carried))
+
+
+def overlapping(a: DataFrame, b: DataFrame, on: list[str], span: tuple[str, str], other: tuple[str, str], block: float = 32.0) -> DataFrame:
+    """Rows of ``a`` and ``b`` of the same ``on`` whose closed spans share a point, each pair once.
+
+    Spans lie in the blocks of time that they touch, and only those of one block meet, so that a medium with many spans
+    on both sides is spread along its time. Spans without finite ends, or that end before they start, meet nothing.
+    """
+    def dealt(df: DataFrame, s: str, e: str, name: str) -> DataFrame:
+        at = lambda c: F.floor(F.col(c) / block).cast("bigint")
+        df = df.where((F.abs(F.col(s)) < float("inf")) & (F.abs(F.col(e)) < float("inf")) & (F.col(s) <= F.col(e)))
+        return df.withColumn(name, at(s)).withColumn("_b", F.explode(F.sequence(at(s), at(e))))
+
+    j = dealt(a, *span, "_fa").join(dealt(b, *other, "_fb"), [*on, "_b"]).where(F.col("_b") == F.greatest("_fa", "_fb"))
+    return j.where(overlap_closed(F.col(span[0]), F.col(span[1]), F.col(other[0]), F.col(other[1]))).drop("_b", "_fa", "_fb")
 
 
 def inside(t: Column, s: Column, e: Column) -> Column:

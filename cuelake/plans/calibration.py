@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cuelake.operators import calibrate as cb
 from cuelake.operators import fusion, search
 from cuelake.operators import features as ft
+from cuelake.operators import vectors
 from cuelake.operators.text import SQL_TOKENS, sql_bm25, tokens
 from cuelake.plans.common import Registry
 from cuelake.plans.evaluation import CAL, KEY, LABELLED, POS, RES, VIEWS, calibrated, labelled, results
@@ -152,37 +153,6 @@ def leave_one_out(spark, d):
     return other.withColumn("r", r).where("r = 1").select(F.col("query_type").alias("fold"), F.col("t").alias("threshold"), F.round(F.col("hit") / F.col("n"), 6).alias("accuracy"))
 
 
-GRIDC = f"""WITH {RES}, g AS (SELECT unnest([0.0, 0.25, 0.5, 1.0]) AS w), sc AS (SELECT r.query_id, g.w, r.ts, r.rank, row_number() OVER (PARTITION BY r.query_id, g.w ORDER BY round(r.score + CAST(g.w AS DOUBLE) / r.rank, 9) DESC, r.rank) AS pos FROM res r, g WHERE r.rank <= 10),
-h AS (SELECT s.w, s.query_id, min(s.pos) AS first FROM sc s JOIN ivl i ON i.query_id = s.query_id AND s.ts BETWEEN i.s AND i.e GROUP BY ALL), t AS (SELECT w, count(*) FILTER (first <= 5) AS hits, sum(CASE WHEN first <= 5 THEN 1e0 / first ELSE 0 END) AS mrr FROM h GROUP BY 1)"""
-
-
-@query("c14_weight_grid", VIEWS, GRIDC + " SELECT CAST(w AS DOUBLE) AS w, hits FROM t ORDER BY hits DESC, round(mrr, 9) DESC, w LIMIT 1")
-def weight_grid(spark, d):
-    """The weight of the rank term that ranks best, over a fixed grid of weights."""
-    x = results(spark, d).where("rank <= 10").withColumn("w", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 1.0)))))
-    p = F.row_number().over(W.partitionBy(KEY, "w").orderBy(F.desc(F.round(F.col("score") + F.col("w") / F.col("rank"), 9)), "rank"))
-    i = views.intervals(spark, d)
-    h = x.withColumn("pos", p).join(i, KEY).where(F.col("ts").between(F.col("s"), F.col("e"))).groupBy("w", KEY).agg(F.min("pos").alias("first"))
-    t = h.groupBy("w").agg(F.count(F.when(F.col("first") <= 5, 1)).alias("hits"), F.sum(F.when(F.col("first") <= 5, 1 / F.col("first")).otherwise(0.0)).alias("mrr"))
-    return t.orderBy(F.desc("hits"), F.desc(F.round("mrr", 9)), "w").limit(1).select("w", "hits")
-
-
-@query("c15_fallback_threshold", VIEWS, BEST + """, g AS (SELECT unnest([0.0, 0.2, 0.4, 0.6, 0.8]) AS t), a AS (SELECT g.t, avg(CASE WHEN b.score >= g.t THEN CAST(b.query_type <> 'SPEECH' AS INT) ELSE CAST(b.query_type = 'SPEECH' AS INT) END) AS acc FROM best b, g GROUP BY 1)
-SELECT CAST(t AS DOUBLE) AS threshold, round(acc, 6) AS accuracy FROM a ORDER BY round(acc, 9) DESC, t LIMIT 1""")
-def fallback_threshold(spark, d):
-    """Below which confidence to fall back to another route, over a fixed grid."""
-    b = best(spark, d).withColumn("t", F.explode(F.array(*map(F.lit, (0.0, 0.2, 0.4, 0.6, 0.8)))))
-    speech = F.col("query_type") == "SPEECH"
-    a = b.groupBy("t").agg(F.avg(F.when(F.col("score") >= F.col("t"), (~speech).cast("int")).otherwise(speech.cast("int"))).alias("acc"))
-    return a.orderBy(F.desc(F.round("acc", 9)), "t").limit(1).select(F.col("t").alias("threshold"), F.round("acc", 6).alias("accuracy"))
-
-
-@query("c16_choice", VIEWS, GRIDC + " SELECT CAST(w AS DOUBLE) AS w FROM t ORDER BY hits DESC, round(mrr, 9) DESC, w LIMIT 1")
-def choice(spark, d):
-    """The configuration of most hits, then best reciprocal rank, then least cost."""
-    return weight_grid(spark, d).select("w")
-
-
 GATES = f"{CAL}, m AS (SELECT avg(CASE WHEN positive THEN CAST(accepted AND coalesce(first_rank <= 5, false) AS INT) END) AS recall, avg(CASE WHEN positive THEN 1 - CAST(accepted AS INT) END) AS fab, avg(CASE WHEN NOT positive THEN CAST(accepted AS INT) END) AS far FROM cal)"
 
 
@@ -205,13 +175,18 @@ def regressions(spark, d):
     return x.select("k", "metric", F.round("base", 6).alias("base"), F.round("new", 6).alias("new"))
 
 
-@query("c19_accepted_results", VIEWS, f"WITH {RES} SELECT query_id, rank FROM res WHERE score > 0.3e0 OR rank % 3 = 0")
+@query("c19_accepted_results", LANE_VIEWS, with_lanes(", md AS (SELECT query_id, unnest(evaluation_modes) AS mode FROM qry), al AS (SELECT query_id, lane AS mode, rank, CASE WHEN lane = 'visual' THEN score END AS visual, lane = 'speech' AS spoken FROM lanes UNION ALL SELECT f.query_id, 'hybrid', fused_rank, v.score, f.speech_rank IS NOT NULL FROM fused f LEFT JOIN (SELECT query_id, rank, score FROM lanes WHERE lane = 'visual') v ON v.query_id = f.query_id AND v.rank = f.visual_rank) SELECT DISTINCT query_id, mode, rank FROM al JOIN md USING (query_id, mode) WHERE spoken OR visual >= 0.3e0"))
 def accepted_results(spark, d):
-    """Fused rows that pass: above the cutoff, or backed by speech, whose evidence map has its key."""
-    ev = F.create_map(F.lit("visual"), F.col("score"))
-    ev = F.when(F.col("rank") % 3 == 0, F.map_concat(ev, F.create_map(F.lit("speech"), F.lit(1.0)))).otherwise(ev)
-    r = results(spark, d).withColumn("evidence", ev)
-    return r.where((F.col("evidence")["visual"] > 0.3) | F.map_contains_key("evidence", "speech")).select(KEY, "rank")
+    """Results of each way that a query is evaluated in: speech rows all pass, visual ones by cutoff, fused ones that speech backs or whose visual evidence passes."""
+    lanes = search.lanes(spark, d)
+    visual = lanes.where("lane = 'visual'").select(KEY, F.col("rank").alias("visual_rank"), F.col("score").alias("v"))
+    one = lanes.select(KEY, F.col("lane").alias("mode"), "rank", "score", F.create_map("lane", "score").alias("evidence"))
+    f = fusion.fuse(lanes, [KEY]).join(visual, [KEY, "visual_rank"], "left")
+    ev = F.map_filter(F.create_map(F.lit("visual"), F.col("v"), F.lit("speech"), F.when(F.col("speech_rank").isNotNull(), 1.0)), lambda k, x: x.isNotNull())
+    both = f.select(KEY, F.lit("hybrid").alias("mode"), F.col("fused_rank").alias("rank"), "score", ev.alias("evidence"))
+    modes = views.queries(spark, d).select(KEY, F.explode("evaluation_modes").alias("mode"))
+    x = one.unionByName(both).join(modes, [KEY, "mode"])
+    return x.where(cb.accepted(F.col("mode"), F.col("score"), F.col("evidence"), 0.3)).select(KEY, "mode", "rank").distinct()
 
 
 CF = f"""WITH {RES}, en AS (SELECT vec_id AS en, CAST(embedding AS DOUBLE[]) AS v, count(*) OVER () AS c FROM embeddings), r20 AS (SELECT r.*, p.candidate_id FROM res r JOIN pool p USING (query_id, video_id, rank) WHERE r.rank <= 20),
@@ -226,8 +201,7 @@ def twenty(spark, d):
     """The 20 best candidates of each query in its own video, with vectors that stand for their frames."""
     from cuelake.plans.questions import embedded
 
-    p = views.pool(spark, d, 20).join(views.queries(spark, d).select(KEY, "video_id"), KEYED)
-    return embedded(p, spark, d, F.col("candidate_id"))
+    return embedded(views.own_pool(spark, d, 20), spark, d, F.col("candidate_id"))
 
 
 _CSQL = {
@@ -243,6 +217,88 @@ def rounded(columns):
     return [(F.round(c, 9 if c in TIGHT else 6) + F.lit(0.0)).alias(c) for c in columns]
 
 
+def temporal_trials(spark, d):
+    """``(support, change, query_id, first)``: first relevant rank of each query when z plus weighted support and change orders its 20 best."""
+    x = ft.candidate_features(twenty(spark, d), [KEY], "score", "rank", "ts").select(KEY, "rank", "ts", "score", "score_z", "temporal_support_10s")
+    return cb.temporal_trials(x.join(changes(spark, d), [KEY, "rank"]), views.intervals(spark, d), [KEY], SUPPORT, CHANGE)
+
+
+def changes(spark, d):
+    """How much the frame behind each candidate differs from the next one; vectors stand for frames by id."""
+    from cuelake.plans.questions import embedded
+
+    p = results(spark, d).where("rank <= 20").select(KEY, "rank", "candidate_id")
+    a = embedded(p, spark, d, F.col("candidate_id")).withColumnRenamed("embedding", "a")
+    b = embedded(a, spark, d, F.col("candidate_id") + 1)
+    return b.select(KEY, "rank", (1 - vectors.dot(F.col("a"), F.col("embedding"))).alias("change"))
+
+
+SUPPORT, CHANGE = [-0.5, -0.25, 0.0, 0.25, 0.5], [-1.0, -0.5, 0.0, 0.5, 1.0]
+TRIALS = CF + """, cg AS (SELECT r.query_id, r.rank, 1 - list_dot_product(a.v, b.v) AS change FROM r20 r JOIN en a ON a.en = r.candidate_id % a.c JOIN en b ON b.en = (r.candidate_id + 1) % b.c),
+sp AS (SELECT a.query_id, a.rank, count(b.rank) FILTER (abs(a.ts - b.ts) <= 10.05e0) / CAST(greatest(count(b.rank), 1) AS DOUBLE) AS support FROM f a LEFT JOIN f b ON a.query_id = b.query_id AND a.rank <> b.rank GROUP BY ALL),
+sw AS (SELECT unnest([-0.5e0, -0.25e0, 0e0, 0.25e0, 0.5e0]) AS sw), cw AS (SELECT unnest([-1e0, -0.5e0, 0e0, 0.5e0, 1e0]) AS cw),
+o AS (SELECT f.query_id, sw, cw, f.ts, row_number() OVER (PARTITION BY f.query_id, sw, cw ORDER BY round((score - m) / greatest(sd, 1e-12) + sw * support + cw * change, 6) DESC, f.rank) AS pos FROM f JOIN sp USING (query_id, rank) JOIN cg USING (query_id, rank), sw, cw),
+h AS (SELECT o.query_id, sw, cw, min(pos) AS first FROM o JOIN ivl i ON i.query_id = o.query_id AND o.ts BETWEEN i.s AND i.e GROUP BY ALL),
+tr AS (SELECT sw AS support_weight, cw AS change_weight, count(*) FILTER (first <= 5) AS r5, count(*) FILTER (first = 1) AS r1, sum(CASE WHEN first <= 5 THEN 1e0 / first ELSE 0 END) AS mrr FROM h GROUP BY ALL)"""
+
+
+@query("c14_weight_grid", VIEWS, TRIALS + " SELECT support_weight, change_weight, r5, r1, round(mrr, 6) AS mrr FROM tr ORDER BY r5 DESC, r1 DESC, round(mrr, 9) DESC, abs(support_weight), abs(change_weight), support_weight, change_weight LIMIT 1")
+def weight_grid(spark, d):
+    """Weights of temporal support and visual change by which reranking finds most: hits at 5, at 1, reciprocal ranks, then the weights nearest to 0."""
+    t = cb.trial_scores(temporal_trials(spark, d), ["support_weight", "change_weight"], "first", 5)
+    return cb.best_trial(t, ["r5", "r1", "mrr"], ["support_weight", "change_weight"]).select("support_weight", "change_weight", "r5", "r1", F.round("mrr", 6).alias("mrr"))
+
+
+FALL = [0.0, 0.45, 0.55, 0.65, 0.75]
+
+
+def _fall_sql():
+    from cuelake.plans.retrieval import LANES
+    from cuelake.plans.routing import FEATS, LOGITS
+
+    rest = LANES + ", "
+    return FEATS + LOGITS + ", " + rest + """rt AS (SELECT query_id, CASE WHEN z0 >= greatest(z1, z2) THEN 'visual' WHEN z1 >= z2 THEN 'speech' ELSE 'hybrid' END AS route, 1 / (exp(z0 - greatest(z0, z1, z2)) + exp(z1 - greatest(z0, z1, z2)) + exp(z2 - greatest(z0, z1, z2))) AS sure FROM l WHERE form = 0),
+fi AS (SELECT query_id, lane AS route, min(rank) AS first FROM (SELECT query_id, lane, rank, ts FROM lanes UNION ALL SELECT query_id, 'hybrid', fused_rank, ts FROM fused) x JOIN ivl i USING (query_id) WHERE x.ts BETWEEN i.s AND i.e GROUP BY ALL),
+th AS (SELECT unnest([0e0, 0.45e0, 0.55e0, 0.65e0, 0.75e0]) AS threshold), ch AS (SELECT q.query_id, threshold, CASE WHEN round(sure, 9) < threshold THEN 'hybrid' ELSE route END AS route, CASE q.modality_requirement WHEN 'temporal' THEN 'visual' ELSE q.modality_requirement END AS target FROM qry q JOIN rt USING (query_id), th WHERE """ + POS + """),
+tr AS (SELECT threshold, count(*) FILTER (first <= 5) AS r5, count(*) FILTER (first = 1) AS r1, sum(CASE WHEN first <= 5 THEN 1e0 / first ELSE 0 END) AS mrr, count(*) FILTER (route = target) AS right_routes FROM ch LEFT JOIN fi USING (query_id, route) GROUP BY 1)
+SELECT threshold, r5, r1, round(mrr, 6) AS mrr, right_routes FROM tr ORDER BY r5 DESC, r1 DESC, round(mrr, 9) DESC, right_routes DESC, threshold LIMIT 1"""
+
+
+@query("c15_fallback_threshold", LANE_VIEWS + " ivl", _fall_sql())
+def fallback_threshold(spark, d):
+    """The confidence below which a query is searched both ways: most found at 5, at 1, reciprocal ranks, then routes that are right, then the least."""
+    from cuelake.operators import routing as rt
+
+    lanes = search.lanes(spark, d)
+    both = lanes.select(KEY, F.col("lane").alias("route"), "rank", "ts").unionByName(fusion.fuse(lanes, [KEY]).select(KEY, F.lit("hybrid").alias("route"), F.col("fused_rank").alias("rank"), "ts"))
+    first = both.join(views.intervals(spark, d), KEY).where(F.col("ts").between(F.col("s"), F.col("e"))).groupBy(KEY, "route").agg(F.min("rank").alias("first"))
+    route, sure = rt.route(rt.route_features(F.col("query_text")))
+    m = F.col("modality_requirement")
+    q = views.queries(spark, d).where(POS).select(KEY, route.alias("said"), F.round(sure, 9).alias("sure"), F.when(m == "temporal", "visual").otherwise(m).alias("target"))
+    q = q.withColumn("threshold", F.explode(F.array(*map(F.lit, FALL)))).withColumn("route", F.when(F.col("sure") < F.col("threshold"), "hybrid").otherwise(F.col("said")))
+    t = cb.trial_scores(q.join(first, [KEY, "route"], "left"), ["threshold"], "first", 5, F.count(F.when(F.col("route") == F.col("target"), 1)).alias("right_routes"))
+    return cb.best_trial(t, ["r5", "r1", "mrr", "right_routes"], ["threshold"]).select("threshold", "r5", "r1", F.round("mrr", 6).alias("mrr"), "right_routes")
+
+
+@query("c16_choice", VIEWS + " vid", f"WITH {RES}, cfg AS (SELECT * FROM (VALUES ('4/2/8', 2e0, 8), ('8/4/8', 4e0, 8)) t(config, grid, frames)), w AS (SELECT DISTINCT config, r.query_id, r.rank, round(r.ts / grid) * grid AS ts FROM res r, cfg WHERE r.rank <= 10), f AS (SELECT config, w.query_id, min(w.rank) AS first FROM w JOIN ivl i ON i.query_id = w.query_id AND w.ts BETWEEN i.s AND i.e GROUP BY ALL), cost AS (SELECT config, sum(floor(duration_s / grid) * frames) AS cost FROM (SELECT video_id, max(duration_s) AS duration_s FROM vid WHERE isfinite(duration_s) GROUP BY 1) v, cfg GROUP BY 1), t AS (SELECT c.config, count(*) FILTER (first <= 5) AS r5, count(*) FILTER (first <= 5 AND query_type = 'ACTION_TEMPORAL') AS temporal_r5 FROM cfg c LEFT JOIN f USING (config) LEFT JOIN qry USING (query_id) GROUP BY 1) SELECT config, r5, temporal_r5, cost FROM t JOIN cost USING (config) ORDER BY r5 DESC, temporal_r5 DESC, cost, config LIMIT 1")
+def choice(spark, d):
+    """Of two configurations (window, stride, frames) the one of most hits at 5, then among queries of time, then of least cost.
+
+    A configuration snaps the times of candidates to its stride; its cost is the number of frames it encodes.
+    """
+    c = spark.createDataFrame([("4/2/8", 2.0, 8), ("8/4/8", 4.0, 8)], "config string, grid double, frames int")
+    w = results(spark, d).where("rank <= 10").crossJoin(F.broadcast(c)).withColumn("ts", F.round(F.col("ts") / F.col("grid")) * F.col("grid"))
+    first = w.join(views.intervals(spark, d), KEY).where(F.col("ts").between(F.col("s"), F.col("e"))).groupBy("config", KEY).agg(F.min("rank").alias("first"))
+    v = views.videos(spark, d).where(F.abs("duration_s") < float("inf")).groupBy("video_id").agg(F.max("duration_s").alias("duration_s"))
+    cost = v.crossJoin(F.broadcast(c)).groupBy("config").agg(F.sum(F.floor(F.col("duration_s") / F.col("grid")) * F.col("frames")).cast("double").alias("cost"))
+    j = first.join(views.queries(spark, d).select(KEY, "query_type"), KEY)
+    n = lambda x: F.count(F.when(x, 1))
+    top = F.col("first") <= 5
+    t = j.groupBy("config").agg(n(top).alias("r5"), n(top & (F.col("query_type") == "ACTION_TEMPORAL")).alias("temporal_r5"))
+    t = c.select("config").join(t, "config", "left").na.fill(0).join(cost, "config")
+    return t.orderBy(F.desc("r5"), F.desc("temporal_r5"), "cost", "config").limit(1)
+
+
 @query("m01_candidate_features", VIEWS, CF + CV + " SELECT query_id, rank, " + ", ".join(f"round({e}, {9 if c in TIGHT else 6}) + 0e0 AS {c}" for c, e in _CSQL.items()) + " FROM f JOIN tm USING (query_id, rank) JOIN pr USING (query_id, rank) JOIN cn USING (query_id) WHERE sd > 1e-6 OR n = 1")
 def candidate_features(spark, d):
     """Lists of one, and those with spread, which the SQL can compare; m01_candidate_features_whole has all."""

@@ -23,7 +23,7 @@ FVIEWS = LANE_VIEWS + " ivl"
 
 
 def results(spark, d):
-    return views.pool(spark, d).join(views.queries(spark, d).select("query_id", "video_id"), ["query_id", "video_id"])
+    return views.own_pool(spark, d)
 
 
 def positives(spark, d):

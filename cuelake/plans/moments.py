@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cuelake.operators import evidence as ev
 from cuelake.operators import timeline as tl
 from cuelake.operators import vectors
 from cuelake.operators.text import jaccard, tokens, topic_terms, SQL_TOKENS, SQL_FOLD, TOPIC_STOP
@@ -20,7 +21,7 @@ TEN = "ten AS (SELECT p.* FROM pool p JOIN qry q USING (query_id, video_id) WHER
 
 
 def ten(spark, d, k=10):
-    return views.pool(spark, d, k).join(views.queries(spark, d).select("query_id", "video_id"), ["query_id", "video_id"])
+    return views.own_pool(spark, d, k)
 
 
 def by_list(df, keys=("query_id", "video_id"), order="ts"):
@@ -63,7 +64,7 @@ def inside_closed(spark, d):
 def overlap(spark, d):
     """Segments of a query's video that share a point with one of its intervals."""
     q = views.queries(spark, d).select("query_id", "video_id").join(views.intervals(spark, d), "query_id")
-    j = q.join(views.segments(spark, d), "video_id").where(tl.overlap_closed(F.col("start_s"), F.col("end_s"), F.col("s"), F.col("e")))
+    j = tl.overlapping(q, views.segments(spark, d), ["video_id"], ("s", "e"), ("start_s", "end_s"))
     return j.select("query_id", "segment_id").distinct()
 
 
@@ -86,9 +87,9 @@ def all_of(spark, d):
 def any_of(spark, d):
     """Whether any unit overlaps an expected interval, interval by interval."""
     q = views.queries(spark, d).select("query_id", "video_id").join(views.intervals(spark, d), "query_id")
-    u = views.units(spark, d, "fine").select(F.col("video_id").alias("v"), "unit_id", "start_seconds", "end_seconds")
-    on = (F.col("v") == F.col("video_id")) & tl.overlap_closed(F.col("start_seconds"), F.col("end_seconds"), F.col("s"), F.col("e"))
-    return q.join(u, on, "left").groupBy("query_id", "ord").agg(F.bool_or(F.col("unit_id").isNotNull()).alias("hit"))
+    u = views.units(spark, d, "fine").select("video_id", "start_seconds", "end_seconds")
+    hit = tl.overlapping(q, u, ["video_id"], ("s", "e"), ("start_seconds", "end_seconds")).select("query_id", "ord").distinct().withColumn("hit", F.lit(True))
+    return q.select("query_id", "ord").join(hit, ["query_id", "ord"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 @query("j11_neighbours", "fine", """SELECT video_id, unit_id, lag(unit_id) OVER w AS before, lead(unit_id) OVER w AS after, lead(start_seconds) OVER w - start_seconds AS step
@@ -198,16 +199,22 @@ def pairs_within(spark, d):
     return tl.neighbours_within(ten(spark, d), ["query_id"], "ts", "candidate_id", 10 + OFF).withColumn("gap", F.round("gap", 6))
 
 
-@query("t16_redundancy", "qry cand pool", PAIRS + ", c AS (SELECT query_id, count(*) AS n FROM ten GROUP BY 1), u AS (SELECT query_id, a AS x, gap FROM pr UNION ALL SELECT query_id, b, gap FROM pr), k AS (SELECT query_id, count(DISTINCT x) FILTER (gap <= 5.05) AS crowded_5 FROM u GROUP BY 1) SELECT c.query_id, " + ", ".join(f"coalesce(p.w{r}, 0) AS within_{r}" for r in (1, 2, 5, 10)) + ", coalesce(crowded_5, 0) AS crowded_5, round(coalesce(w10, 0) / CAST(greatest(n * (n - 1) // 2, 1) AS DOUBLE), 6) AS pair_rate FROM c LEFT JOIN (SELECT query_id, " + ", ".join(f"count(*) FILTER (gap <= {r} + 0.05) AS w{r}" for r in (1, 2, 5, 10)) + " FROM pr GROUP BY 1) p USING (query_id) LEFT JOIN k USING (query_id)")
+TENV = ", en AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, count(*) OVER () AS c FROM embeddings), tv AS (SELECT t.*, en.v FROM ten t JOIN en ON en.vec_id = t.candidate_id % en.c)"
+
+
+@query("t16_redundancy", "qry cand pool", f"""WITH {TEN}{TENV}, pr AS (SELECT a.query_id, a.candidate_id AS a, b.candidate_id AS b, abs(a.ts - b.ts) AS gap, list_dot_product(a.v, b.v) AS cosine FROM tv a JOIN tv b ON a.query_id = b.query_id AND a.candidate_id < b.candidate_id),
+g AS (SELECT query_id, ts - lag(ts) OVER (PARTITION BY query_id ORDER BY ts) AS gap FROM ten), gs AS (SELECT query_id, list(round(gap, 6) ORDER BY gap) FILTER (gap IS NOT NULL) AS gaps FROM g GROUP BY 1),
+rg AS (SELECT query_id, list_reduce(list_prepend(NULL, list_transform(list(ts ORDER BY ts), lambda x: {{'n': 0, 'a': x}})), lambda acc, x: CASE WHEN acc IS NULL THEN {{'n': 1, 'a': x.a}} WHEN x.a - acc.a > 5.05e0 THEN {{'n': acc.n + 1, 'a': x.a}} ELSE acc END).n AS regions FROM ten GROUP BY 1),
+c AS (SELECT query_id, count(*) AS n, max(score) - min(score) AS spread FROM ten GROUP BY 1),
+w AS (SELECT query_id, """ + ", ".join(f"count(*) FILTER (gap <= {r} + 0.05e0) AS w{r}, len(list_distinct(list_concat(coalesce(list(a) FILTER (gap <= {r} + 0.05e0), []), coalesce(list(b) FILTER (gap <= {r} + 0.05e0), [])))) AS n{r}" for r in (1, 2, 5, 10)) + """, count(*) FILTER (round(cosine, 9) >= 0.98e0) AS same FROM pr GROUP BY 1)
+SELECT c.query_id, """ + ", ".join(f"coalesce(w{r}, 0) AS pairs_{r}, coalesce(n{r}, 0) AS near_{r}" for r in (1, 2, 5, 10)) + """, coalesce(gaps, []) AS gaps, regions, round(spread, 6) AS spread, coalesce(same, 0) AS duplicates, round(CASE WHEN n > 1 THEN coalesce(same, 0) / (n * (n - 1) / 2e0) ELSE 0 END, 6) AS duplicate_rate FROM c JOIN rg USING (query_id) LEFT JOIN gs USING (query_id) LEFT JOIN w USING (query_id)""")
 def redundancy(spark, d):
-    """Pairs of a list within 1, 2, 5 and 10 s, candidates that have one within 5 s, and the share of pairs within 10 s."""
-    t = ten(spark, d)
-    p = tl.neighbours_within(t, ["query_id"], "ts", "candidate_id", 10 + OFF)
-    w = p.groupBy("query_id").agg(*(F.count(F.when(F.col("gap") <= g + OFF, 1)).alias(f"within_{g}") for g in (1, 2, 5, 10)))
-    k = p.where(F.col("gap") <= 5 + OFF).select("query_id", F.explode(F.array("a", "b")).alias("x")).groupBy("query_id").agg(F.countDistinct("x").alias("crowded_5"))
-    j = t.groupBy("query_id").agg(F.count("*").alias("n")).join(w, "query_id", "left").join(k, "query_id", "left").na.fill(0)
-    pairs = F.greatest(F.floor(F.col("n") * (F.col("n") - 1) / 2), F.lit(1))
-    return j.select("query_id", *(f"within_{g}" for g in (1, 2, 5, 10)), "crowded_5", F.round(F.col("within_10") / pairs, 6).alias("pair_rate"))
+    """How much the ten best candidates of a query repeat each other; vectors stand for frames by id."""
+    from cuelake.plans.questions import embedded
+
+    t = embedded(ten(spark, d), spark, d, F.col("candidate_id"))
+    r = ev.redundancy(t, ["query_id"], "ts", "score", "candidate_id", "embedding", OFF)
+    return r.withColumns({"gaps": F.transform("gaps", lambda x: F.round(x, 6)), "spread": F.round("spread", 6), "duplicate_rate": F.round("duplicate_rate", 6)})
 
 
 @query("t01_sliding_windows", "vid", """WITH m AS (SELECT video_id, max(duration_s) AS d FROM vid WHERE duration_s > 0 GROUP BY 1), w AS (SELECT video_id, d, unnest(generate_series(0, CAST(ceil(d / 4e0) AS BIGINT) - 1)) AS n FROM m)

@@ -212,7 +212,7 @@ def likeness(spark, d):
 def semantic_speech(spark, d):
     """Units by likeness of meaning, with the frame nearest to their start."""
     h = semantic(spark, d, "fine", 8).join(views.units(spark, d, "fine").select("video_id", "unit_id", "start_seconds"), ["video_id", "unit_id"])
-    return tl.nearest(h, views.frames(spark, d), "video_id", "start_seconds", "ts", ["thumbnail"]).select("query_id", "rank", "unit_id", "thumbnail")
+    return views.on_frames(h, spark, d, "start_seconds").select("query_id", "rank", "unit_id", "thumbnail")
 
 
 @query("r18_turkish_bm25", "seg qry", f"WITH docs AS {TRTOKENS.format('seg', 'text')}, asked AS {TRTOKENS.format('qry', 'query_text')}, {sql_bm25('docs', 'asked', 'video_id', 'segment_id', 'query_id')} SELECT query_id, segment_id, round(score, 6) AS score FROM bm25")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.operators import fusion, search, vectors
+from cuelake.operators.blocks import ordered_total
 from cuelake.plans.common import Registry
 from cuelake.operators.text import SQL_TOKENS, sql_bm25, tokens
 from cuelake.sources import views
@@ -69,11 +70,12 @@ def segment_normalise(spark, d):
     return s.select("segment_id", "start_s", F.least("end_s", "duration_s").alias("end_s")).distinct()
 
 
-@query("s05_listing", "vid", "SELECT video_id, max(v.added_at) AS added_at, row_number() OVER (ORDER BY max(v.added_at) DESC, video_id) AS pos FROM videos v WHERE video_id IS NOT NULL GROUP BY video_id ORDER BY pos LIMIT 100")
+@query("s05_listing", "vid", "SELECT video_id, max(v.added_at) AS added_at, row_number() OVER (ORDER BY max(v.added_at) DESC, video_id) AS pos FROM videos v WHERE video_id IS NOT NULL GROUP BY video_id")
 def listing(spark, d):
-    """The 100 videos added last."""
-    v = load(spark, d, "videos").where(F.col("video_id").isNotNull()).groupBy("video_id").agg(F.max("added_at").alias("added_at")).orderBy(F.desc("added_at"), "video_id").limit(100)
-    return v.withColumn("pos", F.row_number().over(W.orderBy(F.desc("added_at"), "video_id")).cast("bigint"))
+    """All videos, those added last first; positions are totals over ranges of the sorted table."""
+    v = load(spark, d, "videos").where(F.col("video_id").isNotNull()).groupBy("video_id").agg(F.max("added_at").alias("added_at"))
+    v = v.withColumn("order", F.struct(-F.coalesce(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', added_at)"), F.lit(-(1 << 62))), F.col("video_id"))).withColumn("one", F.lit(1).cast("bigint"))
+    return ordered_total(v, [], "order", {"pos": "one"}).select("video_id", "added_at", "pos")
 
 
 @query("s06_manifest_overlay", "vid", """SELECT video_id, coalesce(arg_max(license_name, added_at), 'unlicensed') AS license_name, coalesce(arg_max(split, added_at), 'none') AS split

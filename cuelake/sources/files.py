@@ -57,6 +57,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def markdown(df: DataFrame, title: str = "", digits: int = 3, most: int = 1000) -> str:
+    """A small table, such as a summary, as Markdown text: headings, numbers aligned right and rounded, null as a dash.
+
+    A report is written by the driver: at most ``most`` rows are taken, and what lies beyond is said in a last line.
+    """
+    rows = df.limit(most + 1).collect()
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
+
+    def cell(v) -> str:
+        if v is None:
+            return "—"
+        if isinstance(v, float):
+            return f"{v:.{digits}f}"
+        return str(v).replace("|", "\\|").replace("\n", " ")
+
+    out = [f"## {title}", ""] if title else []
+    out += ["| " + " | ".join(c.replace("|", "\\|") for c in df.columns) + " |", "| " + " | ".join("---:" if c in numeric else "---" for c in df.columns) + " |"]
+    out += ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows[:most]]
+    return "\n".join([*out, *(["", f"More than {most} rows."] if len(rows) > most else [])]) + "\n"
+
+
 class _Rows(InputPartition):
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end

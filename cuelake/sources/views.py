@@ -60,12 +60,19 @@ def thumbnail(video: Column, idx: Column) -> Column:
     return F.concat(video, F.lit("/"), F.lpad((idx + 1).cast("string"), 6, "0"))
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """``(query_id, video_id, candidate_id, ts, score, rank)``: visual candidates, best first, stable on ties."""
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
     c = load(spark, d, "coarse_candidates").select("query_id", "video_id", "candidate_id", F.col("timestamp_s").alias("ts"), "score")
-    c = c.where(finite("ts", "score") & (F.col("ts") >= 0) & F.col("candidate_id").isNotNull()).distinct()
+    return c.where(finite("ts", "score") & (F.col("ts") >= 0) & F.col("candidate_id").isNotNull())
+
+
+def _ranked(c: DataFrame) -> DataFrame:
     w = W.partitionBy("query_id", "video_id").orderBy(F.desc("score"), "ts", "candidate_id")
-    return c.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return c.distinct().withColumn("rank", F.row_number().over(w).cast("bigint"))
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """``(query_id, video_id, candidate_id, ts, score, rank)``: visual candidates, best first, stable on ties."""
+    return _ranked(_candidates(spark, d))
 
 
 def pool(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
@@ -73,13 +80,26 @@ def pool(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
     return candidates(spark, d).where(F.col("rank") <= k)
 
 
+def own_pool(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
+    """The pool of each query in its own video; candidates of other videos are left out before any is ranked."""
+    own = queries(spark, d).select("query_id", "video_id")
+    return _ranked(_candidates(spark, d).join(own, ["query_id", "video_id"], "left_semi")).where(F.col("rank") <= k)
+
+
+def on_frames(points: DataFrame, spark: SparkSession, d: str, at: str) -> DataFrame:
+    """Adds the thumbnail of the frame nearest to ``at``; halves go to the earlier frame, null without frames.
+
+    Frames lie every FRAME_S seconds, so the nearest one is found by arithmetic from a medium's length.
+    """
+    v = videos(spark, d).where(finite("duration_s") & (F.col("duration_s") >= 0)).groupBy("video_id").agg(F.floor(F.max("duration_s") / FRAME_S).cast("bigint").alias("_last"))
+    idx = F.greatest(F.least(F.ceil(F.col(at) / FRAME_S - 0.5).cast("bigint"), F.col("_last")), F.lit(0).cast("bigint"))
+    return points.join(v, "video_id", "left").withColumn("thumbnail", F.when(F.col("_last").isNotNull(), thumbnail(F.col("video_id"), idx))).drop("_last")
+
+
 def visual_lane(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
     """The pool of each query in its own video, with the nearest frame's thumbnail; halves go to the earlier frame."""
-    own = queries(spark, d).select("query_id", "video_id")
-    last = frames(spark, d).groupBy("video_id").agg(F.max("frame_idx").alias("last"))
-    p = pool(spark, d, k).join(own, ["query_id", "video_id"]).join(last, "video_id")
-    idx = F.greatest(F.least(F.ceil(F.col("ts") / FRAME_S - 0.5).cast("bigint"), F.col("last")), F.lit(0).cast("bigint"))
-    return p.select("query_id", "video_id", F.col("rank"), "ts", "score", thumbnail(F.col("video_id"), idx).alias("thumbnail"))
+    p = on_frames(own_pool(spark, d, k), spark, d, "ts").where(F.col("thumbnail").isNotNull())
+    return p.select("query_id", "video_id", "rank", "ts", "score", "thumbnail")
 
 
 def units(spark: SparkSession, d: str, level: str) -> DataFrame:

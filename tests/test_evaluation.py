@@ -207,3 +207,18 @@ def test_detector_classes_and_cost(spark):
     assert {tuple(r) for r in metrics.evidence_classes(seen, "step", "kind", ["A"]).collect()} == {(1, "A", 1, 0.5, 0.5), (1, "B", 1, 0.5, 0.5), (2, "B", 1, 1.0, 0.0)}
     usage = spark.createDataFrame([("a", 1_000_000, None, 2.0), ("a", 0, 2_000_000, 2.0)], "k string, input_tokens bigint, output_tokens bigint, h double")
     assert tuple(metrics.cost_rollup(usage, ["k"], 0.5, 2.0, F.max("h")).first()) == ("a", 2, 1_000_000, 2_000_000, 4.5, 2.25, 2.25)
+
+
+def test_trials_and_acceptance(spark):
+    c = spark.createDataFrame([("q", 1, 0.0, 1.0, 0.0, 0.0), ("q", 2, 50.0, 0.5, 1.0, 0.0), ("r", 1, 0.0, 1.0, 0.0, 0.0)], "q string, rank int, ts double, score_z double, temporal_support_10s double, change double")
+    spans = spark.createDataFrame([("q", 49.0, 51.0)], "q string, s double, e double")
+    first = cb.temporal_trials(c, spans, ["q"], [0.0, 1.0], [0.0, 0.5])
+    assert {(r.support_weight, r.change_weight): r["first"] for r in first.collect()} == {(0.0, 0.0): 2, (0.0, 0.5): 2, (1.0, 0.0): 1, (1.0, 0.5): 1}
+    t = cb.trial_scores(first, ["support_weight", "change_weight"], "first", 5)
+    best = cb.best_trial(t, ["r5", "r1", "mrr"], ["support_weight", "change_weight"]).first()
+    assert (best.support_weight, best.change_weight, best.r5, best.r1, best.mrr) == (1.0, 0.0, 1, 1, 1.0)
+    rows = [("speech", None, None), ("visual", 0.5, None), ("visual", 0.1, {"speech": 1.0}), ("hybrid", 0.0, {"speech": 0.1}), ("hybrid", 0.9, {"visual": 0.2}), ("hybrid", 0.0, {"visual": 0.4}), ("hybrid", 0.9, None), ("visual", None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, mode string, score double, evidence map<string,double>")
+    ok = cb.accepted(F.col("mode"), F.col("score"), F.col("evidence"), 0.3)
+    assert [r.ok for r in df.select("i", ok.alias("ok")).orderBy("i").collect()] == [True, True, False, True, False, True, False, False]
+    assert all(r[0] for r in df.select(cb.accepted(F.col("mode"), F.col("score"), F.col("evidence"), None)).collect())

@@ -166,3 +166,12 @@ def test_edit_accuracy_of_whole_texts(spark, monkeypatch):
         t = [r[4] for r in data if r[0] == v]
         want[v] = round(max(0.0, 1 - sum(map(distance, t, t[1:])) / max(1, sum(map(len, t[:-1])))), 6)
     assert {r.video_id: r.accuracy for r in questions.edit_accuracy_whole(spark, "").collect()} == want
+
+
+def test_redundancy(spark):
+    rows = [("q", 0.0, 1.0, 1, [1.0, 0.0]), ("q", 0.5, 3.0, 2, [2.0, 0.0]), ("q", 9.0, None, 3, [0.0, 1.0]), ("q", None, 2.0, 4, None), ("one", 4.0, 1.0, 5, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "q string, ts double, s double, id int, v array<double>")
+    got = {r.q: r for r in ev.redundancy(df, ["q"], "ts", "s", "id", "v", 0.05).collect()}
+    r = got["q"]
+    assert (r.pairs_1, r.near_1, r.pairs_5, r.pairs_10, r.near_10, r.regions, r.spread, r.duplicates, list(r.gaps)) == (1, 2, 1, 3, 3, 2, 2.0, 1, [0.5, 8.5])
+    assert r.duplicate_rate == 1 / 6 and (got["one"].pairs_10, got["one"].regions, got["one"].duplicate_rate, list(got["one"].gaps)) == (0, 1, 0.0, [])

@@ -208,3 +208,9 @@ def test_api(spark):
         api.search(spark, d, "other")
     s = spark.createDataFrame([("v", 1.0, "100% sure"), ("v", 0.0, "1000 sure")], "video_id string, start_s double, text string")
     assert [r.text for r in api.search_transcript(s, " 100% ").collect()] == ["100% sure"]
+
+
+def test_markdown(spark):
+    df = spark.createDataFrame([("a|b", 1, 0.5), ("c\nd", None, None)], "name string, n int, x double")
+    assert files.markdown(df, "Report") == "## Report\n\n| name | n | x |\n| --- | ---: | ---: |\n| a\\|b | 1 | 0.500 |\n| c d | — | — |\n"
+    assert files.markdown(df, most=1).endswith("More than 1 rows.\n") and files.markdown(df.limit(0)).count("\n") == 2

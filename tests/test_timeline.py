@@ -66,3 +66,29 @@ def test_sampling_and_relations(spark):
     assert tuple(got) == (False, True, True)
     p = spark.createDataFrame([("q", 1, 0.0), ("q", 2, 10.0), ("q", 3, 10.1), ("q", 4, 31.0)], "q string, id int, ts double")
     assert {(x.a, x.b) for x in tl.neighbours_within(p, ["q"], "ts", "id", 10.0).collect()} == {(1, 2), (2, 3)}
+
+
+def test_nearest_equals_brute_force_across_blocks(spark):
+    rng = random.Random(7)
+    frames = [(rng.choice("ab"), float(rng.choice([0, 3, 700, 701, 5000, rng.randint(0, 2000)])), i) for i in range(60)]
+    frames = list({(g, t): (g, t, i) for g, t, i in frames}.values()) + [("a", None, 998), ("a", float("nan"), 999)]
+    points = [(rng.choice("abc"), float(rng.choice([0, 350.5, 4000, rng.randint(0, 6000)])), i) for i in range(200)] + [("a", None, 900), ("a", float("inf"), 901), (None, 1.0, 902)]
+    f = spark.createDataFrame(frames, "g string, ts double, n int")
+    p = spark.createDataFrame(points, "g string, at double, i int").withColumn("_b", F.lit(1))
+    got = {r.i: r.n for r in tl.nearest(p, f, "g", "at", "ts", ["n"]).collect()}
+    want = {}
+    for g, at, i in points:
+        mine = sorted((abs(t - at), t, n) for h, t, n in frames if h == g and t is not None and t == t) if at is not None and at < float("inf") else []
+        want[i] = mine[0][2] if mine else None
+    assert got == want
+
+
+def test_overlapping_equals_brute_force(spark):
+    rng = random.Random(9)
+    mk = lambda k: [(rng.choice("xy"), i, s := float(rng.randint(0, 500)), s + rng.choice([0, 1, 32, 200])) for i in range(k)]
+    a, b = mk(80), mk(80)
+    odd = [("x", 900, None, 5.0), ("x", 901, 9.0, 5.0), ("x", 902, float("nan"), 5.0), (None, 903, 0.0, 900.0)]
+    da, db = (spark.createDataFrame(r + odd, f"g string, {n} int, {n}s double, {n}e double") for r, n in ((a, "i"), (b, "k")))
+    rows = tl.overlapping(da, db, ["g"], ("is", "ie"), ("ks", "ke")).select("i", "k").collect()
+    got = {tuple(r) for r in rows}
+    assert len(rows) == len(got) == sum(1 for _ in got) and got == {(i, k) for g, i, s, e in a for h, k, s2, e2 in b if g == h and s <= e2 and e >= s2}
