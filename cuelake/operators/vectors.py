@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuelake.operators.blocks import hot_keys, skew_join
+from cuelake.storage import materialize
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double; null where lengths differ or a part is null."""
@@ -40,41 +44,81 @@ def mean_vector(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p.m).alias("centroid"))
 
 
+def _dealt(items: DataFrame, queries: DataFrame, key: str, query: str, group: list[str], block: int) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with ``_i`` and ``_q``, the blocks of items and of queries that meet, and how many rows a side has at most.
+
+    The number of blocks comes from each group's own size: all but large groups are one block of each.
+    """
+    deal = lambda c, m: F.pmod(F.xxhash64(c), m).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1)).cast("int")
+    if not group:
+        counts = [df.count() for df in (items, queries)]
+        tasks = items.sparkSession.sparkContext.defaultParallelism
+        ni, nq = F.lit(max(tasks, -(-counts[0] // block))), F.lit(max(1, -(-counts[1] // block)))
+        return items.select("*", deal(key, ni).alias("_i"), every(nq).alias("_q")), queries.select("*", deal(query, nq).alias("_q"), every(ni).alias("_i")), max(counts)
+    n = items.select(*group, F.lit(1).alias("i"), F.lit(0).alias("q")).unionByName(queries.select(*group, F.lit(0).alias("i"), F.lit(1).alias("q")))
+    n = materialize(n.groupBy(*group).agg(F.sum("i").alias("i"), F.sum("q").alias("q")), "groups")
+    large = n.where((F.col("i") > block) | (F.col("q") > block)).select(*group, blocks("i").alias("_ni"), blocks("q").alias("_nq"))
+    rows = max(n.agg(F.sum("i"), F.sum("q")).na.fill(0).first())
+    if large.isEmpty():
+        one = {"_i": F.lit(0), "_q": F.lit(0)}
+        return items.withColumns(one), queries.withColumns(one), rows
+    a, b = (skew_join(df, large, group, hot_keys(df, group), "left").na.fill(1, ["_ni", "_nq"]) for df in (items, queries))
+    a = a.withColumn("_i", deal(key, F.col("_ni"))).withColumn("_q", every(F.col("_nq"))).drop("_ni", "_nq")
+    return a, b.withColumn("_q", deal(query, F.col("_nq"))).withColumn("_i", every(F.col("_ni"))).drop("_ni", "_nq"), rows
+
+
+def _matrix(t: pa.Table, width: int) -> np.ndarray:
+    return t["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
 def top_k(items: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int, group: list[str] = [], block: int = 4096) -> DataFrame:
     """``(*group, query, key, score, rank)``: exact inner products of query vectors with all items (of the same group).
 
-    Both sides are dealt into blocks by hash, and each block of items meets each block of queries in one matrix
-    product, which hands on k rows a query: no side is broadcast or collected, and no task holds more than a block of
-    each. Scores are sums of products in double, rounded to 9 places before ranking so that the order of summation
-    can't reorder ties; ties go to the smaller key. Vectors that aren't valid take no part; keys are unique.
+    Each block of items meets each block of queries of its group in one matrix product, which hands on k rows a query:
+    no side is broadcast or collected, and no product is of more than a block of each. A group of up to a block of
+    items and queries is moved once, and many such groups share a call. Scores are sums of products in double, rounded
+    to 9 places before ranking so that the order of summation can't reorder ties; ties go to the smaller key. Vectors
+    that aren't valid take no part, nor do those of another length than the query's or in a null group; keys are unique.
     """
-    items = items.where(valid(F.col(vector)) & F.col(key).isNotNull()).select(*group, key, F.col(vector).cast("array<double>").alias("_v"))
-    queries = queries.where(valid(F.col(vector)) & F.col(query).isNotNull()).select(*group, query, F.col(vector).cast("array<double>").alias("_v"))
+    clean = lambda df, c: reduce(lambda d, g: d.where(F.col(g).isNotNull()), group, df.where(valid(F.col(vector)) & F.col(c).isNotNull())).select(*group, c, F.col(vector).cast("array<double>").alias("_v"))
+    items, queries = clean(items, key), clean(queries, query)
+    a, b, rows = _dealt(items, queries, key, query, group, block)
     tasks = items.sparkSession.sparkContext.defaultParallelism
-    n = lambda df, least: max(least, -(-df.count() // block))
-    ni, nq = n(items, tasks), n(queries, 1)
-    deal = lambda df, c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    a = items.select("*", deal(items, key, ni).alias("_i"), every(nq).alias("_q"))
-    b = queries.select("*", deal(queries, query, nq).alias("_q"), every(ni).alias("_i"))
+    calls = max(2 * tasks, -(-rows // block))
     schema = T.StructType([*(items.schema[g] for g in group), queries.schema[query], items.schema[key], T.StructField("score", T.DoubleType())])
+    by = [*group, "_i", "_q"]
+
+    def codes(x: pa.Table, q: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros(x.num_rows + q.num_rows, np.int64)
+        for c in [*by, None]:
+            parts = [t[c] if c else pc.list_value_length(t["_v"]) for t in (x, q)]
+            d = pa.chunked_array([ch for p in parts for ch in p.chunks], parts[0].type).combine_chunks().dictionary_encode()
+            d = d.chunk(0) if isinstance(d, pa.ChunkedArray) else d
+            out = np.unique(out * max(1, len(d.dictionary)) + d.indices.to_numpy(), return_inverse=True)[1]
+        return out[: x.num_rows], out[x.num_rows :]
 
     def meet(x: pa.Table, q: pa.Table) -> pa.Table:
-        if not x.num_rows or not q.num_rows:
-            return pa.Table.from_arrays([pa.array([], f.type) for f in [*(x.schema.field(g) for g in group), q.schema.field(query), x.schema.field(key)]] + [pa.array([], pa.float64())], [*group, query, key, "score"])
-        x = x.sort_by(key)
-        width = len(x["_v"][0])
-        mat = lambda t: np.stack([np.asarray(v, np.float64) for v in t["_v"].to_pylist() if len(v) == width] or [np.zeros(width)])
-        x, q = (t.filter(pc.equal(pc.list_value_length(t["_v"]), width)) for t in (x, q))
-        s = np.round(mat(q) @ mat(x).T, 9)
-        top = [np.argsort(-row, kind="stable")[:k] for row in s][: q.num_rows]
-        at = pa.array(np.concatenate(top) if top else np.zeros(0, np.int64))
-        of = pa.array(np.repeat(np.arange(len(top)), [len(t) for t in top]) if top else np.zeros(0, np.int64))
-        scores = np.concatenate([s[i][t] for i, t in enumerate(top)]) if top else np.zeros(0)
+        got: list[tuple] = []
+        if x.num_rows and q.num_rows:
+            x = x.sort_by(key)
+            cx, cq = codes(x, q)
+            ox, oq = np.argsort(cx, kind="stable"), np.argsort(cq, kind="stable")
+            cx, cq = cx[ox], cq[oq]
+            for c in np.intersect1d(cx, cq):
+                ix, iq = (o[np.searchsorted(v, c) : np.searchsorted(v, c, "right")] for o, v in ((ox, cx), (oq, cq)))
+                mx, mq = x.take(pa.array(ix)), q.take(pa.array(iq))
+                width = len(mx["_v"][0])
+                s = np.round(_matrix(mq, width) @ _matrix(mx, width).T, 9)
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                got.append((ix[top].ravel(), np.repeat(iq, top.shape[1]), np.take_along_axis(s, top, 1).ravel()))
+        at, of, scores = (np.concatenate(p) for p in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        at, of = pa.array(at), pa.array(of)
         return pa.Table.from_arrays([*(x[g].take(at) for g in group), q[query].take(of), x[key].take(at), pa.array(scores)], [*group, query, key, "score"])
 
-    by = [*group, "_i", "_q"]
-    near = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(meet, schema)
+    call = F.pmod(F.xxhash64(*by), F.lit(calls)).cast("int").alias("_p")
+    near = a.select("*", call).groupBy("_p").cogroup(b.select("*", call).groupBy("_p")).applyInArrow(meet, schema)
     w = W.partitionBy(*group, query).orderBy(F.desc("score"), key)
     return near.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 

@@ -29,8 +29,8 @@ KEY = ["video_id", "query_id"]
 def embedded(df: DataFrame, spark, d, number) -> DataFrame:
     """Adds the embedding whose id is ``number`` modulo their count; ids run from 0."""
     e = load(spark, d, "embeddings").select(F.col("vec_id").alias("_n"), "embedding")
-    n = e.count()
-    return df.withColumn("_n", F.pmod(number, F.lit(n))).join(e, "_n").drop("_n")
+    n = F.broadcast(e.agg(F.count("*").alias("_c")))
+    return df.crossJoin(n).withColumn("_n", F.pmod(number, F.col("_c"))).drop("_c").join(e, "_n").drop("_n")
 
 
 def digits(c):

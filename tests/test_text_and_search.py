@@ -152,3 +152,20 @@ def test_turkish_features(spark):
     assert turkish(spark, "hangi bölüm").f[13] == 1.0
     empty = turkish(spark, "")
     assert empty.words == [] and empty.visual == "" and empty.route == "HYBRID" and turkish(spark, None).low is None
+
+
+def test_top_k_by_group_equals_brute_force(spark):
+    rng = random.Random(6)
+    vec = lambda w=3: [float(rng.randint(-2, 2)) or 1.0 for _ in range(w)]
+    items = [(rng.choice(["hot", "hot", "a", "b", "c"]), i, vec()) for i in range(120)] + [("a", 500, vec(2)), ("a", 501, None), ("a", 502, [0.0, 0.0, 0.0]), (None, 503, vec()), ("a", None, vec())]
+    queries = [(rng.choice(["hot", "a", "b", "none"]), 1000 + i, vec()) for i in range(40)] + [("a", 2000, vec(2)), (None, 2001, vec())]
+    di = spark.createDataFrame(items, "g string, id int, v array<double>").withColumns({"_i": F.lit(5), "rank": F.lit(0)})
+    dq = spark.createDataFrame(queries, "g string, q int, v array<double>")
+    want = set()
+    for g, q, v in queries:
+        mine = sorted((-round(sum(x * y for x, y in zip(v, w)), 9), i) for h, i, w in items if h == g and g and i is not None and w and any(w) and len(w) == len(v))
+        want |= {(g, q, i, -s, r) for r, (s, i) in enumerate(mine[:5], 1)}
+    for block in (4096, 7):
+        got = {(r.g, r.q, r.id, r.score + 0.0, r["rank"]) for r in top_k(di, dq, "id", "q", "v", 5, ["g"], block=block).collect()}
+        assert got == want
+    assert top_k(di.limit(0), dq, "id", "q", "v", 5, ["g"]).count() == top_k(di, dq.limit(0), "id", "q", "v", 5, ["g"]).count() == 0
