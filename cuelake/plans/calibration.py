@@ -330,7 +330,7 @@ def list_features_whole(spark, d):
     return ft.list_features(twenty(spark, d), [KEY], "score", "rank", "ts", "embedding").select(KEY, *rounded(ft.LIST))
 
 
-@query("m03_inference", VIEWS, CF + " SELECT query_id, rank, round(1 / (1 + exp(-greatest(least(-1e0 + (score - 0.2e0) / 0.5e0 * 1.5e0 + (1e0 / rank - 0.1e0) / 0.3e0 * 0.7e0, 40), -40))), 9) AS p FROM f")
+@query("m03_inference", VIEWS, f"WITH {RES} SELECT query_id, rank, round(1 / (1 + exp(-greatest(least(-1e0 + (score - 0.2e0) / 0.5e0 * 1.5e0 + (1e0 / rank - 0.1e0) / 0.3e0 * 0.7e0, 40), -40))), 9) AS p FROM res WHERE rank <= 20")
 def inference(spark, d):
     p = ft.logistic([F.col("score"), 1 / F.col("rank")], [0.2, 0.1], [0.5, 0.3], [1.5, 0.7], -1.0)
     return results(spark, d).where("rank <= 20").select(KEY, "rank", F.round(p, 9).alias("p"))

@@ -189,12 +189,11 @@ def exactly_once(spark, d):
     return c.unionByName(q).groupBy("query_id").agg(F.count("*").alias("n")).where("n <> 2")
 
 
-PAIRS = f"""WITH {TEN}, pr AS (SELECT a.query_id, a.candidate_id AS a, b.candidate_id AS b, abs(a.ts - b.ts) AS gap FROM ten a JOIN ten b ON a.query_id = b.query_id AND a.candidate_id < b.candidate_id AND abs(a.ts - b.ts) <= 10.05e0)"""
 #: Seconds by which sampled times may be off.
 OFF = 0.05
 
 
-@query("j19_pairs_within", "qry cand pool", PAIRS + " SELECT query_id, a, b, round(gap, 6) AS gap FROM pr")
+@query("j19_pairs_within", "qry cand pool", f"WITH {TEN}, " + "nx AS (" + " UNION ALL ".join(f"SELECT query_id, candidate_id AS x, lead(candidate_id, {k}) OVER w AS y, lead(ts, {k}) OVER w - ts AS gap FROM ten WINDOW w AS (PARTITION BY query_id ORDER BY ts, candidate_id)" for k in range(1, 10)) + ") SELECT query_id, least(x, y) AS a, greatest(x, y) AS b, round(gap, 6) AS gap FROM nx WHERE gap <= 10.05e0")
 def pairs_within(spark, d):
     return tl.neighbours_within(ten(spark, d), ["query_id"], "ts", "candidate_id", 10 + OFF).withColumn("gap", F.round("gap", 6))
 

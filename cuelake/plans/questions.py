@@ -13,10 +13,10 @@ from cuelake.operators import timeline as tl
 from cuelake.operators import routing as rt
 from cuelake.operators import vectors
 from cuelake.operators.routing import requested_count, temporal_relation
-from cuelake.operators.text import SQL_TOKENS, bm25, sql_bm25, stems, tokens, topic_terms
+from cuelake.operators.text import SQL_FOLD, SQL_TOKENS, TOPIC_STOP, bm25, sql_bm25, stems, tokens, topic_terms
 from cuelake.plans.common import Registry
 from cuelake.plans.moments import TEN, ten
-from cuelake.plans.routing import TRTOKENS
+from cuelake.plans.routing import SCOPE_SQL, TRTOKENS
 from cuelake.sources import views
 from cuelake.sources.tables import load
 from cuelake.storage import materialize
@@ -72,6 +72,18 @@ def semantic_units(spark, d):
     return semantic(spark, d, "fine", 20).select("query_id", "unit_id", "rank", F.round("score", 6).alias("score"))
 
 
+TVEC = f"{TEN}, {ENUM}, tv AS (SELECT t.query_id, t.rank, t.ts, t.score, t.candidate_id, en.v FROM ten t JOIN en ON en.n = t.candidate_id % en.c)"
+MMR = "m AS (SELECT query_id, 1 AS step, candidate_id, [candidate_id] AS ids, [v] AS vs FROM {0} WHERE first UNION ALL SELECT query_id, step, candidate_id, ids, vs FROM (SELECT m.query_id, m.step + 1 AS step, t.candidate_id, list_append(m.ids, t.candidate_id) AS ids, list_append(m.vs, t.v) AS vs, row_number() OVER (PARTITION BY m.query_id ORDER BY round(0.7e0 * t.score - (1e0 - 0.7e0) * list_max(list_transform(m.vs, lambda w: list_dot_product(w, t.v))), 9) DESC, t.score DESC, t.ts, t.rank) AS r FROM m JOIN {0} t ON t.query_id = m.query_id AND NOT list_contains(m.ids, t.candidate_id) WHERE m.step < 5) x WHERE r = 1)"
+SPACED = "sp AS (SELECT query_id, 1 AS i, [ts] AS kept FROM ten WHERE rank = 1 UNION ALL SELECT s.query_id, s.i + 1, CASE WHEN len(list_filter(kept, lambda y: abs(y - t.ts) <= 2.05e0)) > 0 THEN kept ELSE list_append(kept, t.ts) END FROM sp s JOIN ten t ON t.query_id = s.query_id AND t.rank = s.i + 1), kp AS (SELECT query_id, arg_max(kept, i) AS kept FROM sp GROUP BY 1)"
+STEMSQL = "list_distinct(list_transform(list_filter(regexp_extract_all(" + SQL_FOLD.format("{0}") + ", '[a-z0-9]+'), lambda t: t NOT IN ('a', 'an', 'and', 'are', 'does', 'explaining', 'in', 'is', 'it', 'of', 'says', 'saying', 'speaker', 'that', 'the', 'to', 'video')), lambda t: CASE WHEN ends_with(t, 'ies') AND len(t) > 4 THEN left(t, len(t) - 3) || 'y' WHEN ends_with(t, 'ing') AND len(t) > 5 THEN left(t, len(t) - 3) WHEN ends_with(t, 'ed') AND len(t) > 4 THEN left(t, len(t) - 2) WHEN ends_with(t, 's') AND len(t) > 3 THEN left(t, len(t) - 1) ELSE t END))"
+SECTIONS = f"""WITH RECURSIVE {ENUM}, {UV.format('fine')}, un AS (SELECT f.video_id, f.unit_id, f.start_seconds AS s, f.end_seconds AS e, f.text, row_number() OVER w AS i, lag(f.end_seconds) OVER w AS pe, list_dot_product(v, lag(v) OVER w) AS near FROM fine f JOIN finev USING (video_id, unit_id) WINDOW w AS (PARTITION BY f.video_id ORDER BY f.start_seconds, f.unit_id)),
+wk AS (SELECT video_id, i, 1 AS k, s AS first FROM un WHERE i = 1 UNION ALL SELECT video_id, i, CASE WHEN brk THEN k + 1 ELSE k END, CASE WHEN brk THEN s ELSE first END FROM (SELECT u.video_id, u.i, u.s, g.k, g.first, u.e - g.first > 180 OR (u.pe - g.first >= 35 AND (u.s - u.pe >= 3 OR u.near < 0.4e0)) AS brk FROM wk g JOIN un u ON u.video_id = g.video_id AND u.i = g.i + 1) x),
+sk AS (SELECT video_id, k, min(s) AS s, arg_max(e, i) AS e, arg_min(s, i) AS fs FROM wk JOIN un USING (video_id, i) GROUP BY ALL), mk AS (SELECT video_id, max(k) AS k FROM sk GROUP BY 1),
+mg AS (SELECT m.video_id, m.k FROM mk m JOIN sk l ON l.video_id = m.video_id AND l.k = m.k JOIN sk p ON p.video_id = m.video_id AND p.k = m.k - 1 WHERE l.e - l.fs < 35 AND l.e - p.fs <= 180),
+sc AS (SELECT w.video_id, w.i, CASE WHEN g.k IS NOT NULL THEN w.k - 1 ELSE w.k END AS k, u.unit_id, u.s, u.e, u.text FROM wk w JOIN un u USING (video_id, i) LEFT JOIN mg g ON g.video_id = w.video_id AND g.k = w.k)"""
+SECID = "'S' || lpad(CAST(k AS VARCHAR), CAST(greatest(4, len(CAST(k AS VARCHAR))) AS INT), '0')"
+
+
 HYB = f"""WITH {ENUM}, {UV.format('fine')}, {UV.format('ctx')}, {QV}, {HITS.format('fine', 20)}, {HITS.format('ctx', 5)}, {LEX},
 votes AS (SELECT query_id, video_id, unit_id, 1e0 / (20 + rank) AS s FROM fineh UNION ALL SELECT h.query_id, h.video_id, unnest(c.fine_ids), 1e0 / (20 + h.rank) FROM ctxh h JOIN ctx c USING (video_id, unit_id) UNION ALL SELECT query_id, video_id, unit_id, 0.5e0 / (20 + rank) FROM lex WHERE rank <= 10),
 hyb AS (SELECT v.query_id, v.video_id, v.unit_id, sum(s) AS score FROM votes v GROUP BY ALL),
@@ -103,10 +115,13 @@ def budgeted_package(spark, d):
     return ev.packages(hybrid(spark, d), ["query_id"], "unit_id")
 
 
-@query("t03_chunks", "seg", """WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_s, segment_id) AS i, sum(len(text) + 1) OVER (PARTITION BY video_id ORDER BY start_s, segment_id ROWS UNBOUNDED PRECEDING) AS c, count(*) OVER (PARTITION BY video_id) AS n FROM seg),
+CHUNKS = """WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_s, segment_id) AS i, sum(len(text) + 1) OVER (PARTITION BY video_id ORDER BY start_s, segment_id ROWS UNBOUNDED PRECEDING) AS c, count(*) OVER (PARTITION BY video_id) AS n FROM seg),
 e AS (SELECT a.video_id, a.i, a.n, coalesce(min(b.i), a.n + 1) AS j FROM p a LEFT JOIN p b ON b.video_id = a.video_id AND b.i > a.i AND b.i <= a.i + 60 AND (b.c - a.c + len(a.text) > 900 OR b.end_s - a.start_s > 45) GROUP BY a.video_id, a.i, a.n),
 k AS (SELECT video_id, i, j, n, 1 AS k FROM e WHERE i = 1 UNION ALL SELECT e.video_id, e.i, e.j, e.n, k.k + 1 FROM k JOIN e ON e.video_id = k.video_id AND e.i = k.i + greatest(1, k.j - k.i - 1) WHERE k.j <= k.n)
-SELECT video_id, 'E' || lpad(CAST(k AS VARCHAR), CAST(greatest(3, len(CAST(k AS VARCHAR))) AS INT), '0') AS unit_id, j - i AS segments FROM k""")
+"""
+
+
+@query("t03_chunks", "seg", CHUNKS + """SELECT video_id, 'E' || lpad(CAST(k AS VARCHAR), CAST(greatest(3, len(CAST(k AS VARCHAR))) AS INT), '0') AS unit_id, j - i AS segments FROM k""")
 def chunks(spark, d):
     return ev.chunks(views.segments(spark, d)).select("video_id", "unit_id", F.size("segment_ids").cast("bigint").alias("segments"))
 
@@ -119,7 +134,7 @@ def fine_units(spark, d):
     return ev.fine_units(views.segments(spark, d)).select("video_id", "unit_id", F.size("segment_ids").cast("bigint").alias("segments"))
 
 
-@query("r14_chunk_evidence")
+@query("r14_chunk_evidence", "seg qry", CHUNKS + f""", docs AS (SELECT k.video_id, 'E' || lpad(CAST(k AS VARCHAR), CAST(greatest(3, len(CAST(k AS VARCHAR))) AS INT), '0') AS unit_id, {SQL_TOKENS.format("string_agg(p.text, ' ' ORDER BY p.i)")} AS tokens FROM k JOIN p ON p.video_id = k.video_id AND p.i >= k.i AND p.i < k.j GROUP BY k.video_id, k.k), asked AS (SELECT video_id, query_id, {SQL_TOKENS.format('query_text')} AS tokens FROM qry), {sql_bm25('docs', 'asked', 'video_id', 'unit_id', 'query_id')}, lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit_id) AS rank FROM bm25 WHERE round(score, 9) > 0) SELECT query_id, unit_id, rank, round(score, 6) AS score FROM lex WHERE rank <= 5""")
 def chunk_evidence(spark, d):
     """The best chunks of each query's video, equal scores in their order."""
     x = lexical(spark, d, ev.chunks(views.segments(spark, d)))
@@ -135,7 +150,7 @@ def _memory(spark, d):
     return ev.sections(embedded(views.units(spark, d, "fine"), spark, d, unit_number()))
 
 
-@query("t19_sections")
+@query("t19_sections", "fine", SECTIONS + f" SELECT video_id, {SECID} AS section_id, arg_min(s, i) AS start_seconds, arg_max(e, i) AS end_seconds, count(*) AS units FROM sc GROUP BY video_id, k")
 def sections(spark, d):
     return _memory(spark, d).select("video_id", "section_id", "start_seconds", "end_seconds", F.size("fine_ids").cast("bigint").alias("units"))
 
@@ -145,7 +160,7 @@ def summaries(spark, d):
     return _memory(spark, d).select("video_id", "section_id", "summary", "summary_ids")
 
 
-@query("t21_section_topics")
+@query("t21_section_topics", "fine", SECTIONS + f""", tx AS (SELECT video_id, {SECID} AS section_id, string_agg(text, ' ' ORDER BY i) AS text FROM sc GROUP BY video_id, k), ws AS (SELECT video_id, section_id, unnest(regexp_extract_all({SQL_FOLD.format('text')}, '[a-z][a-z0-9''-]{{2,}}')) AS w, generate_subscripts(regexp_extract_all({SQL_FOLD.format('text')}, '[a-z][a-z0-9''-]{{2,}}'), 1) AS pos FROM tx), cn AS (SELECT video_id, section_id, w, count(*) AS n, min(pos) AS first FROM ws WHERE w NOT IN ({', '.join(repr(w) for w in TOPIC_STOP)}) GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY video_id, section_id ORDER BY n DESC, first, w) AS r FROM cn) SELECT video_id, section_id, list(w ORDER BY r) AS terms FROM rk WHERE r <= 8 GROUP BY ALL""")
 def section_topics(spark, d):
     return topic_terms(_memory(spark, d), ["video_id", "section_id"], "text")
 
@@ -241,12 +256,12 @@ def listed(spark, d):
     return embedded(ten(spark, d), spark, d, F.col("candidate_id"))
 
 
-@query("t10_mmr")
+@query("t10_mmr", "qry cand pool", f"WITH RECURSIVE {TVEC}, fr AS (SELECT *, rank = 1 AS first FROM tv), {MMR.format('fr')} SELECT query_id, candidate_id, CAST(step AS BIGINT) AS rank FROM m")
 def mmr(spark, d):
     return ev.diversified(listed(spark, d), ["query_id"], 0.7, 5)
 
 
-@query("t11_nms_then_mmr")
+@query("t11_nms_then_mmr", "qry cand pool", f"WITH RECURSIVE {TVEC}, {SPACED}, k1 AS (SELECT t.*, row_number() OVER (PARTITION BY t.query_id, t.ts ORDER BY t.rank) AS nth FROM tv t JOIN kp USING (query_id) WHERE list_contains(kept, t.ts)), fr AS (SELECT *, rank = min(rank) OVER (PARTITION BY query_id) AS first FROM k1 WHERE nth = 1), {MMR.format('fr')} SELECT query_id, candidate_id, CAST(step AS BIGINT) AS rank FROM m")
 def nms_then_mmr(spark, d):
     kept = ten(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("o"), F.col("ts").alias("t")))), lambda x: x.t).alias("times")).select("query_id", tl.spaced(F.col("times"), 2.05, strictly=True).alias("kept"))
     first = W.partitionBy("query_id", "ts").orderBy("rank")
@@ -254,7 +269,7 @@ def nms_then_mmr(spark, d):
     return ev.diversified(x.drop("i", "kept"), ["query_id"], 0.7, 5)
 
 
-@query("f13_base_preserving")
+@query("f13_base_preserving", "qry cand pool", f"WITH RECURSIVE {TEN}, sp AS (SELECT query_id, 2 AS i, list(ts ORDER BY rank) FILTER (rank <= 2) AS kept FROM ten GROUP BY 1 UNION ALL SELECT s.query_id, s.i + 1, CASE WHEN len(kept) >= 5 OR len(list_filter(kept, lambda y: abs(y - t.ts) <= 2.05e0)) > 0 THEN kept ELSE list_append(kept, t.ts) END FROM sp s JOIN ten t ON t.query_id = s.query_id AND t.rank = s.i + 1) SELECT query_id, arg_max(kept, i) AS kept FROM sp GROUP BY 1")
 def base_preserving(spark, d):
     """The first two candidates stay; the rest of the pool joins where it lies farther than 2.05 s from all chosen."""
     t = ten(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("o"), F.col("ts").alias("t")))), lambda x: x.t).alias("times"))
@@ -268,7 +283,7 @@ ac AS (SELECT video_id, 'T' || lpad(CAST(segment_id AS VARCHAR), 7, '0') AS unit
 docs AS (SELECT video_id, unit_id, {SQL_TOKENS.format('text')} AS tokens FROM ac), asked AS (SELECT video_id, query_id, {SQL_TOKENS.format('query_text')} AS tokens FROM qry), {sql_bm25('docs', 'asked', 'video_id', 'unit_id', 'query_id')}"""
 
 
-@query("t22_anchor")
+@query("t22_anchor", "seg qry", f"WITH {ANCHOR}, st AS (SELECT video_id, unit_id, parts, start_s, {STEMSQL.format('text')} AS s FROM ac), qs AS (SELECT query_id, {STEMSQL.format('query_text')} AS q FROM qry) SELECT query_id, unit_id, CAST(shared AS INT) AS shared FROM (SELECT b.query_id, b.unit_id, len(list_intersect(st.s, qs.q)) AS shared, row_number() OVER (PARTITION BY b.query_id ORDER BY len(list_intersect(st.s, qs.q)) DESC, round(b.score, 9) DESC, parts, start_s, b.unit_id) AS r FROM bm25 b JOIN st USING (video_id, unit_id) JOIN qs USING (query_id) WHERE round(b.score, 9) > 0) x WHERE r = 1")
 def anchor(spark, d):
     """The segment or pair of neighbours that covers most of a phrase's stems; then by BM25, fewer parts, earlier."""
     c = ev.anchor_candidates(views.segments(spark, d))
@@ -325,7 +340,7 @@ def resolve(spark, d):
     return ev.resolved_answer(generated(spark, d)).select("query_id", "verdict", "citations")
 
 
-@query("n04_ask")
+@query("n04_ask", "fine ctx qry", PACKED + ANSWER.replace("SELECT query_id, CASE WHEN k = 1", ", an AS (SELECT query_id, CASE WHEN k = 1", 1) + ") SELECT q.query_id, CASE WHEN sc.scope <> 'SUPPORTED_CORE' THEN 'out_of_scope' WHEN verdict IS NULL THEN 'no_evidence' ELSE verdict END AS outcome, CAST(CASE WHEN sc.scope = 'SUPPORTED_CORE' AND verdict = 'answer' THEN len(citations) ELSE 0 END AS INT) AS citations FROM qry q JOIN (" + SCOPE_SQL + ") sc ON sc.query_id = q.query_id AND sc.form = 0 LEFT JOIN an ON an.query_id = q.query_id")
 def ask(spark, d):
     """The whole way of a question: scope, evidence, answer, citations; abstaining where one of them fails."""
     from cuelake.operators.routing import scope
@@ -337,7 +352,7 @@ def ask(spark, d):
     return j.select("query_id", out.alias("outcome"), F.when(out == "answer", F.size("citations")).otherwise(0).alias("citations"))
 
 
-@query("n02_evidence_text")
+@query("n02_evidence_text", "fine ctx qry", HYB + " SELECT query_id, string_agg(unit_id || ': ' || text, chr(10) || chr(10) ORDER BY rank) AS evidence FROM hr WHERE rank <= 3 GROUP BY 1")
 def evidence_text(spark, d):
     """The evidence of each query as the text that is sent along with it."""
     h = hybrid(spark, d).where("rank <= 3")

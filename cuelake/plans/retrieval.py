@@ -9,8 +9,9 @@ from cuelake.operators import fusion, search, vectors
 from cuelake.operators.blocks import ordered_total
 from cuelake.plans.common import Registry
 from cuelake.operators.text import SQL_TOKENS, sql_bm25, tokens
-from cuelake.sources import views
+from cuelake.sources import files, views
 from cuelake.sources.tables import load
+from cuelake.storage import shared_path
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -87,6 +88,26 @@ def manifest_overlay(spark, d):
     return v.groupBy("video_id").agg(F.coalesce(last("license_name"), F.lit("unlicensed")).alias("license_name"), F.coalesce(last("split"), F.lit("none")).alias("split"))
 
 
+@query("s14_replaced_groups", "seg vid", "WITH h AS (SELECT DISTINCT video_id FROM vid WHERE split = 'heldout'), o AS (SELECT DISTINCT video_id FROM vid WHERE split = 'train') SELECT segment_id, 'heldout' AS split, upper(left(text, 1)) AS first FROM seg WHERE video_id IN (SELECT video_id FROM h) AND start_s >= 10 UNION ALL SELECT segment_id, 'train', left(text, 1) FROM seg WHERE video_id IN (SELECT video_id FROM o)")
+def replaced_groups(spark, d):
+    """Transcripts written by split, then one split written anew: its old rows are gone, those of the other stay."""
+    v = views.videos(spark, d).where(F.col("split").isin("train", "heldout")).select("video_id", "split").distinct()
+    s = views.segments(spark, d).join(v, "video_id").select("segment_id", "start_s", F.left("text", F.lit(1)).alias("first"), "split")
+    path = shared_path(spark, "groups")
+    files.replace_groups(s, path, "split")
+    files.replace_groups(s.where("split = 'heldout' AND start_s >= 10").withColumn("first", F.upper("first")), path, "split")
+    return spark.read.parquet(path).select("segment_id", F.col("split").cast("string").alias("split"), "first")
+
+
+@query("s17_index_artifact", "", "SELECT vec_id, len(embedding) AS width FROM embeddings")
+def index_artifact(spark, d):
+    """A semantic index written with the model, revision and schema it was made with, and read for just these."""
+    e = load(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("bigint").alias("width"))
+    path = shared_path(spark, "index")
+    files.save_artifact(e, path, model="m", revision="r1", schema="2")
+    return files.load_artifact(spark, path, model="m", revision="r1", schema="2")
+
+
 @query("s11_duplicates", "vid", "SELECT source_sha256, count(*) AS n, min(video_id) AS first FROM vid WHERE source_sha256 IS NOT NULL AND NOT regexp_full_match(source_sha256, '0*') GROUP BY 1 HAVING count(*) > 1")
 def duplicates(spark, d):
     v = views.videos(spark, d).where(F.col("source_sha256").isNotNull() & ~F.col("source_sha256").rlike("^0*$"))

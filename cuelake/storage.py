@@ -30,6 +30,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cuelake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application. Call it when its results are written: plans may still read them."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cuelake/{sc.applicationId}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 

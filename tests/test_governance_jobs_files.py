@@ -1,10 +1,11 @@
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuelake import api
+from cuelake import api, storage
 from cuelake.operators import governance as gv
 from cuelake.operators import jobs as jb
 from cuelake.operators import routing as rt
@@ -214,3 +215,12 @@ def test_markdown(spark):
     df = spark.createDataFrame([("a|b", 1, 0.5), ("c\nd", None, None)], "name string, n int, x double")
     assert files.markdown(df, "Report") == "## Report\n\n| name | n | x |\n| --- | ---: | ---: |\n| a\\|b | 1 | 0.500 |\n| c d | — | — |\n"
     assert files.markdown(df, most=1).endswith("More than 1 rows.\n") and files.markdown(df.limit(0)).count("\n") == 2
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    df = storage.materialize(spark.range(3), "t")
+    folder = os.path.dirname(os.path.dirname(df.inputFiles()[0].removeprefix("file://")))
+    assert df.count() == 3 and os.path.isdir(folder)
+    storage.clean(spark)
+    assert not os.path.exists(folder)
+    assert storage.materialize(spark.range(2), "t").count() == 2
