@@ -12,9 +12,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelake.operators import vectors
+from cuelake.operators.metrics import quantiles
 from cuelake.operators.timeline import regions
+from cuelake.storage import materialize
 
 #: Limits of chunks, units, sections, packages and summaries, in seconds and characters.
 CHUNK_S, CHUNK_CHARS = 45.0, 900
@@ -346,3 +349,43 @@ def redundancy(candidates: DataFrame, keys: list[str], at: str, score: str, iden
     gaps = F.array_sort(F.when(F.size(times) > 1, F.zip_with(F.slice(times, 2, F.size(times)), F.slice(times, F.lit(1), F.size(times) - 1), lambda b, a: b - a)).otherwise(F.array().cast("array<double>")))
     out |= {"gaps": gaps, "regions": regions(times, 5 + off), "spread": F.coalesce(F.col("_hi") - F.col("_lo"), F.lit(0.0)), "duplicates": dup.cast("bigint"), "duplicate_rate": F.when(n > 0, dup / n).otherwise(0.0)}
     return g.select(*keys, *(v.alias(k) for k, v in out.items()))
+
+
+def screen_report(targets: DataFrame, results: DataFrame, frames: DataFrame, spans: DataFrame, minutes: float, detects: float = 0.75) -> DataFrame:
+    """``(metric, value)``: how well screen text is sampled, read, found and stored. A rate of nothing is 0, a median of nothing null.
+
+    ``targets``: target_id, reference, frame_ids (the sampled frames that show it), lines (their recognised lines),
+    intervals. ``results``: target_id, rank, start_seconds, frame_ids of what its search returned. ``frames``: text of
+    every frame. ``spans``: video_id, evidence_id, text after merging. Detection and accuracy take the run of lines most
+    like the reference; retrieval counts results that share a frame with the target, over all targets and over those
+    that a sampled frame shows.
+    """
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("likeness", T.DoubleType())])
+
+    @F.pandas_udf(kind)
+    def read(reference: pd.Series, lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best_window(a or "", list(b) if b is not None else []) for a, b in zip(reference, lines)], columns=["text", "likeness"])
+
+    @F.pandas_udf(T.StringType())
+    def terms(text: pd.Series) -> pd.Series:
+        return text.map(screen_terms)
+
+    t = targets.withColumns({"seen": F.coalesce(F.size("frame_ids") > 0, F.lit(False)), "w": read("reference", "lines")})
+    shown = results.select("target_id", "rank", "start_seconds", F.col("frame_ids").alias("_r")).join(t.select("target_id", "frame_ids"), "target_id").where(F.arrays_overlap("_r", "frame_ids"))
+    first = shown.groupBy("target_id").agg(F.min("rank").alias("hit"), F.min_by("start_seconds", "rank").alias("at"))
+    t = t.join(first, "target_id", "left")
+    away = F.array_min(F.transform("intervals", lambda i: F.when(F.col("at").between(i[0], i[1]), F.lit(0.0)).otherwise(F.least(F.abs(F.col("at") - i[0]), F.abs(F.col("at") - i[1])))))
+    t = materialize(t.select("seen", "hit", F.col("w.likeness").alias("likeness"), F.levenshtein(F.coalesce("reference", F.lit("")), F.col("w.text")).alias("edits"), F.length(F.coalesce("reference", F.lit(""))).alias("size"), F.when(F.col("hit") == 1, away).alias("error")), "targets")
+    n = lambda c: F.count(F.when(c, 1))
+    z = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    s, every = F.col("seen"), F.count("*")
+    rows = {"targets": every, "visible_targets": n(s), "sampling_coverage": z(n(s), every), "detection_recall_visible": z(n(s & (F.col("likeness") >= detects)), n(s)), "text_accuracy_visible": F.greatest(F.lit(0.0), 1 - z(F.sum(F.when(s, F.col("edits"))), F.sum(F.when(s, F.col("size")))))}
+    rows |= {f"retrieval_at_{k}{name}": z(n(c & (F.col("hit") <= k)), n(c)) for k in (1, 3, 5) for name, c in (("_all", F.lit(True)), ("_visible", s))}
+    one = t.agg(F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in rows.items())).alias("x")).select(F.inline("x"))
+    raw = frames.select(terms("text").alias("k")).agg(n(F.col("k") != "").alias("raw"))
+    w = W.partitionBy("video_id").orderBy("evidence_id")
+    kept = spans.withColumn("k", terms("text")).withColumn("same", F.col("k") == F.lag("k").over(w)).agg(every.alias("kept"), n(F.col("same")).alias("again"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    stored = {"raw_duplicate_rate": z(F.col("raw") - F.col("kept"), F.col("raw")), "residual_duplicate_rate": z(F.col("again"), F.col("kept")), "index_bytes": F.col("bytes").cast("double"), "index_bytes_per_minute": F.col("bytes") / max(minutes, 1e-9)}
+    two = raw.crossJoin(F.broadcast(kept)).select(F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in stored.items()))))
+    middle = quantiles(t, [], "error", {"value": ("linear", 0.5)}).select(F.lit("median_timestamp_error").alias("metric"), "value")
+    return one.unionByName(two).unionByName(middle)

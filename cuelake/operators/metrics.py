@@ -69,18 +69,28 @@ def grouped(df: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFra
     return out.select(by.alias("by"), F.coalesce(*named, F.lit("all")).alias("value"), *rest)
 
 
-def nearest_rank(x: str, p: float) -> Column:
-    """Aggregate: the value at rank ceil(p*n)."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})")
+def quantiles(df: DataFrame, keys: list[str], x: str, at: dict[str, tuple[str, float]]) -> DataFrame:
+    """``(*keys, *at)``: exact quantiles ``{name: (kind, p)}`` of each group, by totals of distinct values, without gathering it.
 
-
-def floor_index(df: DataFrame, keys: list[str], x: str, p: float, out: str) -> DataFrame:
-    """The value at index int(n*p), counted from 0, of each group: by totals of distinct values, without gathering it."""
+    ``linear`` lies between the values around index p*(n-1), counted from 0; ``nearest`` is the value at rank ceil(p*n);
+    ``floor`` that at index int(p*n), the last one at most. Nulls take no part.
+    """
     c = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_m"))
+    t = ordered_total(c, keys, x, {"_upto": "_m"})
     n = c.groupBy(*keys).agg(F.sum("_m").alias("_n"))
-    t = ordered_total(c, keys, x, {"_upto": "_m"}).join(n, keys)
-    at = F.least(F.floor(F.col("_n") * p), F.col("_n") - 1)
-    return t.where((F.col("_upto") > at) & (F.col("_upto") - F.col("_m") <= at)).select(*keys, F.col(x).alias(out))
+    t = t.join(n, keys) if keys else t.crossJoin(F.broadcast(n))
+    value = lambda i: F.max(F.when((F.col("_upto") > i) & (F.col("_upto") - F.col("_m") <= i), F.col(x)))
+    out = []
+    for name, (kind, p) in at.items():
+        if kind == "linear":
+            h = (F.col("_n") - 1) * p
+            part = F.max(h - F.floor(h))
+            low, high = value(F.floor(h)), value(F.ceil(h))
+            out.append((low * (1 - part) + high * part).alias(name))
+        else:
+            i = F.ceil(F.col("_n") * p) - 1 if kind == "nearest" else F.floor(F.col("_n") * p)
+            out.append(value(F.greatest(F.least(i, F.col("_n") - 1), F.lit(0))).alias(name))
+    return t.groupBy(*keys).agg(*out)
 
 
 def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:

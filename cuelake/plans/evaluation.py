@@ -115,7 +115,9 @@ def failures(spark, d):
 
 @query("a08_run_summary", VIEWS, f"WITH {RES} SELECT count(DISTINCT query_id) AS queries, count(DISTINCT video_id) AS videos, count(*) AS results, round(avg(score), 6) AS mean_score, round(median(score), 6) AS median_score FROM res")
 def run_summary(spark, d):
-    return results(spark, d).agg(F.countDistinct(KEY).alias("queries"), F.countDistinct("video_id").alias("videos"), F.count("*").alias("results"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.median("score"), 6).alias("median_score"))
+    r = results(spark, d)
+    one = r.agg(F.countDistinct(KEY).alias("queries"), F.countDistinct("video_id").alias("videos"), F.count("*").alias("results"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return one.crossJoin(F.broadcast(metrics.quantiles(r, [], "score", {"median_score": ("linear", 0.5)}))).withColumn("median_score", F.round("median_score", 6))
 
 
 #: A routed class beside the required one, as a classifier would give it.
@@ -172,20 +174,22 @@ def brier(spark, d):
 _PROFILE = "count(*) AS n, min(score) AS least, round(quantile_cont(score, 0.25), 6) AS q25, round(median(score), 6) AS median, round(quantile_cont(score, 0.75), 6) AS q75, max(score) AS most, round(avg(score), 6) AS mean"
 
 
-def _profile(c="score"):
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.count("*").alias("n"), F.min(c).alias("least"), *(F.round(q[i], 6).alias(n) for i, n in enumerate(("q25", "median", "q75"))), F.max(c).alias("most"), F.round(F.avg(c), 6).alias("mean")]
+def profile(df, keys, c="score"):
+    """Number, least, quartiles, most and mean of each group."""
+    q = metrics.quantiles(df, keys, c, {"q25": ("linear", 0.25), "median": ("linear", 0.5), "q75": ("linear", 0.75)})
+    n = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(c).alias("least"), F.max(c).alias("most"), F.round(F.avg(c), 6).alias("mean"))
+    return n.join(q, keys).withColumns({x: F.round(x, 6) for x in ("q25", "median", "q75")})
 
 
 @query("a13_quantiles", VIEWS, LABELLED + f" SELECT y, {_PROFILE} FROM lab GROUP BY y")
 def quantiles(spark, d):
-    return labelled(spark, d).groupBy("y").agg(*_profile())
+    return profile(labelled(spark, d), ["y"])
 
 
 @query("a14_score_analysis", VIEWS, LABELLED + f" SELECT y, CASE WHEN len(query_text) < 70 THEN 'short' WHEN len(query_text) < 100 THEN 'medium' ELSE 'long' END AS length, {_PROFILE} FROM lab JOIN qry USING (query_id) GROUP BY ALL")
 def score_analysis(spark, d):
     q = views.queries(spark, d).select(KEY, F.when(F.length("query_text") < 70, "short").when(F.length("query_text") < 100, "medium").otherwise("long").alias("length"))
-    return labelled(spark, d).join(q, KEY).groupBy("y", "length").agg(*_profile())
+    return profile(labelled(spark, d).join(q, KEY), ["y", "length"])
 
 
 @query("a15_no_match", VIEWS, CAL + " SELECT query_type, count(*) AS n, round(avg(CASE WHEN NOT positive THEN CAST(accepted AS INT) END), 6) AS false_alarm, round(avg(CASE WHEN positive THEN 1 - CAST(accepted AS INT) END), 6) AS false_abstention, round(count(*) FILTER (accepted AND positive) / CAST(nullif(count(*) FILTER (accepted), 0) AS DOUBLE), 6) AS accepted_precision FROM cal GROUP BY 1")
@@ -343,7 +347,10 @@ def acceptance(spark, d):
     """Useful rate and nearest-rank latency percentiles, over all and by slice; events stand for observed searches."""
     e = load(spark, d, "events").where(F.col("value").isNotNull()).select("event_type", "value", (F.col("user_id") % 3).alias("verdict"))
     x = e.select("event_type", F.col("value").alias("latency"), F.when(F.col("verdict") == 0, "PASS").when(F.col("verdict") == 1, "PARTIAL").otherwise("FAIL").alias("usefulness"))
-    return metrics.grouped(x, ["event_type"], [F.count("*").alias("n"), F.round(metrics.share(F.col("usefulness") != "FAIL"), 6).alias("useful"), metrics.nearest_rank("latency", 0.5).alias("median"), metrics.nearest_rank("latency", 0.95).alias("p95")])
+    g = metrics.grouped(x, ["event_type"], [F.count("*").alias("n"), F.round(metrics.share(F.col("usefulness") != "FAIL"), 6).alias("useful")])
+    cell = lambda by, v: F.struct(F.lit(by).alias("by"), v.alias("value"))
+    each = x.select("latency", F.inline(F.array(cell("all", F.lit("all")), cell("event_type", F.coalesce("event_type", F.lit("(null)"))))))
+    return g.join(metrics.quantiles(each, ["by", "value"], "latency", {"median": ("nearest", 0.5), "p95": ("nearest", 0.95)}), ["by", "value"])
 
 
 @query("k12_percentiles", "", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
@@ -351,8 +358,8 @@ SELECT event_type, quantile_disc(value, 0.95) AS nearest, round(quantile_cont(va
 def percentiles(spark, d):
     """Three definitions of a percentile side by side."""
     e = load(spark, d, "events").where(F.col("value").isNotNull())
-    a = e.groupBy("event_type").agg(metrics.nearest_rank("value", 0.95).alias("nearest"), F.round(F.percentile("value", 0.95), 6).alias("linear"))
-    return a.join(metrics.floor_index(e, ["event_type"], "value", 0.95, "floor_index"), "event_type")
+    q = metrics.quantiles(e, ["event_type"], "value", {"nearest": ("nearest", 0.95), "linear": ("linear", 0.95), "floor_index": ("floor", 0.95)})
+    return q.withColumn("linear", F.round("linear", 6))
 
 
 @query("a26_package_metrics", "qry ivl fine", """WITH f AS (SELECT q.query_id, i.ord, bool_or(u.unit_id IS NOT NULL) AS hit FROM qry q JOIN ivl i USING (query_id) LEFT JOIN fine u ON u.video_id = q.video_id AND u.start_seconds <= i.e AND u.end_seconds >= i.s GROUP BY ALL)

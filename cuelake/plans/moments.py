@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.operators import evidence as ev
+from cuelake.operators import metrics
 from cuelake.operators import timeline as tl
 from cuelake.operators import vectors
 from cuelake.operators.text import jaccard, tokens, topic_terms, SQL_TOKENS, SQL_FOLD, TOPIC_STOP
@@ -273,7 +274,8 @@ def diversity_summary(spark, d):
     gaps = F.when(F.size(t) > 1, F.zip_with(F.slice(t, 2, 5), F.slice(t, F.lit(1), F.size(t) - 1), lambda a, b: a - b))
     crowded = F.size(F.filter(t, lambda x: F.size(F.filter(t, lambda y: F.abs(x - y) <= 5 + OFF)) > 1)) / F.size(t)
     x = l.select(tl.regions(t, 5 + OFF).alias("r"), F.coalesce(F.array_min(gaps), F.lit(0.0)).alias("g"), crowded.alias("c"))
-    return x.agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean_regions"), F.round(F.median("g"), 6).alias("median_least_gap"), F.round(F.avg("c"), 6).alias("mean_crowding"))
+    one = x.agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean_regions"), F.round(F.avg("c"), 6).alias("mean_crowding"))
+    return one.crossJoin(F.broadcast(metrics.quantiles(x, [], "g", {"median_least_gap": ("linear", 0.5)}))).withColumn("median_least_gap", F.round("median_least_gap", 6))
 
 
 EMB = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id, label, 1 - list_dot_product(v, lag(v) OVER w) AS back, 1 - list_dot_product(v, lead(v) OVER w) AS ahead FROM e WINDOW w AS (PARTITION BY label ORDER BY vec_id))"

@@ -415,9 +415,20 @@ def time_error(spark, d):
 
 @query("a30_screen_rollup")
 def screen_rollup(spark, d):
-    """Frames, spans and how many frames repeated the span before, by video."""
-    m = ev.merged_screens(screens(spark, d))
-    return m.groupBy("video_id").agg(F.count("*").alias("spans"), F.sum(F.size("frame_ids")).alias("frames"), F.round(1 - F.count("*") / F.sum(F.size("frame_ids")), 6).alias("repeated"))
+    """Queries as targets: the segments within their intervals are the frames that show them, their words are sought in the merged spans."""
+    from cuelake.plans.moments import overlap
+
+    frames = screens(spark, d)
+    spans = materialize(ev.merged_screens(frames), "spans")
+    shown = overlap(spark, d).select("query_id", F.col("segment_id").cast("string").alias("frame_id")).join(frames.select("frame_id", "ts", "text"), "frame_id")
+    shown = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ts", "frame_id", "text"))).alias("l"))
+    spots = views.intervals(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(F.array("s", "e"))).alias("intervals"))
+    q = asked(spark, d).join(spots, "query_id").join(shown, "query_id", "left")
+    targets = q.select(F.col("query_id").alias("target_id"), F.col("query_text").alias("reference"), F.transform("l", lambda x: x.frame_id).alias("frame_ids"), F.transform("l", lambda x: x.text).alias("lines"), "intervals")
+    found = lexical(spark, d, spans, "evidence_id").where("rank <= 5").join(spans.select("video_id", "evidence_id", "start_seconds", "frame_ids"), ["video_id", "evidence_id"])
+    minutes = views.videos(spark, d).where(F.abs("duration_s") < float("inf")).groupBy("video_id").agg(F.max("duration_s").alias("s")).agg(F.sum("s") / 60).first()[0] or 0.0
+    r = ev.screen_report(targets, found.withColumnRenamed("query_id", "target_id"), frames, spans, minutes)
+    return r.select("metric", F.round("value", 6).alias("value"))
 
 
 BOX = """WITH RECURSIVE det AS (SELECT video_id || '/' || CAST(CAST(floor(ts / 60) AS BIGINT) AS VARCHAR) AS frame_id, 'class' || CAST(candidate_id % 3 AS VARCHAR) AS class, score, CAST(candidate_id * 7 % 50 AS DOUBLE) AS x1, CAST(candidate_id * 13 % 40 AS DOUBLE) AS y1 FROM pool WHERE rank <= 20),

@@ -23,8 +23,8 @@ def test_grouped_and_percentiles(spark):
     got = {(r.by, r.value): (r.n, r.r_at_1, r.mrr_at_5) for r in metrics.grouped(df, ["g"], metrics.recalls("r", [1], 5)).collect()}
     assert got == {("all", "all"): (4, 0.25, round((1 + 0.25 + 0.5) / 4, 6)), ("g", "x"): (2, 0.5, 0.625), ("g", "(null)"): (1, 0.0, 0.5), ("g", "y"): (1, 0.0, 0.0)}
     v = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 4)], "g string, x double")
-    assert v.groupBy("g").agg(metrics.nearest_rank("x", 0.5).alias("p")).first().p == 2.0
-    assert metrics.floor_index(v, ["g"], "x", 0.5, "p").first().p == 3.0
+    got = metrics.quantiles(v, ["g"], "x", {"near": ("nearest", 0.5), "low": ("floor", 0.5), "mid": ("linear", 0.5)}).first()
+    assert (got.near, got.low, got.mid) == (2.0, 3.0, 2.5)
 
 
 def test_auc_and_classes(spark):
@@ -222,3 +222,16 @@ def test_trials_and_acceptance(spark):
     ok = cb.accepted(F.col("mode"), F.col("score"), F.col("evidence"), 0.3)
     assert [r.ok for r in df.select("i", ok.alias("ok")).orderBy("i").collect()] == [True, True, False, True, False, True, False, False]
     assert all(r[0] for r in df.select(cb.accepted(F.col("mode"), F.col("score"), F.col("evidence"), None)).collect())
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, None if i % 13 == 0 else float(x)) for g, n in (("a", 500), ("b", 1), ("c", 2)) for i, x in enumerate(rng.integers(0, 40, n), 1)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    ps = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    got = {r.g: r for r in metrics.quantiles(df, ["g"], "x", {f"q{i}": ("linear", p) for i, p in enumerate(ps)} | {f"n{i}": ("nearest", p) for i, p in enumerate(ps)}).collect()}
+    for g in "abc":
+        x = np.array([v for h, v in rows if h == g and v is not None])
+        assert [got[g][f"q{i}"] for i in range(6)] == pytest.approx(list(np.quantile(x, ps)))
+        assert [got[g][f"n{i}"] for i in range(6)] == [sorted(x)[max(0, int(np.ceil(p * len(x))) - 1)] for p in ps]
+    assert metrics.quantiles(df.limit(0), ["g"], "x", {"p": ("linear", 0.5)}).count() == 0

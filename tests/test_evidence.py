@@ -175,3 +175,15 @@ def test_redundancy(spark):
     r = got["q"]
     assert (r.pairs_1, r.near_1, r.pairs_5, r.pairs_10, r.near_10, r.regions, r.spread, r.duplicates, list(r.gaps)) == (1, 2, 1, 3, 3, 2, 2.0, 1, [0.5, 8.5])
     assert r.duplicate_rate == 1 / 6 and (got["one"].pairs_10, got["one"].regions, got["one"].duplicate_rate, list(got["one"].gaps)) == (0, 1, 0.0, [])
+
+
+def test_screen_report(spark):
+    targets = spark.createDataFrame([("t1", "Copper kettle", ["f1"], ["copper kettle"], [[0.0, 10.0]]), ("t2", "Old map", ["f2"], ["something else"], [[50.0, 60.0]]), ("t3", "Gone", [], [], [[5.0, 6.0]]), ("t4", None, None, None, None)], "target_id string, reference string, frame_ids array<string>, lines array<string>, intervals array<array<double>>")
+    results = spark.createDataFrame([("t1", 1, 12.0, ["f1", "f9"]), ("t2", 1, 0.0, ["f8"]), ("t2", 3, 55.0, ["f2"])], "target_id string, rank int, start_seconds double, frame_ids array<string>")
+    frames = spark.createDataFrame([("copper kettle",), ("copper kettle",), (" ",), (None,), ("map",)], "text string")
+    spans = spark.createDataFrame([("v", "ocr-00001", "copper kettle"), ("v", "ocr-00002", "Copper  kettle")], "video_id string, evidence_id string, text string")
+    got = {r.metric: r.value for r in ev.screen_report(targets, results, frames, spans, 2.0).collect()}
+    assert (got["targets"], got["visible_targets"], got["sampling_coverage"], got["detection_recall_visible"]) == (4, 2, 0.5, 0.5)
+    assert (got["retrieval_at_1_all"], got["retrieval_at_1_visible"], got["retrieval_at_3_all"], got["retrieval_at_3_visible"]) == (0.25, 0.5, 0.5, 1.0)
+    assert got["median_timestamp_error"] == 2.0 and got["raw_duplicate_rate"] == pytest.approx(1 / 3) and got["residual_duplicate_rate"] == 0.5
+    assert got["index_bytes"] == 27 and got["index_bytes_per_minute"] == 13.5 and 0 < got["text_accuracy_visible"] < 1
