@@ -16,6 +16,8 @@ from cuelake.storage import materialize
 
 #: What stands in source_group for "none".
 NO_GROUP = ["", "unspecified", "unknown", "n/a"]
+#: Splits that a table of targets may name.
+SPLITS_MOST = 1000
 
 
 @F.pandas_udf(T.StringType())
@@ -120,10 +122,12 @@ def assign(sets: DataFrame, key: str, targets: DataFrame) -> DataFrame:
     """Adds ``assigned`` to ``(key, set_id)``: all keys of a set in one split, in the proportions of ``targets``.
 
     Sets follow each other in the order of their hash. The split whose share of the keys the middle of a set falls into
-    takes it, so a share is missed by half a set at most. Running counts go over blocks of the hash, two levels of 4,096
+    takes it, so a share is missed by half a set at most. More than SPLITS_MOST splits are refused. Running counts go over blocks of the hash, two levels of 4,096
     each, so no task orders all sets. ``targets`` (split_name, proportion) has a few rows; proportions need not sum to 1.
     """
-    share = targets.where(F.col("proportion") > 0).orderBy("split_name").collect()
+    share = targets.where(F.col("proportion") > 0).orderBy("split_name").limit(SPLITS_MOST + 1).collect()
+    if len(share) > SPLITS_MOST:
+        raise ValueError(f"more than {SPLITS_MOST} splits")
     h = F.xxhash64("set_id")
     sizes = sets.groupBy("set_id").agg(F.count("*").alias("size")).withColumns({"h": h, "x": F.shiftrightunsigned(h, 52), "y": F.shiftrightunsigned(h, 40).bitwiseAND(4095)})
     before = lambda part, order: F.coalesce(F.sum("s").over(W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

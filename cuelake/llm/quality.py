@@ -19,6 +19,8 @@ from cuelake.storage import materialize
 
 #: How many words of a language count as common, at most, and in what share of its texts each of them must stand.
 COMMON, COMMON_SHARE = 40, 0.1
+#: How many languages have such a list, at most: those of most texts.
+LANGUAGES = 1000
 #: A language of fewer texts has no list of common words.
 LIST_TEXTS = 20
 #: A language of fewer texts is ranked among the texts of no known language; if those are fewer, each counts as an outlier.
@@ -48,13 +50,13 @@ def common_words(df: DataFrame, text: str, lang: str) -> dict[str, list[str]]:
     """The words that stand in most texts of each language: at most COMMON for a language, so a bounded answer.
 
     Counted over all texts. A word counts once for each text, before any shuffle, so that a text of one word repeated
-    carries no weight. Languages of fewer than LIST_TEXTS texts and ``und`` have no list.
+    carries no weight. Languages of fewer than LIST_TEXTS texts, those beyond LANGUAGES and ``und`` have no list.
     """
     known = df.where((F.col(lang) != "und") & F.col(text).isNotNull())
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*"), F.lit(0)))
     counts = known.select(lang, F.explode(words).alias("w")).groupBy(lang, "w").count()
     top = counts.withColumn("r", F.row_number().over(W.partitionBy(lang).orderBy(F.desc("count"), "w"))).where(F.col("r") <= COMMON)
-    sizes = known.groupBy(lang).agg(F.count("*").alias("n")).where(F.col("n") >= LIST_TEXTS)
+    sizes = known.groupBy(lang).agg(F.count("*").alias("n")).where(F.col("n") >= LIST_TEXTS).orderBy(F.desc("n"), lang).limit(LANGUAGES)
     kept = top.join(sizes, lang).where(F.col("count") >= COMMON_SHARE * F.col("n"))
     out: dict[str, list[str]] = {}
     for r in kept.select(lang, "w").collect():
