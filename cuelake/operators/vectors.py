@@ -123,8 +123,11 @@ def top_k(items: DataFrame, queries: DataFrame, key: str, query: str, vector: st
     return near.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
-def encode(df: DataFrame, text: str, model: Callable[[list[str]], np.ndarray], out: str = "embedding") -> DataFrame:
-    """Adds the vectors that ``model`` gives for a batch of texts; null for null. The boundary for neural encoders."""
+def encode(df: DataFrame, text: str, model: Callable[[list[str]], np.ndarray], out: str = "embedding", unit: bool = False) -> DataFrame:
+    """Adds the vectors that ``model`` gives for a batch of texts or of names of images; null for null. The boundary for neural encoders.
+
+    ``unit`` makes them unit vectors; one without a length or with a part that isn't finite is null then.
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts):
@@ -132,7 +135,34 @@ def encode(df: DataFrame, text: str, model: Callable[[list[str]], np.ndarray], o
         made = iter(model(list(texts[known]))) if known.any() else iter(())
         return pd.Series([np.asarray(next(made), np.float64).tolist() if k else None for k in known], dtype=object)
 
-    return df.withColumn(out, run(text))
+    df = df.withColumn(out, run(text))
+    return df.withColumn(out, normalized(F.col(out))) if unit else df
+
+
+def mean_pooled(tokens: Column, mask: Column) -> Column:
+    """The unit vector of the mean of those token vectors whose mask is above 0; null if there are none or it has no length."""
+    kept = F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda t: t.m > 0)
+    zero = F.transform(F.get(kept, F.lit(0)).v, lambda _: F.lit(0.0))
+    total = F.aggregate(kept, zero, lambda acc, t: F.zip_with(acc, t.v, lambda a, x: a + x.cast("double")))
+    return normalized(F.transform(total, lambda x: x / F.size(kept)))
+
+
+def conditioned_score(visual: Column, text: Column, prompt: Column) -> Column:
+    """Inner product of a clip's unit vector with a text vector that the clip's ``prompt``, made by a model, was added to."""
+    return dot(visual, normalized(F.zip_with(text, prompt, lambda a, b: a.cast("double") + b.cast("double"))))
+
+
+def pair_scores(df: DataFrame, a: str, b: str, model: Callable[[list, list], np.ndarray], out: str = "score") -> DataFrame:
+    """Adds what ``model`` gives for batches of pairs, such as images and texts; null where a side is null or the score isn't finite."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(x, y):
+        known = x.notna() & y.notna()
+        made = iter(np.asarray(model(list(x[known]), list(y[known])), np.float64)) if known.any() else iter(())
+        got = [next(made) if k else None for k in known]
+        return pd.Series([v if v is not None and np.isfinite(v) else None for v in got], dtype="float64")
+
+    return df.withColumn(out, run(a, b))
 
 
 def adjacent_change(df: DataFrame, group: str, order: str, vector: str) -> DataFrame:

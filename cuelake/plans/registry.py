@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["spans", "retrieval", "moments", "evaluation", "calibration", "routing", "governance", "questions"]
+MODULES = ["spans", "retrieval", "moments", "evaluation", "calibration", "routing", "governance", "questions", "ingest"]
 
 
 def queries() -> dict:
