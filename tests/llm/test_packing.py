@@ -66,13 +66,13 @@ def test_pack(spark):
     assert pack(df.select("k", "n").limit(0), "k", "n", 100).count() == 0
 
 
-def test_found_packs_all_documents(spark, monkeypatch):
+def test_found_places_all_documents(spark):
     from cuelake.llm import packing
 
-    written, keep = {}, packing.materialize
-    monkeypatch.setattr(packing, "materialize", lambda df, name, **o: written.setdefault(name, keep(df, name, **o)))
-    got = {r.doc_id for r in packing.found(spark, "/root/testdata/sf0.001").collect()}
-    rows = written["packed"]
-    assert "container_id" in rows.columns and rows.where("container_id IS NULL").count() == 0
-    assert {r.doc_id for r in rows.where("piece_no = 1").collect()} == got
-    assert rows.select("doc_id").distinct().count() == written["tokens"].where("n_tokens > 0").count()
+    d = "/root/testdata/sf0.001"
+    df = packing.found(spark, d)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "place(" in plan and "container_id" in plan
+    long = packing.token_counts(spark, d).where(f"n_tokens > {packing.CAPACITY}")
+    assert {r.doc_id for r in df.collect()} == {r.doc_id for r in long.collect()}
+    assert packing.faults(spark, d).count() == 0
