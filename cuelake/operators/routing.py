@@ -188,7 +188,8 @@ TURKISH_ENGLISH = {
 }
 _WORD_CHARS = r"\p{L}\p{N}_"
 #: Names in capitals, letters that aren't capitals, and single capitals.
-_PIECES = rf"(?<![{_WORD_CHARS}])[A-Z][A-Z0-9+#.]+(?![{_WORD_CHARS}])|[^A-Z]+|[A-Z]"
+_NAME = rf"(?<![{_WORD_CHARS}])[A-Z][A-Z0-9+#.]+(?![{_WORD_CHARS}])"
+_PIECES = rf"{_NAME}|[^A-Z]+|[A-Z]"
 
 
 @F.pandas_udf(T.StringType())
@@ -203,9 +204,11 @@ def composed(text: Column) -> Column:
 
 def turkish_lower(text: Column) -> Column:
     """Small letters by Turkish rules for I and İ, but for names in capitals; composed form, apostrophes alike, white space single."""
-    pieces = F.regexp_extract_all(F.translate(composed(text), "’‘", "''"), F.lit(_PIECES), F.lit(0))
-    low = F.transform(pieces, lambda p: F.when(p.rlike(r"^[A-Z][A-Z0-9+#.]+$"), F.lower(p)).otherwise(F.lower(F.translate(p, "Iİ", "ıi"))))
-    return F.btrim(F.regexp_replace(F.array_join(low, ""), r"(?U)\s+", " "))
+    plain = F.translate(composed(text), "’‘", "''")
+    small = lambda t: F.lower(F.translate(t, "Iİ", "ıi"))
+    pieces = F.transform(F.regexp_extract_all(plain, F.lit(_PIECES), F.lit(0)), lambda p: F.when(p.rlike(r"^[A-Z][A-Z0-9+#.]+$"), F.lower(p)).otherwise(small(p)))
+    low = F.when(plain.rlike(_NAME), F.array_join(pieces, "")).otherwise(small(plain))
+    return F.btrim(F.regexp_replace(low, r"(?U)\s+", " "))
 
 
 def turkish_words(text: Column) -> Column:
@@ -221,13 +224,17 @@ def base_token(token: Column) -> Column:
 
 
 def turkish_stem(token: Column) -> Column:
-    """The part before an apostrophe without the first listed ending that leaves four letters."""
-    base = base_token(token)
-    return _chain([((F.length(base) >= len(s) + 4) & base.endswith(s), F.left(base, F.length(base) - len(s))) for s in TURKISH_SUFFIXES], base)
+    """The part before an apostrophe without the first listed ending that leaves four letters.
+
+    Of endings that end alike the longer are listed first, so the first one is the longest: the shortest start of four
+    letters or more that one of them completes.
+    """
+    return F.regexp_replace(base_token(token), "^(.{4,}?)(?:" + "|".join(TURKISH_SUFFIXES) + ")$", "$1")
 
 
 def _rooted(token: Column, roots: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (base_token(token).startswith(r) for r in roots))
+    """Whether a token, and so its part before an apostrophe, begins with a root."""
+    return token.rlike("^(?:" + "|".join(roots) + ")")
 
 
 def root_count(tokens: Column, roots: list[str]) -> Column:
