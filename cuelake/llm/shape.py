@@ -14,7 +14,10 @@ LABEL = regex.compile(r"\p{L}[\p{L}\p{M}\d_-]*(?: \d+)?:\s+")
 ENDS, CLOSERS = frozenset(".!?…。？！"), "\"'”’»)]"
 #: Characters of an evidence mark in brackets that may follow the end of a sentence, at most.
 EVIDENCE = 12
-INNER = regex.compile(r"[.!?…。？！][\"'”’»)\]]*(?:\s*\[[^\]\s]{1,12}\])?\s+(?=[\"'“‘«¿¡(\[]*[\p{L}\d])")
+_CLOSED = r"[\"'”’»)\]]*(?:\s*\[[^\]\s]{1,12}\])?\s+"
+_OPEN = r"[\"'“‘«¿¡(\[]*"
+#: The end of a sentence before another one. A point behind a digit ends none before a small letter: it makes an ordinal.
+INNER = regex.compile(rf"(?:[!?…。？！]|(?<!\d)\.|\.(?={_CLOSED}{_OPEN}[\p{{Lu}}\d])){_CLOSED}(?={_OPEN}[\p{{L}}\d])")
 WORD = regex.compile(r"[\p{L}\p{M}\d]+(?:['’][\p{L}\p{M}]+)*")
 #: The same words in plain ASCII, where the quicker engine suffices.
 ASCII_WORD = re.compile(r"[a-zA-Z0-9]+(?:'[a-zA-Z]+)*")

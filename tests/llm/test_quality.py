@@ -177,3 +177,10 @@ def test_labelled_texts_are_scored_like_equal_ones(spark):
     want = {r.k: r.outlier_score for r in scored.collect()}
     got = {r.example_id: r.outlier_score for r in examples.collect()}
     assert len(got) == 20 and all(abs(want[k] - got[k]) < 1e-9 for k in got)
+
+
+def test_ordinals_end_no_sentence():
+    share = sharer({"tr": "ve bir geldi çünkü".split()})
+    made = shape("Sonuç 15. sırada geldi, çünkü görüntü açık ve bir atölyede.\n1. derslikte\n2. kapıda\n3. evde", share)
+    assert made["sentences"] == 1 and made["items"] == 3 and kind_of(made) == "list"
+    assert shape("It is 15. We go on.", sharer({"en": ["it", "is", "we", "on"]}))["sentences"] == 2
