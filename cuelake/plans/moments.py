@@ -224,7 +224,11 @@ def sliding_windows(spark, d):
     return tl.sliding_windows(m, "video_id", "d", 8.0, 4.0, 4).withColumn("samples", F.transform("samples", lambda x: F.round(x, 6)))
 
 
-@query("t02_greedy_sampling", "frm", """SELECT video_id, frame_idx * 5e0 AS ts FROM frm WHERE frame_idx % 3 = 0""")
+SAMPLING = """SELECT video_id, frame_idx * 5e0 AS ts FROM frm WHERE frame_idx % 3 = 0"""
+
+
+@query("s13_frame_sampling", "frm", SAMPLING)
+@query("t02_greedy_sampling", "frm", SAMPLING)
 def greedy_sampling(spark, d):
     """Frames at least 12 s after the one selected before, from the first on: every third of a 5 s grid."""
     f = tl.sampled(views.frames(spark, d).select("video_id", "ts"), "video_id", "ts", 12.0)

@@ -187,6 +187,14 @@ def fuse_all(spark, d):
     return fusion.fuse(search.lanes(spark, d), ["query_id"]).select("query_id", "thumbnail", F.round("score", 9).alias("score"), "modality", "fused_rank")
 
 
+@query("j03_bucket_outer", LANE_VIEWS, with_lanes(" SELECT query_id, thumbnail, visual_rank, speech_rank FROM merged"))
+def bucket_outer(spark, d):
+    """Both lanes side by side on the bucket that they share; where one has none, its rank is null."""
+    b = fusion.buckets(search.lanes(spark, d), ["query_id"])
+    side = lambda x: b.where(F.col("lane") == x).select("query_id", "thumbnail", F.col("rank").alias(f"{x}_rank"))
+    return side("visual").join(side("speech"), ["query_id", "thumbnail"], "full")
+
+
 @query("r09_search_hybrid", LANE_VIEWS, with_lanes("SELECT query_id, fused_rank, thumbnail, ts, \"end\", text, round(score, 9) AS score, modality FROM fused WHERE fused_rank <= 8"))
 def search_hybrid(spark, d):
     return search.search(spark, d).select("query_id", "fused_rank", "thumbnail", "ts", "end", "text", F.round("score", 9).alias("score"), "modality")
