@@ -89,6 +89,14 @@ NUMBER = dict(zip("one two three four five six seven eight".split(), range(1, 9)
 TEMPORAL = ["prior to", "before", "after", "following", "then", "next", "previously", "later"]
 
 
+#: The pattern of a requested number, and those of relations that a question may ask for.
+COUNTED = r"\b(?:what|which|name|list|give|identify)\s+(\d+|" + "|".join(NUMBER) + r")\b"
+RELATIONS = {
+    "cause_or_reason": r"\b(?:why|cause|causes|reason|reasons)\b", "comparison": r"\b(?:compare|comparison|difference|differ)\b",
+    "definition_or_fact": r"\b(?:define|definition|what (?:is|are|does))\b", "list": r"\b(?:list|approaches|reasons|steps)\b",
+}
+
+
 def _chain(pairs, default):
     out = F.when(pairs[0][0], pairs[0][1])
     for c, v in pairs[1:]:
@@ -98,7 +106,7 @@ def _chain(pairs, default):
 
 def requested_count(q: Column) -> Column:
     """The number that a question asks for, in digits or in words up to eight; null without."""
-    found = F.regexp_extract(F.lower(q), r"\b(?:what|which|name|list|give|identify)\s+(\d+|" + "|".join(NUMBER) + r")\b", 1)
+    found = F.regexp_extract(F.lower(q), COUNTED, 1)
     return F.when(found.rlike(r"^\d+$"), F.try_to_number(found, F.lit("999999999")).cast("int")).otherwise(_chain([(found == w, n) for w, n in NUMBER.items()], None))
 
 
@@ -120,12 +128,10 @@ def temporal_anchor(q: Column) -> Column:
 
 def relation_types(q: Column) -> Column:
     low = F.lower(q)
-    r = lambda p: low.rlike(p)
-    return F.array_compact(F.array(
-        F.when(r(r"\b(?:why|cause|causes|reason|reasons)\b"), "cause_or_reason"), F.when(r(r"\b(?:compare|comparison|difference|differ)\b"), "comparison"),
-        F.when(r(r"\b(?:define|definition|what (?:is|are|does))\b"), "definition_or_fact"),
-        F.when(requested_count(q).isNotNull() | r(r"\b(?:list|approaches|reasons|steps)\b"), "list"), F.when(temporal_relation(q).isNotNull(), "temporal"),
-    ))
+    said = {name: low.rlike(pattern) for name, pattern in RELATIONS.items()}
+    said["list"] = said["list"] | requested_count(q).isNotNull()
+    said["temporal"] = temporal_relation(q).isNotNull()
+    return F.array_compact(F.array(*(F.when(c, name) for name, c in said.items())))
 
 
 #: What lies outside the questions that can be answered, by the first pattern that matches.
