@@ -36,6 +36,8 @@ RANKED = [*STATS, *SHAPES]
 UNITS = {"word_count": 1, "mean_word_length": 100, **dict.fromkeys(("symbol_share", "end_share", "common_share", *SHAPES, "lean"), 1000)}
 #: Labelled texts that the weights of a kind's evidence are fitted to, at most, and the ridge of the fit.
 EXAMPLES_MOST, RIDGE = 1000, 1.0
+#: Shares of a text that isn't prose by its lines, in units of lean, between which its score weighs in.
+DOUBT = (200, 800)
 _NAMES = ["lang", *RANKED, "lean", "other_kind"]
 _SCHEMA = "lang string, " + ", ".join(f"{s} bigint" for s in (*RANKED, "lean")) + ", other_kind string"
 
@@ -225,10 +227,9 @@ def text_quality(df: DataFrame, key: str, text: str, lang: str, labelled: DataFr
     """One row for each row of ``df``: ``key``, the statistics, ``outlier_score`` and ``text_kind``.
 
     ``text_kind`` is prose, list, table or junk; null, as all statistics, for null, empty and blank texts. The lines of
-    a text (shape.py) say what it is if it isn't prose. Whether it isn't, its lines and its outlier score say together:
-    a logistic model of both, fitted to ``labelled`` texts (text, text_kind; at most EXAMPLES_MOST are used), so that
-    scores tell in texts that are partly prose and many copies, which are ordinary in their language, don't pass for
-    prose. In languages of few texts scores say nothing. ``key`` must be unique; repeated texts are ranked as often as
+    a text (shape.py) say what it is if it isn't prose. Whether it isn't, its lines and, where they leave it in DOUBT, its
+    outlier score say together: a logistic model of both, fitted to ``labelled`` texts (text, text_kind; at most
+    EXAMPLES_MOST are used). Many copies of a list, which are ordinary in their language, don't pass for prose. In languages of few texts scores say nothing. ``key`` must be unique; repeated texts are ranked as often as
     they occur.
     """
     lists = common_words(df.select(F.col(text), language(F.col(lang)).alias("_l")), text, "_l")
@@ -241,7 +242,7 @@ def text_quality(df: DataFrame, key: str, text: str, lang: str, labelled: DataFr
     scored, examples = outlier_scores(feats, key, examples=given)
     rows = [] if examples is None else given.join(examples, "example_id").select(away(F.col("lean")).alias("x"), "outlier_score", (F.col("text_kind") != "prose").alias("y")).collect()
     lines, score, midway = weigh([tuple(r) for r in rows])
-    tells = F.when(F.col("outlier_score") < float("inf"), F.col("outlier_score") - midway).otherwise(0.0)
+    tells = F.when((F.col("outlier_score") < float("inf")) & F.col("lean").between(*DOUBT), F.col("outlier_score") - midway).otherwise(0.0)
     other = F.col("other_kind").isNotNull() & (lines * away(F.col("lean")) + score * tells > 0)
     kind = F.when(F.col("lean").isNull(), None).when(other, F.col("other_kind")).otherwise("prose")
     return scored.select(key, *((F.col(s) / UNITS[s]).alias(s) if UNITS[s] > 1 else s for s in STATS), "outlier_score", kind.alias("text_kind"))
