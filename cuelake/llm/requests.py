@@ -100,8 +100,9 @@ class Speller:
 
     ``counts`` are the texts that have each established word, a bounded set. An unknown word may stand for each established
     word within one edit; if there is none, and it is long enough, for each within two; if there is none either, for two
-    words that it is run together from, of which one at least is established. An established word may stand for another one within one edit that
-    is ``ratio`` times as frequent: in a large corpus, frequent slips are established words as well.
+    words that it is run together from, of which one at least is established and the other may hide a slip as well. An established word may stand for another one within one edit that
+    is ``ratio`` times as frequent: in a large corpus, frequent slips are established words as well. Introducing words of
+    FAR letters or more are set right within one edit however rare they are.
     """
 
     #: Letters that an unknown word and the established one must have to be taken for one with two edits between them.
@@ -110,6 +111,10 @@ class Speller:
     def __init__(self, counts: dict[str, int], ratio: int = 40):
         self.counts, self.ratio = counts, ratio
         self.near: dict[str, list[str]] = defaultdict(list)
+        rare = [w for w in sorted(INTRODUCING) if len(w) >= self.FAR and w.isalpha() and w not in counts]
+        for w in rare:
+            for v in {w} | shortened(w):
+                self.near[v].append(w)
         for w in counts:
             if len(w) >= 4 and w.isalpha():
                 for v in {w} | shortened(w) | (twice_shortened(w) if len(w) >= self.FAR else set()):
@@ -119,15 +124,15 @@ class Speller:
         self.kept: dict[str, list[tuple[str, ...]]] = {}
 
     def _within(self, w: str, forms: set[str], most: int) -> list[str]:
-        """Established words at a distance of 1 to ``most`` that share one of ``forms``, the most frequent first."""
-        found = {c for v in forms & self.forms for c in self.near[v] if c != w and distance(w, c, most) <= most}
-        return sorted(found, key=lambda c: (-self.counts[c], c))
+        """Words to set right to at a distance of 1 to ``most`` (1 if not established) that share one of ``forms``, the most frequent first."""
+        found = {c for v in forms & self.forms for c in self.near[v] if c != w and distance(w, c, most) <= (most if c in self.counts else 1)}
+        return sorted(found, key=lambda c: (-self.counts.get(c, 0), c))
 
     def _options(self, w: str) -> list[tuple[str, ...]]:
         mine, forms = self.counts.get(w, 0), {w} | shortened(w)
         one = self._within(w, forms, 1)
         if mine:
-            return [*((c,) for c in one if self.counts[c] >= self.ratio * mine), (w,)]
+            return [*((c,) for c in one if self.counts.get(c, 0) >= self.ratio * mine), (w,)]
         if not one and len(w) >= self.FAR:
             one = [c for c in self._within(w, forms | twice_shortened(w), 2) if len(c) >= self.FAR]
         if one:
@@ -135,7 +140,14 @@ class Speller:
         halves = [(w[:i], w[i:]) for i in range(2, len(w) - 1)]
         cuts = sorted((h for h in halves if h[0] in self.counts and h[1] in self.counts), key=lambda h: -min(self.counts[x] for x in h))
         named = [h for h in halves if any(len(x) >= 3 and x in self.counts and len(y) >= 4 and y not in self.counts for x, y in (h, h[::-1]))]
-        return [*cuts, *named, (w,)]
+        mended = [h for x, y in halves for h in (*((x, c) for c in self._mended(x, y)), *((c, y) for c in self._mended(y, x)))]
+        return [*cuts, *named, *mended, (w,)]
+
+    def _mended(self, known: str, other: str) -> list[str]:
+        """What ``other`` may be a slip of, one edit away, if it is run together with an established word."""
+        if known not in self.counts or other in self.counts or len(other) < self.FAR:
+            return []
+        return [c for c in self._within(other, {other} | shortened(other), 1) if len(c) >= self.FAR]
 
     def __call__(self, w: str) -> list[tuple[str, ...]]:
         """What ``w`` may stand for, the most probable first."""

@@ -58,6 +58,12 @@ def test_a_slip_may_stand_for_several_words():
     assert 1 < len(many) <= READINGS and all("stage" in r.sure for r in many)
 
 
+@pytest.mark.parametrize("a,b", [("Find the dancer on stage", "Find thedancar on stage"), ("Find the dancer on stage", "Find thedaancer on stage"), ("dancer kettle", "dacnerkettle"), ("Bul: dancer stage", "Lüttfen bul dancer stage")])
+def test_slips_in_run_together_and_rare_introducing_words(a, b):
+    speller = Speller({"the": 20, "on": 20, "find": 20, "bul": 9, "dancer": 9, "kettle": 9, "stage": 9})
+    assert same(a, b, speller) and not same(a.replace("dancer", "farmer"), b, speller)
+
+
 def test_grams():
     assert ngrams(["a", "b"]) == [("a", "b")] and ngrams([]) == [()] and len(ngrams(list("abcdefg"))) == 3
     assert rarest(ngrams(list("abcdef")), {"b": 0.0, "f": 1.6}) == tuple("abcde")
