@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cuelake.storage import materialize
+
 #: The words that searching ignores.
 STOP = ["a", "an", "the", "is", "are", "where", "when", "does", "find", "show", "in", "of"]
 K1, B = 1.2, 0.75
@@ -64,6 +66,53 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
+#: The overlap that counts, words that a key of ``overlapping_sets`` has, and words of a set up to which it has keys of so many: they grow as their power.
+OVERLAP, KEY_WORDS, SHORT_SET = 0.8, 3, 40
+
+
+def overlapping_sets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(left_id, right_id, jaccard)`` of sets ``tokens`` whose overlap is OVERLAP or more; two empty sets are equal.
+
+    Words are ordered by rarity. Two sets of that overlap have the first k of their common words among the first
+    n - ceil(OVERLAP * n) + k of the n words of each, so sets are joined by each k of those words. A pair comes out only
+    where the key is its first k common words, that is, once: pairs are neither shuffled nor made distinct. Keys have
+    KEY_WORDS words, as few sets share that many, or all words of a set that has no more; a set of over SHORT_SET words
+    and those that may overlap with it have keys of one word for each other.
+    """
+    both = left.select(F.lit(True).alias("first"), F.col("left_id").alias("id"), "tokens").unionByName(right.select(F.lit(False).alias("first"), F.col("right_id").alias("id"), "tokens"))
+    both = materialize(both.where(F.col("tokens").isNotNull()), "sets")
+    each = both.select("first", "id", F.explode("tokens").alias("w"))
+    ranked = each.join(each.groupBy("w").count(), "w").groupBy("first", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "w"))), lambda x: x.w).alias("words"))
+    ranked = ranked.unionByName(both.where(F.size("tokens") == 0).select("first", "id", F.col("tokens").alias("words")))
+
+    n = F.size("words")
+    head = lambda k: F.slice("words", F.lit(1), n - F.ceil(n * F.lit(OVERLAP)).cast("int") + k)
+    after = lambda ws, i: F.slice(ws, i + 2, F.size(ws))
+
+    def runs(ws: Column, k: int) -> Column:
+        """All choices of k words in their order."""
+        if k == 1:
+            return F.transform(ws, lambda w: F.array(w))
+        return F.flatten(F.transform(ws, lambda w, i: F.transform(runs(after(ws, i), k - 1), lambda rest: F.concat(F.array(w), rest))))
+
+    key = lambda ws: F.xxhash64(ws)
+    keys = lambda k: F.array_distinct(F.transform(runs(head(k), k), key))
+    short = F.when(n <= KEY_WORDS, F.array(key(F.col("words")))).when(n <= SHORT_SET, keys(KEY_WORDS))
+    long = F.when(n >= F.ceil(F.lit(OVERLAP) * (SHORT_SET + 1)), keys(1))
+    made = ranked.select("first", "id", "words", short.alias("short"), long.alias("long"))
+    made = made.select("first", "id", "words", F.explode(F.array(F.struct(F.lit(False).alias("long"), F.col("short").alias("keys")), F.struct(F.lit(True).alias("long"), F.col("long").alias("keys")))).alias("x"))
+    made = materialize(made.select("first", "id", "words", "x.long", F.explode("x.keys").alias("key")), "keys")
+    a = made.where("first").select("long", "key", F.col("id").alias("left_id"), F.col("words").alias("x"))
+    b = made.where("NOT first").select("long", "key", F.col("id").alias("right_id"), F.col("words").alias("y"))
+    near = F.least(F.size("x"), F.size("y")) >= F.lit(OVERLAP) * F.greatest(F.size("x"), F.size("y"))
+    j = a.join(b, ["long", "key"]).where(near).withColumn("both", F.array_intersect("x", "y"))
+    size = F.size("x") + F.size("y") - F.size("both")
+    longer = F.greatest(F.size("x"), F.size("y")) > SHORT_SET
+    common = F.slice("both", F.lit(1), F.when(F.col("long"), 1).otherwise(KEY_WORDS))
+    j = j.where((F.size("both") >= F.lit(OVERLAP) * size) & (F.col("long") == longer) & (key(common) == F.col("key")))
+    return j.select("left_id", "right_id", F.round(F.when(size == 0, 1.0).otherwise(F.size("both") / size), 6).alias("jaccard"))
+
+
 #: Words without meaning in an anchor of time.
 ANCHOR_STOP = ["a", "an", "and", "are", "does", "explaining", "in", "is", "it", "of", "says", "saying", "speaker", "that", "the", "to", "video"]
 

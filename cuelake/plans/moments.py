@@ -9,7 +9,7 @@ from cuelake.operators import evidence as ev
 from cuelake.operators import metrics
 from cuelake.operators import timeline as tl
 from cuelake.operators import vectors
-from cuelake.operators.text import jaccard, tokens, topic_terms, SQL_TOKENS, SQL_FOLD, TOPIC_STOP
+from cuelake.operators.text import overlapping_sets, tokens, topic_terms, SQL_TOKENS, SQL_FOLD, TOPIC_STOP
 from cuelake.plans.common import Registry
 from cuelake.sources import views
 from cuelake.sources.tables import load
@@ -152,23 +152,11 @@ TWO = "t AS (SELECT query_id, video_id, split, list_distinct(tokens) AS tokens F
 @query("j15_jaccard_pairs", "qry vid", f"""WITH {TWO}, p AS (SELECT a.query_id AS left_id, b.query_id AS right_id, len(list_intersect(a.tokens, b.tokens)) AS common, len(a.tokens) + len(b.tokens) AS n
 FROM t a JOIN t b ON a.split = 'train' AND b.split = 'heldout') SELECT left_id, right_id, round(CASE WHEN n = 0 THEN 1 ELSE common / CAST(n - common AS DOUBLE) END, 6) AS jaccard FROM p WHERE CASE WHEN n = 0 THEN true ELSE common >= 0.8e0 * (n - common) END""")
 def jaccard_pairs(spark, d):
-    """Pairs of a train and a held-out query whose words overlap by 0.8 or more, by an inverted index of prefixes.
-
-    Words are ordered by rarity; two sets of that overlap share one among the first few words of each, so only those
-    words are joined. Empty sets are equal to each other.
-    """
+    """Pairs of a train and a held-out query whose words overlap by 0.8 or more, by an inverted index of prefixes."""
     v = views.videos(spark, d).select("video_id", "split").distinct()
     q = views.queries(spark, d).select("query_id", "video_id", F.array_distinct(tokens(F.col("query_text"))).alias("tokens")).join(v, "video_id")
     q = q.where(F.col("split").isin("train", "heldout")).select("query_id", "split", "tokens")
-    df = q.select(F.explode("tokens").alias("w")).groupBy("w").count()
-    ranked = q.select("query_id", F.explode("tokens").alias("w")).join(df, "w").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "w"))), lambda x: x.w).alias("order"))
-    n = F.size("order")
-    prefix = ranked.select("query_id", F.explode(F.slice("order", F.lit(1), n - F.ceil(n * 0.8).cast("int") + 1)).alias("w")).unionByName(q.where(F.size("tokens") == 0).select("query_id", F.lit("").alias("w")))
-    p = prefix.join(q, "query_id")
-    a = p.where("split = 'train'").select("w", F.col("query_id").alias("left_id"), F.col("tokens").alias("x"))
-    b = p.where("split = 'heldout'").select("w", F.col("query_id").alias("right_id"), F.col("tokens").alias("y"))
-    j = a.join(b, "w").dropDuplicates(["left_id", "right_id"]).withColumn("jaccard", jaccard(F.col("x"), F.col("y")))
-    return j.where(F.col("jaccard") >= 0.8 - 1e-12).select("left_id", "right_id", F.round("jaccard", 6).alias("jaccard"))
+    return overlapping_sets(q.where("split = 'train'").select(F.col("query_id").alias("left_id"), "tokens"), q.where("split = 'heldout'").select(F.col("query_id").alias("right_id"), "tokens"))
 
 
 @query("j16_paired", "qry cand pool", f"""WITH {TEN}, a AS (SELECT query_id, min(ts) FILTER (rank = 1) AS base FROM ten GROUP BY 1), b AS (SELECT query_id, min(ts) FILTER (rank = 2) AS other FROM ten WHERE rank > 1 GROUP BY 1)

@@ -3,9 +3,11 @@ import random
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuelake.operators import routing as rt
+from cuelake.operators import text as tx
 from cuelake.operators.fusion import VARIANTS, fuse, interleaved, preserved, quota, rescored, variants
 from cuelake.operators.text import STOP, bm25, jaccard, stems, tf_idf, tokens, topic_terms
 from cuelake.operators.vectors import adjacent_change, encode, mean_vector, normalized, scenes, top_k, valid
@@ -169,3 +171,23 @@ def test_top_k_by_group_equals_brute_force(spark):
         got = {(r.g, r.q, r.id, r.score + 0.0, r["rank"]) for r in top_k(di, dq, "id", "q", "v", 5, ["g"], block=block).collect()}
         assert got == want
     assert top_k(di.limit(0), dq, "id", "q", "v", 5, ["g"]).count() == top_k(di, dq.limit(0), "id", "q", "v", 5, ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("key_words,short", [(3, 40), (1, 40), (3, 6), (2, 0)])
+def test_overlapping_sets(spark, monkeypatch, key_words, short):
+    monkeypatch.setattr(tx, "KEY_WORDS", key_words)
+    monkeypatch.setattr(tx, "SHORT_SET", short)
+    rng, names = random.Random(5), "abcdefghijklmnop"
+    sets = [rng.sample(names, rng.randint(0, 14)) for _ in range(40)] + [list(names), list(names[:-1]), list(names[:5]), list(names[:4]), ["a"], ["a"], ["b", "a"], [], None]
+    sets += [rng.sample(x, len(x)) for x in sets[:20]]
+    mk = lambda name: spark.createDataFrame([(i, s) for i, s in enumerate(sets)], f"{name} int, tokens array<string>")
+    want = {}
+    for i, x in enumerate(sets):
+        for k, y in enumerate(sets):
+            if x is not None and y is not None and (not x and not y or 5 * len({*x} & {*y}) >= 4 * len({*x} | {*y})):
+                want[i, k] = round(len({*x} & {*y}) / len({*x} | {*y}), 6) if x else 1.0
+    df = tx.overlapping_sets(mk("left_id"), mk("right_id"))
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want) and {(i, k): v for i, k, v in got} == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "dropDuplicates" not in plan and "Aggregate" not in plan  # pairs are not shuffled once more to be distinct
