@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -248,18 +250,139 @@ def merged_screens(frames: DataFrame, similar: float = 0.88, gap: float = 5.25)
     return folded_by(frames, ["video_id"], ["ts", "frame_id"], step, SCREEN)
 
 
+#: Texts of so many characters or more have popular characters, which start no match (SequenceMatcher's rule).
+POPULAR = 200
+
+
+class Windows:
+    """The runs of one to eight lines of each of several units, for many references.
+
+    Likeness is SequenceMatcher's ratio of the terms of a reference and of a run. Runs are sorted by their length, those
+    of a reference's length come first, and no run is compared to its end that can't reach the best one so far.
+    """
+
+    def __init__(self, units: Sequence[Sequence[str]]):
+        self.units = units
+        runs = []
+        for u, lines in enumerate(units):
+            terms = [screen_terms(x) for x in lines]
+            for i in range(len(lines)):
+                text = ""
+                for j in range(i, min(len(lines), i + 8)):
+                    text = f"{text} {terms[j]}" if text and terms[j] else text or terms[j]
+                    runs.append((len(text), (u, i, j + 1), text))
+        self.runs = sorted(runs)
+        self.lengths = [n for n, _, _ in self.runs]
+        self.rare: dict[int, dict[str, list[int]]] = {}
+
+    def _matched(self, a: str, k: int, need: float) -> int:
+        """Characters of all matching blocks of ``a`` and run k; 0 if they are fewer than ``need``."""
+        b = self.runs[k][2]
+        if len(b) < POPULAR:
+            return _matched(a, b, need)
+        if k not in self.rare:
+            counts = Counter(b)
+            places = {c: [] for c, n in counts.items() if n <= len(b) // 100 + 1}
+            for j, c in enumerate(b):
+                if c in places:
+                    places[c].append(j)
+            self.rare[k] = places
+        return _matched_by_rare(a, b, self.rare[k], need)
+
+    def best(self, reference: str | None) -> tuple[int, str, float]:
+        """The unit, the run most like ``reference``, of equals the first, and its likeness; the first unit and an empty run if none is."""
+        a, most, at = screen_terms(reference), 0.0, (0, 0, 0)
+        size = len(a)
+        hi = bisect_left(self.lengths, size)
+        lo = hi - 1
+        while size:
+            n = self.lengths[lo] if lo >= 0 else 0
+            low = 2.0 * n / (n + size)
+            high = 2.0 * size / (self.lengths[hi] + size) if hi < len(self.lengths) else 0.0
+            if max(low, high) < most or not max(low, high):
+                break
+            k, lo, hi = (lo, lo - 1, hi) if low >= high else (hi, lo, hi + 1)
+            total = self.lengths[k] + size
+            r = 2.0 * self._matched(a, k, most * total / 2 - 1e-6) / total
+            if r > most or r == most > 0 and self.runs[k][1] < at:
+                most, at = r, self.runs[k][1]
+        u, i, j = at
+        return u, " ".join(self.units[u][i:j]) if most else "", most
+
+
+def _matched(a: str, b: str, need: float) -> int:
+    """Characters of all matching blocks, none of them popular; 0 if they are fewer than ``need``.
+
+    The longest block, the first in a and then in b, is grown along a; then what lies before it and after it is matched.
+    """
+    todo, found, most = [(a, b)], 0, min(len(a), len(b))
+    while todo:
+        a, b = todo.pop()
+        i = n = at = 0
+        end = len(a)
+        while i + n < end:
+            if a[i : i + n + 1] in b:
+                at = i
+                n += 1
+            else:
+                i += 1
+        most -= min(end, len(b))
+        if n:
+            j = b.find(a[at : at + n])
+            left, right = min(at, j), min(end - at, len(b) - j) - n
+            most, found = most + n + left + right, found + n
+            if most < need:
+                return 0
+            one, two = (a[:at], b[:j]), (a[at + n :], b[j + n :])
+            if left > right:  # the larger part comes next, as it takes away the most
+                if right:
+                    todo.append(two)
+                todo.append(one)
+            else:
+                if left:
+                    todo.append(one)
+                if right:
+                    todo.append(two)
+        elif most < need:
+            return 0
+    return found
+
+
+def _matched_by_rare(a: str, b: str, places: dict[str, list[int]], need: float) -> int:
+    """As ``_matched``, but a block starts as the longest run of characters that ``places`` has and is then grown both ways."""
+    todo, found, most = [(0, len(a), 0, len(b), [(i, places[c]) for i, c in enumerate(a) if c in places])], 0, min(len(a), len(b))
+    while todo:
+        alo, ahi, blo, bhi, rare = todo.pop()
+        n, before, last = 0, {}, -2
+        for i, js in rare:
+            now = {}
+            for j in js:
+                if blo <= j < bhi:
+                    k = now[j] = before.get(j - 1, 0) + 1 if i == last + 1 else 1
+                    if k > n:
+                        n, x, y = k, i - k + 1, j - k + 1
+            before, last = now, i
+        most -= min(ahi - alo, bhi - blo)
+        if n:
+            while x > alo and y > blo and a[x - 1] == b[y - 1]:
+                x, y, n = x - 1, y - 1, n + 1
+            while x + n < ahi and y + n < bhi and a[x + n] == b[y + n]:
+                n += 1
+            found += n
+            most += n
+            for part in ((alo, x, blo, y), (x + n, ahi, y + n, bhi)):
+                inside = [r for r in rare if part[0] <= r[0] < part[1]]
+                if inside and part[2] < part[3]:
+                    most += min(part[1] - part[0], part[3] - part[2])
+                    todo.append((*part, inside))
+        if most < need:
+            return 0
+    return found
+
+
 def best_window(reference: str, lines: list[str]) -> tuple[str, float]:
     """The run of one to eight lines most like a reference, and how like it is."""
-    want, best, most = screen_terms(reference), "", 0.0
-    if not want:
-        return best, most
-    for i in range(len(lines)):
-        for j in range(i + 1, min(len(lines), i + 8) + 1):
-            text = " ".join(lines[i:j])
-            m = SequenceMatcher(None, want, screen_terms(text))
-            if m.real_quick_ratio() > most and m.quick_ratio() > most and (r := m.ratio()) > most:  # upper bounds first
-                best, most = text, r
-    return best, most
+    return Windows([lines]).best(reference)[1:]
 
 
 def detections_kept(df: DataFrame, most: float = 0.45) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -387,21 +390,41 @@ def edit_accuracy_whole(spark, d):
     return p.groupBy("video_id").agg(F.round(F.greatest(F.lit(0.0), 1 - F.sum(F.levenshtein("prev", "text")) / F.greatest(F.lit(1), F.sum(F.length("prev")))), 6).alias("accuracy"))
 
 
+#: Queries and context units of one video that one row of ``a29_best_window`` compares.
+QUERIES_A_ROW, UNITS_A_ROW = 16, 64
+
+
 @query("a29_best_window")
 def best_window(spark, d):
     """The run of lines of any context unit of its video that is most like a query's first words; of equals, the first unit's.
 
-    A query meets each unit in a row of its own, so the work of a video with many of both is spread.
+    Queries of a video meet its units in rows of some of both, so runs are made ready once for several queries, the best
+    run so far cuts the search in all units, and the work of a video with many of both is spread.
     """
-    u = views.units(spark, d, "context").select("video_id", "unit_id", F.split("text", r"(?<=[.!?]) ").alias("lines"))
-
-    @F.pandas_udf(T.StructType([T.StructField("window", T.StringType()), T.StructField("likeness", T.DoubleType())]))
-    def find(q: pd.Series, lines: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([ev.best_window(a, list(b)) for a, b in zip(q, lines)], columns=["window", "likeness"])
-
-    j = asked(spark, d).join(u, "video_id").repartition(2 * spark.sparkContext.defaultParallelism, "query_id", "unit_id")
-    j = j.select("query_id", "unit_id", find("query_text", "lines").alias("w"))
-    best = F.min_by("w", F.struct(-F.col("w.likeness"), "unit_id"))
+    u = views.units(spark, d, "context").where(F.col("video_id").isNotNull()).select("video_id", "unit_id", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", r"(?<=[.!?]) ")).alias("lines"))
+
+    def parts(df: DataFrame, key: str, value: str, most: int, name: str) -> DataFrame:
+        n = df.groupBy("video_id").agg(F.ceil(F.count("*") / most).alias("n"))
+        p = df.join(n, "video_id").select("video_id", F.pmod(F.xxhash64(key), F.col("n")).alias(f"{name}_part"), F.struct(key, value).alias("x"))
+        return p.groupBy("video_id", f"{name}_part").agg(F.array_sort(F.collect_list("x")).alias(name))
+
+    kind = pa.schema([("query_id", pa.string()), ("unit_id", pa.string()), ("window", pa.string()), ("likeness", pa.float64())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for queries, units in zip(b.column(0), b.column(1)):
+                us = units.as_py()
+                windows = ev.Windows([x["lines"] for x in us])
+                for q in queries.as_py():
+                    k, window, like = windows.best(q["query_text"])
+                    out.append({"query_id": q["query_id"], "unit_id": us[k]["unit_id"], "window": window, "likeness": like})
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    j = parts(asked(spark, d).where(F.col("video_id").isNotNull()), "query_id", "query_text", QUERIES_A_ROW, "queries").join(parts(u, "unit_id", "lines", UNITS_A_ROW, "units"), "video_id")
+    j = j.repartition(4 * spark.sparkContext.defaultParallelism, "video_id", "queries_part", "units_part").select("queries", "units")
+    j = j.mapInArrow(find, "query_id string, unit_id string, window string, likeness double")
+    best = F.min_by(F.struct("window", "likeness"), F.struct(-F.col("likeness"), "unit_id"))
     return j.groupBy("query_id").agg(best.alias("w")).select("query_id", "w.window", F.round("w.likeness", 6).alias("likeness"))
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -144,6 +145,29 @@ def test_best_window_searches_all_units_of_a_video(spark):
     assert {r.query_id: (r.window, r.likeness) for r in best_window(spark, d).collect()} == want
 
 
+def test_windows_equal_sequence_matcher():
+    rng, alphabets = random.Random(4), ["ab ", "abc -'.", "abcdefghij  ", "etaoinshrdlu kvxz   ", "é\u0301ıİß_a \xad\ufeffﬁ"]
+    for _ in range(300):
+        letters = rng.choice(alphabets)
+        units = [["".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 30, 90, 150]))) for _ in range(rng.randint(0, 9))] for _ in range(3)]
+        windows = ev.Windows(units)
+        for size in (0, 5, 40, 90, 260):
+            want = ev.screen_terms(reference := "".join(rng.choice(letters) for _ in range(size)))
+            runs = [(u, " ".join(x[i:j])) for u, x in enumerate(units) for i in range(len(x)) for j in range(i + 1, min(len(x), i + 8) + 1)] if want else []
+            best = max(((SequenceMatcher(None, want, ev.screen_terms(t)).ratio(), -k) for k, (_, t) in enumerate(runs)), default=(0.0, 0))
+            assert windows.best(reference) == ((*runs[-best[1]], best[0]) if best[0] else (0, "", 0.0))
+
+
+def test_best_window_in_parts(spark, monkeypatch):
+    from cuelake.plans import questions
+
+    d = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, questions.best_window(spark, d).collect()))
+    monkeypatch.setattr(questions, "QUERIES_A_ROW", 1)
+    monkeypatch.setattr(questions, "UNITS_A_ROW", 2)
+    assert whole and sorted(map(tuple, questions.best_window(spark, d).collect())) == whole
+
+
 def test_edit_accuracy_of_whole_texts(spark, monkeypatch):
     from cuelake.plans import questions
 
